@@ -78,3 +78,12 @@ def minmax_100(x: Column, lo: Column, hi: Column) -> Column:
     """Scale to 0-100 by a given range; a constant range divides by 1."""
     denom = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
     return F.lit(100.0) * (x - lo) / denom
+
+
+def round_binary(c: Column, places: int) -> Column:
+    """Round half away from zero on the binary value: ``round(c * 10^p) /
+    10^p``. Spark's ``round`` works on the decimal text of a double, which
+    differs at exact decimal ties; this form gives the same double as C
+    ``round``-based engines."""
+    m = F.lit(float(10 ** places))
+    return F.round(c * m, 0) / m

@@ -14,7 +14,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,33 +29,41 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
-def reply_clean(c: Column) -> Column:
-    """Stripped reply; if fenced, the first fenced part that (after an
-    optional ``json`` tag) starts with ``[``."""
-    t = strip(c)
+def _clean_parts(t: Column) -> Column:
+    """Fence parts, each stripped and with a leading ``json`` tag removed."""
+    parts = F.transform(F.split(t, FENCE, -1), strip)
+    return F.transform(parts, lambda p: F.when(p.startswith(JSON_TAG),
+                                               strip(F.substring(p, len(JSON_TAG) + 1, 1 << 30))).otherwise(p))
 
-    def part_text(p: Column) -> Column:
-        p = strip(p)
-        return F.when(p.startswith(JSON_TAG), strip(F.substring(p, len(JSON_TAG) + 1, 1 << 30))).otherwise(p)
 
-    parts = F.transform(F.split(t, FENCE, -1), part_text)
+def _pick_clean(t: Column, parts: Column) -> Column:
     first_array = F.element_at(F.filter(parts, lambda p: p.startswith("[")), 1)
     return F.when(F.instr(t, FENCE) > 0, F.coalesce(first_array, t)).otherwise(t)
 
 
+def reply_clean(c: Column) -> Column:
+    """Stripped reply; if fenced, the first fenced part that (after an
+    optional ``json`` tag) starts with ``[``. (Single-use expression; the
+    parse path stages the same steps as columns, see ``reply_stages``.)"""
+    t = strip(c)
+    return _pick_clean(t, _clean_parts(t))
+
+
 def last_pos(t: Column, ch: str) -> Column:
     """1-based position of the last ``ch`` in ``t``; 0 if absent."""
     r = F.instr(F.reverse(t), ch)
     return F.when(r == 0, F.lit(0)).otherwise(F.length(t) - r + 1)
 
 
+def _slice(t: Column, s: Column, e: Column) -> Column:
+    return (F.when((s > 0) & (e > 0), F.when(e >= s, F.substring(t, s, e - s + 1)).otherwise(F.lit("")))
+            .otherwise(t))
+
+
 def reply_slice(t: Column) -> Column:
     """From the first ``[`` to the last ``]`` when both exist (empty text
     when the last ``]`` comes before the first ``[``)."""
-    s = F.instr(t, "[")
-    e = last_pos(t, "]")
-    return (F.when((s > 0) & (e > 0), F.when(e >= s, F.substring(t, s, e - s + 1)).otherwise(F.lit("")))
-            .otherwise(t))
+    return _slice(t, F.instr(t, "["), last_pos(t, "]"))
 
 
 def repair_cut(t: Column) -> Column:
@@ -68,11 +76,26 @@ def repair_cut(t: Column) -> Column:
     return p - 1
 
 
-def repaired(t: Column) -> Column:
-    cut = repair_cut(t)
+def repaired(t: Column, cut: Column | None = None) -> Column:
+    cut = repair_cut(t) if cut is None else cut
     return F.when(cut > 0, F.concat(F.substring(t, 1, cut), F.lit("]")))
 
 
+def reply_stages(df: DataFrame, col: str = "response") -> DataFrame:
+    """Adds ``_cand`` (cleaned and sliced candidate) and ``_cut`` (repair
+    cut) as staged columns: each step reads the previous column once, so
+    the plan stays linear in the number of steps."""
+    d = df.withColumn("_t", strip(F.col(col)))
+    d = d.withColumn("_parts", _clean_parts(F.col("_t")))
+    d = d.withColumn("_clean", _pick_clean(F.col("_t"), F.col("_parts")))
+    d = d.withColumn("_s", F.instr(F.col("_clean"), "[")).withColumn("_e", last_pos(F.col("_clean"), "]"))
+    d = d.withColumn("_cand", _slice(F.col("_clean"), F.col("_s"), F.col("_e")))
+    d = d.withColumn("_n", F.length("_cand"))
+    d = d.withColumn("_end", F.when(F.col("_n") >= 5, F.col("_n") - 5).otherwise(F.greatest(F.lit(0), 2 * F.col("_n") - 5)))
+    d = d.withColumn("_cut", last_pos(F.substring(F.col("_cand"), 1, F.col("_end")), ",") - 1)
+    return d.drop("_t", "_parts", "_clean", "_s", "_e", "_n", "_end")
+
+
 def _canon(value):
     """Numbers stay (finite only), anything else becomes null."""
     if isinstance(value, bool) or not isinstance(value, (int, float)):
@@ -111,15 +134,17 @@ def strict_json_items(texts: pd.Series) -> pd.Series:
     return texts.map(_strict_items)
 
 
-def parse_reply(reply: Column) -> Column:
-    """Reply text to an array of canonical object texts (empty on failure)."""
-    cand = reply_slice(reply_clean(reply))
-    first = strict_json_items(cand)
-    second = strict_json_items(repaired(cand))
+def parse_replies(df: DataFrame, col: str = "response", out: str = "items") -> DataFrame:
+    """Reply text to an array of canonical object texts (empty on failure):
+    strict parse of the candidate; if that is not JSON and a repair cut
+    exists, strict parse of the repaired text."""
+    d = reply_stages(df, col)
+    d = d.withColumn("_first", strict_json_items(F.col("_cand")))
+    d = d.withColumn("_second", strict_json_items(repaired(F.col("_cand"), F.col("_cut"))))
     empty = F.array().cast("array<string>")
-    return (F.when(first.isNotNull(), first)
-            .when(repair_cut(cand) > 0, F.coalesce(second, empty))
-            .otherwise(empty))
+    items = (F.when(F.col("_first").isNotNull(), F.col("_first"))
+             .when(F.col("_cut") > 0, F.coalesce(F.col("_second"), empty)).otherwise(empty))
+    return d.withColumn(out, items).drop("_cand", "_cut", "_first", "_second")
 
 
 def fmt4(c: Column) -> Column:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthlens.functions.numeric import bin_edge, hist_bin
+from synthlens.functions.numeric import bin_edge, hist_bin, round_binary
 from synthlens.operators.profile import exact_quantiles, joint_range, unpivot_long
 
 EPS = 1e-10
@@ -97,7 +97,7 @@ def jsd(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 3
         (F.lit(0.5) * (F.sum(F.col("ph") * F.ln(F.col("ph") / F.col("m")))
                        + F.sum(F.col("qh") * F.ln(F.col("qh") / F.col("m"))))).alias("v"))
     return (ranges.join(per, "feature", "left")
-            .select("pos", "feature", F.when(F.col("hi") > F.col("lo"), F.round("v", places))
+            .select("pos", "feature", F.when(F.col("hi") > F.col("lo"), round_binary(F.col("v"), places))
                     .otherwise(F.lit(0.0)).alias("jsd"))
             .orderBy("pos").drop("pos"))
 

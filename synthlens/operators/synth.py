@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthlens.functions.numeric import md5_normal, md5_unit
-from synthlens.functions.text import fmt4, parse_reply, reply_clean, reply_slice
+from synthlens.functions.text import fmt4, parse_replies, reply_clean, reply_slice
 from synthlens.operators.clean import clip_to_profile, drop_incomplete, require_features
 from synthlens.operators.sampling import cap_rows
 
@@ -167,21 +167,29 @@ def cleaned_replies(replies: DataFrame) -> DataFrame:
 def parsed_items(replies: DataFrame) -> DataFrame:
     """One row per reply: ``(batch, items)``, items = canonical object
     texts (NULL for a non-object array item); a failed reply has none."""
-    return replies.select("batch", parse_reply(F.col("response")).alias("items"))
+    return parse_replies(replies.select("batch", "response")).select("batch", "items")
 
 
-def records_from_replies(replies: DataFrame, features: Sequence[str]) -> DataFrame:
+def records_from_items(items: DataFrame, features: Sequence[str]) -> DataFrame:
     """``(batch, pos, features...)`` for every parsed array item;
     features of non-object items, quoted numbers, NaN and infinity are NULL."""
     schema = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
-    items = parsed_items(replies).select("batch", F.posexplode("items").alias("pos", "item"))
-    return items.select("batch", F.col("pos").cast("bigint").alias("pos"),
-                        F.from_json("item", schema).alias("r")).select("batch", "pos", *[F.col(f"r.{f}").alias(f)
-                                                                                            for f in features])
+    exploded = items.select("batch", F.posexplode("items").alias("pos", "item"))
+    return exploded.select("batch", F.col("pos").cast("bigint").alias("pos"),
+                           F.from_json("item", schema).alias("r")).select(
+        "batch", "pos", *[F.col(f"r.{f}").alias(f) for f in features])
+
+
+def records_from_replies(replies: DataFrame, features: Sequence[str]) -> DataFrame:
+    return records_from_items(parsed_items(replies), features)
+
+
+def counts_from_items(items: DataFrame) -> DataFrame:
+    return items.select("batch", F.size("items").cast("bigint").alias("parsed"))
 
 
 def parsed_counts(replies: DataFrame) -> DataFrame:
-    return parsed_items(replies).select("batch", F.size("items").cast("bigint").alias("parsed"))
+    return counts_from_items(parsed_items(replies))
 
 
 def take_first_per_batch(records: DataFrame, accounting: DataFrame) -> DataFrame:

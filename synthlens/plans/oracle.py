@@ -357,7 +357,7 @@ def build() -> dict[str, str]:
                                         "n AS n_rows FROM (VALUES (0, 'f1'), (1, 'f2'), (2, 'f3')) t(pos, feature), "
                                         "(SELECT count(*) AS n FROM items)")
     S["profile_join"] = with_({**FLOWS, "prof": f"SELECT feature, avg(x) AS mean, stddev_samp(x) AS std FROM ({unpivot(REAL)}) GROUP BY feature"},
-                              f"SELECT grp, feature, x, {sig('(x - mean) / std')} AS z FROM ({unpivot('flows', ids=['grp'])}) JOIN prof USING (feature)")
+                              f"SELECT grp, feature, x, round((x - mean) / std, 8) + 0.0 AS z FROM ({unpivot('flows', ids=['grp'])}) JOIN prof USING (feature)")
     S["vote_join_back"] = with_(VOTED, "SELECT o_orderkey, endpoint, truth, prediction, final FROM voted")
     rng = "(SELECT min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM flows WHERE grp = 'F')"
     S["train_scalar_apply"] = with_(FLOWS, f"SELECT l_extendedprice, {sig('100.0 * (l_extendedprice - mn) / CASE WHEN mx > mn THEN mx - mn ELSE 1.0 END')} AS scaled FROM flows, {rng} WHERE grp = 'O'")
@@ -386,10 +386,10 @@ def build() -> dict[str, str]:
     S["jsd_summary"] = with_(
         {**FLOWS, "baseline_b": baseline_sql(q.SEED + 2, 1.08), **a_ctes, **b_ctes,
          "ja": jsd_body("a_"), "jb": jsd_body("b_"),
-         "both": "SELECT feature, ja.jsd AS jsd_a, jb.jsd AS jsd_b FROM ja JOIN jb USING (feature)"},
+         "pair": "SELECT feature, ja.jsd AS jsd_a, jb.jsd AS jsd_b FROM ja JOIN jb USING (feature)"},
         f"SELECT feature, {sig('jsd_a')} AS jsd_a, {sig('jsd_b')} AS jsd_b, CASE WHEN jsd_a < jsd_b THEN 'A' "
-        f"WHEN jsd_b < jsd_a THEN 'B' ELSE 'tie' END AS winner FROM both UNION ALL "
-        f"SELECT '__mean__', {sig('avg(jsd_a)')}, {sig('avg(jsd_b)')}, CASE WHEN avg(jsd_a) < avg(jsd_b) THEN 'A' ELSE 'B' END FROM both")
+        f"WHEN jsd_b < jsd_a THEN 'B' ELSE 'tie' END AS winner FROM pair UNION ALL "
+        f"SELECT '__mean__', {sig('avg(jsd_a)')}, {sig('avg(jsd_b)')}, CASE WHEN avg(jsd_a) < avg(jsd_b) THEN 'A' ELSE 'B' END FROM pair")
     S["majority_vote"] = with_(PREDS, "SELECT endpoint, CAST(count_if(prediction = 'ssh') AS BIGINT) AS n_ssh, "
                                       "CAST(count_if(prediction = 'non-ssh') AS BIGINT) AS n_non, "
                                       "CASE WHEN count_if(prediction = 'ssh') > count_if(prediction = 'non-ssh') THEN 'ssh' "
@@ -463,7 +463,7 @@ def build() -> dict[str, str]:
     S["pc_feature"] = pc_sql()
     st = ", ".join(f"avg({f}) AS m{i}, stddev_pop({f}) AS s{i}" for i, f in enumerate(FEATS))
     S["standardize"] = with_(FLOWS, "SELECT grp, " + ", ".join(
-        sig(f"CASE WHEN s{i} > 0 THEN ({f} - m{i}) / s{i} ELSE 0.0 END") + f" AS {f}" for i, f in enumerate(FEATS))
+        f"round(CASE WHEN s{i} > 0 THEN ({f} - m{i}) / s{i} ELSE 0.0 END, 8) + 0.0 AS {f}" for i, f in enumerate(FEATS))
         + f" FROM flows, (SELECT {st} FROM flows)")
     S["feature_correlation"] = with_(FLOWS, f"SELECT grp, {sig('corr(l_quantity, l_extendedprice)')} AS corr, count(*) AS n "
                                             "FROM flows GROUP BY grp")

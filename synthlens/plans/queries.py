@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synthlens.functions.numeric import round_binary
 from synthlens.functions.text import reply_clean, reply_slice
 from synthlens.operators import clean, detect, features, fidelity, profile, report, sampling, synth
 from synthlens.plans import fixtures as fx
@@ -47,11 +48,15 @@ def sig(c: Column, digits: int = 10) -> Column:
     """Round to ``digits`` significant digits (zero normalised to +0.0)."""
     e = F.floor(F.log10(F.abs(c)))
     scale = F.pow(F.lit(10.0), F.abs(e))
-    back = F.when(e >= 0, F.round(c / scale, digits - 1) * scale).otherwise(F.round(c * scale, digits - 1) / scale)
+    back = F.when(e >= 0, round_binary(c / scale, digits - 1) * scale).otherwise(round_binary(c * scale, digits - 1) / scale)
     return (F.when(c.isNull(), F.lit(None).cast("double")).when(c == 0, F.lit(0.0))
             .when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c).otherwise(back))
 
 
+def zero_norm(c: Column) -> Column:
+    return c + F.lit(0.0)
+
+
 def sig_cols(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: sig(F.col(c)) for c in cols})
 
@@ -291,7 +296,8 @@ def q_profile_join(spark, sf_dir):
     prof = real_profile(spark, sf_dir, quantiles=False).select("feature", "mean", "std")
     rows = profile.unpivot_long(fx.flows(spark, sf_dir), FEATS, ["grp"])
     out = profile.profile_join(rows, prof)
-    return sig_cols(out.select("grp", "feature", "x", ((F.col("x") - F.col("mean")) / F.col("std")).alias("z")), ["z"])
+    z = (F.col("x") - F.col("mean")) / F.col("std")
+    return out.select("grp", "feature", "x", zero_norm(round_binary(z, 8)).alias("z"))
 
 
 def _voted(spark, sf_dir):
@@ -422,10 +428,16 @@ def q_group_counts(spark, sf_dir):
     return profile.group_counts(fx.flows(spark, sf_dir), "grp")
 
 
-def _accounting(spark, sf_dir):
-    replies = fx.responses(spark, sf_dir)
+def _items(spark, sf_dir):
+    """Parsed replies, computed once per query and shared (the strict JSON
+    parse is the Python step; persisted, recomputable from lineage)."""
+    return synth.parsed_items(fx.responses(spark, sf_dir)).persist()
+
+
+def _accounting(spark, sf_dir, items=None):
+    items = items if items is not None else _items(spark, sf_dir)
     _, n = _reply_plan(spark, sf_dir)
-    return synth.batch_accounting(synth.parsed_counts(replies), n, BATCH)
+    return synth.batch_accounting(synth.counts_from_items(items), n, BATCH)
 
 
 @query("batch_outcomes")
@@ -442,8 +454,9 @@ def q_batch_accounting(spark, sf_dir):
 
 
 def _take_first(spark, sf_dir, feats=fx.REPLY_FEATURES):
-    recs = synth.records_from_replies(fx.responses(spark, sf_dir), feats)
-    return synth.take_first_per_batch(recs, _accounting(spark, sf_dir))
+    items = _items(spark, sf_dir)
+    recs = synth.records_from_items(items, feats)
+    return synth.take_first_per_batch(recs, _accounting(spark, sf_dir, items))
 
 
 @query("take_first_per_batch")
@@ -569,7 +582,8 @@ def q_pc_feature(spark, sf_dir):
 
 @query("standardize")
 def q_standardize(spark, sf_dir):
-    return sig_cols(fidelity.standardize(fx.flows(spark, sf_dir), FEATS).select("grp", *FEATS), FEATS)
+    z = fidelity.standardize(fx.flows(spark, sf_dir), FEATS).select("grp", *FEATS)
+    return z.withColumns({f: zero_norm(round_binary(F.col(f), 8)) for f in FEATS})
 
 
 @query("embedding_2d")
