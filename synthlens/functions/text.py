@@ -123,17 +123,19 @@ def _strict_items(text):
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def strict_json_items(texts: pd.Series) -> pd.Series:
-    """Strict JSON parse of one candidate text per row.
-
-    NULL: not valid JSON. Empty array: valid but not an array. Otherwise one
-    canonical object text per array item (NULL for non-object items), with
-    every non-numeric or non-finite value replaced by null.
-    """
+def _strict_json_items(texts: pd.Series) -> pd.Series:
     return texts.map(_strict_items)
 
 
+# Strict JSON parse of one candidate text per row. NULL: not valid JSON.
+# Empty array: valid but not an array. Otherwise one canonical object text
+# per array item (NULL for a non-object item), every non-numeric or
+# non-finite value replaced by null. Marked non-deterministic only so that
+# Catalyst keeps it as one evaluation: it never inlines or duplicates a
+# non-deterministic expression into its consumers (posexplode, from_json).
+strict_json_items = F.pandas_udf(_strict_json_items, T.ArrayType(T.StringType())).asNondeterministic()
+
+
 def parse_replies(df: DataFrame, col: str = "response", out: str = "items") -> DataFrame:
     """Reply text to an array of canonical object texts (empty on failure):
     strict parse of the candidate; if that is not JSON and a repair cut
