@@ -111,7 +111,7 @@ def endpoint_key(df: DataFrame, ip_col: str = DEST_COL, port_col: str = PORT_COL
                  out: str = "endpoint") -> DataFrame:
     """``"<ip>:<port>"``; a NULL part prints as ``nan``."""
     ip = F.coalesce(F.col(ip_col).cast("string"), F.lit("nan"))
-    port = F.coalesce(F.col(port_col).cast("bigint").cast("string"), F.lit("nan"))
+    port = F.coalesce(F.col(port_col).try_cast("double").cast("bigint").cast("string"), F.lit("nan"))
     return df.withColumn(out, F.concat(ip, F.lit(":"), port))
 
 

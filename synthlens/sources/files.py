@@ -16,8 +16,25 @@ from pyspark.sql import functions as F
 from synthlens.operators.clean import cast_features, drop_incomplete
 
 
+def guess_format(spark: SparkSession, path: str) -> str:
+    """``csv``/``parquet``/``json``/``orc`` from the path name, else from the
+    names of the files inside the folder (Hadoop file system listing)."""
+    for ext in ("csv", "parquet", "json", "orc"):
+        if path.rstrip("/").endswith("." + ext):
+            return ext
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p) and fs.getFileStatus(p).isDirectory():
+        names = [st.getPath().getName() for st in fs.listStatus(p)]
+        for ext in ("csv", "parquet", "json", "orc"):
+            if any(n.endswith("." + ext) for n in names):
+                return ext
+    return "parquet"
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") or "/csv" in path else "parquet")
+    fmt = fmt or guess_format(spark, path)
     if fmt == "csv":
         return spark.read.option("header", True).option("inferSchema", False).csv(path)
     return spark.read.format(fmt).load(path)
