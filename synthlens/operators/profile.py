@@ -38,92 +38,109 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
-def exact_quantiles(long_df: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "x",
-                    max_rows: int = 200_000, buckets: int = 2048) -> DataFrame:
-    """Linearly interpolated quantiles (numpy/pandas 'linear') per key.
-
-    Returns ``(keys..., prob, q)``. Distributed selection: see module doc.
+def select_ranks(base: DataFrame, keys: Sequence[str], targets: dict, value: str = "_x",
+                 stats: dict | None = None, max_rows: int = 200_000, buckets: int = 2048) -> dict:
+    """Exact k-th smallest values, distributed.
+
+    ``targets``: ``{(key tuple, rank): None}`` with 0-based ranks; ``base``
+    has the key columns and a non-null numeric ``value`` column. Returns
+    ``{(key tuple, rank): value}``. Brackets narrow by bucket counts (one
+    aggregate pass per level, collected: at most brackets x buckets rows)
+    until a bracket holds at most ``max_rows`` values, which are ranked by a
+    window partitioned by bracket (bounded). ``stats``: optional
+    ``{key tuple: (n, lo, hi)}`` if already known.
     """
-    spark = long_df.sparkSession
+    spark = base.sparkSession
     keys = list(keys)
-    base = long_df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                                    F.max("_x").alias("hi")).collect()
-    # targets[(key tuple, rank)] = [a, b, below, count]
-    targets: dict[tuple, list] = {}
-    wanted = []
-    for r in stats:
-        k = tuple(r[c] for c in keys)
-        for p in probs:
-            pos = p * (r["n"] - 1)
-            r0, r1 = math.floor(pos), math.ceil(pos)
-            wanted.append((k, p, r0, r1, pos - r0))
-            for rank in (r0, r1):
-                targets.setdefault((k, rank), [r["lo"], r["hi"], 0, r["n"]])
+    if stats is None:
+        rows = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"),
+                                       F.max(value).alias("hi")).collect()
+        stats = {tuple(r[c] for c in keys): (r["n"], r["lo"], r["hi"]) for r in rows}
+    # state[(k, rank)] = [a, b, below, count]
+    state = {t: [stats[t[0]][1], stats[t[0]][2], 0, stats[t[0]][0]] for t in targets}
+    key_fields = [base.schema[c] for c in keys]
+    vtype = base.schema[value].dataType
 
     def bracket_df(items):
-        rows = [(*k, float(a), float(b), i) for i, (k, a, b) in enumerate(items)]
-        schema = T.StructType([*[base.schema[c] for c in keys],
-                               T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType()),
+        rows = [(*k, a, b, i) for i, (k, a, b) in enumerate(items)]
+        schema = T.StructType([*key_fields, T.StructField("_a", vtype), T.StructField("_b", vtype),
                                T.StructField("_bid", T.IntegerType())])
         return spark.createDataFrame(rows, schema)
 
     def in_bracket(br: DataFrame) -> DataFrame:
-        return (base.join(F.broadcast(br), keys)
-                .where((F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b"))))
+        joined = base.join(F.broadcast(br), keys) if keys else base.crossJoin(F.broadcast(br))
+        return joined.where((F.col(value) >= F.col("_a")) & (F.col(value) <= F.col("_b")))
 
     while True:
-        pending = sorted({(k, st[0], st[1]) for (k, _), st in targets.items() if st[3] > max_rows and st[0] < st[1]},
+        pending = sorted({(t[0], st[0], st[1]) for t, st in state.items() if st[3] > max_rows and st[0] < st[1]},
                          key=repr)
         if not pending:
             break
-        br = bracket_df(pending)
-        scaled = F.floor((F.col("_x") - F.col("_a")) / (F.col("_b") - F.col("_a")) * F.lit(float(buckets)))
-        hist = (in_bracket(br)
+        a, b = F.col("_a").cast("double"), F.col("_b").cast("double")
+        scaled = F.floor((F.col(value).cast("double") - a) / (b - a) * F.lit(float(buckets)))
+        hist = (in_bracket(bracket_df(pending))
                 .withColumn("_bk", F.least(F.lit(buckets - 1), scaled.cast("int")))
-                .groupBy("_bid", "_bk").agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"),
-                                            F.max("_x").alias("mx"))
+                .groupBy("_bid", "_bk").agg(F.count(F.lit(1)).alias("c"), F.min(value).alias("mn"),
+                                            F.max(value).alias("mx"))
                 .collect())
         per_bid: dict[int, list] = {}
         for h in hist:
             per_bid.setdefault(h["_bid"], []).append((h["_bk"], h["c"], h["mn"], h["mx"]))
         index = {item: i for i, item in enumerate(pending)}
-        for (k, rank), st in targets.items():
-            bid = index.get((k, st[0], st[1]))
+        before_pass = {t: list(st) for t, st in state.items()}
+        for t, st in state.items():
+            bid = index.get((t[0], st[0], st[1]))
             if bid is None or st[3] <= max_rows or st[0] >= st[1]:
                 continue
             below = st[2]
             for _, c, mn, mx in sorted(per_bid.get(bid, [])):
-                if rank < below + c:
-                    targets[(k, rank)] = [mn, mx, below, c]
+                if t[1] < below + c:
+                    state[t] = [mn, mx, below, c]
                     break
                 below += c
+        if state == before_pass:  # no bracket could be split further: rank what is left exactly
+            break
 
-    values: dict[tuple, float] = {}
-    final = sorted({(k, st[0], st[1]) for (k, _), st in targets.items() if st[0] < st[1]}, key=repr)
-    for (k, rank), st in targets.items():
-        if st[0] >= st[1]:
-            values[(k, rank)] = st[0]
+    out = {t: st[0] for t, st in state.items() if st[0] >= st[1]}
+    final = sorted({(t[0], st[0], st[1]) for t, st in state.items() if st[0] < st[1]}, key=repr)
     if final:
-        br = bracket_df(final)
         index = {item: i for i, item in enumerate(final)}
-        want_rows = []
-        for (k, rank), st in targets.items():
-            if st[0] < st[1]:
-                want_rows.append((index[(k, st[0], st[1])], rank - st[2], k, rank))
-        want = spark.createDataFrame([(b, r) for b, r, _, _ in want_rows], "_bid int, _r long")
-        w = Window.partitionBy("_bid").orderBy("_x")
-        ranked = (in_bracket(br).select("_bid", "_x")
+        want_rows = [(index[(t[0], st[0], st[1])], t[1] - st[2], t) for t, st in state.items() if st[0] < st[1]]
+        want = spark.createDataFrame([(b, r) for b, r, _ in want_rows], "_bid int, _r long")
+        w = Window.partitionBy("_bid").orderBy(value)
+        ranked = (in_bracket(bracket_df(final)).select("_bid", value)
                   .withColumn("_r", F.row_number().over(w) - 1)
                   .join(F.broadcast(want), ["_bid", "_r"]).collect())
-        got = {(r["_bid"], r["_r"]): r["_x"] for r in ranked}
-        for bid, r, k, rank in want_rows:
-            values[(k, rank)] = got[(bid, r)]
+        got = {(r["_bid"], r["_r"]): r[value] for r in ranked}
+        for bid, r, t in want_rows:
+            out[t] = got[(bid, r)]
+    return out
+
 
-    rows = [(*k, float(p), float(_lerp(values[(k, r0)], values[(k, r1)], t))) for k, p, r0, r1, t in wanted]
+def exact_quantiles(long_df: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "x",
+                    max_rows: int = 200_000, buckets: int = 2048) -> DataFrame:
+    """Linearly interpolated quantiles (numpy/pandas 'linear') per key.
+
+    Returns ``(keys..., prob, q)``. Distributed selection: see module doc.
+    """
+    spark = long_df.sparkSession
+    keys = list(keys)
+    base = long_df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    rows = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
+                                   F.max("_x").alias("hi")).collect()
+    stats = {tuple(r[c] for c in keys): (r["n"], r["lo"], r["hi"]) for r in rows}
+    wanted, targets = [], {}
+    for k, (n, _, _) in stats.items():
+        for p in probs:
+            pos = p * (n - 1)
+            r0, r1 = math.floor(pos), math.ceil(pos)
+            wanted.append((k, p, r0, r1, pos - r0))
+            targets[(k, r0)] = targets[(k, r1)] = None
+    values = select_ranks(base, keys, targets, "_x", stats, max_rows, buckets)
+    out = [(*k, float(p), float(_lerp(values[(k, r0)], values[(k, r1)], t))) for k, p, r0, r1, t in wanted]
     schema = T.StructType([*[base.schema[c] for c in keys], T.StructField("prob", T.DoubleType()),
                            T.StructField("q", T.DoubleType())])
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(out, schema)
 
 
 def describe_profile(df: DataFrame, features: Sequence[str], group_cols: Sequence[str] = (),

@@ -22,15 +22,43 @@ def sample_key(seed: int, cols: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+TOPK_MAX = 100_000
+
+
 def exact_sample(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
     """``n`` rows without replacement if there are at least ``n``,
     else every row (a limit over fewer rows keeps them all, so no count is
-    needed)."""
+    needed). Beyond ``TOPK_MAX`` rows the sample is a threshold filter
+    instead of a top-k: see ``_large_sample``."""
     cols = list(key_cols) if key_cols else list(df.columns)
+    if n > TOPK_MAX:
+        return _large_sample(df, int(n), seed, cols)
     return (df.withColumn("_skey", sample_key(seed, cols))
             .orderBy("_skey", *cols).limit(int(n)).drop("_skey"))
 
 
+def _large_sample(df: DataFrame, n: int, seed: int, cols: list[str]) -> DataFrame:
+    """The same rule for a large ``n`` without one task holding ``n`` rows:
+    the key's first 60 bits as a number, the exact n-th smallest number by
+    distributed rank selection, then a filter. Rows tied at the threshold
+    carry the same key, i.e. the same key columns, so any of them may be
+    taken: they are numbered with ``monotonically_increasing_id`` and the
+    needed count is again chosen by rank selection, never by a single task.
+    """
+    from synthlens.operators.profile import select_ranks
+
+    k = df.withColumn("_k", F.conv(F.substring(sample_key(seed, cols), 1, 15), 16, 10).cast("bigint"))
+    total = k.count()
+    if total <= n:
+        return df
+    t = select_ranks(k.select("_k"), [], {((), n - 1): None}, "_k")[((), n - 1)]
+    below = k.where(F.col("_k") < t)
+    need = n - below.count()
+    ties = k.where(F.col("_k") == t).withColumn("_m", F.monotonically_increasing_id())
+    m = select_ranks(ties.select("_m"), [], {((), need - 1): None}, "_m")[((), need - 1)]
+    return below.drop("_k").unionByName(ties.where(F.col("_m") <= m).drop("_k", "_m"))
+
+
 def sample_sentinel(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
     """-1 = all rows, 0 = no rows, n > 0 = at most n (exact sample)."""
     if n < 0:

@@ -104,3 +104,16 @@ def test_vote_idempotent(spark):
     once = detect.majority_vote(df).select("id", "endpoint", "final").withColumnRenamed("final", "prediction")
     twice = detect.majority_vote(once)
     assert all(r["prediction"] == r["final"] for r in twice.collect())
+
+
+def test_large_sample_path(spark, monkeypatch):
+    """The threshold path returns exactly n rows, the same rows as top-k
+    when keys are distinct, and copes with many identical rows."""
+    base = spark.range(3000).selectExpr("id", "id % 11 AS v")
+    small = sorted(map(tuple, sampling.exact_sample(base, 500, 7).collect()))
+    monkeypatch.setattr(sampling, "TOPK_MAX", 10)
+    large = sorted(map(tuple, sampling.exact_sample(base, 500, 7).collect()))
+    assert large == small
+    dup = spark.range(3000).selectExpr("id % 3 AS v")  # three distinct rows, 1000 copies each
+    out = sampling.exact_sample(dup, 1500, 7)
+    assert out.count() == 1500
