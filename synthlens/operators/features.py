@@ -24,7 +24,9 @@ MICROS = 1_000_000.0
 
 
 def _micros(ts_col: str):
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+    """Microseconds since the epoch of a TIMESTAMP_NTZ (or TIMESTAMP) column,
+    independent of the session time zone for wall-clock (NTZ) input."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts_col}`)")
 
 
 def ipa_gaps(packets: DataFrame, session_col: str, ts_col: str, id_col: str,

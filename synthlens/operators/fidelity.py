@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import bin_edge, hist_bin, round_binary
-from synthlens.operators.profile import exact_quantiles, joint_range, unpivot_long
+from synthlens.operators.profile import exact_quantiles, unpivot_long
 
 EPS = 1e-10
 
@@ -38,15 +38,35 @@ def _wide_ranges(ranges: DataFrame, features: Sequence[str]) -> DataFrame:
                       *[F.max(F.when(F.col("feature") == f, F.col("hi"))).alias(f"_hi_{i}") for i, f in enumerate(features)])
 
 
-def feature_histogram(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 30,
-                      ranges: DataFrame | None = None) -> DataFrame:
-    """Fixed-width counts over the joint range of the pair, last bin
-    closed. Output ``(feature, grp, bin, n)`` for non-empty bins; ``grp`` is
-    ``p`` or ``q``. A feature with a constant joint range has no bins."""
-    ranges = ranges if ranges is not None else joint_range(p_df, q_df, features)
+def pair_by_group(df: DataFrame, group_col: str, p_value, q_value, features: Sequence[str]) -> DataFrame:
+    """Both sides from one table: rows of group ``p_value`` become ``p``,
+    of ``q_value`` become ``q`` (one scan per pass instead of two)."""
+    g = F.col(group_col)
+    return (df.where(g.isin(p_value, q_value))
+            .select(F.when(g == p_value, F.lit("p")).otherwise(F.lit("q")).alias("grp"),
+                    *[F.col(f).cast("double").alias(f) for f in features]))
+
+
+def pair_of(p_df: DataFrame, q_df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return labelled_union([("p", p_df), ("q", q_df)], features)
+
+
+def pair_ranges(pair: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A05 on a labelled pair: one aggregate, one row per feature
+    ``(pos, feature, lo, hi)``."""
+    row = pair.agg(*[F.min(f).alias(f"lo_{i}") for i, f in enumerate(features)],
+                   *[F.max(f).alias(f"hi_{i}") for i, f in enumerate(features)])
+    stacked = [F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"), F.col(f"lo_{i}").alias("lo"),
+                        F.col(f"hi_{i}").alias("hi")) for i, f in enumerate(features)]
+    return row.select(F.explode(F.array(*stacked)).alias("s")).select("s.*")
+
+
+def pair_histogram(pair: DataFrame, features: Sequence[str], bins: int = 30,
+                   ranges: DataFrame | None = None) -> DataFrame:
+    """A07 core on a labelled pair (``grp`` in p/q)."""
+    ranges = ranges if ranges is not None else pair_ranges(pair, features)
     rw = F.broadcast(_wide_ranges(ranges, features))
-    both = labelled_union([("p", p_df), ("q", q_df)], features)
-    binned = both.crossJoin(rw).select(
+    binned = pair.crossJoin(rw).select(
         "grp", *[F.when(F.col(f"_hi_{i}") > F.col(f"_lo_{i}"),
                         hist_bin(F.col(f), F.col(f"_lo_{i}"), F.col(f"_hi_{i}"), bins)).alias(f)
                  for i, f in enumerate(features)])
@@ -54,19 +74,17 @@ def feature_histogram(p_df: DataFrame, q_df: DataFrame, features: Sequence[str],
             .groupBy("feature", "grp", "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
-def histogram_align(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 30,
-                    ranges: DataFrame | None = None) -> DataFrame:
-    """Both histograms bin by bin, empty bins kept (scaffold
-    ``features x bins`` left-joined to the counts). Output ``(feature, bin,
-    lo_edge, hi_edge, n_p, n_q)``."""
-    all_ranges = ranges if ranges is not None else joint_range(p_df, q_df, features)
-    ranges = all_ranges.where(F.col("hi") > F.col("lo"))
-    counts = feature_histogram(p_df, q_df, features, bins, all_ranges)
+def pair_align(pair: DataFrame, features: Sequence[str], bins: int = 30,
+               ranges: DataFrame | None = None) -> DataFrame:
+    """J04 core: scaffold ``features x bins`` left-joined to both counts."""
+    all_ranges = ranges if ranges is not None else pair_ranges(pair, features)
+    live = all_ranges.where(F.col("hi") > F.col("lo"))
+    counts = pair_histogram(pair, features, bins, all_ranges)
     cw = counts.groupBy("feature", "bin").agg(
         F.sum(F.when(F.col("grp") == "p", F.col("n")).otherwise(0)).alias("n_p"),
         F.sum(F.when(F.col("grp") == "q", F.col("n")).otherwise(0)).alias("n_q"))
     k = F.col("bin")
-    scaffold = ranges.crossJoin(F.broadcast(p_df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
+    scaffold = live.crossJoin(F.broadcast(pair.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
     scaffold = scaffold.select("feature", "bin", bin_edge(k, F.col("lo"), F.col("hi"), bins).alias("lo_edge"),
                                bin_edge(k + 1, F.col("lo"), F.col("hi"), bins).alias("hi_edge"))
     return (scaffold.join(cw, ["feature", "bin"], "left")
@@ -75,16 +93,11 @@ def histogram_align(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], b
                     F.coalesce("n_q", F.lit(0)).cast("bigint").alias("n_q")))
 
 
-def jsd(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 30,
-        eps: float = EPS, places: int = 5) -> DataFrame:
-    """Jensen-Shannon divergence per feature (natural log).
-
-    Histogram densities (count / width / total) over the joint range, plus
-    ``eps`` per bin, renormalised; ``0.5 * (KL(p||m) + KL(q||m))`` rounded to
-    ``places``. A constant joint range gives 0.0. Output ``(feature, jsd)``.
-    """
-    ranges = joint_range(p_df, q_df, features)
-    aligned = histogram_align(p_df, q_df, features, bins, ranges)
+def pair_jsd(pair: DataFrame, features: Sequence[str], bins: int = 30, eps: float = EPS,
+             places: int = 5) -> DataFrame:
+    """A08 core on a labelled pair."""
+    ranges = pair_ranges(pair, features)
+    aligned = pair_align(pair, features, bins, ranges)
     w = Window.partitionBy("feature")
     width = F.col("hi_edge") - F.col("lo_edge")
     d = aligned.withColumns({
@@ -102,6 +115,31 @@ def jsd(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 3
             .orderBy("pos").drop("pos"))
 
 
+def feature_histogram(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 30) -> DataFrame:
+    """Fixed-width counts over the joint range of the pair, last bin
+    closed. Output ``(feature, grp, bin, n)`` for non-empty bins; ``grp`` is
+    ``p`` or ``q``. A feature with a constant joint range has no bins."""
+    return pair_histogram(pair_of(p_df, q_df, features), features, bins)
+
+
+def histogram_align(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 30) -> DataFrame:
+    """Both histograms bin by bin, empty bins kept. Output ``(feature,
+    bin, lo_edge, hi_edge, n_p, n_q)``."""
+    return pair_align(pair_of(p_df, q_df, features), features, bins)
+
+
+def jsd(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 30,
+        eps: float = EPS, places: int = 5) -> DataFrame:
+    """Jensen-Shannon divergence per feature (natural log).
+
+    Histogram densities (count / width / total) over the joint range, plus
+    ``eps`` per bin, renormalised; ``0.5 * (KL(p||m) + KL(q||m))`` rounded to
+    ``places``. A constant joint range gives 0.0. Output ``(feature, jsd)``.
+    For two groups of one table use ``pair_jsd(pair_by_group(...))``.
+    """
+    return pair_jsd(pair_of(p_df, q_df, features), features, bins, eps, places)
+
+
 def jsd_summary(jsd_a: DataFrame, jsd_b: DataFrame, name_a: str = "A", name_b: str = "B",
                 average_label: str = "__mean__") -> DataFrame:
     """Per feature both divergences and the winner (strictly lower,

@@ -168,8 +168,8 @@ def q_completion_source(spark, sf_dir):
 
 def _report_tables(spark, sf_dir):
     return {
-        "jsd": fidelity.jsd(flows_p(spark, sf_dir), flows_q(spark, sf_dir), FEATS),
-        "histogram": fidelity.feature_histogram(flows_p(spark, sf_dir), flows_q(spark, sf_dir), FEATS),
+        "jsd": fidelity.pair_jsd(flows_pair(spark, sf_dir), FEATS),
+        "histogram": fidelity.pair_histogram(flows_pair(spark, sf_dir), FEATS),
         "box": fidelity.box_stats(fx.flows(spark, sf_dir), FEATS, "grp"),
         "hexbin": q_hexbin_density(spark, sf_dir),
     }
@@ -316,9 +316,14 @@ def q_train_scalar_apply(spark, sf_dir):
     return sig_cols(out.select("l_extendedprice", "scaled"), ["scaled"])
 
 
+def flows_pair(spark, sf_dir):
+    """Groups F (p) and O (q) of flows from one scan per pass."""
+    return fidelity.pair_by_group(fx.flows(spark, sf_dir), "grp", "F", "O", FEATS)
+
+
 @query("histogram_align")
 def q_histogram_align(spark, sf_dir):
-    out = fidelity.histogram_align(flows_p(spark, sf_dir), flows_q(spark, sf_dir), FEATS)
+    out = fidelity.pair_align(flows_pair(spark, sf_dir), FEATS)
     return sig_cols(out, ["lo_edge", "hi_edge"])
 
 
@@ -356,18 +361,18 @@ def q_covariance_matrix(spark, sf_dir):
 
 @query("joint_range")
 def q_joint_range(spark, sf_dir):
-    out = profile.joint_range(flows_p(spark, sf_dir), flows_q(spark, sf_dir), FEATS)
+    out = fidelity.pair_ranges(flows_pair(spark, sf_dir), FEATS)
     return sig_cols(out.select("feature", "lo", "hi"), ["lo", "hi"])
 
 
 @query("feature_histogram")
 def q_feature_histogram(spark, sf_dir):
-    return fidelity.feature_histogram(flows_p(spark, sf_dir), flows_q(spark, sf_dir), FEATS)
+    return fidelity.pair_histogram(flows_pair(spark, sf_dir), FEATS)
 
 
 @query("jsd")
 def q_jsd(spark, sf_dir):
-    return fidelity.jsd(flows_p(spark, sf_dir), flows_q(spark, sf_dir), FEATS)
+    return fidelity.pair_jsd(flows_pair(spark, sf_dir), FEATS)
 
 
 @query("jsd_summary")
