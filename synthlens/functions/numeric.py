@@ -44,7 +44,9 @@ def hist_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     is ``hi`` itself.
     """
     width = (hi - lo) / F.lit(float(bins))
-    b0 = F.least(F.lit(bins - 1), F.floor((x - lo) / (hi - lo) * F.lit(float(bins))).cast("int"))
+    fl = F.floor((x - lo) / (hi - lo) * F.lit(float(bins))).cast("int")
+    # min(bins - 1, fl) without least(), which would skip a NULL (constant range)
+    b0 = fl - (fl >= bins).cast("int")
     left = b0.cast("double") * width + lo
     right = F.when(b0 + 1 == bins, hi).otherwise((b0 + 1).cast("double") * width + lo)
     down = F.when(x < left, 1).otherwise(0)

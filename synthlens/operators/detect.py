@@ -146,51 +146,85 @@ def augment_union(real: DataFrame, synthetic: DataFrame | None) -> DataFrame:
     return real if synthetic is None else real.unionByName(synthetic, allowMissingColumns=True)
 
 
-def rf_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label_col: str,
-               num_trees: int = 100, max_depth: int = 10, seed: int = 0, max_bins: int = 64,
-               subsampling_rate: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
-    """Random forest fit on the train features, predicted labels on the
-    test rows (``prediction`` as the original label text). Spark ML trains
-    the trees as distributed tasks over binned features."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+def prepare_training(train: DataFrame, features: Sequence[str], label_col: str):
+    """Index the label and assemble the feature vector once (shared by all
+    forests of a training set). Returns ``(assembled train, labels)``."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     indexer = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="keep").fit(train)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
+    return assembler.transform(indexer.transform(train)).select("_features", "_label"), list(indexer.labels)
+
+
+def fit_forest(assembled: DataFrame, num_trees: int = 100, max_depth: int = 10, seed: int = 0,
+               max_bins: int = 64, subsampling_rate: float = 1.0):
+    """M04 fit: Spark ML trains the trees as distributed tasks over binned
+    features (one pass per tree level for all trees together)."""
+    from pyspark.ml.classification import RandomForestClassifier
+
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pidx",
                                     numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins,
                                     featureSubsetStrategy="sqrt", subsamplingRate=subsampling_rate,
                                     bootstrap=True)
-    back = IndexToString(inputCol="_pidx", outputCol="prediction", labels=indexer.labels)
-    model = Pipeline(stages=[assembler, forest]).fit(indexer.transform(train))
-    pred = back.transform(model.transform(test))
+    return forest.fit(assembled)
+
+
+def predict_forest(model, labels: Sequence[str], test: DataFrame, features: Sequence[str],
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """M04 predict: label text in ``prediction`` for every test row."""
+    from pyspark.ml.feature import IndexToString, VectorAssembler
+
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
+    back = IndexToString(inputCol="_pidx", outputCol="prediction", labels=list(labels))
+    pred = back.transform(model.transform(assembler.transform(test)))
     return pred.select(*keep, *[c for c in test.columns if c not in keep], "prediction")
 
 
+def rf_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label_col: str,
+               num_trees: int = 100, max_depth: int = 10, seed: int = 0, max_bins: int = 64,
+               subsampling_rate: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """Random forest fit on the train features, predicted labels on the
+    test rows (``prediction`` as the original label text)."""
+    assembled, labels = prepare_training(train, features, label_col)
+    model = fit_forest(assembled, num_trees, max_depth, seed, max_bins, subsampling_rate)
+    return predict_forest(model, labels, test, features, keep)
+
+
 def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: DataFrame, features: Sequence[str],
                          label_col: str, pca_cols: Sequence[str] | None = None, n_repeat: int = 2,
                          num_trees: int = 10, max_depth: int = 5, base_seed: int = 7,
-                         endpoint_col: str = "endpoint") -> DataFrame:
+                         endpoint_col: str = "endpoint", parallel_fits: int = 4) -> DataFrame:
     """For each training mode, optional first-component feature, then
     ``n_repeat`` forests (seed = base + run), per-endpoint vote, metrics, and
-    the mean per mode. Predictions of all (mode, run) pairs are unioned and
-    voted and scored in one pass. Output ``(mode, precision, recall, f1, runs)``."""
+    the mean per mode. The label index and feature vectors of a training set
+    are built once and shared by its forests; up to ``parallel_fits`` forests
+    are fitted concurrently (Spark runs jobs from several driver threads;
+    fixed seeds keep the result independent of the order). Predictions of all
+    (mode, run) pairs are unioned, voted and scored in one pass.
+    Output ``(mode, precision, recall, f1, runs)``."""
+    from concurrent.futures import ThreadPoolExecutor
+
     test = test.persist()
-    scored = None
+    jobs = []
     for mode, train in train_sets:
         train = train.persist()
         tr, te, feats = train, test, list(features)
         if pca_cols:
             tr, te = pc_feature(train, test, pca_cols)
             feats = ["PC", *[f for f in features if f not in pca_cols]]
+        assembled, labels = prepare_training(tr, feats, label_col)
+        assembled = assembled.persist()
         for run in range(n_repeat):
-            pred = rf_predict(tr, te, feats, label_col, num_trees=num_trees, max_depth=max_depth,
-                              seed=base_seed + run, keep=[endpoint_col, label_col])
-            part = pred.select(F.lit(mode).alias("mode"), F.lit(run).alias("run"),
-                               F.concat(F.lit(mode), F.lit("|"), F.lit(run), F.lit("|"), F.col(endpoint_col)).alias("_ep"),
-                               F.col(endpoint_col), F.col(label_col).alias("truth"), "prediction")
-            scored = part if scored is None else scored.unionByName(part)
+            jobs.append((mode, run, assembled, labels, te, feats))
+    with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
+        models = list(pool.map(lambda j: fit_forest(j[2], num_trees, max_depth, base_seed + j[1]), jobs))
+    scored = None
+    for (mode, run, _, labels, te, feats), model in zip(jobs, models):
+        pred = predict_forest(model, labels, te, feats, keep=[endpoint_col, label_col])
+        part = pred.select(F.lit(mode).alias("mode"), F.lit(run).alias("run"),
+                           F.concat(F.lit(mode), F.lit("|"), F.lit(run), F.lit("|"), F.col(endpoint_col)).alias("_ep"),
+                           F.col(endpoint_col), F.col(label_col).alias("truth"), "prediction")
+        scored = part if scored is None else scored.unionByName(part)
     exempt = [f"{m}|{r}|{DUMMY_ENDPOINT}" for m, _ in train_sets for r in range(n_repeat)]
     voted = majority_vote(scored, "_ep", "prediction", exempt=exempt)
     return repeat_average(voted).select("mode", "precision", "recall", "f1", "runs")

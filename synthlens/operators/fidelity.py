@@ -34,8 +34,14 @@ def labelled_union(parts: Sequence[tuple[str, DataFrame]], features: Sequence[st
 
 
 def _wide_ranges(ranges: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row ``_lo_i, _hi_i`` per feature; a constant range gets a NULL
+    upper bound, so its bin is NULL through plain null propagation (a
+    per-row CASE around the bin rule would block common-subexpression
+    elimination and cost 4-5x)."""
+    live = F.col("hi") > F.col("lo")
     return ranges.agg(*[F.max(F.when(F.col("feature") == f, F.col("lo"))).alias(f"_lo_{i}") for i, f in enumerate(features)],
-                      *[F.max(F.when(F.col("feature") == f, F.col("hi"))).alias(f"_hi_{i}") for i, f in enumerate(features)])
+                      *[F.max(F.when((F.col("feature") == f) & live, F.col("hi"))).alias(f"_hi_{i}")
+                        for i, f in enumerate(features)])
 
 
 def pair_by_group(df: DataFrame, group_col: str, p_value, q_value, features: Sequence[str]) -> DataFrame:
@@ -67,9 +73,7 @@ def pair_histogram(pair: DataFrame, features: Sequence[str], bins: int = 30,
     ranges = ranges if ranges is not None else pair_ranges(pair, features)
     rw = F.broadcast(_wide_ranges(ranges, features))
     binned = pair.crossJoin(rw).select(
-        "grp", *[F.when(F.col(f"_hi_{i}") > F.col(f"_lo_{i}"),
-                        hist_bin(F.col(f), F.col(f"_lo_{i}"), F.col(f"_hi_{i}"), bins)).alias(f)
-                 for i, f in enumerate(features)])
+        "grp", *[hist_bin(F.col(f), F.col(f"_lo_{i}"), F.col(f"_hi_{i}"), bins).alias(f) for i, f in enumerate(features)])
     return (binned.unpivot(["grp"], list(features), "feature", "bin").where(F.col("bin").isNotNull())
             .groupBy("feature", "grp", "bin").agg(F.count(F.lit(1)).alias("n")))
 
