@@ -205,15 +205,18 @@ def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: Data
     from concurrent.futures import ThreadPoolExecutor
 
     test = test.persist()
+    cached = [test]
     jobs = []
     for mode, train in train_sets:
         train = train.persist()
+        cached.append(train)
         tr, te, feats = train, test, list(features)
         if pca_cols:
             tr, te = pc_feature(train, test, pca_cols)
             feats = ["PC", *[f for f in features if f not in pca_cols]]
         assembled, labels = prepare_training(tr, feats, label_col)
         assembled = assembled.persist()
+        cached.append(assembled)
         for run in range(n_repeat):
             jobs.append((mode, run, assembled, labels, te, feats))
     with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
@@ -227,4 +230,9 @@ def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: Data
         scored = part if scored is None else scored.unionByName(part)
     exempt = [f"{m}|{r}|{DUMMY_ENDPOINT}" for m, _ in train_sets for r in range(n_repeat)]
     voted = majority_vote(scored, "_ep", "prediction", exempt=exempt)
-    return repeat_average(voted).select("mode", "precision", "recall", "f1", "runs")
+    result = repeat_average(voted).select("mode", "precision", "recall", "f1", "runs")
+    # one row per mode: collect it, then release the cached training sets
+    rows, schema = result.collect(), result.schema
+    for d in cached:
+        d.unpersist()
+    return test.sparkSession.createDataFrame(rows, schema)
