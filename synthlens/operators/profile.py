@@ -144,16 +144,24 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], probs: Sequence[flo
 
 
 def describe_profile(df: DataFrame, features: Sequence[str], group_cols: Sequence[str] = (),
-                     quantiles: bool = True) -> DataFrame:
+                     quantiles: bool = True, approx_accuracy: int | None = None) -> DataFrame:
     """Per (group, feature): n, mean, sample std, min, Q1, median, Q3, max.
 
     Output ``(group..., feature, n, mean, std, min_v, q1, q2, q3, max_v)``.
+    Quartiles are exact (distributed rank selection) unless
+    ``approx_accuracy`` is given: then ``percentile_approx`` in the same
+    single aggregate (bounded sketch per key, rank error about 1/accuracy).
     """
     keys = [*group_cols, "feature"]
     long_df = unpivot_long(df, features, group_cols)
-    moments = long_df.groupBy(*keys).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min_v"), F.max("x").alias("max_v"))
+    aggs = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+            F.min("x").alias("min_v"), F.max("x").alias("max_v")]
+    if quantiles and approx_accuracy:
+        qa = F.percentile_approx("x", [0.25, 0.5, 0.75], int(approx_accuracy))
+        out = long_df.groupBy(*keys).agg(*aggs, qa.alias("_q"))
+        return out.select(*keys, "n", "mean", "std", "min_v", *[F.col("_q")[i].alias(n) for i, n in
+                                                               enumerate(("q1", "q2", "q3"))], "max_v")
+    moments = long_df.groupBy(*keys).agg(*aggs)
     if not quantiles:
         return moments
     qs = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75])

@@ -133,12 +133,14 @@ def prompt_text(profile: DataFrame, specs: Sequence[FeatureSpec], plan: DataFram
                       [s.key for s in specs]).alias("prompt"))
 
 
-def completion_source(prompts: DataFrame, recorded: DataFrame | None = None, completer=None) -> DataFrame:
+def completion_source(prompts: DataFrame, recorded: DataFrame | None = None, completer=None,
+                      concurrency: int | None = None) -> DataFrame:
     """Prompt -> reply. Either a recorded replies table ``(batch,
     response)`` (left join: a batch without a reply failed), or a callable
     ``completer(system, prompt) -> str`` run in the executors' Python
     workers over Arrow batches of prompts (concurrency bounded by the
-    prompt table's partitions)."""
+    prompt table's partitions; ``concurrency`` repartitions the prompts so at
+    most that many calls run at once)."""
     if recorded is not None:
         return prompts.join(recorded.select("batch", "response"), "batch", "left")
     if completer is None:
@@ -155,6 +157,8 @@ def completion_source(prompts: DataFrame, recorded: DataFrame | None = None, com
             yield pdf.assign(response=out)
 
     schema = T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType())])
+    if concurrency:
+        prompts = prompts.repartition(int(concurrency), "batch")
     return prompts.mapInPandas(call, schema)
 
 

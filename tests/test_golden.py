@@ -129,3 +129,15 @@ def test_ipa_gaps_split_sessions_match_plain_lag(spark):
         for (a, _), (b, i) in zip(seq, seq[1:]):
             want[(s, i)] = float(b - a)
     assert got == want
+
+
+def test_profile_approximate_quartiles(spark):
+    df = spark.range(1, 10001).selectExpr("CAST(id AS DOUBLE) AS v")
+    r = profile.describe_profile(df, ["v"], approx_accuracy=10000).collect()[0]
+    assert abs(r["q2"] - 5000.5) <= 2 and r["n"] == 10000 and r["max_v"] == 10000.0
+
+
+def test_completion_with_concurrency(spark):
+    prompts = synth.batch_plan(spark, 60, 20).withColumn("prompt", F.lit("p"))
+    out = synth.completion_source(prompts, completer=lambda s, p: "[]", concurrency=2)
+    assert out.rdd.getNumPartitions() == 2 and out.count() == 3
