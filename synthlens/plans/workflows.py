@@ -99,19 +99,19 @@ def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None
                     box_features: Sequence[str] | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:
     """Fidelity report of ``original`` (already loaded and sampled) against
     synthetic source A and B; an absent file is replaced by a Gaussian
-    stand-in from the original's profile (noise 1.03 / 1.08, seeds +1 / +2).
+    stand-in of ``n`` rows from the original's profile (noise 1.03 / 1.08,
+    seeds +1 / +2).
     Returns named report tables (and writes them under ``out_dir``)."""
     base_prof = profile.describe_profile(original, features, quantiles=False).persist()
-    n_orig = original.count()
     sim = {}
     if a_path and files.path_exists(spark, a_path):
         a, sim["A"] = _load_synthetic_a(spark, a_path, features, n, seed), False
     else:
-        a, sim["A"] = synth.gaussian_baseline(spark, base_prof, features, n_orig, seed + 1, 1.03).drop("id"), True
+        a, sim["A"] = synth.gaussian_baseline(spark, base_prof, features, n, seed + 1, 1.03).drop("id"), True
     if b_path and files.path_exists(spark, b_path):
         b, sim["B"] = _load_synthetic_b(spark, b_path, features, n, seed), False
     else:
-        b, sim["B"] = synth.gaussian_baseline(spark, base_prof, features, n_orig, seed + 2, 1.08).drop("id"), True
+        b, sim["B"] = synth.gaussian_baseline(spark, base_prof, features, n, seed + 2, 1.08).drop("id"), True
     union = fidelity.labelled_union([("original", original), ("A", a), ("B", b)], features).persist()
     emb = fidelity.embedding_2d(union, features, keep=["grp"])
     jsd_a, jsd_b = fidelity.jsd(original, a, features), fidelity.jsd(original, b, features)
