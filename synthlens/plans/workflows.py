@@ -23,9 +23,11 @@ from synthlens.operators import clean, detect, fidelity, profile, report, sampli
 from synthlens.sources import files
 from synthlens.sources.catalog import SESSION_FEATURES, DatasetSpec
 
-# Label-column candidates of the two synthetic sources.
+# Label-column candidates of the two synthetic sources, and
+# the four key features of the box-statistics panel.
 REPORT_A_LABELS = ("LABEL with GAP and Softmax", "LABEL")
 DETECTOR_SYNTH_LABELS = ("label", "LABEL")
+BOX_FEATURES = ("log_time_interval_mean", "log_time_interval_var", "log_ratio_trans_receive", "log_time_taken")
 
 # Our short descriptions of the session features, for the prompt.
 SESSION_SPECS = [
@@ -94,6 +96,11 @@ def _load_synthetic_b(spark, path, features, n, seed):
     return sampling.exact_sample(clean.drop_incomplete(df, features), n, seed)
 
 
+def _default_box(features: Sequence[str]) -> list[str]:
+    key = [f for f in BOX_FEATURES if f in features]
+    return key if len(key) == len(BOX_FEATURES) else list(features)
+
+
 def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None = None, b_path: str | None = None,
                     features: Sequence[str] = SESSION_FEATURES, n: int = 1000, seed: int = 42,
                     box_features: Sequence[str] | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:
@@ -120,7 +127,7 @@ def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None
         "jsd": fidelity.jsd_summary(jsd_a, jsd_b),
         "means": profile.metric_pivot(moments, "mean", "grp", ["original", "A", "B"]),
         "stds": profile.metric_pivot(moments, "std", "grp", ["original", "A", "B"]),
-        "box": fidelity.box_stats(union, list(box_features or features), "grp"),
+        "box": fidelity.box_stats(union, list(box_features or _default_box(features)), "grp"),
         "embedding": emb,
         "hexbin": fidelity.hexbin_density(emb, "x", "y", "grp"),
         "counts": profile.group_counts(union, "grp"),
