@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from synthlens.operators import clean, detect, fidelity, profile, report, sampling, synth
 from synthlens.sources import files

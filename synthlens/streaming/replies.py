@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from synthlens.operators import synth
@@ -58,4 +57,4 @@ def accepted_records(spark: SparkSession, out_dir: str, n: int, batch_size: int)
     return synth.take_first_per_batch(recs, acc)
 
 
-__all__ = ["reply_stream", "start_reply_ingest", "accepted_records", "F"]
+__all__ = ["reply_stream", "start_reply_ingest", "accepted_records"]
