@@ -378,7 +378,8 @@ def q_jsd(spark, sf_dir):
 @query("jsd_summary")
 def q_jsd_summary(spark, sf_dir):
     p = flows_real(spark, sf_dir)
-    a = fidelity.jsd(p, flows_q(spark, sf_dir).where(F.col("label") == "ssh"), FEATS)
+    ssh = fx.flows(spark, sf_dir).where(F.col("label") == "ssh")
+    a = fidelity.pair_jsd(fidelity.pair_by_group(ssh, "grp", "F", "O", FEATS), FEATS)
     b = fidelity.jsd(p, baseline(spark, sf_dir, SEED + 2, 1.08), FEATS)
     return sig_cols(fidelity.jsd_summary(a, b), ["jsd_a", "jsd_b"])
 
