@@ -5,8 +5,9 @@ appending parsed records (and per-reply parsed counts) to Parquet tables.
 Accounting (which batches' records are accepted) needs the running total
 in batch order, so it runs as a batch job over the accumulated tables
 (``synth.batch_accounting``); the stream only does the per-reply work.
-Exactly-once: the file source and the Parquet sink with a checkpoint
-folder under the session's shared ``spark.checkpoint.dir``.
+Exactly-once: the file source with a checkpoint folder under the
+session's shared ``spark.checkpoint.dir``, and one overwritten output
+folder per micro-batch epoch.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ def start_reply_ingest(spark: SparkSession, source_dir: str, features: Sequence[
     feats = list(features)
 
     def write(batch_df: DataFrame, epoch: int) -> None:
+        # one folder per epoch, overwritten: a retried micro-batch replaces
+        # its own output instead of appending a second copy (exactly-once)
         items = synth.parsed_items(batch_df).persist()
-        synth.counts_from_items(items).write.mode("append").parquet(f"{out_dir}/items")
-        synth.records_from_items(items, feats).write.mode("append").parquet(f"{out_dir}/records")
+        synth.counts_from_items(items).write.mode("overwrite").parquet(f"{out_dir}/items/epoch={epoch}")
+        synth.records_from_items(items, feats).write.mode("overwrite").parquet(f"{out_dir}/records/epoch={epoch}")
         items.unpersist()
 
     w = reply_stream(spark, source_dir, fmt).writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
@@ -51,8 +54,8 @@ def start_reply_ingest(spark: SparkSession, source_dir: str, features: Sequence[
 
 def accepted_records(spark: SparkSession, out_dir: str, n: int, batch_size: int) -> DataFrame:
     """Batch step over what the stream has written: the accepted records."""
-    counts = spark.read.parquet(f"{out_dir}/items")
-    recs = spark.read.parquet(f"{out_dir}/records")
+    counts = spark.read.parquet(f"{out_dir}/items").drop("epoch")
+    recs = spark.read.parquet(f"{out_dir}/records").drop("epoch")
     acc = synth.batch_accounting(counts, n, batch_size)
     return synth.take_first_per_batch(recs, acc)
 
