@@ -19,19 +19,9 @@ from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import minmax_100, ratio_or_zero
 from synthlens.operators.clean import NON_SSH, SSH, SYNTH_ENDPOINT
+from synthlens.operators.joins import BROADCAST_MAX_ROWS, join_checked
 
 DUMMY_ENDPOINT = f"{SYNTH_ENDPOINT[0]}:{SYNTH_ENDPOINT[1]}"
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only if it has at most ``max_rows`` rows
-    (counted after persisting it); otherwise a plain shuffle join."""
-    small = small.persist()
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
 
 
 def covariance(df: DataFrame, cols: Sequence[str]) -> np.ndarray:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import ratio
+from synthlens.operators.joins import join_checked
 
 MICROS = 1_000_000.0
 
@@ -39,13 +40,13 @@ def ipa_gaps(packets: DataFrame, session_col: str, ts_col: str, id_col: str,
     st = base.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
     width = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0") + 1) * F.lit(float(slice_rows)) / F.col("_n")))
     st = st.select("_s", "_t0", width.cast("bigint").alias("_w"))
-    sliced = base.join(st, "_s").withColumn("_b", F.floor((F.col("_t") - F.col("_t0")) / F.col("_w")))
+    sliced = join_checked(base, st, "_s").withColumn("_b", F.floor((F.col("_t") - F.col("_t0")) / F.col("_w")))
     w = Window.partitionBy("_s", "_b").orderBy("_t", "_id")
     inner = sliced.withColumn("_prev", F.lag("_t").over(w))
     ends = (sliced.groupBy("_s", "_b").agg(F.max(F.struct("_t", "_id")).alias("_last"))
             .withColumn("_link", F.lag(F.col("_last._t")).over(Window.partitionBy("_s").orderBy("_b")))
             .select("_s", "_b", "_link"))
-    linked = inner.join(ends, ["_s", "_b"]).withColumn("_prev", F.coalesce("_prev", "_link"))
+    linked = join_checked(inner, ends, ["_s", "_b"]).withColumn("_prev", F.coalesce("_prev", "_link"))
     return (linked.where(F.col("_prev").isNotNull())
             .select(F.col("_s").alias(session_col), F.col("_id").alias(id_col), F.col("_ts").alias(ts_col),
                     ((F.col("_t") - F.col("_prev")) / F.lit(MICROS)).alias("gap")))

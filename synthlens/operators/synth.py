@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from synthlens.functions.numeric import md5_normal, md5_unit
 from synthlens.functions.text import fmt4, parse_replies, reply_clean, reply_slice
 from synthlens.operators.clean import clip_to_profile, drop_incomplete, require_features
+from synthlens.operators.joins import join_checked
 from synthlens.operators.sampling import cap_rows
 
 RULE = "-" * 64
@@ -60,7 +61,7 @@ def running_total(df: DataFrame, order_col: str, value_col: str, out: str, block
     blk = blk.withColumn("_off", F.coalesce(
         F.sum("_bs").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(blk.select("_blk", "_off"), "_blk")
+    return (join_checked(d, blk.select("_blk", "_off"), "_blk")
             .withColumn(out, (F.col("_off") + F.sum(value_col).over(w)).cast("bigint")).drop("_blk", "_off"))
 
 
@@ -199,7 +200,7 @@ def parsed_counts(replies: DataFrame) -> DataFrame:
 def take_first_per_batch(records: DataFrame, accounting: DataFrame) -> DataFrame:
     """The first ``accepted`` records of each reply, in reply order."""
     acc = accounting.select("batch", "accepted")
-    return records.join(acc, "batch").where(F.col("pos") < F.col("accepted")).drop("accepted")
+    return join_checked(records, acc, "batch").where(F.col("pos") < F.col("accepted")).drop("accepted")
 
 
 def assemble_synthetic(records: DataFrame, profile: DataFrame, features: Sequence[str], n: int,
