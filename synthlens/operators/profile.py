@@ -118,17 +118,20 @@ def select_ranks(base: DataFrame, keys: Sequence[str], targets: dict, value: str
 
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "x",
-                    max_rows: int = 200_000, buckets: int = 2048) -> DataFrame:
+                    max_rows: int = 200_000, buckets: int = 2048, stats: dict | None = None) -> DataFrame:
     """Linearly interpolated quantiles (numpy/pandas 'linear') per key.
 
     Returns ``(keys..., prob, q)``. Distributed selection: see module doc.
+    ``stats`` (``{key tuple: (n, min, max)}``) saves the first pass when the
+    caller already has them.
     """
     spark = long_df.sparkSession
     keys = list(keys)
     base = long_df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rows = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                                   F.max("_x").alias("hi")).collect()
-    stats = {tuple(r[c] for c in keys): (r["n"], r["lo"], r["hi"]) for r in rows}
+    if stats is None:
+        rows = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
+                                       F.max("_x").alias("hi")).collect()
+        stats = {tuple(r[c] for c in keys): (r["n"], r["lo"], r["hi"]) for r in rows}
     wanted, targets = [], {}
     for k, (n, _, _) in stats.items():
         for p in probs:
@@ -164,7 +167,12 @@ def describe_profile(df: DataFrame, features: Sequence[str], group_cols: Sequenc
     moments = long_df.groupBy(*keys).agg(*aggs)
     if not quantiles:
         return moments
-    qs = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75])
+    # the moments are one row per key: collect once, reuse n/min/max as the
+    # starting brackets of the rank selection (no second counting pass)
+    mrows = moments.collect()
+    moments = long_df.sparkSession.createDataFrame(mrows, moments.schema)
+    stats = {tuple(r[c] for c in keys): (r["n"], r["min_v"], r["max_v"]) for r in mrows if r["n"] > 0}
+    qs = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75], stats=stats)
     wide_q = qs.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("q"))).alias(name)
                                      for p, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
     out = moments.join(F.broadcast(wide_q), keys, "left")
