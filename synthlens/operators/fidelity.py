@@ -242,15 +242,34 @@ def standardize(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def embedding_2d(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The first two principal axes of the standardised input.
 
-    Covariance in one aggregate, a k x k eigen-solve on the driver (k =
-    number of features, constant), projection as column expressions. Signs
-    fixed: the largest-magnitude loading of each axis is positive.
-    Output ``(keep..., x, y)``.
+    One aggregate gives means, population stds and the sample covariance of
+    the raw features; the covariance of the standardised features is
+    ``cov_ij / (s_i s_j)`` (a zero std gives a zero row/column), so the
+    k x k eigen-solve on the driver needs no second pass. The projection of
+    the standardised values is then column expressions. Signs fixed: the
+    largest-magnitude loading of each axis is positive. Output
+    ``(keep..., x, y)``.
     """
-    from synthlens.operators.detect import principal_axes
-
-    z = standardize(df, features)
-    axes, _ = principal_axes(z, features, 2)
-    proj = [sum((F.col(f) * F.lit(float(axes[i, a])) for i, f in enumerate(features)), F.lit(0.0))
-            for a in range(2)]
-    return z.select(*keep, proj[0].alias("x"), proj[1].alias("y"))
+    from synthlens.operators.detect import fix_sign
+
+    k = len(features)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
+                 *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)],
+                 *[F.covar_samp(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs]).collect()[0]
+    mean = np.array([row[f"m{i}"] or 0.0 for i in range(k)])
+    std = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+    cov = np.zeros((k, k))
+    for i, j in pairs:
+        v = row[f"c{i}_{j}"]
+        if v is not None and std[i] > 0 and std[j] > 0:
+            cov[i, j] = cov[j, i] = v / (std[i] * std[j])
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1][:2]
+    axes = np.column_stack([fix_sign(vecs[:, a]) for a in order])
+
+    def z(i, f):
+        return (F.col(f) - F.lit(float(mean[i]))) / F.lit(float(std[i])) if std[i] > 0 else F.lit(0.0)
+
+    proj = [sum((z(i, f) * F.lit(float(axes[i, a])) for i, f in enumerate(features)), F.lit(0.0)) for a in range(2)]
+    return df.select(*keep, proj[0].alias("x"), proj[1].alias("y"))
