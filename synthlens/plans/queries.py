@@ -79,9 +79,13 @@ def real_profile(spark, sf_dir, quantiles=True):
 
 
 def baseline(spark, sf_dir, seed, noise):
-    real = flows_real(spark, sf_dir)
-    n = real.count()
-    return synth.gaussian_baseline(spark, profile.describe_profile(real, FEATS, quantiles=False), FEATS, n, seed, noise)
+    """Gaussian stand-in with as many rows as the real group; the row count
+    comes from the same one-pass moments aggregate as the profile."""
+    moments = profile.describe_profile(flows_real(spark, sf_dir), FEATS, quantiles=False)
+    rows = moments.collect()
+    n = max((r["n"] for r in rows), default=0)
+    prof = spark.createDataFrame(rows, moments.schema)
+    return synth.gaussian_baseline(spark, prof, FEATS, n, seed, noise)
 
 
 # ---------------------------------------------------------------- sources
