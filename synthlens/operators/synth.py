@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from synthlens.functions.numeric import md5_normal, md5_unit
 from synthlens.functions.text import fmt4, parse_replies, reply_clean, reply_slice
 from synthlens.operators.clean import clip_to_profile, drop_incomplete, require_features
-from synthlens.operators.joins import join_checked
+from synthlens.operators.joins import BROADCAST_MAX_ROWS, join_checked
 from synthlens.operators.sampling import cap_rows
 
 RULE = "-" * 64
@@ -52,16 +52,24 @@ Every object has exactly the feature keys listed in the request, each a positive
 the stated range; the relations given must hold; do not repeat records; no addresses or payloads."""
 
 
-def running_total(df: DataFrame, order_col: str, value_col: str, out: str, block: int = 65_536) -> DataFrame:
+def running_total(df: DataFrame, order_col: str, value_col: str, out: str, block: int = 65_536,
+                  max_key: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value_col`` in ``order_col`` order (an
     integer key). Two levels: block totals with an exclusive prefix over the
-    (few) blocks, then a window partitioned by block."""
+    (few) blocks, then a window partitioned by block. With ``max_key`` known
+    the block table has at most ``max_key / block + 1`` rows, a proven bound:
+    it is broadcast without counting when that bound is small."""
     d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block)))
     blk = d.groupBy("_blk").agg(F.sum(value_col).alias("_bs"))
     blk = blk.withColumn("_off", F.coalesce(
         F.sum("_bs").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return (join_checked(d, blk.select("_blk", "_off"), "_blk")
+    offsets = blk.select("_blk", "_off")
+    if max_key is not None and max_key // block + 1 <= BROADCAST_MAX_ROWS:
+        joined = d.join(F.broadcast(offsets), "_blk")
+    else:
+        joined = join_checked(d, offsets, "_blk")
+    return (joined
             .withColumn(out, (F.col("_off") + F.sum(value_col).over(w)).cast("bigint")).drop("_blk", "_off"))
 
 
@@ -82,7 +90,7 @@ def batch_accounting(parsed: DataFrame, n: int, batch_size: int) -> DataFrame:
     plan = batch_plan(spark, n, batch_size).select("batch")
     d = plan.join(parsed.select("batch", F.col("parsed").cast("bigint")), "batch", "left").fillna(0, ["parsed"])
     d = d.withColumn("_cap", F.least(F.col("parsed"), F.lit(batch_size)).cast("bigint"))
-    d = running_total(d, "batch", "_cap", "_s")
+    d = running_total(d, "batch", "_cap", "_s", max_key=-(-int(n) // int(batch_size)))
     total = F.least(F.lit(n), F.col("_s"))
     before = F.least(F.lit(n), F.col("_s") - F.col("_cap"))
     return d.select("batch", "parsed",
