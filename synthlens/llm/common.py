@@ -1,8 +1,13 @@
-"""Small helpers shared by the operators: the word rule, table access and
-scratch tables in the session's shared checkpoint folder."""
+"""Helpers shared by the operators: the word rule, table access, scratch
+tables in the session's shared checkpoint folder, a bounded membership
+filter and connected components."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +56,70 @@ def hex_key(*parts: Column) -> Column:
 def crc_mod(id_col: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m`` (null id: text 'null')."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("null"))) % m
+
+
+# --- a bounded membership filter -------------------------------------------------------------------------------
+MAX_BITS = 1 << 26  # 8 MB, whatever the data
+
+
+def key_bits(keys: DataFrame, col: str, n_keys: int) -> np.ndarray:
+    """A bit map (as bytes) that holds every key of ``col``, a 64-bit hash:
+    about 16 bits per key, at most ``MAX_BITS``. It only spares later
+    shuffles the rows that are surely not wanted; what passes may hold a few
+    others."""
+    bits = 1 << 16
+    while bits < 16 * n_keys and bits < MAX_BITS:
+        bits *= 2
+    words = (keys.select(F.expr(f"cast(shiftright(pmod({col}, {bits}L), 6) AS INT)").alias("w"),
+                         F.expr(f"shiftleft(1L, cast(pmod({col}, 64L) AS INT))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # at most MAX_BITS / 64 rows
+    out = np.zeros(bits // 64, "<i8")
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint8)
+
+
+def may_hold(df: DataFrame, col: str, bit_map: np.ndarray, wanted: bool = True) -> DataFrame:
+    """Rows whose key may be (``wanted``) or surely is not in the map."""
+    sent = df.sparkSession.sparkContext.broadcast(bit_map)
+    at = df.columns.index(col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = sent.value
+        for b in batches:
+            key = b.column(at).to_numpy() % np.int64(8 * len(ones))
+            hit = (ones[key >> 3] >> (key & 7).astype(np.uint8)) & 1
+            yield b.filter(pa.array(hit.astype(bool) == wanted))
+
+    return df.mapInArrow(run, df.schema)
+
+
+# --- connected components --------------------------------------------------------------------------------------
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): for every node of the undirected ``edges`` (a, b) the
+    smallest node it can reach. Each round links a node's larger neighbours
+    to its smallest neighbour, then the smaller ones likewise; both halves
+    keep the components and shorten paths. Every round is a written table,
+    so lineage stays short; no task holds a component."""
+    def star(e: DataFrame, larger: bool) -> DataFrame:
+        both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        if larger:
+            both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_m", "a").alias("_m"))
+        joined = both.join(least, F.col("a") == F.col("_a"))
+        if larger:
+            out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        else:
+            out = joined.select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(
+                joined.select("a", F.col("_m").alias("b")))
+        return out.where(F.col("a") != F.col("b")).distinct()
+
+    current = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                      .where(F.col("a") != F.col("b")).distinct(), "edges")
+    while True:
+        following = written(star(star(current, True), False), "edges")
+        n, m = current.count(), following.count()
+        if n == m and not current.exceptAll(following).take(1):
+            break
+        current = following
+    pairs = following.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return pairs.unionByName(pairs.select(F.col("label").alias("node"), "label").distinct())

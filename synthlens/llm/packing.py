@@ -21,6 +21,8 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,15 +37,19 @@ MAX_SEGMENTS = 512
 MAX_LOSS = 2048
 END_ID = 1
 GROUP_DOCS = 2048
-CACHE_WORDS = 400_000  # words whose ids a worker remembers
+CACHE_WORDS = 1_000_000  # words whose ids a worker remembers
+
+# a run of letters, then ASCII marks (no apostrophe: the tokenizer has rules for it)
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,!?;:%$&*#|()\"]+)").fullmatch
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids of whole texts. The tokenizer drops white space and never
-    joins across it, so the ids of a text are those of its space-separated
-    chunks in order; a worker encodes each chunk once."""
+    """Token ids of whole texts. The tokenizer folds case, drops white space
+    and never joins across it, nor a run of letters with the punctuation
+    after it, so the ids of a text are those of its pieces in order; a worker
+    encodes each distinct piece once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,23 +58,38 @@ class WordEncoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.ids: dict[str, bytes] = {"": b""}
 
+    def _learn(self, chunks: set[str]) -> None:
+        known = self.ids
+        split = {w: m.groups() for w in chunks if (m := _WORD_AND_MARKS(w))}
+        new = list({p for w in chunks for p in split.get(w, (w,))}.difference(known))
+        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u2").tobytes()
+        for w, (word, marks) in split.items():
+            known[w] = known[word] + known[marks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, the end token last."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.ids
-        new = {w for c in chunks for w in c if w not in known}
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
+        chunks = [folded(t).replace("\n", " ").split(" ") for t in texts]
+        new = {w for c in chunks for w in c}.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE_WORDS:
+            self.ids = {"": b""}
             new = {w for c in chunks for w in c if w}
         if new:
-            words = list(new)
-            for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+            self._learn(new)
+        known = self.ids
         end = np.array([END_ID], "<u2").tobytes()
         return [b"".join([known[w] for w in c]) + end for c in chunks]
 
 
+def folded(text: str) -> str:
+    """Lower case, as the tokenizer folds it; left to the tokenizer for the
+    two letters whose folding depends on their place or changes length, and
+    for text that it would compose first."""
+    if text.isascii() or ("\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
+        return text.lower()
+    return text
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         import os

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthlens.llm import mixing, packing, quality_fm, quality_rules, sharding, url_filter, va_topk
+from synthlens.llm import mixing, ngram_join, packing, quality_fm, quality_rules, sharding, url_filter, va_topk
 from synthlens.llm.common import crc_mod, table
 
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
@@ -40,6 +40,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -65,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_ngram_join": op3_ngram_join,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
