@@ -10,7 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthlens.llm import mixing, ngram_join, packing, quality_fm, quality_rules, sharding, url_filter, va_topk
+from synthlens.llm import (
+    lm_mix,
+    mixing,
+    ngram_join,
+    packing,
+    quality_fm,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    url_filter,
+    va_topk,
+)
 from synthlens.llm.common import crc_mod, table
 
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
@@ -62,6 +73,17 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    scores = lm_mix.score_texts(table(spark, sf_dir, "documents"), ~held_out, carry={"held_out": held_out})
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                         "bits_per_byte")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -74,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_exact_topk": op7_exact_topk,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 
