@@ -143,14 +143,20 @@ def run_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, around long, key long, lo int, n int, at int")
 
 
-def blocks_of_run(lo: int, n: int, at: int, length: int, block: int = BLOCK):
-    """(block number, first window, last window, core start) of a run whose
-    first window is ``lo`` and whose anchor starts at ``lo + at``."""
-    anchor = lo + at
-    for k in range((at - n + 1) // block, at // block + 1):
-        first, last = max(lo, anchor - k * block - block + 1), min(lo + n - 1, anchor - k * block)
-        if first <= last:
-            yield k, first, last, anchor - k * block
+def blocks_of_runs(lo: np.ndarray, n: np.ndarray, at: np.ndarray, block: int = BLOCK):
+    """(run, block number, first window, last window, core start) of the
+    blocks of runs of ``n`` windows from ``lo`` whose anchors start at ``lo + at``."""
+    least, most = (at - n + 1) // block, at // block
+    count = most - least + 1
+    run = np.repeat(np.arange(len(lo)), count)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + least[run]
+    core = (lo + at)[run] - k * block
+    return run, k, np.maximum(lo[run], core - block + 1), np.minimum((lo + n - 1)[run], core), core
+
+
+def _list_fields(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and the named fields of a column of lists of structs."""
+    return column.offsets.to_numpy(), [column.values.field(x).to_numpy() for x in names]
 
 
 def block_rows(docs: DataFrame, length: int, gram: int, block: int = BLOCK) -> DataFrame:
@@ -159,18 +165,17 @@ def block_rows(docs: DataFrame, length: int, gram: int, block: int = BLOCK) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             core, left, right, keys, firsts = [], [], [], [], []
-            for key, text, runs in zip(*(b.column(i).to_pylist() for i in range(3))):
+            off, (h, lo, n, at) = _list_fields(b.column(2), ["h", "lo", "n", "at"])
+            for i, (key, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                own = slice(off[i], off[i + 1])
+                r, k, first, last, start = blocks_of_runs(*(x[own].astype(np.int64) for x in (lo, n, at)), block)
                 data = text.encode("utf-8")
-                rows = [(r["h"], *x) for r in runs for x in blocks_of_run(r["lo"], r["n"], r["at"], length, block)]
-                if not rows:
-                    continue
-                h, k, first, last, at = (np.array(x, np.int64) for x in zip(*rows))
-                end = at + length - block + 1
-                inner = Hashes(np.frombuffer(data, np.uint8)).of(at, end)
-                core.append(_mix(inner + _mix(h.view(np.uint64)) + k.view(np.uint64)).view(np.int64))
-                left += [data[f:a] for f, a in zip(first.tolist(), at.tolist())]
+                end = start + length - block + 1
+                inner = Hashes(np.frombuffer(data, np.uint8)).of(start, end)
+                core.append(_mix(inner + _mix(h[own][r].view(np.uint64)) + k.view(np.uint64)).view(np.int64))
+                left += [data[f:a] for f, a in zip(first.tolist(), start.tolist())]
                 right += [data[e:s + length] for e, s in zip(end.tolist(), last.tolist())]
-                keys.append(np.full(len(rows), key, np.int64))
+                keys.append(np.full(len(r), key, np.int64))
                 firsts.append(first)
             if core:
                 yield pa.RecordBatch.from_arrays(
@@ -269,16 +274,17 @@ def _single_windows(strings: DataFrame, length: int, block: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK,
                    hot: int = HOT) -> DataFrame:
-    """(key, spans: array of (lo, hi) window starts, hi exclusive) for the
-    texts of (key, text) with repeated windows; key: hash of the text."""
+    """(key, spans) for the texts of (key, text) with repeated windows; key:
+    hash of the text. A span with mask 0 is the windows that start in [lo,
+    hi), else bit i of the mask is the window that starts at lo - i."""
     runs = written(run_rows(docs, length, gram), "repeat-anchors")
     seen = (runs.groupBy("h").agg(F.count("*").alias("c"), F.min("around").alias("x"), F.max("around").alias("y"))
             .where(F.col("c") > 1).select("h", (F.col("x") == F.col("y")).alias("alike")))
     found = written(runs.select("h", "key", "lo", "n", "at").join(seen, "h")
                     .groupBy("key").agg(F.collect_set(F.struct("h", "lo", "n", "at", "alike")).alias("runs")), "repeat-runs")
-    sure = found.select("key", F.filter("runs", lambda r: r["alike"]).alias("runs"))
-    sure = sure.select("key", F.explode("runs").alias("r")).select("key", F.col("r.lo").alias("lo"),
-                                                                  (F.col("r.lo") + F.col("r.n")).alias("hi"))
+    sure = found.select("key", F.explode(F.filter("runs", lambda r: r["alike"])).alias("r"))
+    sure = sure.select("key", F.col("r.lo").alias("lo"), (F.col("r.lo") + F.col("r.n")).alias("hi"),
+                       F.lit(0).cast("bigint").alias("mask"))
     open_ = (found.select("key", F.filter("runs", lambda r: ~r["alike"]).alias("runs")).where(F.size("runs") > 0))
     n_open = open_.count()
     spans = sure
@@ -294,24 +300,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         few = _collections(strings.where(F.col("_s") <= hot), max(1, n_strings // 4000), length, block)
         many = _single_windows(strings.where(F.col("_s") > hot), length, block)
         masks = written(few.unionByName(many).where(F.col("mask") != 0), "repeat-masks")
-        hit = (rows.select("key", "core", "left", "right", "first").distinct().join(masks, ["core", "left", "right"])
-               .select("key", "mask", (F.col("first") + F.length("left")).alias("at")))
-        bits = F.filter(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.expr("mask").bitwiseAND(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0)
-        windows = hit.withColumn("i", F.explode(bits)).select("key", (F.col("at") - F.col("i")).alias("lo"))
-        spans = sure.unionByName(windows.select("key", "lo", (F.col("lo") + 1).alias("hi")))
-    return spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-
-
-def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges covered by the windows of ``spans``."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"] - 1 + length) for s in spans or ()):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
+        hit = (rows.select("key", "core", "left", "right", "first").join(masks, ["core", "left", "right"])
+               .select("key", (F.col("first") + F.length("left")).alias("lo"), F.lit(0).alias("hi"), "mask"))
+        spans = sure.unionByName(hit)
+    return spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "mask")).alias("spans"))
+
+
+def covered(n: int, lo: np.ndarray, hi: np.ndarray, mask: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``n`` bytes the windows of the spans cover."""
+    span = mask == 0
+    i, bit = np.nonzero((mask[~span][:, None] >> np.arange(63)) & 1)
+    single = lo[~span][i] - bit
+    edge = np.bincount(np.concatenate([lo[span], single]), minlength=n + 1)
+    edge = edge - np.bincount(np.concatenate([hi[span] - 1, single]) + length, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def cut_texts(texts: pa.Array, spans: pa.Array, length: int) -> Iterator[tuple[bytes, int, int]]:
+    """(the bytes left, removed bytes, removed ranges) of each text."""
+    off, (lo, hi, mask) = _list_fields(spans, ["lo", "hi", "mask"])
+    for i, text in enumerate(texts.to_pylist()):
+        data = text.encode("utf-8")
+        own = slice(off[i], off[i + 1])
+        if off[i] == off[i + 1]:
+            yield data, 0, 0
+            continue
+        gone = covered(len(data), lo[own].astype(np.int64), hi[own].astype(np.int64), mask[own], length)
+        starts = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+        yield np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), starts
 
 
 def _with_spans(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
@@ -336,11 +352,9 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kept, data, gone = cut(text, spans, length)
-                out.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            out = [(len(kept) + removed, removed, ranges, hashlib.sha256(kept).hexdigest())
+                   for kept, removed, ranges in cut_texts(b.column(1), b.column(2), length)]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]],
                                               pa.array(cols[3], pa.string())], names=schema.names)
@@ -348,17 +362,6 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, schema)
 
 
-def cut(text: str, spans: list[dict] | None, length: int) -> tuple[bytes, bytes, list[tuple[int, int]]]:
-    """(the bytes left, all bytes, the ranges removed)."""
-    data = text.encode("utf-8")
-    gone = merged(spans or [], length)
-    kept, at = [], 0
-    for lo, hi in gone:
-        kept.append(data[at:lo])
-        at = hi
-    return b"".join(kept) + data[at:], data, gone
-
-
 def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH,
                    gram: int = GRAM) -> DataFrame:
     """The documents without their repeated bytes, every other column as it
@@ -368,9 +371,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | Non
                            T.StructField("clean_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [cut(t, s, length)[0].decode("utf-8", "ignore") if s else t
-                   for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            out = [kept.decode("utf-8", "ignore") for kept, _, _ in cut_texts(b.column(1), b.column(2), length)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()),
                                               pa.array([len(t) for t in out], pa.int64())], names=schema.names)
 
