@@ -278,8 +278,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     hash of the text. A span with mask 0 is the windows that start in [lo,
     hi), else bit i of the mask is the window that starts at lo - i."""
     runs = written(run_rows(docs, length, gram), "repeat-anchors")
-    seen = (runs.groupBy("h").agg(F.count("*").alias("c"), F.min("around").alias("x"), F.max("around").alias("y"))
-            .where(F.col("c") > 1).select("h", (F.col("x") == F.col("y")).alias("alike")))
+    # written, so that the join deals both sides anew and Spark can split a frequent anchor
+    seen = written(runs.groupBy("h").agg(F.count("*").alias("c"), F.min("around").alias("x"), F.max("around").alias("y"))
+                   .where(F.col("c") > 1).select("h", (F.col("x") == F.col("y")).alias("alike")), "repeat-seen")
     found = written(runs.select("h", "key", "lo", "n", "at").join(seen, "h")
                     .groupBy("key").agg(F.collect_set(F.struct("h", "lo", "n", "at", "alike")).alias("runs")), "repeat-runs")
     sure = found.select("key", F.explode(F.filter("runs", lambda r: r["alike"])).alias("r"))
