@@ -115,11 +115,14 @@ def huffman(weights: np.ndarray) -> list[bytes]:
 
 @dataclass
 class Code:
-    """Decisions of the vocabulary words (the end token among them), of the
-    escape, and of the bytes and the stop mark."""
-
-    words: dict[bytes, bytes]
-    escape: bytes
+    """Numbers of the vocabulary words (the end token among them), the
+    decisions of each and of the escape (last), the hashes of each word and
+    of its ending, and the decisions of the bytes and the stop mark."""
+
+    number: dict[bytes, int]
+    paths: list[bytes]
+    whole: np.ndarray
+    ending: np.ndarray
     letters: list[bytes]
 
 
@@ -137,7 +140,11 @@ def make_code(top: list[tuple[bytes, int]], n_all: int) -> Code:
             letters[x] += math.log1p(c)
     letters[STOP] += sum(math.log1p(c) for _, c in top)
     paths = huffman(np.array([*counts, escape], float) + 1)
-    return Code(dict(zip(words, paths)), paths[-1], huffman(np.ceil(letters)))
+    return Code({t: i for i, t in enumerate(words)}, paths, *_word_hashes(words), huffman(np.ceil(letters)))
+
+
+def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.array([zlib.crc32(t) for t in words], np.uint32), np.array([zlib.crc32(t[-2:]) for t in words], np.uint32))
 
 
 def _laid_out(codes: list[bytes]):
@@ -166,25 +173,30 @@ def _slots(context: np.ndarray, entry: np.ndarray, node: np.ndarray) -> np.ndarr
 def decisions(texts: list[str | None], code: Code):
     """For the texts of a batch, the decisions over words, then those over
     the letters of spelled words: two tuples (slots: one array per context,
-    bits, start of each text). Every decision of a text is in one of them."""
+    bits, start of each text). Every decision of a text is in one of them.
+    Also the tokens, their numbers, the places of the spelled ones, and the
+    first token of each text."""
     tokens: list[bytes] = []
     starts = [0]
     for t in texts:
         tokens += tokens_of(t)
         tokens.append(END)
         starts.append(len(tokens))
-    codes = [code.words.get(t) for t in tokens]
-    at = [i for i, c in enumerate(codes) if c is None]
+    escape = len(code.number)
+    get = code.number.get
+    numbers = [get(t, escape) for t in tokens]
+    number = np.array(numbers, np.int64)
+    at = np.flatnonzero(number == escape)
     first = np.array(starts)
-    whole = np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
-    ending = np.fromiter([zlib.crc32(t[-2:]) for t in tokens], np.uint32, len(tokens))
-    previous, last = np.concatenate([_NONE, whole[:-1]]), np.concatenate([_NONE, ending[:-1]])
+    spelled = [tokens[i] for i in at.tolist()]
+    previous, last = (np.concatenate([h, _NONE]).take(number) for h in (code.whole, code.ending))
+    previous[at], last[at] = _word_hashes(spelled)
+    previous, last = np.concatenate([_NONE, previous[:-1]]), np.concatenate([_NONE, last[:-1]])
     previous[first[:-1]] = last[first[:-1]] = 1
-    entry, node, bit = _laid_out([c or code.escape for c in codes])
+    entry, node, bit = _laid_out([code.paths[i] for i in numbers])
     cuts = np.searchsorted(entry, first)
     words = ([node >> _U(32 - SLOT_BITS), _slots(_hash(previous, 1), entry, node), _slots(_hash(last, 2), entry, node)],
              bit, cuts)
-    spelled = [tokens[i] for i in at]
     size = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
     raw = np.full(int(size.sum()), STOP, np.int64)
     start = np.cumsum(size) - size
@@ -198,10 +210,10 @@ def decisions(texts: list[str | None], code: Code):
     sums = np.concatenate([_NONE - _NONE, np.cumsum(_hash(raw.astype(np.uint32), 5) * powers[place], dtype=np.uint32)])
     so_far = sums[:-1] - np.repeat(sums[start] if len(start) else sums[:0], size)
     entry, node, bit = _laid_out([code.letters[x] for x in raw.tolist()])
-    letter_starts = np.concatenate([start, [len(raw)]])[np.searchsorted(np.array(at, np.int64), first)]
+    letter_starts = np.concatenate([start, [len(raw)]])[np.searchsorted(at, first)]
     letters = ([_slots(_hash(x, k), entry, node) for k, x in ((6, two), (7, four), (8, so_far))], bit,
                np.searchsorted(entry, letter_starts))
-    return words, letters
+    return (words, letters), tokens, number, at, first
 
 
 # --- counters --------------------------------------------------------------------------------------------------
@@ -216,7 +228,7 @@ def counter_rows(docs: DataFrame, code: Code) -> DataFrame:
         held = np.zeros(shape, np.int32)
         for b in batches:
             for i in range(0, b.num_rows, TEXTS):
-                for slots, bits, _ in decisions(b.column(0).slice(i, TEXTS).to_pylist(), c):
+                for slots, bits, _ in decisions(b.column(0).slice(i, TEXTS).to_pylist(), c)[0]:
                     for k in range(CONTEXTS):
                         cells = (slots[k].astype(np.int64) << 1) | bits
                         held[k] += np.bincount(cells, minlength=2 * SLOTS).reshape(SLOTS, 2).astype(np.int32)
@@ -283,16 +295,18 @@ class Mixer:
             end = min(len(bits), start + block)
             own, bit = [c[start:end] for c in cells], bits[start:end]
             scaled = [(STRETCH * self.weights[k][GATE] * MAP_SCALE).astype(np.float32) for k in range(CONTEXTS)]
-            mixed = scaled[0][own[0]]
+            mixed = scaled[0].take(own[0])
             for k in range(1, CONTEXTS):
-                mixed += scaled[k][own[k]]
+                mixed += scaled[k].take(own[k])
             mixed += 8 * MAP_SCALE + 0.5
-            at = np.clip(mixed, 0, MAP_CELLS - 1).astype(np.int16)
+            np.maximum(mixed, 0, out=mixed)
+            np.minimum(mixed, MAP_CELLS - 1, out=mixed)
+            at = mixed.astype(np.intp)
             both = np.bincount((at << 1) | bit, minlength=2 * MAP_CELLS).reshape(MAP_CELLS, 2)
             ones, met = both[:, 1], both.sum(axis=1)
             refined = np.clip(_MIXED + (self.hits / self.mass - self.even)[_GROUP], 1e-4, 1 - 1e-4)
             total += float(ones @ np.log10(refined) + (met - ones) @ np.log10(1 - refined))
-            err = bit - _MIXED[at]
+            err = bit - _MIXED.take(at)
             rate = RATE / math.sqrt(end - start)
             for k in range(CONTEXTS):
                 self.weights[k] += rate * np.bincount(GATE, np.bincount(own[k], err, 256) * STRETCH, 4)
@@ -302,12 +316,12 @@ class Mixer:
         return total
 
 
-def log10_probabilities(texts: list[str | None], m: Model) -> list[float]:
-    """The model's log10 probability of each text of a batch."""
-    totals = [0.0] * len(texts)
-    for (slots, bits, cuts), weights in zip(decisions(texts, m.code), (WORD_WEIGHTS, LETTER_WEIGHTS)):
-        cells = [m.cells[k][slots[k]] for k in range(CONTEXTS)]
-        for i in range(len(texts)):
+def log10_probabilities(series, n_texts: int, m: Model) -> list[float]:
+    """The model's log10 probability of each text, from the batch's decisions."""
+    totals = [0.0] * n_texts
+    for (slots, bits, cuts), weights in zip(series, (WORD_WEIGHTS, LETTER_WEIGHTS)):
+        cells = [m.cells[k].take(slots[k]).astype(np.intp) for k in range(CONTEXTS)]  # the index type, cast once
+        for i in range(n_texts):
             s, e = int(cuts[i]), int(cuts[i + 1])
             if e > s:
                 totals[i] += Mixer(weights).run([c[s:e] for c in cells], bits[s:e])
@@ -326,13 +340,16 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(all_["n"]), int(all_["v"])
     # words met once are spelled, which teaches the escape and the letters what new words cost
-    first = counts.where(F.col("c") > 1).orderBy(F.desc("c"), "token").limit(vocabulary).toArrow()
+    first = counts.where((F.col("c") > 1) | (F.length("token") == 0)).orderBy(F.length("token") > 0, F.desc("c"), "token").limit(vocabulary).toArrow()
     top = list(zip(first["token"].to_pylist(), first["c"].to_pylist()))
     model = gather(learn, make_code(top, n))
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(dict(top))  # at most ``vocabulary`` tokens
-    sent = spark.sparkContext.broadcast(model)
     floor = n + 0.5 * (v + 1)
+    # by number; the end token comes first, and is unknown only if nothing was learned
+    unknown = int(not top)
+    count = np.array([c for _, c in top] + [0] * (len(model.code.number) - len(top)), float)
+    known = spark.sparkContext.broadcast(np.append(np.log10((count + 0.5) / floor), 0.0))
+    sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(k, rows.schema[k].dataType) for k in carry],
                            T.StructField("n_tokens", T.LongType()), T.StructField("n_top", T.LongType()),
                            T.StructField("top_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
@@ -340,16 +357,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     k = 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, m = known.value, sent.value
+        m = sent.value
+        base = known.value
         for b in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
-            out = []
-            texts = b.column(k).to_pylist()
-            for text, score in zip(texts, log10_probabilities(texts, m)):
-                tokens = [*tokens_of(text), END]
-                c = [table.get(t, 0) for t in tokens]
-                frequent = np.array([x for x in c if x], float)
-                out.append((len(tokens), len(frequent), float(np.log10((frequent + 0.5) / floor).sum()), score,
-                            sum(map(len, tokens)) + len(tokens), [t for t, x in zip(tokens, c) if not x]))
+            series, tokens, number, at, first = decisions(b.column(k).to_pylist(), m.code)
+            scores = log10_probabilities(series, b.num_rows, m)
+            frequent = np.add.reduceat(base.take(number), first[:-1]) if b.num_rows else ()
+            n_bytes = np.add.reduceat(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, first[:-1]) if b.num_rows else ()
+            cuts = np.searchsorted(at, first).tolist()
+            spelled = [tokens[i] for i in at.tolist()]
+            out = [(e - s, e - s - (y - x) - unknown, f, p, n, spelled[x:y]) for s, e, x, y, f, p, n in
+                   zip(first[:-1].tolist(), first[1:].tolist(), cuts[:-1], cuts[1:], frequent, scores, n_bytes)]
             cols = list(zip(*out)) or [()] * 6
             kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *[pa.array(x, t) for x, t in zip(cols, kinds_)]],
