@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,12 +64,12 @@ class WordEncoder:
         split = {w: m.groups() for w in chunks if (m := _WORD_AND_MARKS(w))}
         new = list({p for w in chunks for p in split.get(w, (w,))}.difference(known))
         for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u2").tobytes()
+            known[w] = array("H", e.ids).tobytes()
         for w, (word, marks) in split.items():
             known[w] = known[word] + known[marks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, the end token last."""
+        """16-bit ids of each text, the end token last."""
         chunks = [folded(t).replace("\n", " ").split(" ") for t in texts]
         new = {w for c in chunks for w in c}.difference(self.ids)
         if len(self.ids) + len(new) > CACHE_WORDS:
@@ -77,7 +78,7 @@ class WordEncoder:
         if new:
             self._learn(new)
         known = self.ids
-        end = np.array([END_ID], "<u2").tobytes()
+        end = array("H", [END_ID]).tobytes()
         return [b"".join([known[w] for w in c]) + end for c in chunks]
 
 
@@ -181,7 +182,7 @@ def group_packer(length: int, max_segments: int, max_loss: int, with_ids: bool,
                  names: list[str]) -> Callable[[pa.Table], pa.Table]:
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending")])
-        ids = [np.frombuffer(x, "<u2") for x in t.column("ids").to_pylist()]
+        ids = [np.frombuffer(x, np.uint16) for x in t.column("ids").to_pylist()]
         doc = t.column("doc_id")
         base = t.column("group")[0].as_py() << 32
         lengths = np.array([len(x) for x in ids], dtype=np.int64)
