@@ -76,6 +76,12 @@ def md5_normal(key: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
+def greatest_of(cols) -> Column:
+    """``greatest`` of one or more columns."""
+    cols = list(cols)
+    return cols[0] if len(cols) == 1 else F.greatest(*cols)
+
+
 def minmax_100(x: Column, lo: Column, hi: Column) -> Column:
     """Scale to 0-100 by a given range; a constant range divides by 1."""
     denom = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthlens.functions.numeric import greatest_of
+
 from synthlens.functions.numeric import finite_or_null, to_double
 
 # Label values and the default endpoints of real and synthetic rows.
@@ -81,7 +83,7 @@ def auto_rescale(df: DataFrame, features: Sequence[str], threshold: float = 2.0,
     """If the max over all features and rows is <= threshold, scale
     every feature by ``factor``. The global max is a one-row aggregate joined
     back (broadcast, one row); an empty input has a NULL max: no rescale."""
-    gmax = df.agg(F.max(F.greatest(*[F.col(f) for f in features])).alias("_gmax"))
+    gmax = df.agg(F.max(greatest_of(F.col(f) for f in features)).alias("_gmax"))
     scaled = df.crossJoin(F.broadcast(gmax))
     flag = F.coalesce(F.col("_gmax") <= F.lit(threshold), F.lit(False))
     return scaled.withColumns(
@@ -100,8 +102,13 @@ def clip_to_profile(df: DataFrame, profile: DataFrame, features: Sequence[str],
         *[F.max(F.when(F.col("feature") == f, F.col("max_v"))).alias(f"_hi_{i}") for i, f in enumerate(features)],
     )
     out = df.crossJoin(F.broadcast(bounds))
+
+    def bound(name: str, feature: str) -> Column:
+        missing = F.raise_error(F.lit(f"the profile has no bounds for {feature}")).cast("double")
+        return F.coalesce(F.col(name), missing)
+
     out = out.withColumns({
-        f: F.greatest(F.least(F.col(f), F.col(f"_hi_{i}") * hi_factor), F.col(f"_lo_{i}") * lo_factor)
+        f: F.greatest(F.least(F.col(f), bound(f"_hi_{i}", f) * hi_factor), bound(f"_lo_{i}", f) * lo_factor)
         for i, f in enumerate(features)
     })
     return out.drop(*[f"_lo_{i}" for i in range(len(features))], *[f"_hi_{i}" for i in range(len(features))])

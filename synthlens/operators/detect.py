@@ -4,9 +4,9 @@ M01, M04, M05, U01).
 
 The vote is a hash aggregate per endpoint (map-side combined) joined back,
 not a window: when the destination is absent every row shares one endpoint,
-and a window would put the whole table into one task. The join uses a
-broadcast only after the vote table's size is checked; beyond the limit it
-is a shuffle join, with AQE's skew-join splitting a hot endpoint.
+and a window would put the whole table into one task. The vote table's size
+in bytes decides between a broadcast and a shuffle join. The experiment
+needs no join at all: it scores from counts per endpoint.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import minmax_100, ratio_or_zero
 from synthlens.operators.clean import NON_SSH, SSH, SYNTH_ENDPOINT
-from synthlens.operators.joins import BROADCAST_MAX_ROWS, join_checked
+from synthlens.operators.joins import join_checked
 
 DUMMY_ENDPOINT = f"{SYNTH_ENDPOINT[0]}:{SYNTH_ENDPOINT[1]}"
 
@@ -94,12 +94,11 @@ def endpoint_votes(df: DataFrame, endpoint_col: str = "endpoint", pred_col: str
 
 
 def majority_vote(df: DataFrame, endpoint_col: str = "endpoint", pred_col: str = "prediction",
-                  exempt: Sequence[str] = (DUMMY_ENDPOINT,), out: str = "final",
-                  max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  exempt: Sequence[str] = (DUMMY_ENDPOINT,), out: str = "final") -> DataFrame:
     """Every member row takes its endpoint's majority, except
     rows of an exempt endpoint, which keep their own prediction."""
     votes = endpoint_votes(df, endpoint_col, pred_col, exempt).select(endpoint_col, F.col("majority").alias("_major"))
-    joined = join_checked(df, votes, endpoint_col, "left", max_broadcast_rows)
+    joined = join_checked(df, votes, endpoint_col, "left")
     return joined.withColumn(out, F.coalesce(F.col("_major"), F.col(pred_col).cast("string"))).drop("_major")
 
 
@@ -141,7 +140,8 @@ def prepare_training(train: DataFrame, features: Sequence[str], label_col: str):
     forests of a training set). Returns ``(assembled train, labels)``."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
-    indexer = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="keep").fit(train)
+    train = train.where(F.col(label_col).isNotNull())  # a row without a label teaches nothing
+    indexer = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="error").fit(train)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     return assembler.transform(indexer.transform(train)).select("_features", "_label"), list(indexer.labels)
 
@@ -180,49 +180,69 @@ def rf_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label
     return predict_forest(model, labels, test, features, keep)
 
 
+def score_from_counts(counts: DataFrame, group_cols: Sequence[str], endpoint_col: str = "endpoint",
+                      exempt: Sequence[str] = (DUMMY_ENDPOINT,)) -> DataFrame:
+    """Vote and confusion counts from ``(groups, endpoint, truth, prediction,
+    n)``: per endpoint the majority follows from the counts, so no row is
+    read again. NULL endpoints vote as one endpoint."""
+    own = F.coalesce(F.col(endpoint_col).isin(list(exempt)), F.lit(False))
+    truth = F.coalesce(F.col("truth") == SSH, F.lit(False))
+    ssh = F.coalesce(F.col("prediction") == SSH, F.lit(False))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    per = counts.groupBy(*group_cols, endpoint_col).agg(
+        F.first(own).alias("_own"), total(truth & ssh).alias("a"), total(~truth & ssh).alias("b"),
+        total(truth & ~ssh).alias("c"), total(~truth & ~ssh).alias("d"))
+    major = F.col("a") + F.col("b") > F.col("c") + F.col("d")
+    kept = lambda c, yes, no: F.when(F.col("_own"), F.col(c)).when(major, yes).otherwise(no)
+    zero = F.lit(0)
+    return per.groupBy(*group_cols).agg(
+        F.sum(kept("a", F.col("a") + F.col("c"), zero)).alias("tp"), F.sum(kept("b", F.col("b") + F.col("d"), zero)).alias("fp"),
+        F.sum(kept("c", zero, F.col("a") + F.col("c"))).alias("fn"), F.sum(kept("d", zero, F.col("b") + F.col("d"))).alias("tn"))
+
+
 def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: DataFrame, features: Sequence[str],
-                         label_col: str, pca_cols: Sequence[str] | None = None, n_repeat: int = 2,
-                         num_trees: int = 10, max_depth: int = 5, base_seed: int = 7,
-                         endpoint_col: str = "endpoint", parallel_fits: int = 4) -> DataFrame:
+                         label_col: str, pca_cols: Sequence[str] | None = None, n_repeat: int = 10,
+                         num_trees: int = 100, max_depth: int = 10, base_seed: int = 7,
+                         endpoint_col: str = "endpoint", parallel_fits: int = 4,
+                         max_fit_rows: int | None = None) -> DataFrame:
     """For each training mode, optional first-component feature, then
     ``n_repeat`` forests (seed = base + run), per-endpoint vote, metrics, and
-    the mean per mode. The label index and feature vectors of a training set
-    are built once and shared by its forests; up to ``parallel_fits`` forests
-    are fitted concurrently (Spark runs jobs from several driver threads;
-    fixed seeds keep the result independent of the order). Predictions of all
-    (mode, run) pairs are unioned, voted and scored in one pass.
+    the mean per mode. A training set is assembled once, shared by its
+    forests and released after their fits (up to ``parallel_fits`` at a
+    time; fixed seeds keep the result independent of the order). Every forest
+    scores the test set once, into counts per (endpoint, truth, prediction);
+    votes and metrics come from the counts. ``max_fit_rows``: optional bound
+    on the labelled rows that a forest is fitted on (an exact sample).
     Output ``(mode, precision, recall, f1, runs)``."""
     from concurrent.futures import ThreadPoolExecutor
 
+    from synthlens.operators.sampling import exact_sample
+
     test = test.persist()
-    cached = [test]
-    jobs = []
+    counts = None
     for mode, train in train_sets:
-        train = train.persist()
-        cached.append(train)
         tr, te, feats = train, test, list(features)
         if pca_cols:
             tr, te = pc_feature(train, test, pca_cols)
             feats = ["PC", *[f for f in features if f not in pca_cols]]
+        tr = tr.select(*feats, label_col)
+        if max_fit_rows:
+            tr = exact_sample(tr, max_fit_rows, base_seed)
         assembled, labels = prepare_training(tr, feats, label_col)
         assembled = assembled.persist()
-        cached.append(assembled)
-        for run in range(n_repeat):
-            jobs.append((mode, run, assembled, labels, te, feats))
-    with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
-        models = list(pool.map(lambda j: fit_forest(j[2], num_trees, max_depth, base_seed + j[1]), jobs))
-    scored = None
-    for (mode, run, _, labels, te, feats), model in zip(jobs, models):
-        pred = predict_forest(model, labels, te, feats, keep=[endpoint_col, label_col])
-        part = pred.select(F.lit(mode).alias("mode"), F.lit(run).alias("run"),
-                           F.concat(F.lit(mode), F.lit("|"), F.lit(run), F.lit("|"), F.col(endpoint_col)).alias("_ep"),
-                           F.col(endpoint_col), F.col(label_col).alias("truth"), "prediction")
-        scored = part if scored is None else scored.unionByName(part)
-    exempt = [f"{m}|{r}|{DUMMY_ENDPOINT}" for m, _ in train_sets for r in range(n_repeat)]
-    voted = majority_vote(scored, "_ep", "prediction", exempt=exempt)
-    result = repeat_average(voted).select("mode", "precision", "recall", "f1", "runs")
-    # one row per mode: collect it, then release the cached training sets
+        with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
+            models = list(pool.map(lambda run: fit_forest(assembled, num_trees, max_depth, base_seed + run),  # noqa: B023
+                                   range(n_repeat)))
+        assembled.unpersist()
+        for run, model in enumerate(models):
+            pred = predict_forest(model, labels, te, feats, keep=[endpoint_col, label_col])
+            part = (pred.groupBy(endpoint_col, F.col(label_col).alias("truth"), "prediction")
+                    .agg(F.count(F.lit(1)).alias("n")).withColumns({"mode": F.lit(mode), "run": F.lit(run)}))
+            counts = part if counts is None else counts.unionByName(part)
+    per_run = precision_recall_f1(score_from_counts(counts, ["mode", "run"], endpoint_col))
+    result = per_run.groupBy("mode").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+                                         F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("runs"))
+    # one row per mode: collect it, then release the cached test set
     rows, schema = result.collect(), result.schema
-    for d in cached:
-        d.unpersist()
+    test.unpersist()
     return test.sparkSession.createDataFrame(rows, schema)

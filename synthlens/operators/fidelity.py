@@ -174,7 +174,8 @@ def box_stats(df: DataFrame, features: Sequence[str], group_col: str, whis: floa
     qw = qw.withColumns({"_lo": F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1")),
                          "_hi": F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))})
     x = F.col("x")
-    wh = (long_df.join(F.broadcast(qw), keys)
+    qw = qw.toDF(*[f"_k_{c}" if c in keys else c for c in qw.columns])
+    wh = (long_df.join(qw, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
           .groupBy(*keys, "q1", "med", "q3")
           .agg(F.min(F.when(x >= F.col("_lo"), x)).alias("_wlo"), F.max(F.when(x <= F.col("_hi"), x)).alias("_whi"),
                F.count(F.lit(1)).alias("n")))

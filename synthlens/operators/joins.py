@@ -1,26 +1,21 @@
 """Joining a large table to a small aggregated one.
 
-A per-key aggregate (one row per session, slice, batch or endpoint) is
-often small, but its size grows with the data, so it is broadcast only
-after its row count is checked. Beyond the limit the join is a plain
-shuffle join (AQE's skew join splits a hot key). Checking first also
-spares the large side the shuffle map stage AQE would otherwise run before
-it could switch to a broadcast at run time.
+A per-key aggregate (one row per session, slice, batch or endpoint) is often
+small, but its size grows with the data. It is written once to the shared
+scratch folder, so Spark knows its size in bytes when it plans the join: it
+broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles
+(splitting skewed keys) above. Nothing stays cached.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
+from synthlens.session import scratch_dir
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only if it has at most ``max_rows`` rows
-    (counted after persisting it, so the count is not recomputed)."""
-    small = small.persist()
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with ``small`` written first, so that its size decides the plan."""
+    path = scratch_dir(small.sparkSession, "join-side")
+    small.write.parquet(path)
+    return big.join(small.sparkSession.read.schema(small.schema).parquet(path), on, how)

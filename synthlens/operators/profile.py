@@ -25,11 +25,12 @@ from pyspark.sql import types as T
 
 
 def unpivot_long(df: DataFrame, features: Sequence[str], id_cols: Sequence[str] = (),
-                 value: str = "x") -> DataFrame:
-    """Wide features to long ``(id_cols..., feature, x)``; NULL values dropped."""
-    return (df.select(*id_cols, *[F.col(f).cast("double").alias(f) for f in features])
-            .unpivot(list(id_cols), list(features), "feature", value)
-            .where(F.col(value).isNotNull()))
+                 value: str = "x", keep_null: bool = False) -> DataFrame:
+    """Wide features to long ``(id_cols..., feature, x)``; NULL values dropped
+    unless ``keep_null``."""
+    out = (df.select(*id_cols, *[F.col(f).cast("double").alias(f) for f in features])
+           .unpivot(list(id_cols), list(features), "feature", value))
+    return out if keep_null else out.where(F.col(value).isNotNull())
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -68,7 +69,9 @@ def select_ranks(base: DataFrame, keys: Sequence[str], targets: dict, value: str
         return spark.createDataFrame(rows, schema)
 
     def in_bracket(br: DataFrame) -> DataFrame:
-        joined = base.join(F.broadcast(br), keys) if keys else base.crossJoin(F.broadcast(br))
+        br = br.toDF(*[f"_k_{c}" if c in keys else c for c in br.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]  # a NULL group is a group
+        joined = base.join(br, same) if keys else base.crossJoin(F.broadcast(br))
         return joined.where((F.col(value) >= F.col("_a")) & (F.col(value) <= F.col("_b")))
 
     while True:
@@ -156,7 +159,7 @@ def describe_profile(df: DataFrame, features: Sequence[str], group_cols: Sequenc
     single aggregate (bounded sketch per key, rank error about 1/accuracy).
     """
     keys = [*group_cols, "feature"]
-    long_df = unpivot_long(df, features, group_cols)
+    long_df = unpivot_long(df, features, group_cols, keep_null=True)  # a feature without values has n = 0
     aggs = [F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
             F.min("x").alias("min_v"), F.max("x").alias("max_v")]
     if quantiles and approx_accuracy:
@@ -175,7 +178,8 @@ def describe_profile(df: DataFrame, features: Sequence[str], group_cols: Sequenc
     qs = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75], stats=stats)
     wide_q = qs.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("q"))).alias(name)
                                      for p, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
-    out = moments.join(F.broadcast(wide_q), keys, "left")
+    q = wide_q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "q1", "q2", "q3")
+    out = moments.join(q, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
     return out.select(*keys, "n", "mean", "std", "min_v", "q1", "q2", "q3", "max_v")
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthlens.functions.numeric import greatest_of
+
 
 def load_audit(source: str, raw: DataFrame, label_ok: Column | None, features: Sequence[str],
                simulated: bool = False, sample_n: int | None = None) -> DataFrame:
@@ -15,7 +17,7 @@ def load_audit(source: str, raw: DataFrame, label_ok: Column | None, features: S
     filter, rows also complete in every feature, and the rows a sample of
     ``sample_n`` would select; plus the 'simulated?' provenance flag."""
     ok = label_ok if label_ok is not None else F.lit(True)
-    complete = F.greatest(*[F.col(f).isNull().cast("int") for f in features]) == 0
+    complete = greatest_of(F.col(f).isNull().cast("int") for f in features) == 0
     row = raw.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_label"),
                   F.count_if(ok & complete).alias("n_complete"))
     sel = F.col("n_complete") if sample_n is None else F.least(F.col("n_complete"), F.lit(sample_n)).cast("bigint")

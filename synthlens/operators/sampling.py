@@ -1,74 +1,86 @@
 """Exact-size, reproducible samples.
 
 ``DataFrame.sample`` is Bernoulli (size varies) and ``rand`` depends on the
-partitioning. Here every row gets a key ``md5(seed : row text)``; the
-sample is the ``n`` rows with the smallest keys. The row set is the same on
-any layout and any engine, and identical rows are interchangeable.
-Spark plans ``orderBy(...).limit(n)`` as a top-k (TakeOrderedAndProject):
-each task keeps only its best ``n`` rows, so no full sort happens; for a
-very large ``n`` Spark falls back to a sort by itself.
+partitioning. Here every row gets a key ``md5(seed : row text : copy)``,
+where ``copy`` numbers the rows that carry the same text, and the sample is
+the ``n`` rows with the smallest keys. Copies have keys of their own, so a
+repeated row is drawn as often as its share of the table. The row set is the
+same on any layout and any engine.
+
+One rule for every ``n``: keys are counted by their leading hex digits
+(4096 counts per pass), the range that holds the n-th key is narrowed until
+it is small, and only that range is ordered. No task holds ``n`` rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def sample_key(seed: int, cols: Sequence[str]) -> Column:
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("␀")) for c in cols]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+DIGITS = 3  # hex digits per counting pass
+RANGE_ROWS = 50_000  # a range this small is ordered
+COPY_CHUNK = 10_000  # copies of one row that one task numbers at a time
 
 
-TOPK_MAX = 100_000
+def sample_key(seed: int, cols: Sequence[str], copy: Column) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("␀")) for c in cols]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts, copy.cast("string")))
+
+
+def numbered_copies(df: DataFrame, key_cols: Sequence[str] | None = None, out: str = "_copy") -> DataFrame:
+    """Every row with its number among the rows of the same key (all columns
+    by default), from 1. Equal rows are counted first and then dealt out
+    again in chunks, so a row that fills a third of the table is not one
+    task's work."""
+    counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    if key_cols and set(key_cols) != set(df.columns):
+        w = (Window.partitionBy(*key_cols).orderBy(*df.columns).rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    else:
+        counts = counts.withColumn("_before", F.lit(0).cast("bigint"))
+    step = F.lit(COPY_CHUNK)
+    chunks = counts.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / step))))
+    first = F.col("_k") * step + 1
+    number = F.explode(F.sequence(first, F.least(F.col("_c"), first + step - 1)))
+    return (chunks.repartition(*df.columns, "_k").select(*df.columns, "_before", number.alias("_i"))
+            .select(*df.columns, (F.col("_before") + F.col("_i")).alias(out)))
 
 
 def exact_sample(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
-    """``n`` rows without replacement if there are at least ``n``,
-    else every row (a limit over fewer rows keeps them all, so no count is
-    needed). Beyond ``TOPK_MAX`` rows the sample is a threshold filter
-    instead of a top-k: see ``_large_sample``."""
+    """``n`` rows without replacement, or every row if there are not
+    more than ``n``. ``key_cols``: columns that name a row (default: all)."""
+    n = int(n)
     cols = list(key_cols) if key_cols else list(df.columns)
-    if n > TOPK_MAX:
-        return _large_sample(df, int(n), seed, cols)
-    return (df.withColumn("_skey", sample_key(seed, cols))
-            .orderBy("_skey", *cols).limit(int(n)).drop("_skey"))
-
-
-def _large_sample(df: DataFrame, n: int, seed: int, cols: list[str]) -> DataFrame:
-    """The same rule for a large ``n`` without one task holding ``n`` rows:
-    the key's first 60 bits as a number, the exact n-th smallest number by
-    distributed rank selection, then a filter. Rows tied at the threshold
-    carry the same key, i.e. the same key columns, so any of them may be
-    taken: they are numbered with ``monotonically_increasing_id`` and the
-    needed count is again chosen by rank selection, never by a single task.
-    """
-    from synthlens.operators.profile import select_ranks
-
-    k = df.withColumn("_k", F.conv(F.substring(sample_key(seed, cols), 1, 15), 16, 10).cast("bigint"))
-    total = k.count()
-    if total <= n:
-        return df
-    t = select_ranks(k.select("_k"), [], {((), n - 1): None}, "_k")[((), n - 1)]
-    below = k.where(F.col("_k") < t)
-    need = n - below.count()
-    ties = k.where(F.col("_k") == t).withColumn("_m", F.monotonically_increasing_id())
-    m = select_ranks(ties.select("_m"), [], {((), need - 1): None}, "_m")[((), need - 1)]
-    return below.drop("_k").unionByName(ties.where(F.col("_m") <= m).drop("_k", "_m"))
+    if n <= 0:
+        return df.limit(0)
+    keyed = numbered_copies(df, cols).withColumn("_key", sample_key(seed, cols, F.col("_copy")))
+    prefix, need = "", n
+    while True:
+        digits = len(prefix) + DIGITS
+        here = keyed.where(F.col("_key").startswith(prefix)) if prefix else keyed
+        counts = (here.groupBy(F.substring("_key", 1, digits).alias("p")).count().orderBy("p")
+                  .collect())  # at most 16^DIGITS rows
+        if not prefix and sum(r["count"] for r in counts) <= n:
+            return df
+        for r in counts:
+            if need <= r["count"]:
+                prefix, size = r["p"], r["count"]
+                break
+            need -= r["count"]
+        if size <= RANGE_ROWS or digits >= 30:
+            break
+    below = keyed.where(F.substring("_key", 1, len(prefix)) < prefix)
+    last = keyed.where(F.col("_key").startswith(prefix)).orderBy("_key", *cols, "_copy").limit(need)
+    return below.unionByName(last).select(*df.columns)
 
 
 def sample_sentinel(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
     """-1 = all rows, 0 = no rows, n > 0 = at most n (exact sample)."""
-    if n < 0:
-        return df
-    if n == 0:
-        return df.limit(0)
-    return exact_sample(df, n, seed, key_cols)
+    return df if n < 0 else exact_sample(df, n, seed, key_cols)
 
 
 def cap_rows(df: DataFrame, n: int, seed: int = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
-    """Keep every row if there are at most ``n`` (one count), else an
-    exact sample of ``n``."""
-    return df if df.count() <= n else exact_sample(df, n, seed, key_cols)
+    """Keep every row if there are at most ``n``, else an exact sample of ``n``."""
+    return exact_sample(df, n, seed, key_cols)

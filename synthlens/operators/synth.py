@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from synthlens.functions.numeric import md5_normal, md5_unit
 from synthlens.functions.text import fmt4, parse_replies, reply_clean, reply_slice
 from synthlens.operators.clean import clip_to_profile, drop_incomplete, require_features
-from synthlens.operators.joins import BROADCAST_MAX_ROWS, join_checked
+from synthlens.functions.numeric import greatest_of
+from synthlens.operators.joins import join_checked
 from synthlens.operators.sampling import cap_rows
 
 RULE = "-" * 64
@@ -65,11 +66,7 @@ def running_total(df: DataFrame, order_col: str, value_col: str, out: str, block
         F.sum("_bs").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     offsets = blk.select("_blk", "_off")
-    if max_key is not None and max_key // block + 1 <= BROADCAST_MAX_ROWS:
-        joined = d.join(F.broadcast(offsets), "_blk")
-    else:
-        joined = join_checked(d, offsets, "_blk")
-    return (joined
+    return (join_checked(d, offsets, "_blk")
             .withColumn(out, (F.col("_off") + F.sum(value_col).over(w)).cast("bigint")).drop("_blk", "_off"))
 
 
@@ -88,7 +85,9 @@ def batch_accounting(parsed: DataFrame, n: int, batch_size: int) -> DataFrame:
     is 0 once the target is met (the loop has stopped)."""
     spark = parsed.sparkSession
     plan = batch_plan(spark, n, batch_size).select("batch")
-    d = plan.join(parsed.select("batch", F.col("parsed").cast("bigint")), "batch", "left").fillna(0, ["parsed"])
+    # a batch that was delivered twice counts once
+    once = parsed.groupBy("batch").agg(F.max("parsed").cast("bigint").alias("parsed"))
+    d = plan.join(once, "batch", "left").fillna(0, ["parsed"])
     d = d.withColumn("_cap", F.least(F.col("parsed"), F.lit(batch_size)).cast("bigint"))
     d = running_total(d, "batch", "_cap", "_s", max_key=-(-int(n) // int(batch_size)))
     total = F.least(F.lit(n), F.col("_s"))
@@ -254,7 +253,7 @@ def record_audit(records: DataFrame, profile: DataFrame, features: Sequence[str]
         *[F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{i}")
           for i, f in enumerate(features) for c in ("min_v", "max_v")])
     r = records.crossJoin(F.broadcast(bounds))
-    any_of = lambda conds: F.coalesce(F.greatest(*[F.when(c, 1).otherwise(0) for c in conds]), F.lit(0)) == 1
+    any_of = lambda conds: F.coalesce(greatest_of(F.when(c, 1).otherwise(0) for c in conds), F.lit(0)) == 1
     flagged = r.select("batch", *features,
                        any_of([F.col(f).isNull() for f in features]).alias("_missing"),
                        any_of([F.col(f) <= 0 for f in features]).alias("_nonpos"),
@@ -264,7 +263,7 @@ def record_audit(records: DataFrame, profile: DataFrame, features: Sequence[str]
                                        F.count_if("_missing").alias("n_missing"),
                                        F.count_if("_nonpos").alias("n_nonpositive"),
                                        F.count_if("_range").alias("n_out_of_range"))
-    complete = records.where(F.greatest(*[F.col(f).isNull().cast("int") for f in features]) == 0)
+    complete = records.where(greatest_of(F.col(f).isNull().cast("int") for f in features) == 0)
     vb = complete.groupBy(*features, "batch").agg(F.count(F.lit(1)).alias("_c"))
     vt = vb.groupBy(*features).agg(F.sum("_c").alias("_t"))
     dup = (vb.join(vt, list(features)).where(F.col("_t") > 1)

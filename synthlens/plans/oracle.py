@@ -417,14 +417,31 @@ def build() -> dict[str, str]:
     S["batch_accounting"] = with_(ACCOUNTING, "SELECT * FROM acc")
     S["take_first_per_batch"] = with_(TAKE_FIRST, "SELECT * FROM first")
     S["ipa_gaps"] = with_({"packets": fx.PACKETS_SQL}, f"SELECT session, pid, {sig('gap')} AS gap FROM ({GAPS}) WHERE gap IS NOT NULL")
-    S["exact_sample"] = (f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('{q.SEED}:' || CAST(o_orderkey AS VARCHAR)), "
+    S["exact_sample"] = (f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('{q.SEED}:' || CAST(o_orderkey AS VARCHAR) || ':1'), "
                          f"o_orderkey LIMIT {q.SAMPLE_N}")
     S["sample_sentinel"] = ("SELECT 'all' AS mode, o_orderkey, o_totalprice FROM orders UNION ALL "
                             f"SELECT 'n300', o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY "
-                            f"md5('{q.SEED}:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 300)")
+                            f"md5('{q.SEED}:' || CAST(o_orderkey AS VARCHAR) || ':1'), o_orderkey LIMIT 300)")
     ks = [f"CAST(round({f} * 100) AS BIGINT)" for f in FEATS]
     key = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in ks)
-    S["cap_rows"] = with_(FLOWS, f"SELECT {fl} FROM {REAL} ORDER BY md5('{q.SEED}:' || {key}), {', '.join(ks)} LIMIT {q.SAMPLE_N}")
+    S["cap_rows"] = with_(FLOWS, f"SELECT {fl} FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(ks)} ORDER BY {', '.join(FEATS)}) AS cp "
+                          f"FROM {REAL}) ORDER BY md5('{q.SEED}:' || {key} || ':' || CAST(cp AS VARCHAR)) LIMIT {q.SAMPLE_N}")
+    hundred = ", ".join(f"CAST(round(CAST({c} AS DOUBLE) * 100) AS BIGINT) AS {c}" for c in ("l_discount", "l_tax"))
+    S["exact_sample_repeated"] = (
+        f"SELECT l_discount, l_tax FROM (SELECT *, row_number() OVER (PARTITION BY l_discount, l_tax) AS cp FROM "
+        f"(SELECT {hundred} FROM lineitem)) ORDER BY md5('{q.SEED}:' || CAST(l_discount AS VARCHAR) || ':' || "
+        f"CAST(l_tax AS VARCHAR) || ':' || CAST(cp AS VARCHAR)) LIMIT {q.SAMPLE_N}")
+    # the label follows the quantity: a fitted forest gives the label itself, and the vote works on that
+    S["rf_predict"] = ("SELECT label, label AS prediction FROM (SELECT CASE WHEN l_quantity > 25 THEN 'ssh' ELSE 'non-ssh' END "
+                       "AS label FROM lineitem WHERE l_linestatus = 'O')")
+    S["detection_experiment"] = (
+        "WITH t AS (SELECT l_suppkey, l_linenumber, count(*) FILTER (l_quantity > 25) AS a, count(*) FILTER (l_quantity <= 25) AS d "
+        "FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL), "
+        "c AS (SELECT CAST(sum(CASE WHEN a > d THEN a ELSE 0 END) AS DOUBLE) AS tp, sum(CASE WHEN a > d THEN d ELSE 0 END) AS fp, "
+        "sum(CASE WHEN a > d THEN 0 ELSE a END) AS fn FROM t), "
+        "m AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c) "
+        f"SELECT unnest(['original', 'baseline_a', 'baseline_b']) AS mode, {sig('p')} AS precision, {sig('r')} AS recall, "
+        f"{sig('2.0 * p * r / (p + r)')} AS f1, CAST(10 AS BIGINT) AS runs FROM m")
     S["augment_union"] = with_({**FLOWS, "bl": baseline_sql(q.SEED + 1, 1.03)},
                                f"SELECT grp, label, {sel_sig(FEATS, set(FEATS))}, '0.0.0.0' AS \"Destination\", 0 AS \"Destination Port\" "
                                f"FROM flows WHERE grp = 'F' UNION ALL SELECT NULL, 'ssh', {sel_sig(FEATS, set(FEATS))}, "

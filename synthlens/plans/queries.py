@@ -489,6 +489,13 @@ def q_exact_sample(spark, sf_dir):
     return sampling.exact_sample(_sample_base(spark, sf_dir), SAMPLE_N, SEED, key_cols=["o_orderkey"])
 
 
+@query("exact_sample_repeated")
+def q_exact_sample_repeated(spark, sf_dir):
+    li = fx.table(spark, sf_dir, "lineitem")
+    rows = li.select(*[F.round(F.col(c).cast("double") * 100).cast("bigint").alias(c) for c in ("l_discount", "l_tax")])
+    return sampling.exact_sample(rows, SAMPLE_N, SEED)
+
+
 @query("sample_sentinel")
 def q_sample_sentinel(spark, sf_dir):
     base = _sample_base(spark, sf_dir)
@@ -607,21 +614,31 @@ def q_embedding_2d(spark, sf_dir):
 def q_rf_predict(spark, sf_dir):
     f = fx.flows(spark, sf_dir).withColumn("label", F.when(F.col("l_quantity") > 25, "ssh").otherwise("non-ssh"))
     tr, te = f.where(F.col("grp") == "F"), f.where(F.col("grp") == "O")
-    out = detect.rf_predict(tr, te, ["l_quantity", "l_extendedprice"], "label", num_trees=10, max_depth=5, seed=SEED)
+    out = detect.rf_predict(tr, te, FEATS, "label", num_trees=100, max_depth=10, seed=SEED)
     return out.select("label", "prediction")
 
 
 def _experiment_sets(spark, sf_dir):
+    """The label follows the quantity, the endpoints (ports of a supplier)
+    hold rows of both labels, and the synthetic rows have whole quantities of
+    the ssh range, so a forest can learn the rule and the vote changes rows."""
     li = fx.table(spark, sf_dir, "lineitem").select(
         F.col("l_linestatus").alias("grp"),
-        F.when(F.col("l_returnflag") == "R", "ssh").otherwise("non-ssh").alias("label"),
+        F.when(F.col("l_quantity") > 25, "ssh").otherwise("non-ssh").alias("label"),
         *[F.col(c).cast("double").alias(c) for c in FEATS],
-        F.col("l_suppkey").cast("string").alias(clean.DEST_COL), F.lit(22).alias(clean.PORT_COL))
+        F.col("l_suppkey").cast("string").alias(clean.DEST_COL), F.col("l_linenumber").alias(clean.PORT_COL))
     real = li.where(F.col("grp") == "F")
     test = clean.endpoint_key(li.where(F.col("grp") == "O"))
     sets = [("original", clean.endpoint_key(real))]
+    ssh = real.where(F.col("label") == "ssh")
+    moments = profile.describe_profile(ssh, FEATS, quantiles=False)
+    rows = moments.collect()
+    prof = spark.createDataFrame(rows, moments.schema)
+    n = max((r["n"] for r in rows), default=0)
     for name, seed, noise in (("baseline_a", SEED + 1, 1.03), ("baseline_b", SEED + 2, 1.08)):
-        syn = clean.mark_synthetic(baseline(spark, sf_dir, seed, noise).drop("id"), "label")
+        syn = synth.gaussian_baseline(spark, prof, FEATS, n, seed, noise).drop("id")
+        syn = syn.withColumns({f: F.round(F.col(f)) for f in ("l_quantity", "l_extendedprice")})
+        syn = clean.mark_synthetic(syn, "label")
         sets.append((name, clean.endpoint_key(detect.augment_union(real, syn))))
     return sets, test
 
@@ -629,8 +646,9 @@ def _experiment_sets(spark, sf_dir):
 @query("detection_experiment")
 def q_detection_experiment(spark, sf_dir):
     sets, test = _experiment_sets(spark, sf_dir)
-    return detect.detection_experiment(sets, test, FEATS, "label", pca_cols=["l_quantity", "l_extendedprice"],
-                                       n_repeat=2, num_trees=10, max_depth=5)
+    out = detect.detection_experiment(sets, test, FEATS, "label", pca_cols=["l_discount", "l_tax"],
+                                      n_repeat=10, num_trees=100, max_depth=10, max_fit_rows=20_000)
+    return sig_cols(out, ["precision", "recall", "f1"])
 
 
 @query("feature_correlation")

@@ -7,6 +7,7 @@ with no such setting gets a private folder of its own.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -15,19 +16,24 @@ from pyspark.sql import SparkSession
 
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
                 app: str = "synthlens", extra: dict | None = None) -> SparkSession:
-    builder = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
-    )
-    for k, v in (extra or {}).items():
+    """A session with the engine's settings; what ``spark-submit`` has set
+    (master, memory, partitions or any other) stays as it is."""
+    settings = {
+        "spark.master": master, "spark.app.name": app,
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g", **(extra or {}),
+    }
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit: its settings come first
+        from pyspark import SparkConf, SparkContext
+
+        SparkContext._ensure_initialized()
+        given = SparkConf()
+        settings = {k: v for k, v in settings.items() if not given.contains(k)}
+    builder = SparkSession.builder
+    for k, v in settings.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,9 +5,9 @@ appending parsed records (and per-reply parsed counts) to Parquet tables.
 Accounting (which batches' records are accepted) needs the running total
 in batch order, so it runs as a batch job over the accumulated tables
 (``synth.batch_accounting``); the stream only does the per-reply work.
-Exactly-once: the file source with a checkpoint folder under the
-session's shared ``spark.checkpoint.dir``, and one overwritten output
-folder per micro-batch epoch.
+Exactly-once: the file source with a checkpoint folder beside the output
+(unless another is given), one overwritten output folder per micro-batch
+epoch, and one row per batch and position when the tables are read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from synthlens.operators import synth
-from synthlens.session import scratch_dir
 
 REPLY_SCHEMA = "batch long, response string"
 
@@ -36,7 +35,7 @@ def start_reply_ingest(spark: SparkSession, source_dir: str, features: Sequence[
                        checkpoint: str | None = None) -> StreamingQuery:
     """Parse each arriving reply once; write ``items`` (batch, parsed) and
     ``records`` (batch, pos, features...) under ``out_dir``."""
-    ckpt = checkpoint or scratch_dir(spark, "reply-stream-ckpt")
+    ckpt = checkpoint or f"{out_dir.rstrip('/')}/_checkpoint"  # the same on a restart
     feats = list(features)
 
     def write(batch_df: DataFrame, epoch: int) -> None:
@@ -55,7 +54,7 @@ def start_reply_ingest(spark: SparkSession, source_dir: str, features: Sequence[
 def accepted_records(spark: SparkSession, out_dir: str, n: int, batch_size: int) -> DataFrame:
     """Batch step over what the stream has written: the accepted records."""
     counts = spark.read.parquet(f"{out_dir}/items").drop("epoch")
-    recs = spark.read.parquet(f"{out_dir}/records").drop("epoch")
+    recs = spark.read.parquet(f"{out_dir}/records").drop("epoch").dropDuplicates(["batch", "pos"])
     acc = synth.batch_accounting(counts, n, batch_size)
     return synth.take_first_per_batch(recs, acc)
 

@@ -106,14 +106,56 @@ def test_vote_idempotent(spark):
     assert all(r["prediction"] == r["final"] for r in twice.collect())
 
 
-def test_large_sample_path(spark, monkeypatch):
-    """The threshold path returns exactly n rows, the same rows as top-k
-    when keys are distinct, and copes with many identical rows."""
-    base = spark.range(3000).selectExpr("id", "id % 11 AS v")
-    small = sorted(map(tuple, sampling.exact_sample(base, 500, 7).collect()))
-    monkeypatch.setattr(sampling, "TOPK_MAX", 10)
-    large = sorted(map(tuple, sampling.exact_sample(base, 500, 7).collect()))
-    assert large == small
-    dup = spark.range(3000).selectExpr("id % 3 AS v")  # three distinct rows, 1000 copies each
-    out = sampling.exact_sample(dup, 1500, 7)
-    assert out.count() == 1500
+def test_sample_draws_copies_by_their_share(spark, monkeypatch):
+    """Repeated rows are drawn singly: a vector's share of the sample tracks
+    its share of the table, also when the n-th key's range must be narrowed."""
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 5)
+    monkeypatch.setattr(sampling, "COPY_CHUNK", 100)
+    dup = spark.range(6000).selectExpr("least(id % 6, 2) AS v")  # shares 1/6, 1/6, 4/6
+    out = sampling.exact_sample(dup, 1500, 7).groupBy("v").count().collect()
+    got = {r["v"]: r["count"] for r in out}
+    assert sum(got.values()) == 1500
+    assert abs(got[0] - 250) < 60 and abs(got[1] - 250) < 60 and abs(got[2] - 1000) < 80
+
+
+def test_sample_of_named_rows_counts_equal_names(spark):
+    rows = spark.createDataFrame([(i % 4, i) for i in range(40)], "k long, v long")
+    out = sampling.exact_sample(rows, 10, 3, key_cols=["k"])
+    assert out.count() == 10 and out.distinct().count() == 10
+
+
+def test_null_group_and_empty_feature(spark):
+    df = spark.createDataFrame([(None, 1.0, None), (None, 3.0, None), ("a", 5.0, None)], "g string, f double, e double")
+    out = {(r["g"], r["feature"]): r for r in profile.describe_profile(df, ["f", "e"], ["g"]).collect()}
+    assert out[(None, "f")]["q2"] == 2.0 and out[("a", "f")]["n"] == 1
+    assert out[(None, "e")]["n"] == 0 and out[(None, "e")]["q1"] is None
+    box = {r["g"]: r for r in fidelity.box_stats(df, ["f"], "g").collect()}
+    assert box[None]["med"] == 2.0
+
+
+def test_one_feature_calls_and_missing_bounds(spark):
+    from synthlens.operators import clean
+
+    df = spark.createDataFrame([(0.5,), (1.5,)], "f double")
+    assert sorted(r["f"] for r in clean.auto_rescale(df, ["f"]).collect()) == [50.0, 150.0]
+    empty = spark.createDataFrame([("f", None, None)], "feature string, min_v double, max_v double")
+    with pytest.raises(Exception, match="no bounds for f"):
+        clean.clip_to_profile(df, empty, ["f"]).collect()
+
+
+def test_repeated_batch_counts_once(spark):
+    parsed = spark.createDataFrame([(1, 20), (1, 20), (2, 20)], "batch long, parsed long")
+    out = synth.batch_accounting(parsed, 60, 20).orderBy("batch").collect()
+    assert [(r["batch"], r["accepted"], r["total"]) for r in out] == [(1, 20, 20), (2, 20, 40), (3, 0, 40)]
+
+
+def test_vote_from_counts_equals_vote_by_rows(spark):
+    from synthlens.operators import detect
+
+    rows = [("m", 0, f"e{i % 4}" if i % 9 else detect.DUMMY_ENDPOINT, "ssh" if i % 3 else "non-ssh",
+             "ssh" if i % 5 < 3 else "non-ssh") for i in range(90)]
+    df = spark.createDataFrame(rows, "mode string, run int, endpoint string, truth string, prediction string")
+    counts = df.groupBy(*df.columns).count().withColumnRenamed("count", "n")
+    a = detect.score_from_counts(counts, ["mode"]).collect()[0]
+    b = detect.confusion_counts(detect.majority_vote(df), "truth", "final", ["mode"]).collect()[0]
+    assert all(a[c] == b[c] for c in ("tp", "fp", "fn", "tn"))
