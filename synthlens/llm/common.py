@@ -78,17 +78,20 @@ def key_bits(keys: DataFrame, col: str, n_keys: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def held(keys: np.ndarray, bit_map: np.ndarray) -> np.ndarray:
+    """Which keys may be in the map."""
+    at = keys % np.int64(8 * len(bit_map))
+    return ((bit_map[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def may_hold(df: DataFrame, col: str, bit_map: np.ndarray, wanted: bool = True) -> DataFrame:
     """Rows whose key may be (``wanted``) or surely is not in the map."""
     sent = df.sparkSession.sparkContext.broadcast(bit_map)
     at = df.columns.index(col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones = sent.value
         for b in batches:
-            key = b.column(at).to_numpy() % np.int64(8 * len(ones))
-            hit = (ones[key >> 3] >> (key & 7).astype(np.uint8)) & 1
-            yield b.filter(pa.array(hit.astype(bool) == wanted))
+            yield b.filter(pa.array(held(b.column(at).to_numpy(), sent.value) == wanted))
 
     return df.mapInArrow(run, df.schema)
 
