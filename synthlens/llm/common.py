@@ -39,6 +39,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut to few rows, so that a worker holds few texts as
+    Python objects at a time; what Arrow no longer needs goes back after
+    each batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def ascii_lower_col(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthlens.llm.common import written
+from synthlens.llm.common import slices, written
 
 VOCABULARY = 1 << 17
 SLOT_BITS = 20
@@ -359,7 +359,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         base = known.value
-        for b in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
+        for b in slices(batches, TEXTS):
             series, tokens, number, at, first = decisions(b.column(k).to_pylist(), m.code)
             scores = log10_probabilities(series, b.num_rows, m)
             frequent = np.add.reduceat(base.take(number), first[:-1]) if b.num_rows else ()

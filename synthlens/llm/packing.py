@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from synthlens.llm.common import slices
+
 LENGTH = 2048
 MAX_SEGMENTS = 512
 MAX_LOSS = 2048
@@ -163,12 +165,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for b in batches:
-            step = 256
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(enc.encode(part.column(1).to_pylist()), pa.binary())], names=coded.names)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(enc.encode(b.column(1).to_pylist()), pa.binary())], names=coded.names)
 
     group = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32("ids")), F.lit(groups))
     rows = src.mapInArrow(encode, coded).withColumn("group", group)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthlens.llm.common import hex_key, words_of
+from synthlens.llm.common import hex_key, slices, words_of
 
 WORD_SLOTS = 1 << 15
 BINS = 16
@@ -147,7 +147,7 @@ def _featurised(df: DataFrame, carry: list[str], text_col: str, chars_col: str)
     k = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             f = [featurise(t, n) for t, n in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(i) for i in range(k)], pa.array([p.tobytes() for p, _ in f], pa.binary()),
@@ -183,7 +183,7 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in slices(batches):
             scores = [m.score(*featurise(t, n)) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=schema.names)
 

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from synthlens.llm.common import slices
+
 SYMBOLS = b"#*$%&|<>"
 # Phrases of boilerplate lines, lower case.
 BOILERPLATE = (b"all rights reserved", b"privacy policy", b"terms of use", b"terms of service", b"cookie policy",
@@ -116,7 +118,7 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                            *([T.StructField("clean_text", T.StringType())] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t) for t in b.column(1).to_pylist()]
             cols = [b.column(0)] + [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
             cols += [pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_())]
@@ -134,7 +136,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t) for t in b.column(at).to_pylist()]
             b = b.set_column(at, text_col, pa.array([r[3] for r in rows], pa.string()))
             if chars_col in names:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthlens.llm.common import key_bits, may_hold, written
+from synthlens.llm.common import key_bits, may_hold, slices, written
 
 LENGTH = 200
 GRAM = 80
@@ -129,7 +129,7 @@ def run_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     names = ["h", "around", "key", "lo", "n", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+        for b in slices(batches):
             found = [anchor_runs(np.frombuffer(t.encode("utf-8"), np.uint8), length, gram)
                      for t in b.column(1).to_pylist()]
             if not found:
@@ -163,7 +163,7 @@ def block_rows(docs: DataFrame, length: int, gram: int, block: int = BLOCK) -> D
     """(core, left, right, key, first) of the blocks of the runs in ``runs``
     of (key, text, runs)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+        for b in slices(batches):
             core, left, right, keys, firsts = [], [], [], [], []
             off, (h, lo, n, at) = _list_fields(b.column(2), ["h", "lo", "n", "at"])
             for i, (key, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
@@ -353,7 +353,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+        for b in slices(batches):
             out = [(len(kept) + removed, removed, ranges, hashlib.sha256(kept).hexdigest())
                    for kept, removed, ranges in cut_texts(b.column(1), b.column(2), length)]
             cols = list(zip(*out)) or [()] * 4
@@ -372,7 +372,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | Non
                            T.StructField("clean_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+        for b in slices(batches):
             out = [kept.decode("utf-8", "ignore") for kept, _, _ in cut_texts(b.column(1), b.column(2), length)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()),
                                               pa.array([len(t) for t in out], pa.int64())], names=schema.names)
