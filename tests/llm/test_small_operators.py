@@ -175,7 +175,7 @@ def test_topk_with_odd_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6)], "x") for i in range(300)]
     rows += [(i, rows[0][1], "x") for i in range(300, 360)]  # a group of equal vectors
-    rows += [(400, None, "x"), (500, [1.0, None, 0, 0, 0, 0], "x"), (600, [float("nan")] * 6, "x"), (700, [1.0], "x"), (800, [], "x"),
+    rows += [(400, None, "x"), (500, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (600, [float("nan")] * 6, "x"), (700, [1.0], "x"), (800, [], "x"),
              (900, [float("inf")] * 6, "x"), (None, rows[0][1], "x"), rows[5], rows[100]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = [tuple(r) for r in va_topk.top_k(df, F.col("vec_id") % 100 == 0, 10).collect()]
