@@ -28,22 +28,28 @@ REPORT_A_LABELS = ("LABEL with GAP and Softmax", "LABEL")
 DETECTOR_SYNTH_LABELS = ("label", "LABEL")
 BOX_FEATURES = ("log_time_interval_mean", "log_time_interval_var", "log_ratio_trans_receive", "log_time_taken")
 
-# Our short descriptions of the session features, for the prompt.
-SESSION_SPECS = [
-    synth.FeatureSpec("log_count_total_connect", "count_total_connect (log-scaled)",
-                      "connections to the same destination address"),
-    synth.FeatureSpec("log_cs_byte", "byte_send (log-scaled)", "bytes sent in the session"),
-    synth.FeatureSpec("log_transmit_speed_BPS", "speed_transmit_BPS (log-scaled)", "bytes sent / session duration"),
-    synth.FeatureSpec("log_count_connect_IP", "count_connect_IP (log-scaled)",
-                      "distinct sources connecting to the same destination"),
-    synth.FeatureSpec("log_avg_count_connect", "count_avg_connect (log-scaled)",
-                      "connections per source (total / distinct sources)"),
-    synth.FeatureSpec("log_time_taken", "time_taken (log-scaled)", "session duration, about (N-1) x mean gap"),
-    synth.FeatureSpec("log_time_interval_mean", "mean_of_IPA_time (log-scaled)", "mean gap between packet arrivals"),
-    synth.FeatureSpec("log_time_interval_var", "var_of_IPA_time (log-scaled)",
-                      "variance of the gaps between packet arrivals"),
-    synth.FeatureSpec("log_ratio_trans_receive", "ratio_trans_receive (log-scaled)", "bytes sent / bytes received"),
-]
+# What the operators of ``operators.features`` compute for each session feature.
+_BUILT_BY = {
+    "connection_stats": {"log_count_total_connect": "all connections to the destination",
+                         "log_count_connect_IP": "different sources that reach the destination",
+                         "log_avg_count_connect": "connections to the destination per different source"},
+    "transfer_stats": {"log_cs_byte": "total of the bytes sent",
+                       "log_transmit_speed_BPS": "bytes sent per second of the session",
+                       "log_ratio_trans_receive": "bytes sent for every byte received"},
+    "session_time": {"log_time_taken": "seconds from the first packet to the last"},
+    "ipa_stats": {"log_time_interval_mean": "average pause between two packets",
+                  "log_time_interval_var": "variance of the pauses between packets"},
+}
+
+
+def _spec(key: str) -> synth.FeatureSpec:
+    """Name and description of a session feature for the prompt, from its key."""
+    name = key.removeprefix("log_").replace("_", " ")
+    text = next(texts[key] for texts in _BUILT_BY.values() if key in texts)
+    return synth.FeatureSpec(key, f"{name}, on a log scale", text)
+
+
+SESSION_SPECS = [_spec(key) for key in SESSION_FEATURES]
 
 
 def load_real(spark: SparkSession, path: str, features: Sequence[str], n: int | None, seed: int = 42,

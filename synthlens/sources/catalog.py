@@ -40,8 +40,7 @@ SESSION_FEATURES = (
     "log_avg_count_connect", "log_time_taken", "log_time_interval_mean", "log_time_interval_var",
     "log_ratio_trans_receive",
 )
-SYNTHETIC_DIRS = {"wgan_gp": "wgan-gp", "vae_wgan_gp": "vae-wgan-gp", "vae_wgan_gp_lcl": "vae-wgan-gp-lcl",
-                  "llm": "LLM"}
+SYNTHETIC_DIRS = {"wgan_gp": "wgan-gp", "llm": "LLM"}
 DARPA99 = DatasetSpec(
     name="darpa99", real_dir="dataset-DARPA99", fake_dir="fake dataset-DARPA99",
     train_file="training dataset_week4_normalized.csv",
