@@ -4,11 +4,12 @@ The generator only defines these features in words; here they are built
 from raw tables so the synthetic/real comparison can start from packets.
 
 Hot sessions. A per-session ``lag`` window puts a whole session in one
-task; one session may hold a third of all packets. ``ipa_gaps`` therefore
-splits each session into time slices sized from the session's own packet
-count (about ``slice_rows`` packets each), takes the lag inside each slice,
-and links a slice's first packet to the previous slice's last packet
-through a small per-slice table.
+task; one session may hold a third of all packets, and most of them may
+share one second. The packets are therefore range-partitioned by (session,
+time, id) into parts of about ``slice_rows`` rows, so a slice (the rows of
+one session in one part) is cut by position and ties are cut by id. The
+lag is taken inside each slice, and a slice's first packet is linked to the
+previous slice's last packet through a small per-slice table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import ratio
 from synthlens.operators.joins import join_checked
+from synthlens.session import scratch_dir
 
 MICROS = 1_000_000.0
 
@@ -30,47 +32,67 @@ def _micros(ts_col: str):
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts_col}`)")
 
 
+def _sliced(packets: DataFrame, session_col: str, ts_col: str, id_col: str, slice_rows: int) -> DataFrame:
+    """``(_s, _id, _ts, _t, _p)``: every packet with its part number, in the
+    order of (session, time, id). Written once, so that the numbers hold."""
+    base = packets.select(F.col(session_col).alias("_s"), F.col(id_col).alias("_id"),
+                          F.col(ts_col).alias("_ts"), _micros(ts_col).alias("_t"))
+    least = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-packets.count() // slice_rows))
+    dealt = base.repartitionByRange(parts, F.col("_s"), F.col("_t").asc_nulls_last(), F.col("_id"))
+    path = scratch_dir(packets.sparkSession, "packet-slices")
+    numbered = dealt.withColumn("_p", F.spark_partition_id())
+    numbered.write.parquet(path)
+    return packets.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def _gap_rows(packets: DataFrame, session_col: str, ts_col: str, id_col: str, slice_rows: int) -> DataFrame:
+    """``(_s, _id, _ts, _t, gap)`` for every packet; the gap is NULL for a
+    session's first packet, without a time and without a session."""
+    sliced = _sliced(packets, session_col, ts_col, id_col, slice_rows)
+    w = Window.partitionBy("_s", "_p").orderBy(F.col("_t").asc_nulls_last(), "_id")
+    inner = sliced.withColumn("_prev", F.lag("_t").over(w))
+    ends = (sliced.where(F.col("_s").isNotNull()).groupBy("_s", "_p").agg(F.max("_t").alias("_last"))
+            .withColumn("_link", F.lag("_last").over(Window.partitionBy("_s").orderBy("_p")))
+            .where(F.col("_link").isNotNull()).select("_s", "_p", "_link"))
+    linked = join_checked(inner, ends, ["_s", "_p"], "left")
+    gap = (F.col("_t") - F.coalesce("_prev", "_link")) / F.lit(MICROS)
+    return linked.select("_s", "_id", "_ts", "_t", F.when(F.col("_s").isNotNull(), gap).alias("gap"))
+
+
 def ipa_gaps(packets: DataFrame, session_col: str, ts_col: str, id_col: str,
              slice_rows: int = 500_000) -> DataFrame:
     """Gap (seconds) from each packet to the previous packet of its
     session, in ``(ts, id)`` order. The first packet of a session has no
-    gap and is not returned. Output ``(session, id, ts, gap)``."""
-    base = packets.select(F.col(session_col).alias("_s"), F.col(id_col).alias("_id"),
-                          F.col(ts_col).alias("_ts"), _micros(ts_col).alias("_t"))
-    st = base.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0") + 1) * F.lit(float(slice_rows)) / F.col("_n")))
-    st = st.select("_s", "_t0", width.cast("bigint").alias("_w"))
-    sliced = join_checked(base, st, "_s").withColumn("_b", F.floor((F.col("_t") - F.col("_t0")) / F.col("_w")))
-    w = Window.partitionBy("_s", "_b").orderBy("_t", "_id")
-    inner = sliced.withColumn("_prev", F.lag("_t").over(w))
-    ends = (sliced.groupBy("_s", "_b").agg(F.max(F.struct("_t", "_id")).alias("_last"))
-            .withColumn("_link", F.lag(F.col("_last._t")).over(Window.partitionBy("_s").orderBy("_b")))
-            .select("_s", "_b", "_link"))
-    linked = join_checked(inner, ends, ["_s", "_b"]).withColumn("_prev", F.coalesce("_prev", "_link"))
-    return (linked.where(F.col("_prev").isNotNull())
-            .select(F.col("_s").alias(session_col), F.col("_id").alias(id_col), F.col("_ts").alias(ts_col),
-                    ((F.col("_t") - F.col("_prev")) / F.lit(MICROS)).alias("gap")))
+    gap and is not returned, nor is a packet without a time or a session.
+    Output ``(session, id, ts, gap)``."""
+    return (_gap_rows(packets, session_col, ts_col, id_col, slice_rows).where(F.col("gap").isNotNull())
+            .select(F.col("_s").alias(session_col), F.col("_id").alias(id_col), F.col("_ts").alias(ts_col), "gap"))
+
+
+def session_stats(packets: DataFrame, session_col: str, ts_col: str, id_col: str,
+                  slice_rows: int = 500_000) -> DataFrame:
+    """K03 and K04 from one aggregate: ``(session, n_packets, ipa_mean,
+    ipa_var, duration)``; mean and population variance are over the N-1
+    gaps, the duration is last - first in seconds."""
+    return _gap_rows(packets, session_col, ts_col, id_col, slice_rows).groupBy(F.col("_s").alias(session_col)).agg(
+        F.count(F.lit(1)).alias("n_packets"), F.avg("gap").alias("ipa_mean"), F.var_pop("gap").alias("ipa_var"),
+        ((F.max("_t") - F.min("_t")) / F.lit(MICROS)).alias("duration"))
 
 
 def ipa_stats(packets: DataFrame, session_col: str, ts_col: str, id_col: str) -> DataFrame:
     """Per session, packets, mean and population variance of the N-1
     gaps (N-1 gaps divided by N-1). Output ``(session, n_packets, ipa_mean,
     ipa_var)``."""
-    gaps = ipa_gaps(packets, session_col, ts_col, id_col).groupBy(session_col).agg(
-        F.avg("gap").alias("ipa_mean"), F.var_pop("gap").alias("ipa_var"))
-    counts = packets.groupBy(session_col).agg(F.count(F.lit(1)).alias("n_packets"))
-    return counts.join(gaps, session_col, "left").select(session_col, "n_packets", "ipa_mean", "ipa_var")
+    return session_stats(packets, session_col, ts_col, id_col).drop("duration")
 
 
 def session_time(packets: DataFrame, session_col: str, ts_col: str, id_col: str) -> DataFrame:
     """Duration (last - first, seconds) and its residual against
-    ``(N-1) x mean gap``."""
-    dur = packets.groupBy(session_col).agg(
-        ((F.max(_micros(ts_col)) - F.min(_micros(ts_col))) / F.lit(MICROS)).alias("duration"))
-    st = ipa_stats(packets, session_col, ts_col, id_col)
-    out = st.join(dur, session_col)
-    return out.select(session_col, "n_packets", "duration", "ipa_mean",
-                      F.abs(F.col("duration") - (F.col("n_packets") - 1) * F.col("ipa_mean")).alias("residual"))
+    ``(N-1) x mean gap``; a null session has none."""
+    st = session_stats(packets, session_col, ts_col, id_col).where(F.col(session_col).isNotNull())
+    return st.select(session_col, "n_packets", "duration", "ipa_mean",
+                     F.abs(F.col("duration") - (F.col("n_packets") - 1) * F.col("ipa_mean")).alias("residual"))
 
 
 def connection_stats(conns: DataFrame, dst_col: str, src_col: str, approximate: bool = False) -> DataFrame:

@@ -131,6 +131,30 @@ def test_ipa_gaps_split_sessions_match_plain_lag(spark):
     assert got == want
 
 
+def test_burst_is_cut_by_position(spark):
+    """99 % of a session in one second: no slice holds much more than
+    ``slice_rows``, and the gaps equal a plain lag."""
+    n, slice_rows = 20_000, 1_000
+    df = spark.range(n).select(F.lit(1).alias("s"), "id", F.timestamp_seconds(
+        F.when(F.col("id") < n * 99 // 100, 0).otherwise(F.col("id"))).cast("timestamp_ntz").alias("ts"))
+    sizes = [r["count"] for r in features._sliced(df, "s", "ts", "id", slice_rows).groupBy("_s", "_p").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 4 * slice_rows
+    gaps = features.ipa_gaps(df, "s", "ts", "id", slice_rows)
+    got = gaps.agg(F.count("*").alias("n"), F.sum("gap").alias("s"), F.max("gap").alias("m")).first()
+    assert (got["n"], got["s"], got["m"]) == (n - 1, float(n - 1), n * 99 / 100)
+
+
+def test_packets_without_time_or_session(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 2, None), ("a", 3, 5), (None, 4, 1), (None, 5, 9)],
+                               "s string, id int, sec long")
+    df = df.withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz"))
+    for rows in (1, 500_000):
+        assert [(r["s"], r["id"], r["gap"]) for r in features.ipa_gaps(df, "s", "ts", "id", rows).collect()] == [("a", 3, 5.0)]
+    st = {r["s"]: r for r in features.session_stats(df, "s", "ts", "id").collect()}
+    assert (st["a"]["n_packets"], st["a"]["duration"], st["a"]["ipa_mean"]) == (3, 5.0, 5.0)
+    assert st[None]["n_packets"] == 2 and st[None]["ipa_mean"] is None
+
+
 def test_profile_approximate_quartiles(spark):
     df = spark.range(1, 10001).selectExpr("CAST(id AS DOUBLE) AS v")
     r = profile.describe_profile(df, ["v"], approx_accuracy=10000).collect()[0]

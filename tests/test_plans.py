@@ -36,10 +36,18 @@ def test_profile_has_no_single_task_percentile(spark, sf_small):
 def test_gap_window_is_partitioned_by_session_slice(spark, sf_small):
     plan = plan_of(QUERIES["ipa_gaps"](spark, sf_small))
     windows = re.findall(r"Window \[[^\n]*", plan)
-    assert windows and all("_b" in w for w in windows if "lag(_t" in w)
+    assert windows and all("_p" in w for w in windows if "lag(_t" in w)
 
 
 def test_reply_parse_plan_stays_small(spark, sf_small):
     plan = plan_of(QUERIES["reply_parse"](spark, sf_small))
     assert plan.count("ArrowEvalPython") <= 2      # the strict parse and the repaired parse
     assert len(plan) < 100_000
+
+
+def test_session_features_scan_the_packets_once_more_for_their_number(spark, sf_small):
+    """One pass writes the sliced packets; the final plan reads that table
+    for the lags and the links only."""
+    plan = plan_of(QUERIES["session_time"](spark, sf_small))
+    scans = re.findall(r"FileScan parquet[^\n]*", plan)
+    assert len(scans) <= 2 and not any("testdata" in sc for sc in scans)
