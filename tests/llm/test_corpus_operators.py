@@ -47,9 +47,10 @@ def test_join_equals_all_pairs(spark, odd, odd_rows, no_docs):
     assert ngram_join.jaccard_join(no_docs).count() == 0
 
 
-def test_join_of_large_groups_in_blocks(spark, monkeypatch):
-    """Near copies around the threshold, a common passage, blocks of four."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+@pytest.mark.parametrize("limit,value", [("BLOCK", 4), ("BLOCK_TOKENS", 300)])
+def test_join_of_large_groups_in_blocks(spark, monkeypatch, limit, value):
+    """Near copies around the threshold, a common passage, blocks of few classes or few tokens."""
+    monkeypatch.setattr(ngram_join, limit, value)
     rng = random.Random(4)
     base = [f"b{i}" for i in range(80)]
     passage = [f"p{i}" for i in range(40)]
