@@ -4,19 +4,13 @@ Reply handling mirrors the tolerant-but-strict parser of the generator:
 strip, take the first fenced part that opens a JSON array, slice from the
 first ``[`` to the last ``]``, parse strictly, and on failure cut at the last
 comma that has at least five characters after it and close the array.
-Only the strict JSON check runs in Python (an Arrow-batched pandas UDF);
-everything else is a Catalyst expression.
+Every step is a Catalyst expression.
 """
 
 from __future__ import annotations
 
-import json
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The characters Python's str.strip() removes (str.isspace in
 # the ASCII and Latin-1 ranges plus the Unicode space separators).
@@ -96,57 +90,44 @@ def reply_stages(df: DataFrame, col: str = "response") -> DataFrame:
     return d.drop("_t", "_parts", "_clean", "_s", "_e", "_n", "_end")
 
 
-def _canon(value):
-    """Numbers stay (finite only), anything else becomes null."""
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
-        return None
-    if isinstance(value, float) and not math.isfinite(value):
-        return None
-    return value
+# Strict reading: no single quotes; NaN and infinities are numbers, as in the generator's JSON reader.
+_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
 
 
-def _strict_items(text):
-    if text is None:
-        return None
-    try:
-        data = json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(data, list):
-        return []
-    out = []
-    for item in data:
-        if isinstance(item, dict):
-            out.append(json.dumps({str(k): _canon(v) for k, v in item.items()}))
-        else:
-            out.append(None)
-    return out
+def _wrapped(t: Column) -> Column:
+    """``t`` as member ``r`` of an object that ends in a sentinel: the
+    sentinel is only read if all of ``t`` is valid JSON."""
+    return F.from_json(F.concat(F.lit('{"r":'), t, F.lit(',"end":1}')), "r array<string>, end int", _JSON)
 
 
-def _strict_json_items(texts: pd.Series) -> pd.Series:
-    return texts.map(_strict_items)
+def _values(t: Column) -> Column:
+    """Number of JSON values in ``t``: more than one where ``t`` would close
+    the wrapping object early and go on with members of its own."""
+    return F.size(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", _JSON))
 
 
-# Strict JSON parse of one candidate text per row. NULL: not valid JSON.
-# Empty array: valid but not an array. Otherwise one canonical object text
-# per array item (NULL for a non-object item), every non-numeric or
-# non-finite value replaced by null. Marked non-deterministic only so that
-# Catalyst keeps it as one evaluation: it never inlines or duplicates a
-# non-deterministic expression into its consumers (posexplode, from_json).
-strict_json_items = F.pandas_udf(_strict_json_items, T.ArrayType(T.StringType())).asNondeterministic()
+def _strict(t: Column, wrapped: Column, values: Column) -> Column:
+    """The items of the array ``t``; empty for another JSON value; NULL if
+    ``t`` is not JSON."""
+    empty = F.array().cast("array<string>")
+    return F.when((wrapped["end"] == 1) & (values == 1), F.coalesce(wrapped["r"], empty))
 
 
 def parse_replies(df: DataFrame, col: str = "response", out: str = "items") -> DataFrame:
-    """Reply text to an array of canonical object texts (empty on failure):
-    strict parse of the candidate; if that is not JSON and a repair cut
-    exists, strict parse of the repaired text."""
+    """Reply text to an array with one text per array item (empty on
+    failure; NULL for an item that is not an object): strict parse of the
+    candidate; only if that is not JSON and a repair cut exists, strict parse
+    of the repaired text. A number with a plus sign before Infinity passes
+    (and becomes NULL later), which the generator's reader rejects."""
     d = reply_stages(df, col)
-    d = d.withColumn("_first", strict_json_items(F.col("_cand")))
-    d = d.withColumn("_second", strict_json_items(repaired(F.col("_cand"), F.col("_cut"))))
-    empty = F.array().cast("array<string>")
-    items = (F.when(F.col("_first").isNotNull(), F.col("_first"))
-             .when(F.col("_cut") > 0, F.coalesce(F.col("_second"), empty)).otherwise(empty))
-    return d.withColumn(out, items).drop("_cand", "_cut", "_first", "_second")
+    d = d.withColumns({"_w1": _wrapped(F.col("_cand")), "_v1": _values(F.col("_cand"))})
+    d = d.withColumn("_first", _strict(F.col("_cand"), F.col("_w1"), F.col("_v1")))
+    d = d.withColumn("_fix", F.when(F.col("_first").isNull(), repaired(F.col("_cand"), F.col("_cut"))))
+    d = d.withColumns({"_w2": _wrapped(F.col("_fix")), "_v2": _values(F.col("_fix"))})
+    d = d.withColumn("_second", _strict(F.col("_fix"), F.col("_w2"), F.col("_v2")))
+    items = F.coalesce("_first", "_second", F.array().cast("array<string>"))
+    d = d.withColumn(out, F.transform(items, lambda x: F.when(x.startswith("{"), x)))
+    return d.drop("_cand", "_cut", "_w1", "_v1", "_first", "_fix", "_w2", "_v2", "_second")
 
 
 def fmt4(c: Column) -> Column:

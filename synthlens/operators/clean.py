@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthlens.functions.numeric import greatest_of
-
-from synthlens.functions.numeric import finite_or_null, to_double
+from synthlens.functions.numeric import finite_or_null, greatest_of, to_double
 
 # Label values and the default endpoints of real and synthetic rows.
 SSH = "ssh"

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import ratio
@@ -46,7 +46,7 @@ def _sliced(packets: DataFrame, session_col: str, ts_col: str, id_col: str, slic
     return packets.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
-def _gap_rows(packets: DataFrame, session_col: str, ts_col: str, id_col: str, slice_rows: int) -> DataFrame:
+def packet_gaps(packets: DataFrame, session_col: str, ts_col: str, id_col: str, slice_rows: int = 500_000) -> DataFrame:
     """``(_s, _id, _ts, _t, gap)`` for every packet; the gap is NULL for a
     session's first packet, without a time and without a session."""
     sliced = _sliced(packets, session_col, ts_col, id_col, slice_rows)
@@ -60,13 +60,20 @@ def _gap_rows(packets: DataFrame, session_col: str, ts_col: str, id_col: str, sl
     return linked.select("_s", "_id", "_ts", "_t", F.when(F.col("_s").isNotNull(), gap).alias("gap"))
 
 
+def stats_of_gaps(rows: DataFrame, session_col: str) -> DataFrame:
+    """K03 and K04 from the rows of ``packet_gaps``."""
+    return rows.groupBy(F.col("_s").alias(session_col)).agg(
+        F.count(F.lit(1)).alias("n_packets"), F.avg("gap").alias("ipa_mean"), F.var_pop("gap").alias("ipa_var"),
+        ((F.max("_t") - F.min("_t")) / F.lit(MICROS)).alias("duration"))
+
+
 def ipa_gaps(packets: DataFrame, session_col: str, ts_col: str, id_col: str,
              slice_rows: int = 500_000) -> DataFrame:
     """Gap (seconds) from each packet to the previous packet of its
     session, in ``(ts, id)`` order. The first packet of a session has no
     gap and is not returned, nor is a packet without a time or a session.
     Output ``(session, id, ts, gap)``."""
-    return (_gap_rows(packets, session_col, ts_col, id_col, slice_rows).where(F.col("gap").isNotNull())
+    return (packet_gaps(packets, session_col, ts_col, id_col, slice_rows).where(F.col("gap").isNotNull())
             .select(F.col("_s").alias(session_col), F.col("_id").alias(id_col), F.col("_ts").alias(ts_col), "gap"))
 
 
@@ -75,9 +82,7 @@ def session_stats(packets: DataFrame, session_col: str, ts_col: str, id_col: str
     """K03 and K04 from one aggregate: ``(session, n_packets, ipa_mean,
     ipa_var, duration)``; mean and population variance are over the N-1
     gaps, the duration is last - first in seconds."""
-    return _gap_rows(packets, session_col, ts_col, id_col, slice_rows).groupBy(F.col("_s").alias(session_col)).agg(
-        F.count(F.lit(1)).alias("n_packets"), F.avg("gap").alias("ipa_mean"), F.var_pop("gap").alias("ipa_var"),
-        ((F.max("_t") - F.min("_t")) / F.lit(MICROS)).alias("duration"))
+    return stats_of_gaps(packet_gaps(packets, session_col, ts_col, id_col, slice_rows), session_col)
 
 
 def ipa_stats(packets: DataFrame, session_col: str, ts_col: str, id_col: str) -> DataFrame:
@@ -146,25 +151,36 @@ def _rel_violation(actual, expected, tol):
     return F.abs(actual - expected) / scale > F.lit(tol)
 
 
-def coherence_audit(conn_stats: DataFrame | None, sessions: DataFrame | None, tol: float = 1e-6) -> DataFrame:
-    """Relative residuals above ``tol`` for R1 (average per source =
-    total / sources), R2 (speed = bytes sent / duration) and R6 (duration =
-    (N-1) x mean gap), counted. Output ``(rule, checked, violations)``."""
+def coherence_audit(conn_stats: DataFrame | None, sessions: DataFrame | None, tol: float = 1e-6,
+                    gaps: DataFrame | None = None, session_col: str = "session") -> DataFrame:
+    """Relative residuals above ``tol``, counted, of the stated values:
+    R1 (average per source = total / sources), R2 (speed = bytes sent /
+    duration), R3 (ratio = bytes sent / bytes received), R6 (duration =
+    (N-1) x mean gap) and, where the ``gaps`` of ``packet_gaps`` are given,
+    R4 (mean = sum of the N-1 gaps / (N-1)) and R5 (variance = mean square
+    of the gaps around the stated mean). Output ``(rule, checked,
+    violations)``."""
     parts = []
+
+    def audit(rule: str, df: DataFrame, actual: str, expected: Column) -> None:
+        parts.append(df.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("checked"),
+                            F.count_if(_rel_violation(F.col(actual), expected, tol)).alias("violations")))
+
     if conn_stats is not None:
-        c = conn_stats.where(F.col("n_sources") > 0)
-        parts.append(c.agg(F.lit("R1").alias("rule"), F.count(F.lit(1)).alias("checked"),
-                           F.count_if(_rel_violation(F.col("avg_per_source"), F.col("total") / F.col("n_sources"),
-                                                     tol)).alias("violations")))
+        audit("R1", conn_stats.where(F.col("n_sources") > 0), "avg_per_source", F.col("total") / F.col("n_sources"))
     if sessions is not None:
-        s2 = sessions.where(F.col("duration") > 0)
-        parts.append(s2.agg(F.lit("R2").alias("rule"), F.count(F.lit(1)).alias("checked"),
-                            F.count_if(_rel_violation(F.col("speed"), F.col("bytes_sent") / F.col("duration"),
-                                                      tol)).alias("violations")))
-        s6 = sessions.where(F.col("ipa_mean").isNotNull())
-        parts.append(s6.agg(F.lit("R6").alias("rule"), F.count(F.lit(1)).alias("checked"),
-                            F.count_if(_rel_violation(F.col("duration"), (F.col("n_packets") - 1) * F.col("ipa_mean"),
-                                                      tol)).alias("violations")))
+        audit("R2", sessions.where(F.col("duration") > 0), "speed", F.col("bytes_sent") / F.col("duration"))
+        audit("R3", sessions.where(F.col("bytes_recv") > 0), "ratio", F.col("bytes_sent") / F.col("bytes_recv"))
+        if gaps is not None:
+            stated = sessions.select(F.col(session_col).alias("_s"), "ipa_mean", "ipa_var", "n_packets")
+            own = (join_checked(gaps.where(F.col("gap").isNotNull()).select("_s", "gap"), stated, "_s")
+                   .groupBy("_s", "ipa_mean", "ipa_var", "n_packets")
+                   .agg(F.sum("gap").alias("_sum"), F.sum((F.col("gap") - F.col("ipa_mean")) ** 2).alias("_square"))
+                   .where((F.col("n_packets") > 1) & F.col("ipa_mean").isNotNull()))
+            audit("R4", own, "ipa_mean", F.col("_sum") / (F.col("n_packets") - 1))
+            audit("R5", own, "ipa_var", F.col("_square") / (F.col("n_packets") - 1))
+        audit("R6", sessions.where(F.col("ipa_mean").isNotNull()), "duration",
+              (F.col("n_packets") - 1) * F.col("ipa_mean"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

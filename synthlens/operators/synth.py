@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthlens.functions.numeric import md5_normal, md5_unit
+from synthlens.functions.numeric import finite_or_null, greatest_of, md5_normal, md5_unit
 from synthlens.functions.text import fmt4, parse_replies, reply_clean, reply_slice
 from synthlens.operators.clean import clip_to_profile, drop_incomplete, require_features
-from synthlens.functions.numeric import greatest_of
 from synthlens.operators.joins import join_checked
 from synthlens.operators.sampling import cap_rows
 
@@ -141,30 +140,40 @@ def prompt_text(profile: DataFrame, specs: Sequence[FeatureSpec], plan: DataFram
                       [s.key for s in specs]).alias("prompt"))
 
 
+NO_REPLY = "no reply"
+
+
 def completion_source(prompts: DataFrame, recorded: DataFrame | None = None, completer=None,
                       concurrency: int | None = None) -> DataFrame:
-    """Prompt -> reply. Either a recorded replies table ``(batch,
-    response)`` (left join: a batch without a reply failed), or a callable
+    """Prompt -> reply, and in ``error`` why a call failed (NULL if it
+    did not). Either a recorded replies table ``(batch, response)`` (left
+    join: a batch without a reply failed), or a callable
     ``completer(system, prompt) -> str`` run in the executors' Python
     workers over Arrow batches of prompts (concurrency bounded by the
     prompt table's partitions; ``concurrency`` repartitions the prompts so at
-    most that many calls run at once)."""
+    most that many calls run at once). A callable's replies are not the same
+    when asked again: write the result to a table before it is used twice."""
     if recorded is not None:
-        return prompts.join(recorded.select("batch", "response"), "batch", "left")
+        out = prompts.join(recorded.select("batch", "response"), "batch", "left")
+        return out.withColumn("error", F.when(F.col("response").isNull(), F.lit(NO_REPLY)))
     if completer is None:
         raise ValueError("give a recorded replies table or a completer")
 
     def call(batches):
         for pdf in batches:
-            out = []
+            out, errors = [], []
             for p in pdf["prompt"]:
+                reply = error = None
                 try:
-                    out.append(completer(SYSTEM_TEXT, p))
-                except Exception:  # a failed call fails only its batch
-                    out.append(None)
-            yield pdf.assign(response=out)
-
-    schema = T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType())])
+                    reply = completer(SYSTEM_TEXT, p)
+                except Exception as e:  # a failed call fails only its batch
+                    error = f"{type(e).__name__}: {e}"
+                out.append(reply)
+                errors.append(error or (NO_REPLY if reply is None else None))
+            yield pdf.assign(response=out, error=errors)
+
+    schema = T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType()),
+                           T.StructField("error", T.StringType())])
     if concurrency:
         prompts = prompts.repartition(int(concurrency), "batch")
     return prompts.mapInPandas(call, schema)
@@ -177,8 +186,8 @@ def cleaned_replies(replies: DataFrame) -> DataFrame:
 
 
 def parsed_items(replies: DataFrame) -> DataFrame:
-    """One row per reply: ``(batch, items)``, items = canonical object
-    texts (NULL for a non-object array item); a failed reply has none."""
+    """One row per reply: ``(batch, items)``, items = object texts (NULL
+    for a non-object array item); a failed reply has none."""
     return parse_replies(replies.select("batch", "response")).select("batch", "items")
 
 
@@ -186,10 +195,11 @@ def records_from_items(items: DataFrame, features: Sequence[str]) -> DataFrame:
     """``(batch, pos, features...)`` for every parsed array item;
     features of non-object items, quoted numbers, NaN and infinity are NULL."""
     schema = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
-    exploded = items.select("batch", F.posexplode("items").alias("pos", "item"))
+    # the outer form: the plain one makes Spark infer a filter on the array, which copies the whole parse into it
+    exploded = items.select("batch", F.posexplode_outer("items").alias("pos", "item")).where(F.col("pos").isNotNull())
     return exploded.select("batch", F.col("pos").cast("bigint").alias("pos"),
                            F.from_json("item", schema).alias("r")).select(
-        "batch", "pos", *[F.col(f"r.{f}").alias(f) for f in features])
+        "batch", "pos", *[finite_or_null(F.col(f"r.{f}")).alias(f) for f in features])
 
 
 def records_from_replies(replies: DataFrame, features: Sequence[str]) -> DataFrame:

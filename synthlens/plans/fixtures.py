@@ -9,11 +9,15 @@ input. Every fixture uses whole tables.
                 purchase and signup events.
 - ``conns``     lineitem as connections: destination = supplier,
                 source = part.
-- ``preds``     orders as predictions per endpoint ``<custkey>:22``.
+- ``preds``     orders as predictions per endpoint ``<custkey>:22``; every
+                tenth order is at the exempt endpoint of synthetic rows.
 - ``responses`` events as recorded model replies, 20 objects per batch
                 (batch = event_id div 20 + 1), in
                 six reply shapes (plain, fenced, prose, truncated, trailing
-                text, no array).
+                text, no array). Every 50th object lacks ``f2``, in every
+                77th ``f1`` is 100 times too large.
+- ``full``      the replies that hold all their objects (shapes 0 to 2),
+                numbered from 1 without a gap.
 """
 
 from __future__ import annotations
@@ -76,15 +80,18 @@ CONNS_SQL = "SELECT l_suppkey AS dst, l_partkey AS src FROM lineitem"
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
+    dummy = F.col("o_orderkey") % 10 == 0
     return o.select("o_orderkey", "o_orderdate", "o_orderpriority",
-                    F.col("o_custkey").cast("string").alias("Destination"), F.lit(22).alias("Destination Port"),
+                    F.when(dummy, "255.255.255.255").otherwise(F.col("o_custkey").cast("string")).alias("Destination"),
+                    F.when(dummy, 1).otherwise(22).alias("Destination Port"),
                     F.when(F.col("o_orderstatus") == "F", "ssh").otherwise("non-ssh").alias("truth"),
                     F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "ssh").otherwise("non-ssh")
                     .alias("prediction"))
 
 
-PREDS_SQL = ("SELECT o_orderkey, o_orderdate, o_orderpriority, CAST(o_custkey AS VARCHAR) AS \"Destination\", "
-             "22 AS \"Destination Port\", CASE WHEN o_orderstatus = 'F' THEN 'ssh' ELSE 'non-ssh' END AS truth, "
+PREDS_SQL = ("SELECT o_orderkey, o_orderdate, o_orderpriority, CASE WHEN o_orderkey % 10 = 0 THEN '255.255.255.255' "
+             "ELSE CAST(o_custkey AS VARCHAR) END AS \"Destination\", CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 22 END "
+             "AS \"Destination Port\", CASE WHEN o_orderstatus = 'F' THEN 'ssh' ELSE 'non-ssh' END AS truth, "
              "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'ssh' ELSE 'non-ssh' END AS prediction "
              "FROM orders")
 
@@ -98,8 +105,9 @@ REFUSAL = "Sorry, I cannot produce that."
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    obj = F.concat(F.lit('{"f1": '), F.round(F.col("value") * 100).cast("bigint").cast("string"),
-                   F.lit(', "f2": '), F.col("user_id").cast("string"), F.lit("}"))
+    f1 = F.round(F.col("value") * 100).cast("bigint") * F.when(F.col("event_id") % 77 == 0, 100).otherwise(1)
+    f2 = F.when(F.col("event_id") % 50 == 0, "").otherwise(F.concat(F.lit(', "f2": '), F.col("user_id").cast("string")))
+    obj = F.concat(F.lit('{"f1": '), f1.cast("string"), f2, F.lit("}"))
     per = (ev.select((F.floor(F.col("event_id") / REPLY_BATCH) + 1).cast("bigint").alias("batch"), "event_id",
                      obj.alias("obj"))
            .groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "obj"))),
@@ -117,6 +125,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("batch", resp.alias("response"))
 
 
+REPLY_F1_SQL = "CAST(round(value * 100) AS BIGINT) * CASE WHEN event_id % 77 = 0 THEN 100 ELSE 1 END"
+REPLY_F2_SQL = "CASE WHEN event_id % 50 <> 0 THEN user_id END"
 RESPONSES_SQL = f"""SELECT batch, CASE batch % 6
     WHEN 0 THEN '[' || body || ']'
     WHEN 1 THEN '```json' || chr(10) || '[' || body || ']' || chr(10) || '```'
@@ -129,11 +139,16 @@ RESPONSES_SQL = f"""SELECT batch, CASE batch % 6
         FROM (SELECT batch, event_id, obj, row_number() OVER (PARTITION BY batch ORDER BY event_id) AS rn,
                      count(*) OVER (PARTITION BY batch) AS c
               FROM (SELECT CAST(floor(event_id / {REPLY_BATCH}) AS BIGINT) + 1 AS batch, event_id,
-                           '{{"f1": ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || ', "f2": '
-                           || CAST(user_id AS VARCHAR) || '}}' AS obj FROM events))
+                           '{{"f1": ' || CAST({REPLY_F1_SQL} AS VARCHAR) || CASE WHEN event_id % 50 = 0 THEN ''
+                           ELSE ', "f2": ' || CAST(user_id AS VARCHAR) END || '}}' AS obj FROM events))
         GROUP BY batch)"""
 
 
+def full_number(batch):
+    """Number of a reply among those of the first three shapes."""
+    return (F.floor(batch / 6) * 3 + batch % 6).cast("bigint")
+
+
 def real_reply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 'real' records the replies are judged against: purchase events."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")

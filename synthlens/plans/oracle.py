@@ -7,7 +7,7 @@ generated from the same constants the Spark side uses.
 
 from __future__ import annotations
 
-from synthlens.operators.synth import RULE, SESSION_RELATIONS
+from synthlens.operators.synth import NO_REPLY, RULE, SESSION_RELATIONS
 from synthlens.plans import fixtures as fx
 from synthlens.plans import queries as q
 
@@ -143,12 +143,17 @@ def prf(src: str) -> str:
 # replies: parsed objects derived from events directly (independent of the parser)
 ITEMS = ("SELECT batch, pos, f1, f2 FROM (SELECT event_id // 20 + 1 AS batch, "
          "row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS pos, "
-         "count(*) OVER (PARTITION BY event_id // 20) AS c, CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS f1, "
-         "CAST(user_id AS DOUBLE) AS f2 FROM events) WHERE batch % 6 IN (0, 1, 2) OR (batch % 6 = 3 AND pos < c - 1)")
+         f"count(*) OVER (PARTITION BY event_id // 20) AS c, CAST({fx.REPLY_F1_SQL} AS DOUBLE) AS f1, "
+         f"CAST({fx.REPLY_F2_SQL} AS DOUBLE) AS f2 FROM events) WHERE batch % 6 IN (0, 1, 2) OR (batch % 6 = 3 AND pos < c - 1)")
 PARSED = ("SELECT batch, CAST(CASE WHEN batch % 6 IN (0, 1, 2) THEN c WHEN batch % 6 = 3 THEN c - 1 ELSE 0 END AS BIGINT) "
           "AS parsed FROM (SELECT event_id // 20 + 1 AS batch, count(*) AS c FROM events GROUP BY 1)")
 
 
+def full(src: str) -> str:
+    """Batches of the first three shapes, numbered from 1."""
+    return f"SELECT * REPLACE (batch // 6 * 3 + batch % 6 AS batch) FROM ({src}) WHERE batch % 6 < 3"
+
+
 def plan_sql(n_sql: str, b: int = 20) -> str:
     return (f"SELECT batch, CAST(least({b}, n - (batch - 1) * {b}) AS BIGINT) AS request_n, "
             f"CAST(nb AS BIGINT) AS n_batches FROM (SELECT unnest(generate_series(1, nb)) AS batch, n, nb "
@@ -156,19 +161,28 @@ def plan_sql(n_sql: str, b: int = 20) -> str:
 
 
 EVENTS_N = "SELECT count(*) AS n FROM events"
-ACCOUNTING = {
-    "parsed": PARSED,
-    "plan": plan_sql(EVENTS_N),
-    "d": "SELECT p.batch, coalesce(q.parsed, 0) AS parsed, (SELECT n FROM (" + EVENTS_N + ")) AS n "
-         "FROM plan p LEFT JOIN parsed q USING (batch)",
-    "s": "SELECT batch, parsed, n, least(parsed, 20) AS cap, "
-         "sum(least(parsed, 20)) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) AS s FROM d",
-    "acc": "SELECT batch, CAST(parsed AS BIGINT) AS parsed, "
-           "CAST(greatest(0, least(20, n - least(n, s - cap))) AS BIGINT) AS requested, "
-           "CAST(least(n, s) - least(n, s - cap) AS BIGINT) AS accepted, CAST(least(n, s) AS BIGINT) AS total FROM s",
-}
-TAKE_FIRST = {**ACCOUNTING, "items": ITEMS,
-              "first": "SELECT i.batch, i.pos, i.f1, i.f2 FROM items i JOIN acc USING (batch) WHERE i.pos < acc.accepted"}
+def accounting(run: str, parsed: str, items: str, n_sql: str, b: int = q.REQUEST) -> dict[str, str]:
+    """The tables of one run, prefixed by its name: what each batch was asked
+    for and gave, and the first records of each."""
+    return {
+        f"{run}_parsed": parsed, f"{run}_plan": plan_sql(n_sql, b),
+        f"{run}_d": f"SELECT p.batch, coalesce(q.parsed, 0) AS parsed, (SELECT n FROM ({n_sql})) AS n "
+                    f"FROM {run}_plan p LEFT JOIN {run}_parsed q USING (batch)",
+        f"{run}_s": f"SELECT batch, parsed, n, least(parsed, {b}) AS cap, "
+                    f"sum(least(parsed, {b})) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) AS s FROM {run}_d",
+        f"{run}_acc": "SELECT batch, CAST(parsed AS BIGINT) AS parsed, "
+                      f"CAST(greatest(0, least({b}, n - least(n, s - cap))) AS BIGINT) AS requested, "
+                      f"CAST(least(n, s) - least(n, s - cap) AS BIGINT) AS accepted, CAST(least(n, s) AS BIGINT) AS total, "
+                      f"'{run}' AS run FROM {run}_s",
+        f"{run}_first": f"SELECT i.batch, i.pos, i.f1, i.f2, run FROM ({items}) i JOIN {run}_acc a USING (batch) "
+                        f"WHERE i.pos < a.accepted",
+    }
+
+
+RUNS = {**accounting("all", PARSED, ITEMS, f"SELECT count(*) * {q.REQUEST} // 20 AS n FROM events"),
+        **accounting("full", full(PARSED), full(ITEMS), "SELECT count(*) * 3 // 10 - 7 AS n FROM events")}
+ACCOUNTING = {**RUNS, "acc": "SELECT * FROM all_acc UNION ALL SELECT * FROM full_acc"}
+TAKE_FIRST = {**RUNS, "first": "SELECT batch, pos, f1, f2 FROM all_first"}
 
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -311,16 +325,23 @@ def build() -> dict[str, str]:
         "SELECT 'flows' AS dataset, s.split, 'lineitem' AS dir, s.file, 4 AS n_features, 'label' AS label_col, "
         "CAST(coalesce(c.n, 0) AS BIGINT) AS n_rows FROM (VALUES ('train', 'grp=F'), ('test', 'grp=O')) s(split, file) "
         "LEFT JOIN (SELECT 'grp=' || l_linestatus AS file, count(*) AS n FROM lineitem GROUP BY 1) c USING (file)")
-    S["first_available_source"] = "SELECT 2 AS chosen, 0 AS fallback, o_orderkey, o_totalprice FROM orders"
+    S["first_available_source"] = ("SELECT 2 AS chosen, 0 AS fallback, o_orderkey, o_totalprice FROM orders UNION ALL "
+                                   "SELECT 0, 1, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
     S["csv_roundtrip"] = with_(FLOWS, f"SELECT grp, label, {fl} FROM flows")
     S["completion_source"] = with_({"responses": fx.RESPONSES_SQL, "plan": plan_sql(EVENTS_N)},
                                    "SELECT p.batch, p.request_n, r.response, CASE WHEN r.response IS NULL THEN 0 ELSE 1 END "
-                                   "AS has_reply FROM plan p LEFT JOIN responses r USING (batch)")
-    S["load_audit"] = with_(FLOWS, " UNION ALL ".join(
+                                   f"AS has_reply, CASE WHEN r.response IS NULL THEN {lit(NO_REPLY)} END AS error FROM plan p "
+                                   "LEFT JOIN (SELECT * FROM responses WHERE batch % 9 <> 0) r USING (batch)")
+    holes = "SELECT * REPLACE (CASE WHEN l_tax >= 0.02 THEN l_quantity END AS l_quantity) FROM flows"
+    S["load_audit"] = with_({**FLOWS, "h": holes}, f"SELECT 'baseline' AS source, count(*) AS n_total, count(*) AS n_label, "
+                            f"count(*) AS n_complete, count(*) AS n_selected, 1 AS simulated FROM {REAL} UNION ALL " + " UNION ALL ".join(
         f"SELECT '{g}' AS source, count(*) AS n_total, CAST(count_if(label = 'ssh') AS BIGINT) AS n_label, "
         f"CAST(count_if(label = 'ssh' AND {' AND '.join(f'{f} IS NOT NULL' for f in FEATS)}) AS BIGINT) AS n_complete, "
         f"CAST(least(count_if(label = 'ssh' AND {' AND '.join(f'{f} IS NOT NULL' for f in FEATS)}), {q.SAMPLE_N}) AS BIGINT) "
-        f"AS n_selected, 0 AS simulated FROM flows WHERE grp = '{g}'" for g in ("F", "O")))
+        f"AS n_selected, 0 AS simulated FROM h WHERE grp = '{g}'" for g in ("F", "O")))
+    S["load_synthetic_a"] = with_({**FLOWS, "h": holes}, f"SELECT {sig('l_quantity / 100.0 * 100.0')} AS l_quantity, "
+                                  f"0.0::DOUBLE AS l_extendedprice, {sig('l_discount * 100.0')} AS l_discount, "
+                                  f"{sig('l_tax * 100.0')} AS l_tax FROM h WHERE label = 'ssh' AND l_quantity IS NOT NULL")
     S["feature_projection"] = with_(FLOWS, f"SELECT {fl} FROM flows")
     S["label_filter_exact"] = with_(FLOWS, "SELECT * FROM flows WHERE label = 'ssh'")
     S["label_filter_ci"] = (f"SELECT label, {fl} FROM (SELECT CASE l_returnflag WHEN 'R' THEN 'SSH' WHEN 'A' THEN 'Ssh' "
@@ -348,14 +369,15 @@ def build() -> dict[str, str]:
     S["clip_to_profile"] = with_(FLOWS, "SELECT grp, " + ", ".join(
         sig(f"greatest(least({f} * 1.2::DOUBLE, hi{i} * 1.05::DOUBLE), lo{i} * 0.95::DOUBLE)") + f" AS {f}"
         for i, f in enumerate(FEATS)) + f" FROM flows, (SELECT {bounds} FROM {REAL})")
-    S["endpoint_key"] = ("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_custkey AS VARCHAR) "
-                         "END, 'nan') || ':22' AS endpoint FROM orders")
+    S["endpoint_key"] = with_({"preds": fx.PREDS_SQL}, "SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN \"Destination\" "
+                              "END, 'nan') || ':' || CAST(\"Destination Port\" AS VARCHAR) AS endpoint FROM preds JOIN "
+                              "(SELECT o_orderkey, o_orderstatus FROM orders) USING (o_orderkey)")
     S["cast_features"] = ("SELECT event_id, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS v, "
                           "TRY_CAST(event_type AS DOUBLE) AS t FROM events")
     S["required_feature_check"] = with_({"items": ITEMS},
-                                        "SELECT pos, feature, CAST(CASE WHEN feature = 'f3' THEN 0 ELSE n END AS BIGINT) AS n_present, "
+                                        "SELECT pos, feature, CAST(CASE feature WHEN 'f1' THEN n1 WHEN 'f2' THEN n2 ELSE 0 END AS BIGINT) AS n_present, "
                                         "n AS n_rows FROM (VALUES (0, 'f1'), (1, 'f2'), (2, 'f3')) t(pos, feature), "
-                                        "(SELECT count(*) AS n FROM items)")
+                                        "(SELECT count(*) AS n, count(f1) AS n1, count(f2) AS n2 FROM items)")
     S["profile_join"] = with_({**FLOWS, "prof": f"SELECT feature, avg(x) AS mean, stddev_samp(x) AS std FROM ({unpivot(REAL)}) GROUP BY feature"},
                               f"SELECT grp, feature, x, round((x - mean) / std, 8) + 0.0 AS z FROM ({unpivot('flows', ids=['grp'])}) JOIN prof USING (feature)")
     S["vote_join_back"] = with_(VOTED, "SELECT o_orderkey, endpoint, truth, prediction, final FROM voted")
@@ -402,9 +424,9 @@ def build() -> dict[str, str]:
             "r": "SELECT 'high' AS mode, year(o_orderdate) AS run, endpoint, truth, prediction FROM p UNION ALL "
                  "SELECT 'urgent', year(o_orderdate), endpoint, truth, CASE WHEN o_orderpriority = '1-URGENT' THEN 'ssh' "
                  "ELSE 'non-ssh' END FROM p",
-            "e": "SELECT *, mode || '|' || CAST(run AS VARCHAR) || '|' || endpoint AS ep FROM r",
+            "e": f"SELECT *, CASE WHEN endpoint <> '{DUMMY}' THEN mode || '|' || CAST(run AS VARCHAR) || '|' || endpoint END AS ep FROM r",
             "v": "SELECT ep, CASE WHEN count_if(prediction = 'ssh') > count_if(prediction = 'non-ssh') THEN 'ssh' "
-                 "ELSE 'non-ssh' END AS major FROM e GROUP BY ep",
+                 "ELSE 'non-ssh' END AS major FROM e WHERE ep IS NOT NULL GROUP BY ep",
             "voted": "SELECT e.*, coalesce(v.major, e.prediction) AS final FROM e LEFT JOIN v USING (ep)",
             "c": f"SELECT mode, run, {CONF} FROM voted GROUP BY mode, run", "m": prf("c")}
     S["repeat_average"] = with_(runs, f"SELECT mode, {sig('avg(precision)')} AS precision, {sig('avg(recall)')} AS recall, "
@@ -412,10 +434,10 @@ def build() -> dict[str, str]:
     S["box_stats"] = box_sql()
     S["hexbin_density"] = hexbin_sql()
     S["group_counts"] = with_(FLOWS, "SELECT grp, count(*) AS n FROM flows GROUP BY grp")
-    S["batch_outcomes"] = with_(ACCOUNTING, "SELECT count(*) AS planned, CAST(count_if(requested > 0 AND parsed = 0) AS BIGINT) "
-                                            "AS failed, CAST(sum(accepted) AS BIGINT) AS accepted FROM acc")
+    S["batch_outcomes"] = with_(ACCOUNTING, "SELECT run, count(*) AS planned, CAST(count_if(requested > 0 AND parsed = 0) AS BIGINT) "
+                                            "AS failed, CAST(sum(accepted) AS BIGINT) AS accepted FROM acc GROUP BY run")
     S["batch_accounting"] = with_(ACCOUNTING, "SELECT * FROM acc")
-    S["take_first_per_batch"] = with_(TAKE_FIRST, "SELECT * FROM first")
+    S["take_first_per_batch"] = with_(RUNS, "SELECT * FROM all_first UNION ALL SELECT * FROM full_first")
     S["ipa_gaps"] = with_({"packets": fx.PACKETS_SQL}, f"SELECT session, pid, {sig('gap')} AS gap FROM ({GAPS}) WHERE gap IS NOT NULL")
     S["exact_sample"] = (f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('{q.SEED}:' || CAST(o_orderkey AS VARCHAR) || ':1'), "
                          f"o_orderkey LIMIT {q.SAMPLE_N}")
@@ -459,10 +481,14 @@ def build() -> dict[str, str]:
     S["batch_plan"] = with_(FLOWS, plan_sql(f"SELECT count(*) AS n FROM {REAL}"))
     S["prompt_text"] = prompt_sql()
     rb = ("SELECT min(f1) AS lo1, max(f1) AS hi1, min(f2) AS lo2, max(f2) AS hi2 FROM (" + fx.REAL_REPLY_SQL + ")")
-    S["assemble_synthetic"] = with_({**TAKE_FIRST, "rb": rb},
-                                    "SELECT batch, pos, greatest(least(f1, hi1 * 1.05::DOUBLE), lo1 * 0.95::DOUBLE) AS f1, "
-                                    "greatest(least(f2, hi2 * 1.05::DOUBLE), lo2 * 0.95::DOUBLE) AS f2 FROM first, rb "
-                                    "WHERE f1 IS NOT NULL AND f2 IS NOT NULL")
+    S["assemble_synthetic"] = with_(
+        {**TAKE_FIRST, "rb": rb,
+         "clipped": "SELECT batch, pos, greatest(least(f1, hi1 * 1.05::DOUBLE), lo1 * 0.95::DOUBLE) AS f1, "
+                    "greatest(least(f2, hi2 * 1.05::DOUBLE), lo2 * 0.95::DOUBLE) AS f2 FROM first, rb "
+                    "WHERE f1 IS NOT NULL AND f2 IS NOT NULL",
+         "numbered": "SELECT *, row_number() OVER (PARTITION BY f1, f2 ORDER BY batch, pos) AS cp FROM clipped"},
+        f"SELECT batch, pos, f1, f2 FROM numbered ORDER BY md5('{q.SEED}:' || CAST(f1 AS VARCHAR) || ':' || "
+        "CAST(f2 AS VARCHAR) || ':' || CAST(cp AS VARCHAR)) LIMIT (SELECT count(*) // 4 FROM events)")
     S["gaussian_baseline"] = with_(FLOWS, f"SELECT id, {sel_sig(FEATS, set(FEATS))} FROM ({baseline_sql(q.SEED + 1, 1.03)})")
     S["record_audit"] = with_(
         {**TAKE_FIRST, "rb": rb,
@@ -504,16 +530,31 @@ def build() -> dict[str, str]:
                               f"SELECT session, {sig('ratio')} AS ratio, CASE WHEN ratio > 1.0 THEN 'bulk_upload' "
                               "WHEN ratio >= 0.3 AND ratio <= 0.7 THEN 'interactive' WHEN ratio >= 0.1 AND ratio < 0.3 "
                               "THEN 'remote_exec' ELSE 'other' END AS session_type FROM t")
+    def wrong(col: str, key: str, every: int, times: float) -> str:
+        return f"{col} * CASE WHEN {key} % {every} = 0 THEN {times!r}::DOUBLE ELSE 1.0::DOUBLE END AS {col}"
+
+    rules = [("R1", "c", "n_sources > 0", "avg_per_source", "total / n_sources"),
+             ("R2", "s", "duration > 0", "speed", "bytes_sent / duration"),
+             ("R3", "s", "bytes_recv > 0", "ratio", "bytes_sent / bytes_recv"),
+             ("R4", "own", "n_packets > 1", "ipa_mean", "gap_sum / (n_packets - 1)"),
+             ("R5", "own", "n_packets > 1", "ipa_var", "gap_square / (n_packets - 1)"),
+             ("R6", "s", "ipa_mean IS NOT NULL", "duration", "(n_packets - 1) * ipa_mean")]
     S["coherence_audit"] = with_(
-        {"conns": fx.CONNS_SQL, "cs": CONN, "packets": fx.PACKETS_SQL, "t": transfer_sql(), "i": IPA,
-         "s": "SELECT t.*, i.n_packets, i.ipa_mean FROM t JOIN i USING (session)"},
-        f"SELECT 'R1' AS rule, count(*) AS checked, CAST(count_if({viol('avg_per_source', 'total / n_sources')}) AS BIGINT) "
-        f"AS violations FROM cs WHERE n_sources > 0 UNION ALL "
-        f"SELECT 'R2', count(*), CAST(count_if({viol('speed', 'bytes_sent / duration')}) AS BIGINT) FROM s WHERE duration > 0 "
-        f"UNION ALL SELECT 'R6', count(*), CAST(count_if({viol('duration', '(n_packets - 1) * ipa_mean')}) AS BIGINT) "
-        f"FROM s WHERE ipa_mean IS NOT NULL")
+        {"conns": fx.CONNS_SQL, "cs": CONN, "packets": fx.PACKETS_SQL, "t": transfer_sql(), "i": IPA, "g": GAPS,
+         "c": f"SELECT dst, total, n_sources, {wrong('avg_per_source', 'dst', 10, 1.5)} FROM cs",
+         "s": f"SELECT session, bytes_sent, bytes_recv, t.duration, n_packets, {wrong('speed', 'session', 7, 2.0)}, "
+              f"{wrong('ratio', 'session', 11, 1.5)}, {wrong('ipa_mean', 'session', 13, 1.1)}, "
+              f"{wrong('ipa_var', 'session', 5, 2.0)} FROM t JOIN i USING (session)",
+         "own": "SELECT session, n_packets, ipa_mean, ipa_var, sum(gap) AS gap_sum, "
+                "sum((gap - ipa_mean) * (gap - ipa_mean)) AS gap_square FROM g JOIN s USING (session) "
+                "WHERE gap IS NOT NULL GROUP BY ALL"},
+        " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS checked, CAST(count_if({viol(x, y)}) AS BIGINT) "
+                           f"AS violations FROM {src} WHERE {cond}" for rule, src, cond, x, y in rules))
+    scatter = (f"SELECT 1 FROM {REAL} UNION ALL SELECT 1 FROM {REAL} UNION ALL "
+               f"SELECT 1 FROM flows WHERE grp = 'O' AND label = 'ssh'")
     report = {
         "jsd": S["jsd"], "histogram": S["feature_histogram"], "box": S["box_stats"], "hexbin": S["hexbin_density"],
+        "scatter": with_(FLOWS, scatter), "load_audit": S["load_audit"],
     }
     S["report_tables"] = " UNION ALL ".join(f"SELECT '{k}' AS report, count(*) AS n_rows FROM ({v})" for k, v in report.items())
     return S

@@ -17,6 +17,7 @@ from synthlens.functions.numeric import round_binary
 from synthlens.functions.text import reply_clean, reply_slice
 from synthlens.operators import clean, detect, features, fidelity, profile, report, sampling, synth
 from synthlens.plans import fixtures as fx
+from synthlens.plans import workflows
 from synthlens.session import scratch_dir
 from synthlens.sources import files
 from synthlens.sources.catalog import DatasetSpec, catalog_frame
@@ -26,6 +27,7 @@ FEATS = fx.FLOW_FEATURES
 SEED = 42
 SAMPLE_N = 1000
 BATCH = 20
+REQUEST = 15  # records asked of a reply, which holds up to 20
 TOL = 1e-6
 
 # Our descriptions of the lineitem columns used as session features.
@@ -141,15 +143,18 @@ def q_dataset_catalog(spark, sf_dir):
 
 @query("first_available_source")
 def q_first_available_source(spark, sf_dir):
+    """Once with a file at the second place, once with no file at all."""
     path = _orders_sheet(spark, sf_dir, indexed=False)
-    candidates = [path + "-missing-1", path, path + "-missing-2"]
-    chosen = files.first_available(spark, candidates)
-    if chosen is None:
-        df = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-        return df.select(F.lit(0).alias("chosen"), F.lit(1).alias("fallback"), "o_orderkey", "o_totalprice")
-    df = files.scan_features(spark, chosen, ["o_totalprice"], keep=["o_orderkey"], fmt="csv")
-    return df.select(F.lit(candidates.index(chosen) + 1).alias("chosen"), F.lit(0).alias("fallback"),
-                     F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_totalprice")
+    def load(candidates):
+        chosen = files.first_available(spark, candidates)
+        if chosen is None:
+            df = fx.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+            return df.select(F.lit(0).alias("chosen"), F.lit(1).alias("fallback"), "o_orderkey", "o_totalprice")
+        df = files.scan_features(spark, chosen, ["o_totalprice"], keep=["o_orderkey"], fmt="csv")
+        return df.select(F.lit(candidates.index(chosen) + 1).alias("chosen"), F.lit(0).alias("fallback"),
+                         F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_totalprice")
+
+    return load([path + "-missing-1", path, path + "-missing-2"]).unionByName(load([path + "-missing-1"]))
 
 
 @query("csv_roundtrip")
@@ -166,8 +171,10 @@ def _reply_plan(spark, sf_dir):
 @query("completion_source")
 def q_completion_source(spark, sf_dir):
     plan, _ = _reply_plan(spark, sf_dir)
-    out = synth.completion_source(plan, recorded=fx.responses(spark, sf_dir))
-    return out.select("batch", "request_n", "response", F.col("response").isNotNull().cast("int").alias("has_reply"))
+    recorded = fx.responses(spark, sf_dir).where(F.col("batch") % 9 != 0)
+    out = synth.completion_source(plan, recorded=recorded)
+    return out.select("batch", "request_n", "response", F.col("response").isNotNull().cast("int").alias("has_reply"),
+                      "error")
 
 
 def _report_tables(spark, sf_dir):
@@ -176,6 +183,8 @@ def _report_tables(spark, sf_dir):
         "histogram": fidelity.pair_histogram(flows_pair(spark, sf_dir), FEATS),
         "box": fidelity.box_stats(fx.flows(spark, sf_dir), FEATS, "grp"),
         "hexbin": q_hexbin_density(spark, sf_dir),
+        "scatter": q_embedding_2d(spark, sf_dir),
+        "load_audit": q_load_audit(spark, sf_dir),
     }
 
 
@@ -187,13 +196,26 @@ def q_report_tables(spark, sf_dir):
 
 @query("load_audit")
 def q_load_audit(spark, sf_dir):
-    f = fx.flows(spark, sf_dir)
+    """Two sources whose quantity is unknown in some rows, and a stand-in."""
+    f = fx.flows(spark, sf_dir).withColumn("l_quantity", F.when(F.col("l_tax") >= 0.02, F.col("l_quantity")))
     parts = [report.load_audit(g, f.where(F.col("grp") == g), F.col("label") == "ssh", FEATS, False, SAMPLE_N)
              for g in ("F", "O")]
-    out = parts[0].unionByName(parts[1])
+    stand_in = report.load_audit("baseline", baseline(spark, sf_dir, SEED + 1, 1.03), None, FEATS, True)
+    out = parts[0].unionByName(parts[1]).unionByName(stand_in)
     return out.withColumn("simulated", F.col("simulated").cast("int"))
 
 
+@query("load_synthetic_a")
+def q_load_synthetic_a(spark, sf_dir):
+    """The loader of source A on a sheet with an index column, a label
+    column by its second name, fractions, holes, and one feature absent."""
+    f = fx.flows(spark, sf_dir)
+    quantity = F.when(F.col("l_tax") >= 0.02, F.col("l_quantity") / 100.0).alias("l_quantity")
+    sheet = f.select("grp", F.col("label").alias("LABEL"), quantity, "l_discount", "l_tax")
+    path = files.write_sheet(sheet, scratch_dir(spark, "synthetic-a"))
+    return sig_cols(workflows.load_synthetic_a(spark, path, FEATS, f.count(), SEED), FEATS)
+
+
 # ---------------------------------------------------------------- projections, filters
 
 
@@ -410,7 +432,9 @@ def q_repeat_average(spark, sf_dir):
     a = p.withColumn("mode", F.lit("high"))
     b = p.withColumn("mode", F.lit("urgent")).withColumn(
         "prediction", F.when(F.col("o_orderpriority") == "1-URGENT", "ssh").otherwise("non-ssh"))
-    both = a.unionByName(b).withColumn("_ep", F.concat_ws("|", "mode", F.col("run").cast("string"), "endpoint"))
+    key = F.concat_ws("|", "mode", F.col("run").cast("string"), "endpoint")
+    both = a.unionByName(b).withColumn("_ep", F.when(F.col("endpoint") == detect.DUMMY_ENDPOINT, F.col("endpoint"))
+                                       .otherwise(key))
     voted = detect.majority_vote(both, "_ep", "prediction")
     out = detect.repeat_average(voted)
     return sig_cols(out, ["precision", "recall", "f1"])
@@ -439,20 +463,37 @@ def q_group_counts(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    """Parsed replies, computed once per query and shared (the strict JSON
-    parse is the Python step; persisted, recomputable from lineage)."""
-    return synth.parsed_items(fx.responses(spark, sf_dir)).persist()
+    """Parsed replies, written once per query and shared."""
+    items = synth.parsed_items(fx.responses(spark, sf_dir))
+    path = scratch_dir(spark, "reply-items")
+    items.write.parquet(path)
+    return spark.read.schema(items.schema).parquet(path)
+
+
+def _runs(spark, sf_dir):
+    """Two runs that ask for fewer records than a reply holds: ``all``
+    replies, of which some fail, so that the target is missed; the ``full``
+    ones, which reach it, the last with a smaller request and some unread.
+    (run, items, n)."""
+    items = _items(spark, sf_dir)
+    events = fx.table(spark, sf_dir, "events").count()
+    full = items.where(F.col("batch") % 6 < 3).withColumn("batch", fx.full_number(F.col("batch")))
+    return [("all", items, events * REQUEST // fx.REPLY_BATCH), ("full", full, events * 3 // 10 - 7)]
+
+
+def _accountings(spark, sf_dir):
+    return [(run, items, synth.batch_accounting(synth.counts_from_items(items), n, REQUEST))
+            for run, items, n in _runs(spark, sf_dir)]
 
 
-def _accounting(spark, sf_dir, items=None):
-    items = items if items is not None else _items(spark, sf_dir)
-    _, n = _reply_plan(spark, sf_dir)
-    return synth.batch_accounting(synth.counts_from_items(items), n, BATCH)
+def _per_run(frames):
+    (run_a, a), (run_b, b) = frames
+    return a.withColumn("run", F.lit(run_a)).unionByName(b.withColumn("run", F.lit(run_b)))
 
 
 @query("batch_outcomes")
 def q_batch_outcomes(spark, sf_dir):
-    return synth.batch_outcomes(_accounting(spark, sf_dir))
+    return _per_run([(run, synth.batch_outcomes(acc)) for run, _, acc in _accountings(spark, sf_dir)])
 
 
 # ---------------------------------------------------------------- windows, samples, unions
@@ -460,18 +501,17 @@ def q_batch_outcomes(spark, sf_dir):
 
 @query("batch_accounting")
 def q_batch_accounting(spark, sf_dir):
-    return _accounting(spark, sf_dir)
+    return _per_run([(run, acc) for run, _, acc in _accountings(spark, sf_dir)])
 
 
 def _take_first(spark, sf_dir, feats=fx.REPLY_FEATURES):
-    items = _items(spark, sf_dir)
-    recs = synth.records_from_items(items, feats)
-    return synth.take_first_per_batch(recs, _accounting(spark, sf_dir, items))
+    return [(run, synth.take_first_per_batch(synth.records_from_items(items, feats), acc))
+            for run, items, acc in _accountings(spark, sf_dir)]
 
 
 @query("take_first_per_batch")
 def q_take_first_per_batch(spark, sf_dir):
-    return _take_first(spark, sf_dir)
+    return _per_run(_take_first(spark, sf_dir))
 
 
 @query("ipa_gaps")
@@ -566,8 +606,10 @@ def _reply_profile(spark, sf_dir):
 
 @query("assemble_synthetic")
 def q_assemble_synthetic(spark, sf_dir):
-    _, n = _reply_plan(spark, sf_dir)
-    return synth.assemble_synthetic(_take_first(spark, sf_dir), _reply_profile(spark, sf_dir), fx.REPLY_FEATURES, n)
+    """A cap below the number of complete records."""
+    n = fx.table(spark, sf_dir, "events").count() // 4
+    records = dict(_take_first(spark, sf_dir))["all"]
+    return synth.assemble_synthetic(records, _reply_profile(spark, sf_dir), fx.REPLY_FEATURES, n)
 
 
 @query("gaussian_baseline")
@@ -577,7 +619,7 @@ def q_gaussian_baseline(spark, sf_dir):
 
 @query("record_audit")
 def q_record_audit(spark, sf_dir):
-    return synth.record_audit(_take_first(spark, sf_dir), _reply_profile(spark, sf_dir), fx.REPLY_FEATURES)
+    return synth.record_audit(dict(_take_first(spark, sf_dir))["all"], _reply_profile(spark, sf_dir), fx.REPLY_FEATURES)
 
 
 @query("minmax_scale")
@@ -706,7 +748,15 @@ def q_session_type(spark, sf_dir):
 
 @query("coherence_audit")
 def q_coherence_audit(spark, sf_dir):
+    """Stated values of which some are wrong: each rule has its own keys."""
+    def wrong(col, key, every, times):
+        return (F.col(col) * F.when(F.col(key) % every == 0, times).otherwise(1.0)).alias(col)
+
     cs = features.connection_stats(fx.conns(spark, sf_dir), "dst", "src")
-    st = features.session_time(_pk(spark, sf_dir), "session", "ts", "pid")
-    sessions = _transfer(spark, sf_dir).join(st.drop("duration"), "session")
-    return features.coherence_audit(cs, sessions, TOL)
+    cs = cs.select("dst", "total", "n_sources", wrong("avg_per_source", "dst", 10, 1.5))
+    gaps = features.packet_gaps(_pk(spark, sf_dir), "session", "ts", "pid")
+    st = features.stats_of_gaps(gaps, "session").drop("duration")
+    sessions = _transfer(spark, sf_dir).join(st, "session").select(
+        "session", "bytes_sent", "bytes_recv", "duration", "n_packets", wrong("speed", "session", 7, 2.0),
+        wrong("ratio", "session", 11, 1.5), wrong("ipa_mean", "session", 13, 1.1), wrong("ipa_var", "session", 5, 2.0))
+    return features.coherence_audit(cs, sessions, TOL, gaps)

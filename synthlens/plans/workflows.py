@@ -15,15 +15,18 @@ Every step is a DataFrame; the only driver-side values are constant-size
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from synthlens.operators import clean, detect, fidelity, profile, report, sampling, synth
+from synthlens.session import scratch_dir
 from synthlens.sources import files
 from synthlens.sources.catalog import SESSION_FEATURES, DatasetSpec
 
 # Label-column candidates of the two synthetic sources, and
-# the four key features of the box-statistics panel.
+# the four key features of the box-statistics panel (``box_features`` of the session tables).
 REPORT_A_LABELS = ("LABEL with GAP and Softmax", "LABEL")
 DETECTOR_SYNTH_LABELS = ("label", "LABEL")
 BOX_FEATURES = ("log_time_interval_mean", "log_time_interval_var", "log_ratio_trans_receive", "log_time_taken")
@@ -64,8 +67,8 @@ def load_real(spark: SparkSession, path: str, features: Sequence[str], n: int |
 def synthesize(spark: SparkSession, real: DataFrame, features: Sequence[str] = SESSION_FEATURES,
                specs: Sequence[synth.FeatureSpec] = tuple(SESSION_SPECS), n: int = 1000, batch_size: int = 20,
                recorded: DataFrame | None = None, completer: Callable[[str, str], str] | None = None,
-               seed: int = 42, label_col: str | None = None, output_path: str | None = None
-               ) -> tuple[DataFrame, DataFrame, DataFrame]:
+               seed: int = 42, label_col: str | None = None, output_path: str | None = None,
+               concurrency: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Synthesis run. Returns ``(records, outcomes, prompts)``.
 
     Prompts are rendered for the static plan; replies come from a recorded
@@ -75,8 +78,12 @@ def synthesize(spark: SparkSession, real: DataFrame, features: Sequence[str] = S
     prof = profile.describe_profile(real, features).persist()
     plan = synth.batch_plan(spark, n, batch_size)
     prompts = synth.prompt_text(prof, specs, plan)
-    replies = synth.completion_source(prompts, recorded=recorded, completer=completer)
-    items = synth.parsed_items(replies).persist()
+    replies = synth.completion_source(prompts, recorded=recorded, completer=completer, concurrency=concurrency)
+    if recorded is None:  # a second call would give other texts
+        path = scratch_dir(spark, "replies")
+        replies.write.parquet(path)
+        replies = spark.read.schema(replies.schema).parquet(path)
+    items = synth.parsed_items(replies)
     acc = synth.batch_accounting(synth.counts_from_items(items), n, batch_size)
     recs = synth.take_first_per_batch(synth.records_from_items(items, features), acc)
     out = synth.assemble_synthetic(recs, prof, features, n, seed, label_col=label_col)
@@ -85,7 +92,10 @@ def synthesize(spark: SparkSession, real: DataFrame, features: Sequence[str] = S
     return out, synth.batch_outcomes(acc), prompts
 
 
-def _load_synthetic_a(spark, path, features, n, seed):
+def load_synthetic_a(spark: SparkSession, path: str, features: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """Source A: the first column (an index) goes, ``ssh`` rows by the first
+    label column there is, the features there are, complete rows, fractions
+    to percent, an exact sample of ``n``, and 0 for an absent feature."""
     df = files.read_table(spark, path)
     df = df.drop(df.columns[0])
     df = clean.filter_by_resolved_label(df, REPORT_A_LABELS)
@@ -96,34 +106,42 @@ def _load_synthetic_a(spark, path, features, n, seed):
     return clean.fill_missing_features(df, features).select(*features)
 
 
-def _load_synthetic_b(spark, path, features, n, seed):
+def load_synthetic_b(spark: SparkSession, path: str, features: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """Source B: every feature must be there; complete rows, exact sample."""
     df = files.scan_features(spark, path, features, missing="error")
     return sampling.exact_sample(clean.drop_incomplete(df, features), n, seed)
 
 
-def _default_box(features: Sequence[str]) -> list[str]:
-    key = [f for f in BOX_FEATURES if f in features]
-    return key if len(key) == len(BOX_FEATURES) else list(features)
+def _audited(spark: SparkSession, name: str, path: str, labels: Sequence[str], features: Sequence[str], n: int) -> DataFrame:
+    raw = files.read_table(spark, path)
+    col = clean.resolve_label_column(raw, labels)
+    have = [f for f in features if f in raw.columns]
+    ok = None if col is None else F.col(col).cast("string") == clean.SSH
+    return report.load_audit(name, clean.cast_features(raw, have), ok, have, False, n)
 
 
 def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None = None, b_path: str | None = None,
                     features: Sequence[str] = SESSION_FEATURES, n: int = 1000, seed: int = 42,
                     box_features: Sequence[str] | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:
-    """Fidelity report of ``original`` (already loaded and sampled) against
+    """Fidelity report of ``original`` (already loaded and sampled; named
+    features are the box panel's, by default all of them) against
     synthetic source A and B; an absent file is replaced by a Gaussian
     stand-in of ``n`` rows from the original's profile (noise 1.03 / 1.08,
     seeds +1 / +2).
     Returns named report tables (and writes them under ``out_dir``)."""
     base_prof = profile.describe_profile(original, features, quantiles=False).persist()
-    sim = {}
+    sim, audits = {}, [report.load_audit("original", original, None, features)]
     if a_path and files.path_exists(spark, a_path):
-        a, sim["A"] = _load_synthetic_a(spark, a_path, features, n, seed), False
+        a, sim["A"] = load_synthetic_a(spark, a_path, features, n, seed), False
+        audits.append(_audited(spark, "A", a_path, REPORT_A_LABELS, features, n))
     else:
         a, sim["A"] = synth.gaussian_baseline(spark, base_prof, features, n, seed + 1, 1.03).drop("id"), True
     if b_path and files.path_exists(spark, b_path):
-        b, sim["B"] = _load_synthetic_b(spark, b_path, features, n, seed), False
+        b, sim["B"] = load_synthetic_b(spark, b_path, features, n, seed), False
+        audits.append(_audited(spark, "B", b_path, (), features, n))
     else:
         b, sim["B"] = synth.gaussian_baseline(spark, base_prof, features, n, seed + 2, 1.08).drop("id"), True
+    audits += [report.load_audit(k, {"A": a, "B": b}[k], None, features, True) for k, v in sim.items() if v]
     union = fidelity.labelled_union([("original", original), ("A", a), ("B", b)], features).persist()
     emb = fidelity.embedding_2d(union, features, keep=["grp"])
     jsd_a, jsd_b = fidelity.jsd(original, a, features), fidelity.jsd(original, b, features)
@@ -132,10 +150,11 @@ def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None
         "jsd": fidelity.jsd_summary(jsd_a, jsd_b),
         "means": profile.metric_pivot(moments, "mean", "grp", ["original", "A", "B"]),
         "stds": profile.metric_pivot(moments, "std", "grp", ["original", "A", "B"]),
-        "box": fidelity.box_stats(union, list(box_features or _default_box(features)), "grp"),
+        "box": fidelity.box_stats(union, list(box_features or features), "grp"),
         "embedding": emb,
         "hexbin": fidelity.hexbin_density(emb, "x", "y", "grp"),
         "counts": profile.group_counts(union, "grp"),
+        "load_audit": reduce(DataFrame.unionByName, audits),
         "provenance": spark.createDataFrame([(k, v) for k, v in sim.items()], "source string, simulated boolean"),
     }
     if out_dir:

@@ -1,5 +1,6 @@
 """Golden micro-cases (FIXTURES.md part C)."""
 
+import json
 import math
 
 import pytest
@@ -47,6 +48,50 @@ def test_reply_parser_goldens(spark):
         assert kept.get(i + 1, 0) == keep, text
 
 
+def test_reply_parser_agrees_with_the_json_reader(spark):
+    """Items of odd texts against Python's reader of the same candidate."""
+    texts = ['[{"a":1}]}', '[{"a":1}],"z":[1]', '[1],"end":1,"x":[2]', '[{"a":1}],"r":[{"a":2}]', "[{'a':1}]", '[{"a":01}]',
+             '[{"a":.5}]', '[{"a":5.}]', '[{"a":1 /*c*/}]', '[{"a":1},,{"a":2}]', '[{"a":1e400}]', '[{"a":-Infinity,"b":2}]',
+             '[{"a":true,"b":1}]', '[{"a":1},[{"a":2}],null,"x",3]', '[{"a":1,"a":2}]', '[ {"a" : 1.5E3 } ]', '[[1]] x [2]',
+             '[{"a":"x\ty"}]', '[{"a":{"c":1},"b":4}]', '[{"a":123456789012345678901234567890}]']
+
+    def number(v):
+        ok = isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+        return float(v) if ok else None
+
+    def items(text):
+        return [(number(x.get("a")), number(x.get("b"))) if isinstance(x, dict) else (None, None) for x in json.loads(text)]
+
+    def read(text):
+        candidate = text[text.index("["):text.rindex("]") + 1]
+        cut = candidate.rfind(",", 0, len(candidate) - 5)
+        for t in [candidate] + ([candidate[:cut] + "]"] if cut > 0 else []):
+            try:
+                return items(t)
+            except ValueError:
+                continue
+        return []
+
+    texts = [(i, text, read(text)) for i, text in enumerate(texts)]
+    replies = spark.createDataFrame([(i, t) for i, t, _ in texts], "batch long, response string")
+    got = {}
+    for r in synth.records_from_replies(replies, ["a", "b"]).orderBy("batch", "pos").collect():
+        got.setdefault(r["batch"], []).append((r["a"], r["b"]))
+    for i, text, want in texts:
+        assert got.get(i, []) == want, text
+
+
+def test_failed_calls_say_why(spark):
+    def completer(system, prompt):
+        if prompt == "p1":
+            raise ValueError("too long")
+        return None if prompt == "p2" else "[]"
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(3)], "batch long, prompt string")
+    out = {r["batch"]: (r["response"], r["error"]) for r in synth.completion_source(prompts, completer=completer).collect()}
+    assert out == {0: ("[]", None), 1: (None, "ValueError: too long"), 2: (None, synth.NO_REPLY)}
+
+
 def one_col(spark, values, name="v"):
     return spark.createDataFrame([(float(v),) for v in values], f"{name} double")
 

@@ -52,6 +52,21 @@ def test_fidelity_report_simulated_and_file(spark, sf_small):
     assert t["hexbin"].count() > 0 and t["box"].count() == 3 * len(FEATS)
 
 
+def test_load_synthetic_a(spark, sf_small):
+    """Index column, label by its second name, fractions, one feature absent."""
+    flows = fx.flows(spark, sf_small).select(F.lit(7).alias("_row"), F.col("label").alias("LABEL"),
+                                             (F.col("l_quantity") / 100).alias("l_quantity"), "l_discount", "l_tax")
+    path = _sheet(spark, flows, "a", index_col="_row")
+    a = wf.load_synthetic_a(spark, path, FEATS, n=100)
+    row = a.agg(F.count("*").alias("n"), F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("p")).first()
+    assert row["n"] == 100 and 1 < row["q"] <= 50 and row["p"] == 0.0
+    t = wf.fidelity_report(spark, fx.flows(spark, sf_small).where("grp = 'F'").select(*FEATS), a_path=path, features=FEATS, n=100)
+    audit = {r["source"]: r for r in t["load_audit"].collect()}
+    n_ssh = flows.where("LABEL = 'ssh'").count()
+    assert (audit["A"]["n_total"], audit["A"]["n_label"], audit["A"]["n_selected"]) == (flows.count(), n_ssh, 100)
+    assert audit["B"]["simulated"] and not audit["A"]["simulated"] and not audit["original"]["simulated"]
+
+
 def test_detector_comparison(spark, sf_small):
     root = scratch_dir(spark, "datasets")
     li = fx.table(spark, sf_small, "lineitem")
