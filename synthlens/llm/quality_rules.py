@@ -3,7 +3,8 @@
 Every line is judged on its own; failing lines are removed; then the
 document is judged by what it lost. A line with words fails if it
 
-- is *boilerplate*: it contains one of the fixed phrases;
+- is *boilerplate*: fixed phrases, each on word boundaries, hold at least
+  half of its words (a mention within prose does not count);
 - is *navigation or symbols*: over 30% of its words hold one of the
   characters ``# * $ % & | < >``;
 - is *shouting*: at least 4 words, over 60% of them with A-Z but no a-z;
@@ -37,6 +38,7 @@ BOILERPLATE = (b"all rights reserved", b"privacy policy", b"terms of use", b"ter
                b"click here", b"enable javascript", b"subscribe to our newsletter", b"sign in to", b"powered by")
 # Marks that end a sentence.
 ENDS = b".!?:;\"')]}"
+BOILERPLATE_PERCENT = 50
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 30
@@ -46,7 +48,8 @@ MIN_LINE_WORDS = 3
 MAX_LOST_PERCENT = 40
 
 _SYMBOL = re.compile(b"[" + re.escape(SYMBOLS) + b"]")
-_PHRASE = re.compile(b"|".join(map(re.escape, BOILERPLATE)))
+# A letter, digit or byte above ASCII beside a phrase makes it part of another word.
+_PHRASE = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(map(re.escape, BOILERPLATE)) + rb")(?![0-9a-z\x80-\xff])")
 _NOT_WORD = " \t\n\x0b\x0c\r"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed",
@@ -70,7 +73,7 @@ def repeat_words(words: list[bytes]) -> int:
 def line_fails(line: bytes, words: list[bytes], seen: bool) -> bool:
     """Whether a line with words is removed."""
     n = len(words)
-    if seen or _PHRASE.search(line.lower()):
+    if seen or 100 * sum(len(p.split()) for p in _PHRASE.findall(line.lower())) >= BOILERPLATE_PERCENT * n:
         return True
     if _SYMBOL.search(line) and 100 * sum(1 for w in words if _SYMBOL.search(w)) > MAX_SYMBOL_PERCENT * n:
         return True

@@ -152,6 +152,17 @@ def test_lines_go_and_documents_that_lose_too_much():
     assert quality_rules.judge(good + "\n" + "MANY WORDS IN CAPITALS HERE " * 20)[2] is False
 
 
+def test_prose_that_mentions_boilerplate_is_kept():
+    prose = " ".join(f"w{i}" for i in range(70))
+    for phrase in [p.decode() for p in quality_rules.BOILERPLATE]:
+        for text in (f"{prose} {phrase} and more.", f"{prose}.\nThey told us about the words {phrase} in a short line."):
+            counts, base, kept, left = quality_rules.judge(text)
+            assert kept and not base and left == text and counts[5] == 0
+        for line in (phrase.capitalize() + ".", f"{phrase.upper()} | {phrase}", f"Acme 2024 {phrase}"):
+            assert quality_rules.judge(f"{prose}.\n{line}")[3] == f"{prose}."
+    assert quality_rules.judge(f"{prose}.\nDesign in Tokyo.")[3] == f"{prose}.\nDesign in Tokyo."
+
+
 # --- mixing
 def test_mix_reaches_targets(documents, no_docs, odd):
     rows = mixing.mix_sources(documents).collect()
