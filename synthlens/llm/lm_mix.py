@@ -16,8 +16,9 @@ from all training texts (``SLOTS`` pairs of counts per context, summed over
 tasks). A logistic mixer adds the counters' stretched probabilities with
 weights from a set chosen (gated) by how often the counters were seen; a
 last stage refines the result by a map from predicted to observed rates.
-Weights and map start alike for each text and learn from it as it goes, in
-blocks that double. The score is the sum of the decisions' log10
+Each text starts from weights and a map fitted over all training texts (see
+``fitted``) and learns from its own decisions as it goes, in blocks that
+double from ``FIRST_BLOCK`` decisions. The score is the sum of the decisions' log10
 probabilities, the total bits per byte of the word bytes its other form.
 
 The base score is that of single tokens with additive smoothing. Frequent
@@ -54,8 +55,11 @@ CONTEXTS = 3
 PART = 1 << 15  # slots per shuffled row
 FLUSH = 200_000  # distinct tokens that a task holds before it passes them on
 TEXTS = 400  # texts whose decisions are laid out at once
-FIRST_BLOCK = 4096
+FIRST_BLOCK = 32
 RATE = 0.02
+TALLY = 1 << 21  # distinct keys that a task holds before it passes them on
+ROUNDS = 8  # of the fit, at most
+HOLD = 50.0  # how firmly the fit holds on to the hand-set weights
 STOP = 256  # the mark after a spelled word
 END = b""  # the end token; no word is empty
 
@@ -250,82 +254,234 @@ def counter_rows(docs: DataFrame, code: Code) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
 
 
+@dataclass
+class Start:
+    """What every text's decisions of one kind start from."""
+
+    weights: np.ndarray  # CONTEXTS x 4, by gate
+    shift: np.ndarray  # of the refining map, by group
+
+
 @dataclass
 class Model:
     code: Code
     cells: np.ndarray  # CONTEXTS x SLOTS: 6 bits of stretched probability, 2 bits of how often it was seen
+    starts: tuple[Start, Start] | None = None  # of words and of letters; none: as set by hand
 
 
-def gather(docs: DataFrame, code: Code) -> Model:
-    """The counters as cells: SLOTS x CONTEXTS numbers reach the driver, whatever the data."""
-    cells = np.full((CONTEXTS * SLOTS // PART, PART), 32 << 2, np.uint8)
+def gathered(docs: DataFrame, code: Code) -> np.ndarray:
+    """The counters: SLOTS x CONTEXTS pairs reach the driver, whatever the data."""
+    out = np.zeros((CONTEXTS * SLOTS // PART, PART, 2), np.int64)
     for r in counter_rows(docs, code).toLocalIterator():
-        n = np.frombuffer(zlib.decompress(r["counts"]), "<i4").reshape(PART, 2).astype(np.float32)
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i4").reshape(PART, 2)
+    return out
+
+
+def cells_of(counts: np.ndarray) -> np.ndarray:
+    cells = np.empty(counts.shape[:2], np.uint8)
+    for part, n in zip(cells, counts):
         stretch = np.clip(np.rint(np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)) * 4) + 32, 0, 63).astype(np.uint8)
-        cells[r["part"]] = stretch << 2 | np.digitize(n.sum(axis=1), SEEN).astype(np.uint8)
-    return Model(code, cells.reshape(CONTEXTS, SLOTS))
+        part[:] = stretch << 2 | np.digitize(n.sum(axis=1), SEEN).astype(np.uint8)
+    return cells.reshape(CONTEXTS, SLOTS)
+
+
+def gather(docs: DataFrame, code: Code) -> Model:
+    """The model of (text, fold): counters of all texts, and the start fitted
+    on each fold's texts under the counters of the other fold alone, as the
+    counters of a text's own decisions would foretell them."""
+    folds = [gathered(docs.where(F.col("fold") == f), code) for f in (0, 1)]
+    starts = fitted(docs, code, [cells_of(folds[1]), cells_of(folds[0])])
+    return Model(code, cells_of(folds[0] + folds[1]), starts)
+
+
+# --- starts ----------------------------------------------------------------------------------------------------
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their summed counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
+
+def joint_counts(docs: DataFrame, code: Code, others: list[np.ndarray]) -> DataFrame:
+    """(part, keys, counts): how often each triple of cells met each branch,
+    by kind, over all texts of (text, fold); exact, so that the rounds of the
+    fit need not read the texts again. ``others``: by fold, the cells to use."""
+    sent = docs.sparkSession.sparkContext.broadcast((code, others))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, cells = sent.value
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        fresh = distinct = 0
+
+        def out() -> pa.RecordBatch:
+            k, n = merged(keys, counts)
+            parts = k >> _U(17)
+            firsts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+            spans = list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(k)]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(parts[firsts].astype(np.int32)), pa.array([zlib.compress(k[a:b].tobytes(), 1) for a, b in spans], pa.binary()),
+                 pa.array([zlib.compress(n[a:b].tobytes(), 1) for a, b in spans], pa.binary())], names=["part", "keys", "counts"])
+
+        for b in slices(batches, TEXTS):
+            fold = b.column(1).to_numpy(zero_copy_only=False)
+            for f in (0, 1):
+                texts = b.column(0).filter(pa.array(fold == f)).to_pylist()
+                for kind, (slots, bits, _) in enumerate(decisions(texts, c)[0]):
+                    key = np.full(len(bits), kind, np.uint32)
+                    for k in range(CONTEXTS):
+                        key = key << _U(8) | cells[f][k].take(slots[k])
+                    key = key << _U(1) | bits
+                    key.sort()
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                    keys.append(key[first])
+                    counts.append(np.diff(np.append(first, len(key))))
+                    fresh += len(first)
+            if fresh > max(TALLY, distinct):
+                k, n = merged(keys, counts)
+                keys, counts, fresh, distinct = [k], [n], 0, len(k)
+                if distinct > TALLY:
+                    yield out()
+                    keys, counts, distinct = [], [], 0
+        if sum(map(len, keys)):
+            yield out()
+
+    def total(t: pa.Table) -> pa.Table:
+        k, n = merged(*([np.frombuffer(zlib.decompress(x.as_py()), d) for x in t.column(name)] for name, d in (("keys", "<u4"), ("counts", "<i8"))))
+        return pa.table({"part": t.column("part").slice(0, 1), "keys": pa.array([zlib.compress(k.tobytes(), 1)], pa.binary()),
+                         "counts": pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())})
+
+    schema = "part int, keys binary, counts binary"
+    return docs.select("text", "fold").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
+
+
+def fitted(docs: DataFrame, code: Code, others: list[np.ndarray]) -> tuple[Start, Start]:
+    """Weights that make the training texts likeliest, by Newton rounds over
+    the joint counts (gradients and second derivatives summed per task), and
+    the map's shifts under them."""
+    joint = written(joint_counts(docs, code, others), "lm-joint")
+    weights = np.stack([WORD_WEIGHTS, LETTER_WEIGHTS])
+    held = weights.copy()
+    for rounds in range(ROUNDS + 1):
+        slope, bend, miss, mass = _sums(joint, weights)
+        if rounds == ROUNDS:
+            break
+        pull = slope - HOLD * (weights - held).reshape(2, -1)
+        step = np.stack([np.linalg.solve(bend[i] + HOLD * np.eye(bend.shape[1]), pull[i]) for i in (0, 1)]).clip(-1, 1)
+        if np.abs(step).max() < 1e-3:
+            break
+        weights = weights + step.reshape(weights.shape)
+    return tuple(Start(weights[i], miss[i] / (mass[i] + MAP_MASS)) for i in (0, 1))
+
+
+def _sums(joint: DataFrame, weights: np.ndarray) -> list[np.ndarray]:
+    """By kind: first and second derivatives of the log likelihood, and by
+    group of the map the branches beyond those foretold and the decisions."""
+    n = CONTEXTS * 4
+    shapes = ((2, n), (2, n, n), (2, MAP_GROUPS), (2, MAP_GROUPS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, bend, miss, mass = map(np.zeros, shapes)
+        for b in batches:
+            for keys, counts in zip(b.column(1), b.column(2)):
+                key = np.frombuffer(zlib.decompress(keys.as_py()), "<u4")
+                c = np.frombuffer(zlib.decompress(counts.as_py()), "<i8").astype(float)
+                kind = int(key[0] >> _U(25))  # a part holds one kind
+                own = [(key >> _U(17 - 8 * k)) & _U(255) for k in range(CONTEXTS)]
+                s = [STRETCH[x] for x in own]
+                place = [GATE[x] + 4 * k for k, x in enumerate(own)]
+                z = sum(weights[kind].ravel()[i] * x for i, x in zip(place, s))
+                p = 1 / (1 + np.exp(-np.clip(z, -8, 8)))
+                err, spread = c * ((key & _U(1)) - p), c * p * (1 - p)
+                group = _GROUP[((np.clip(z, -8, 8) + 8) * MAP_SCALE + 0.5).astype(np.intp)]
+                miss[kind] += np.bincount(group, err, MAP_GROUPS)
+                mass[kind] += np.bincount(group, c, MAP_GROUPS)
+                for i in range(CONTEXTS):
+                    slope[kind] += np.bincount(place[i], err * s[i], n)
+                    for j in range(CONTEXTS):
+                        bend[kind] += np.bincount(place[i] * n + place[j], spread * s[i] * s[j], n * n).reshape(n, n)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in (slope, bend, miss, mass)])],
+                                                   pa.list_(pa.float64()))], names=["sums"])
+
+    rows = joint.mapInArrow(run, "sums array<double>").collect()
+    flat = np.sum([r["sums"] for r in rows], axis=0) if rows else np.zeros(sum(map(math.prod, shapes)))
+    return [x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum([math.prod(x) for x in shapes])[:-1]), shapes)]
 
 
 # --- scores ----------------------------------------------------------------------------------------------------
 SEEN = (0.5, 4.5, 64.5)  # a counter was seen never, a few times, often, very often
 STRETCH = ((np.arange(256) >> 2) - 32) / 4.0  # of a cell
 GATE = np.arange(256) & 3  # of a cell: which weight of its context
-# Starting weights by gate, for each context of words and of letters.
+# Weights by gate, for each context of words and of letters: where the fit starts.
 WORD_WEIGHTS = np.array([[0, 0.8, 1.0, 1.0], [0, 0.15, 0.5, 0.5], [0, 0.15, 0.5, 0.5]])
 LETTER_WEIGHTS = np.array([[0, 0.3, 0.4, 0.4], [0, 0.3, 0.4, 0.4], [0, 0.3, 0.4, 0.4]])
 MAP_SCALE = 32  # cells of the refining map per unit of stretched probability
 MAP_CELLS = 16 * MAP_SCALE + 1
 _MIXED = 1 / (1 + np.exp(-(np.arange(MAP_CELLS) / MAP_SCALE - 8)))
 _GROUP = np.arange(MAP_CELLS) // (MAP_SCALE // 2)  # the refining map learns one shift per half unit
+MAP_GROUPS = int(_GROUP[-1]) + 1
+MAP_MASS = 40.0  # decisions that a starting shift counts for
 
 
 class Mixer:
-    """Weights and refining map of one text's decisions of one kind."""
+    """Weights and refining map of decisions of one kind, for each text of a
+    batch; the texts go through their blocks side by side."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights.copy()
-        self.hits = 40.0 * np.bincount(_GROUP, _MIXED) / np.bincount(_GROUP)
-        self.mass = np.full(len(self.hits), 40.0)
-        self.even = self.hits / self.mass
+    def __init__(self, weights: np.ndarray, shift: np.ndarray | None = None, n_texts: int = 1):
+        self.weights = np.repeat(weights[None], n_texts, axis=0)
+        self.miss = np.repeat(MAP_MASS * (np.zeros(MAP_GROUPS) if shift is None else shift)[None], n_texts, axis=0)
+        self.mass = np.full((n_texts, MAP_GROUPS), MAP_MASS)
 
     def run(self, cells: list[np.ndarray], bits: np.ndarray) -> float:
-        """Sum of log10 probabilities; learns after each block."""
-        total, start, block = 0.0, 0, FIRST_BLOCK
-        while start < len(bits):
-            end = min(len(bits), start + block)
-            own, bit = [c[start:end] for c in cells], bits[start:end]
-            scaled = [(STRETCH * self.weights[k][GATE] * MAP_SCALE).astype(np.float32) for k in range(CONTEXTS)]
-            mixed = scaled[0].take(own[0])
+        """Sum of log10 probabilities of one text; learns after each block."""
+        return float(self.run_all(cells, bits, np.array([0, len(bits)]))[0])
+
+    def run_all(self, cells: list[np.ndarray], bits: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The sum of each text, whose decisions lie between two cuts."""
+        sizes = np.diff(cuts)
+        totals = np.zeros(len(sizes))
+        start, block = 0, FIRST_BLOCK
+        while len(texts := np.flatnonzero(sizes > start)):
+            n = np.minimum(sizes[texts] - start, block)
+            at = np.arange(int(n.sum())) + np.repeat(cuts[texts] + start - (np.cumsum(n) - n), n)
+            who = np.repeat(np.arange(len(texts)), n)
+            own, bit = [(who << 8) + c.take(at) for c in cells], bits.take(at)
+            scaled = (self.weights[texts][:, :, GATE] * (STRETCH * MAP_SCALE)).astype(np.float32)
+            mixed = scaled[:, 0].ravel().take(own[0])
             for k in range(1, CONTEXTS):
-                mixed += scaled[k].take(own[k])
+                mixed += scaled[:, k].ravel().take(own[k])
             mixed += 8 * MAP_SCALE + 0.5
             np.maximum(mixed, 0, out=mixed)
             np.minimum(mixed, MAP_CELLS - 1, out=mixed)
-            at = mixed.astype(np.intp)
-            both = np.bincount((at << 1) | bit, minlength=2 * MAP_CELLS).reshape(MAP_CELLS, 2)
-            ones, met = both[:, 1], both.sum(axis=1)
-            refined = np.clip(_MIXED + (self.hits / self.mass - self.even)[_GROUP], 1e-4, 1 - 1e-4)
-            total += float(ones @ np.log10(refined) + (met - ones) @ np.log10(1 - refined))
-            err = bit - _MIXED.take(at)
-            rate = RATE / math.sqrt(end - start)
+            cell = mixed.astype(np.intp)
+            foretold = _MIXED.take(cell)
+            group = who * MAP_GROUPS
+            group += _GROUP.take(cell)
+            refined = foretold + (self.miss[texts] / self.mass[texts]).ravel().take(group)
+            np.maximum(refined, 1e-4, out=refined)
+            np.minimum(refined, 1 - 1e-4, out=refined)
+            totals[texts] += np.bincount(who, np.log(np.abs((1 - bit) - refined).astype(np.float32)), len(texts))
+            err = bit - foretold
+            rate = (RATE / np.sqrt(n))[:, None]
             for k in range(CONTEXTS):
-                self.weights[k] += rate * np.bincount(GATE, np.bincount(own[k], err, 256) * STRETCH, 4)
-            self.hits += np.bincount(_GROUP, ones)
-            self.mass += np.bincount(_GROUP, met)
-            start, block = end, block * 2
-        return total
+                slope = np.bincount(own[k], err, 256 * len(texts)).reshape(-1, 256) * STRETCH
+                self.weights[texts, k] += rate * slope.reshape(-1, 64, 4).sum(axis=1)  # the gate is a cell's lowest bits
+            self.miss[texts] += np.bincount(group, err, MAP_GROUPS * len(texts)).reshape(-1, MAP_GROUPS)
+            self.mass[texts] += np.bincount(group, minlength=MAP_GROUPS * len(texts)).reshape(-1, MAP_GROUPS)
+            start, block = start + block, block * 2
+        return totals / math.log(10)
 
 
 def log10_probabilities(series, n_texts: int, m: Model) -> list[float]:
     """The model's log10 probability of each text, from the batch's decisions."""
-    totals = [0.0] * n_texts
-    for (slots, bits, cuts), weights in zip(series, (WORD_WEIGHTS, LETTER_WEIGHTS)):
-        cells = [m.cells[k].take(slots[k]).astype(np.intp) for k in range(CONTEXTS)]  # the index type, cast once
-        for i in range(n_texts):
-            s, e = int(cuts[i]), int(cuts[i + 1])
-            if e > s:
-                totals[i] += Mixer(weights).run([c[s:e] for c in cells], bits[s:e])
-    return totals
+    totals = np.zeros(n_texts)
+    starts = m.starts or (Start(WORD_WEIGHTS, np.zeros(MAP_GROUPS)), Start(LETTER_WEIGHTS, np.zeros(MAP_GROUPS)))
+    for (slots, bits, cuts), start in zip(series, starts):
+        cells = [m.cells[k].take(slots[k]) for k in range(CONTEXTS)]
+        totals += Mixer(start.weights, start.shift, n_texts).run_all(cells, bits, np.asarray(cuts))
+    return totals.tolist()
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -335,7 +491,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     carry = carry or {}
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("_train"),
                        *[c.alias(k) for k, c in carry.items()])
-    learn = rows.where("_train").select("text")
+    learn = rows.where("_train").select("text", F.xxhash64("doc_id", "text").bitwiseAND(1).cast("int").alias("fold"))
     counts = written(token_counts(learn), "token-counts")
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(all_["n"]), int(all_["v"])

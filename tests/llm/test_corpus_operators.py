@@ -136,6 +136,29 @@ def test_mixer_learns_and_batches_do_not_matter():
     assert -lm_mix.Mixer(lm_mix.WORD_WEIGHTS).run(cells, bits) < 0.6 * len(bits) * math.log10(2)
 
 
+def test_short_texts_learn_along_the_way():
+    bits = np.ones(500, np.uint8)
+    cells = [np.full(len(bits), (32 << 2) + 3, np.intp)] * lm_mix.CONTEXTS
+    assert -lm_mix.Mixer(lm_mix.WORD_WEIGHTS).run(cells, bits) < 0.7 * len(bits) * math.log10(2)
+
+
+def test_starts_are_fitted_over_the_training_texts(documents, rows_of):
+    import zlib
+    from dataclasses import replace
+
+    fold = F.xxhash64("doc_id").bitwiseAND(1).cast("int")
+    learn = documents.where(crc_mod(F.col("doc_id"), 5) != 1).select("text", fold.alias("fold"))
+    counts = {bytes(r["token"]): r["c"] for r in lm_mix.token_counts(learn).collect()}
+    top = sorted(((t, c) for t, c in counts.items() if c > 1 or not t), key=lambda x: (x[0] != b"", -x[1], x[0]))
+    m = lm_mix.gather(learn, lm_mix.make_code(top, sum(counts.values())))
+    assert not np.allclose(m.starts[0].weights, lm_mix.WORD_WEIGHTS)
+    assert not np.allclose(m.starts[1].weights, lm_mix.LETTER_WEIGHTS)
+    held_out = [t for i, t, _ in rows_of if zlib.crc32(str(i).encode()) % 5 == 1]
+    series = lm_mix.decisions(held_out, m.code)[0]
+    by_hand = lm_mix.log10_probabilities(series, len(held_out), replace(m, starts=None))
+    assert sum(lm_mix.log10_probabilities(series, len(held_out), m)) > sum(by_hand)
+
+
 def test_trained_text_scores_better_than_noise(spark, odd, no_docs):
     docs = spark.createDataFrame([(i, "the quick brown fox jumps over the lazy dog " * 8) for i in range(20)]
                                  + [(50, "zq xj vk wq " * 26)], "doc_id long, text string")
