@@ -3,8 +3,8 @@
 A text is its words (A-Z lower-cased) and one end token. Every token is a
 series of binary decisions:
 
-- a word among the ``VOCABULARY`` most frequent training tokens met at
-  least twice (and the end token) is one symbol of a Huffman code over those tokens;
+- a word among all training tokens met at least twice (and the end token)
+  is one symbol of a Huffman code over those tokens;
 - any other word is the code of an escape symbol, then its bytes and a stop
   mark, each in a Huffman code over bytes.
 
@@ -22,8 +22,8 @@ double from ``FIRST_BLOCK`` decisions. The score is the sum of the decisions' lo
 probabilities, the total bits per byte of the word bytes its other form.
 
 The base score is that of single tokens with additive smoothing. Frequent
-tokens are sent to the tasks (``VOCABULARY`` tokens, whatever the data); all
-others are counted by a shuffle join.
+tokens are sent to the tasks (those of the code, which grow with the data);
+all others are counted by a shuffle join.
 
 Cases: null and empty texts are the end token alone; repeated rows score
 alike; without training text every decision starts even; an empty table
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,13 +43,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthlens.llm.common import slices, written
 
-VOCABULARY = 1 << 17
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS  # counters per context
 CONTEXTS = 3
@@ -129,6 +130,14 @@ class Code:
     ending: np.ndarray
     letters: list[bytes]
 
+    def __getstate__(self) -> bytes:
+        """Packed, as each executor keeps what is sent to it on disk."""
+        return zlib.compress(pickle.dumps((list(self.number), self.paths, self.whole, self.ending, self.letters), 5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        words, self.paths, self.whole, self.ending, self.letters = pickle.loads(zlib.decompress(state))
+        self.number = {t: i for i, t in enumerate(words)}
+
 
 def make_code(top: list[tuple[bytes, int]], n_all: int) -> Code:
     """From the most frequent tokens and the number of all training tokens."""
@@ -221,10 +230,17 @@ def decisions(texts: list[str | None], code: Code):
 
 
 # --- counters --------------------------------------------------------------------------------------------------
-def counter_rows(docs: DataFrame, code: Code) -> DataFrame:
+def summed(parts: list[bytes]) -> bytes:
+    """A part's counts (64 bits, so neither branch is cut short) from those of the tasks (32 bits)."""
+    out = np.zeros(PART * 2, np.int64)
+    for x in parts:
+        out += np.frombuffer(zlib.decompress(x), "<i4")
+    return zlib.compress(out.astype("<i8").tobytes(), 1)
+
+
+def counter_rows(docs: DataFrame, sent: Broadcast[Code]) -> DataFrame:
     """(part, counts): the counters of all training texts, summed over tasks
     part by part (a part: PART slots of one context)."""
-    sent = docs.sparkSession.sparkContext.broadcast(code)
     shape = (CONTEXTS, SLOTS, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +260,7 @@ def counter_rows(docs: DataFrame, code: Code) -> DataFrame:
                                                  names=["part", "counts"])
 
     def total(t: pa.Table) -> pa.Table:
-        out = np.zeros(PART * 2, np.int64)
-        for x in t.column("counts"):
-            out += np.frombuffer(zlib.decompress(x.as_py()), "<i4")
-        small = np.minimum(out, (1 << 31) - 1).astype("<i4")
-        return pa.table({"part": t.column("part").slice(0, 1), "counts": pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())})
+        return pa.table({"part": t.column("part").slice(0, 1), "counts": pa.array([summed(t.column("counts").to_pylist())], pa.binary())})
 
     schema = "part int, counts binary"
     return docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
@@ -269,11 +281,11 @@ class Model:
     starts: tuple[Start, Start] | None = None  # of words and of letters; none: as set by hand
 
 
-def gathered(docs: DataFrame, code: Code) -> np.ndarray:
+def gathered(docs: DataFrame, sent: Broadcast[Code]) -> np.ndarray:
     """The counters: SLOTS x CONTEXTS pairs reach the driver, whatever the data."""
     out = np.zeros((CONTEXTS * SLOTS // PART, PART, 2), np.int64)
-    for r in counter_rows(docs, code).toLocalIterator():
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i4").reshape(PART, 2)
+    for r in counter_rows(docs, sent).toLocalIterator():
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8").reshape(PART, 2)
     return out
 
 
@@ -285,12 +297,14 @@ def cells_of(counts: np.ndarray) -> np.ndarray:
     return cells.reshape(CONTEXTS, SLOTS)
 
 
-def gather(docs: DataFrame, code: Code) -> Model:
+def gather(docs: DataFrame, code: Code, sent: Broadcast[Code] | None = None) -> Model:
     """The model of (text, fold): counters of all texts, and the start fitted
     on each fold's texts under the counters of the other fold alone, as the
-    counters of a text's own decisions would foretell them."""
-    folds = [gathered(docs.where(F.col("fold") == f), code) for f in (0, 1)]
-    starts = fitted(docs, code, [cells_of(folds[1]), cells_of(folds[0])])
+    counters of a text's own decisions would foretell them. ``sent``: the
+    code, if it was sent to the tasks before."""
+    sent = sent or docs.sparkSession.sparkContext.broadcast(code)
+    folds = [gathered(docs.where(F.col("fold") == f), sent) for f in (0, 1)]
+    starts = fitted(docs, sent, [cells_of(folds[1]), cells_of(folds[0])])
     return Model(code, cells_of(folds[0] + folds[1]), starts)
 
 
@@ -304,14 +318,14 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def joint_counts(docs: DataFrame, code: Code, others: list[np.ndarray]) -> DataFrame:
+def joint_counts(docs: DataFrame, sent: Broadcast[Code], others: list[np.ndarray]) -> DataFrame:
     """(part, keys, counts): how often each triple of cells met each branch,
     by kind, over all texts of (text, fold); exact, so that the rounds of the
     fit need not read the texts again. ``others``: by fold, the cells to use."""
-    sent = docs.sparkSession.sparkContext.broadcast((code, others))
+    sent_cells = docs.sparkSession.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, cells = sent.value
+        c, cells = sent.value, sent_cells.value
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         fresh = distinct = 0
@@ -357,11 +371,11 @@ def joint_counts(docs: DataFrame, code: Code, others: list[np.ndarray]) -> DataF
     return docs.select("text", "fold").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
 
 
-def fitted(docs: DataFrame, code: Code, others: list[np.ndarray]) -> tuple[Start, Start]:
+def fitted(docs: DataFrame, sent: Broadcast[Code], others: list[np.ndarray]) -> tuple[Start, Start]:
     """Weights that make the training texts likeliest, by Newton rounds over
     the joint counts (gradients and second derivatives summed per task), and
     the map's shifts under them."""
-    joint = written(joint_counts(docs, code, others), "lm-joint")
+    joint = written(joint_counts(docs, sent, others), "lm-joint")
     weights = np.stack([WORD_WEIGHTS, LETTER_WEIGHTS])
     held = weights.copy()
     for rounds in range(ROUNDS + 1):
@@ -485,9 +499,10 @@ def log10_probabilities(series, n_texts: int, m: Model) -> list[float]:
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                carry: dict[str, Column] | None = None, vocabulary: int = VOCABULARY) -> DataFrame:
+                carry: dict[str, Column] | None = None, vocabulary: int | None = None) -> DataFrame:
     """(doc_id, carried columns, n_tokens, n_known, train_tokens, base_score,
-    score, bits_per_byte). ``train``: condition on the id."""
+    score, bits_per_byte). ``train``: condition on the id. ``vocabulary``: at
+    most so many words get a code (none: all met at least twice)."""
     carry = carry or {}
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("_train"),
                        *[c.alias(k) for k, c in carry.items()])
@@ -496,16 +511,19 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(all_["n"]), int(all_["v"])
     # words met once are spelled, which teaches the escape and the letters what new words cost
-    first = counts.where((F.col("c") > 1) | (F.length("token") == 0)).orderBy(F.length("token") > 0, F.desc("c"), "token").limit(vocabulary).toArrow()
+    first = counts.where((F.col("c") > 1) | (F.length("token") == 0)).orderBy(F.length("token") > 0, F.desc("c"), "token")
+    first = (first if vocabulary is None else first.limit(vocabulary)).toArrow()
     top = list(zip(first["token"].to_pylist(), first["c"].to_pylist()))
-    model = gather(learn, make_code(top, n))
     spark = docs.sparkSession
+    code = make_code(top, n)
+    sent_code = spark.sparkContext.broadcast(code)
+    model = gather(learn, code, sent_code)
     floor = n + 0.5 * (v + 1)
     # by number; the end token comes first, and is unknown only if nothing was learned
     unknown = int(not top)
-    count = np.array([c for _, c in top] + [0] * (len(model.code.number) - len(top)), float)
+    count = np.array([c for _, c in top] + [0] * (len(code.number) - len(top)), float)
     known = spark.sparkContext.broadcast(np.append(np.log10((count + 0.5) / floor), 0.0))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast((model.cells, model.starts))
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(k, rows.schema[k].dataType) for k in carry],
                            T.StructField("n_tokens", T.LongType()), T.StructField("n_top", T.LongType()),
                            T.StructField("top_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
@@ -513,7 +531,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     k = 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Model(sent_code.value, *sent.value)
         base = known.value
         for b in slices(batches, TEXTS):
             series, tokens, number, at, first = decisions(b.column(k).to_pylist(), m.code)

@@ -159,6 +159,32 @@ def test_starts_are_fitted_over_the_training_texts(documents, rows_of):
     assert sum(lm_mix.log10_probabilities(series, len(held_out), m)) > sum(by_hand)
 
 
+def test_every_word_met_twice_gets_a_code(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def make_code(top, n_all):
+        raise Seen(len(top))
+
+    monkeypatch.setattr(lm_mix, "make_code", make_code)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr(
+        "concat_ws(' ', transform(sequence(id % 150 * 1000, id % 150 * 1000 + 999), x -> concat('w', x)))").alias("text"))
+    with pytest.raises(Seen) as seen:
+        lm_mix.score_texts(docs, F.lit(True))
+    assert seen.value.args == (150_001,)
+
+
+def test_large_counts_keep_their_ratio():
+    import zlib
+
+    most = (1 << 31) - 1
+    tasks = [np.zeros((lm_mix.PART, 2), "<i4") for _ in range(3)]
+    for i, t in enumerate(tasks):
+        t[7] = (most if i else 0, most)
+    out = np.frombuffer(zlib.decompress(lm_mix.summed([zlib.compress(t.tobytes()) for t in tasks])), "<i8").reshape(-1, 2)
+    assert out[7].tolist() == [2 * most, 3 * most] and out.sum() == 5 * most
+
+
 def test_trained_text_scores_better_than_noise(spark, odd, no_docs):
     docs = spark.createDataFrame([(i, "the quick brown fox jumps over the lazy dog " * 8) for i in range(20)]
                                  + [(50, "zq xj vk wq " * 26)], "doc_id long, text string")
