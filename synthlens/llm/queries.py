@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthlens.llm import (
+    divergence,
     lm_mix,
     mixing,
     ngram_join,
@@ -88,6 +89,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -178,9 +184,40 @@ SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality
   AND 100 * n_words_removed <= {quality_rules.MAX_LOST_PERCENT} * n_words AS kept FROM b"""
 
 
+def _divergence_sql() -> str:
+    p = f"(CASE WHEN v = 0 THEN 1 ELSE 1 + {divergence.SCALE}::HUGEINT * (c + 2) // (n + 2 * v) END)"
+    f = "((a.p - b.p) * (a.p - b.p) // (a.p + b.p))"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+   coalesce(text, '') AS t FROM documents),
+ x AS (SELECT r, lang, source, {_LOWER.format("unnest(regexp_extract_all(t, '[^ -@[-`{-]+'))")} AS term FROM d),
+ k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM x GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ l AS (SELECT g.lang, count(k.term)::HUGEINT AS v, coalesce(sum(k.c), 0)::HUGEINT AS n
+       FROM (SELECT DISTINCT lang FROM g) AS g LEFT JOIN k ON g.lang = k.lang GROUP BY ALL),
+ y AS (SELECT x.lang, source, x.term, count(*)::HUGEINT AS c FROM x JOIN k ON x.lang = k.lang AND x.term = k.term GROUP BY ALL),
+ z AS (SELECT g.lang, g.source, any_value(l.v) AS v, coalesce(sum(y.c), 0)::HUGEINT AS n
+       FROM g JOIN l ON g.lang = l.lang LEFT JOIN y ON g.lang = y.lang AND g.source = y.source GROUP BY ALL),
+ e AS (SELECT z.lang, z.source, k.term, coalesce(y.c, 0)::HUGEINT AS c, z.v, z.n
+       FROM z JOIN k ON z.lang = k.lang LEFT JOIN y ON y.lang = z.lang AND y.source = z.source AND y.term = k.term),
+ s AS (SELECT lang, source, term, c, {p} AS p FROM e),
+ q AS (SELECT k.lang, k.term, {p} AS p FROM k JOIN l ON k.lang = l.lang),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, sum({f}) AS value FROM s AS a JOIN s AS b
+           ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ terms AS (SELECT a.lang, a.source, a.term AS item, {f} AS value FROM s AS a JOIN q AS b
+           ON a.lang = b.lang AND a.term = b.term WHERE a.c > 0 AND a.p > b.p),
+ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+       FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+       UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": _url_sql(),
     "op5_quality_rules": _rules_sql(),
     "op6_mixing": _mixing_sql(),
     "op7_exact_topk": _topk_sql(),
+    "op11_source_divergence": _divergence_sql(),
 }
