@@ -189,7 +189,7 @@ def _divergence_sql() -> str:
     f = "((a.p - b.p) * (a.p - b.p) // (a.p + b.p))"
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
    coalesce(text, '') AS t FROM documents),
- x AS (SELECT r, lang, source, {_LOWER.format("unnest(regexp_extract_all(t, '[^ -@[-`{-]+'))")} AS term FROM d),
+ x AS (SELECT r, lang, source, {_LOWER.format("unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'))")} AS term FROM d),
  k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM x GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
  g AS (SELECT DISTINCT lang, source FROM d),
  l AS (SELECT g.lang, count(k.term)::HUGEINT AS v, coalesce(sum(k.c), 0)::HUGEINT AS n
