@@ -117,7 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         if larger:
             both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_m", "a").alias("_m"))
+        # written, so that the join deals both sides anew and Spark can split a frequent centre
+        least = written(both.groupBy("a").agg(F.min("b").alias("_m"))
+                        .select(F.col("a").alias("_a"), F.least("_m", "a").alias("_m")), "edge-least")
         joined = both.join(least, F.col("a") == F.col("_a"))
         if larger:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
@@ -126,13 +128,18 @@ def components(edges: DataFrame) -> DataFrame:
                 joined.select("a", F.col("_m").alias("b")))
         return out.where(F.col("a") != F.col("b")).distinct()
 
+    def digest(e: DataFrame) -> tuple:
+        h = F.xxhash64("a", "b")
+        return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 30)))).first())
+
     current = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                       .where(F.col("a") != F.col("b")).distinct(), "edges")
+    seen = digest(current)
     while True:
         following = written(star(star(current, True), False), "edges")
-        n, m = current.count(), following.count()
-        if n == m and not current.exceptAll(following).take(1):
+        now = digest(following)
+        if seen == now and not current.exceptAll(following).take(1):
             break
-        current = following
+        current, seen = following, now
     pairs = following.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return pairs.unionByName(pairs.select(F.col("label").alias("node"), "label").distinct())
