@@ -6,10 +6,11 @@ front itself) the text. Places where tokens of both end cut the bytes into
 groups; an A and a B token whose byte ranges overlap are linked.
 
 Where a token ends is read from the tokenizers: A gives character offsets,
-B the spans of its pieces. They are coarse where a character has several
-bytes or a piece is a single byte: there the bytes of the tokens themselves
-(A's byte-level letters decoded, B's piece or byte) place the end, and the
-spans must agree with them wherever they are sure.
+B the spans of its pieces (``offset_mapping``; the library no longer offers
+its immutable proto, whose spans these are). They are coarse inside a
+character of several bytes and at pieces of a single byte: there the end
+before and the bytes of the tokens since (A's byte-level letters decoded, B's
+piece or byte) place it.
 
 Neither tokenizer joins anything across a single space between characters
 that are not white space (A's rule cuts before it; no piece of B holds a
@@ -43,9 +44,10 @@ from pyspark.sql import types as T
 from synthlens.llm.common import slices, written
 
 LOOKUP = 1 << 20  # pairs that are sent to the tasks, at most
-CACHE_CHUNKS = 400_000  # distinct chunks that a worker remembers
+CACHE_CHUNKS = 800_000  # distinct chunks that a worker remembers
 CACHE_CHARS = 32_000_000  # and their characters
 TALLY = 1 << 21  # distinct pairs that a task holds before it passes them on
+JOINED = 1000  # new chunks that are encoded as one text
 SPACE = "▁"  # B's mark of a space
 
 _chunks = re.compile(r"(?<=\S) (?=\S)").split
@@ -71,101 +73,108 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_letters()
-        self.a_bytes = {}
+        n_a, n_b = self.a.get_vocab_size(), self.b.get_piece_size()
+        a_bytes = [b""] * n_a
         for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.n_b = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
-        self.b_single = {i for i in range(self.n_b) if self.b.is_byte(i)}
-        if any(SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if i not in self.b_single):
+            a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        pieces = [self.b.id_to_piece(i) for i in range(n_b)]
+        single = {i for i in range(n_b) if self.b.is_byte(i)}
+        if any(SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if i not in single):
             raise ValueError("a piece holds a space after another character: texts cannot be encoded by chunks")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if i in self.b_single else p.replace(SPACE, " ").encode()
-                        for i, p in enumerate(pieces)]
-        self.key = np.uint32 if self.a.get_vocab_size() * self.n_b < 1 << 32 else np.uint64
+        b_bytes = [bytes([int(p[3:5], 16)]) if i in single else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.n_b = n_b
+        self.bytes = tuple(np.array(x, object) for x in (a_bytes, b_bytes))
+        self.lengths = tuple(np.array([len(y) for y in x]) for x in (a_bytes, b_bytes))
+        # an id as text before a comma, and at the end of its side of a group
+        self.texts = tuple(np.array([[f"{i}{c}".encode() for c in ("," + last)] for i in range(n)], object)
+                           for n, last in ((n_a, "|"), (n_b, ";")))
+        self.key = np.uint32 if n_a * n_b < 1 << 32 else np.uint64
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[bytes | None] = []  # None: the bytes differ
-        self.rows: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links
-        self.pairs: list[np.ndarray] = []  # distinct pairs of the chunk
-        self.times: list[np.ndarray] = []
+        self.groups: list[bytes | None] = []  # each with a semicolon behind; None: the bytes differ
+        self.sizes: list[bytes] = []  # n_a, n_b, n_groups
+        self.pairs: list[bytes] = []  # linked pairs of the chunk, repeats included
         self.chars = 0
 
-    def a_ends(self, chunk: str, ids: list[int], offsets: list[tuple[int, int]]) -> list[int] | None:
-        """Where each token ends in the chunk's bytes; none if they are not its tokens' bytes."""
-        place = None
-        if not chunk.isascii():
-            place = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunk])]).tolist()
-        ends, at, last = [], 0, len(ids) - 1
-        for k, i in enumerate(ids):
-            at += len(self.a_bytes[i])
-            end = offsets[k][1]
-            # sure if the next token does not share the character
-            if (k == last or offsets[k + 1][0] >= end) and at != (end if place is None else place[end]):
-                return None
-            ends.append(at)
-        return ends if b"".join([self.a_bytes[i] for i in ids]) == chunk.encode() else None
-
-    def b_ends(self, chunk: str, pieces) -> tuple[list[int], list[int]] | None:
-        ids, ends, at = [], [], 0
-        for p in pieces:
-            i = p.id
-            at += len(self.b_bytes[i])
-            if p.end > p.begin and at != p.end + 1:  # the space in front is not in the spans
-                return None
-            ids.append(i)
-            ends.append(at)
-        return (ids, ends) if b"".join([self.b_bytes[i] for i in ids]) == chunk.encode() else None
-
     def numbers(self, parts: list[list[str]]) -> list[list[int]]:
-        """Numbers of the chunks of each text; new ones are aligned first."""
+        """Numbers of the chunks of each text; new ones are aligned first,
+        many at once: joined by spaces they are a text of their own."""
         if len(self.number) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
             self.forget()
         new = list({c for p in parts for c in p}.difference(self.number))
-        if new:
-            spaced = [" " + c for c in new]
-            encoded = self.a.encode_batch(spaced, add_special_tokens=False)
-            for c, s, e, proto in zip(new, spaced, encoded, self.b.encode(new, return_type="proto", num_threads=1)):
-                self.number[c] = len(self.groups)
-                self.chars += len(c)
-                self.learn(s, e.ids, e.offsets, proto.pieces)
+        plain = [c for c in new if not (c[:1].isspace() or c[-1:].isspace())]
+        for i in range(0, len(plain), JOINED):
+            self.learn(plain[i:i + JOINED])
+        for c in new:
+            if c not in self.number:
+                self.learn([c])
         get = self.number.__getitem__
         return [list(map(get, p)) for p in parts]
 
-    def learn(self, chunk: str, a: list[int], offsets: list[tuple[int, int]], pieces) -> None:
-        ends_a, found = self.a_ends(chunk, a, offsets), self.b_ends(chunk, pieces)
-        if ends_a is None or found is None:
-            self.groups.append(None)
-            self.rows.append((0, 0, 0, 0))
-            self.pairs.append(np.zeros(0, self.key))
-            self.times.append(np.zeros(0, np.int64))
+    def learn(self, chunks: list[str]) -> None:
+        text = " ".join(chunks)
+        encoded = self.a.encode(" " + text, add_special_tokens=False)
+        spans = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        a, b = np.array(encoded.ids, np.int64), np.array(spans["ids"], np.int64)
+        raw = (" " + text).encode()
+        if any(b"".join(known[x].tolist()) != raw for known, x in zip(self.bytes, (a, b))):
+            if len(chunks) > 1:
+                for half in (chunks[:len(chunks) // 2], chunks[len(chunks) // 2:]):
+                    self.learn(half)
+            else:
+                self._keep(chunks, [None], [b""], [b""])
             return
-        b, ends_b = found
-        groups, pairs = aligned(a, ends_a, b, ends_b)
-        keys = np.array([x * self.n_b + y for x, y in pairs], self.key)
-        keys, times = np.unique(keys, return_counts=True)
-        self.groups.append(groups.encode())
-        self.rows.append((len(a), len(b), groups.count(";") + 1, len(pairs)))
-        self.pairs.append(keys)
-        self.times.append(times)
-
-
-def aligned(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """The groups as text and the linked pairs, one for each overlap."""
-    groups, pairs = [], []
-    i = j = from_a = from_b = 0
-    while i < len(a):
-        pairs.append((a[i], b[j]))
-        x, y = ends_a[i], ends_b[j]
-        if x <= y:
-            i += 1
-        if y <= x:
-            j += 1
-        if x == y:
-            groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-            from_a, from_b = i, j
-    return ";".join(groups), pairs
+        ends_a = self.a_ends(" " + text, a, np.array(encoded.offsets, np.int64).reshape(-1, 2))
+        ends_b = self.b_ends(b, np.array(spans["offsets"], np.int64).reshape(-1, 2))
+        cuts = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        # between two ends of any tokens lies the overlap of just one pair
+        ends = np.union1d(ends_a, ends_b)
+        keys = a[np.searchsorted(ends_a, ends)] * self.n_b + b[np.searchsorted(ends_b, ends)]
+        both = np.intersect1d(ends_a, ends_b)
+        sides = []
+        for ids, own, texts in ((a, ends_a, self.texts[0]), (b, ends_b, self.texts[1])):
+            group = np.searchsorted(both, own)
+            sides.append((group, texts[ids, (both[group] == own).astype(np.int64)]))
+        order = np.argsort(np.concatenate([2 * sides[0][0], 2 * sides[1][0] + 1]), kind="stable")
+        shown = np.concatenate([sides[0][1], sides[1][1]])[order].tolist()
+        at = [np.concatenate([[0], np.searchsorted(x, cuts, "right")]) for x in (ends_a, ends_b, both, ends)]
+        sizes = np.stack([np.diff(x) for x in at[:3]], axis=1).astype(np.uint32).tobytes()
+        tokens, pairs, width = (at[0] + at[1]).tolist(), at[3].tolist(), np.dtype(self.key).itemsize
+        raw_keys = keys.astype(self.key).tobytes()
+        self._keep(chunks, [b"".join(shown[s:e]) for s, e in zip(tokens, tokens[1:])],
+                   [sizes[i:i + 12] for i in range(0, len(sizes), 12)],
+                   [raw_keys[s * width:e * width] for s, e in zip(pairs, pairs[1:])])
+
+    def _keep(self, chunks: list[str], groups: list[bytes | None], sizes: list[bytes], pairs: list[bytes]) -> None:
+        self.number.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks))))
+        self.groups += groups
+        self.sizes += sizes
+        self.pairs += pairs
+        self.chars += sum(map(len, chunks))
+
+    def a_ends(self, text: str, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where each token ends in the text's bytes: at the end of its last
+        character, if the next token does not share it."""
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        place = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
+        sure = np.append(offsets[1:, 0] >= offsets[:-1, 1], True)
+        return refined(place[offsets[:, 1]], sure, self.lengths[0][ids])
+
+    def b_ends(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Likewise; the space in front is not in the spans, and of a
+        character's bytes only the last has a span."""
+        return refined(offsets[:, 1] + 1, offsets[:, 1] > offsets[:, 0], self.lengths[1][ids])
+
+
+def refined(coarse: np.ndarray, sure: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The coarse ends where they are sure; elsewhere the last sure one and
+    the bytes of the tokens since then."""
+    total = np.cumsum(lengths)
+    last = np.maximum.accumulate(np.where(sure, np.arange(len(sure)), -1))
+    from_ = np.where(last >= 0, coarse[last] - total[last], 0)
+    return np.where(sure, coarse, from_ + total)
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -175,40 +184,31 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _aligners[a_path, b_path]
 
 
-def summed(owner: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (owner, key) in order, and the sums of n."""
-    order = np.lexsort((key, owner))
-    owner, key, n = owner[order], key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
-    return owner[first], key[first], np.add.reduceat(n, first) if len(n) else n
-
-
 def align_texts(texts: list[str], al: Aligner):
     """Of each text: (n_a, n_b, n_groups, n_links), the digest, and the
     distinct pairs with their times, as bytes."""
-    parts = [_chunks(t) if t else [] for t in texts]
-    numbers = al.numbers(parts)
+    numbers = al.numbers([_chunks(t) if t else [] for t in texts])
     out = []
-    for p, own in zip(parts, numbers):
+    for own in numbers:
         groups = [al.groups[i] for i in own]
         if not own or None in groups:
             out.append(((0, 0, 0, 0), "", b"", b""))
             continue
-        which, n = np.unique(np.array(own), return_counts=True)
-        which = which.tolist()
-        rows = np.array([al.rows[i] for i in which])
-        key = np.concatenate([al.pairs[i] for i in which])
-        times = np.concatenate([al.times[i] * k for i, k in zip(which, n.tolist())])
-        _, key, times = summed(np.zeros(len(key), np.int8), key, times)
-        out.append((tuple((rows * n[:, None]).sum(axis=0).tolist()), hashlib.sha256(b";".join(groups)).hexdigest(),
-                    key.tobytes(), times.astype("<u4").tobytes()))
+        sizes = np.frombuffer(b"".join([al.sizes[i] for i in own]), np.uint32).reshape(-1, 3).sum(axis=0, dtype=np.int64)
+        key = np.frombuffer(b"".join([al.pairs[i] for i in own]), al.key)
+        n_links = len(key)
+        key, times = np.unique(key, return_counts=True)
+        out.append(((*sizes.tolist(), n_links), hashlib.sha256(b"".join(groups)[:-1]).hexdigest(), key.tobytes(),
+                    times.astype("<u4").tobytes()))
     return out
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    _, k, c = summed(np.zeros(len(k), np.int8), k, c)
-    return k, c
+    """Distinct keys in order and their summed counts."""
+    k, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(k), np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    return k, total
 
 
 def pair_counts(rows: DataFrame, dtype: type) -> DataFrame:
