@@ -12,10 +12,12 @@ character of several bytes and at pieces of a single byte: there the end
 before and the bytes of the tokens since (A's byte-level letters decoded, B's
 piece or byte) place it.
 
-Neither tokenizer joins anything across a single space between characters
-that are not white space (A's rule cuts before it; no piece of B holds a
-space after another character, which is checked when it is loaded), so a
-text is encoded by its chunks, and a worker aligns each distinct chunk once.
+Neither tokenizer joins white space to what stands before it (A's rule cuts
+there; no piece of B holds white space, but for returns, after another
+character), nor a sentence mark to a Latin letter before it; both are checked
+against B's pieces when it is loaded. So a text is encoded by its chunks, runs
+of white space with the word behind them, and the marks behind a word, and a
+worker aligns each distinct chunk once.
 
 A pair of ids counts the documents that hold it linked. Those counts are
 summed by a shuffle. The most frequent ``LOOKUP`` pairs are sent to the
@@ -44,16 +46,38 @@ from pyspark.sql import types as T
 from synthlens.llm.common import slices, written
 
 LOOKUP = 1 << 20  # pairs that are sent to the tasks, at most
-CACHE_CHUNKS = 800_000  # distinct chunks that a worker remembers
+CACHE_CHUNKS = 1_200_000  # distinct chunks that a worker remembers
 CACHE_CHARS = 32_000_000  # and their characters
 TALLY = 1 << 21  # distinct pairs that a task holds before it passes them on
 JOINED = 1000  # new chunks that are encoded as one text
+FIRST = " a"  # stands before them, so that none begins a text
 SPACE = "▁"  # B's mark of a space
 
-_chunks = re.compile(r"(?<=\S) (?=\S)").split
+_rare_space = re.compile(r"[^\S\t-\r ]").search
+_LETTER, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,!?;:]"
+_chunk = re.compile(rf"[\t-\r ]*[^\t-\r ]*{_LETTER}(?={_MARKS}+(?:[\t-\f ]|\Z))|"
+                    r"[\t-\r ]*[^\t-\r ]+(?:\r[\t-\r ]*[^\t-\r ]*)*|[\t-\r ]+").findall
 _aligners: dict[tuple[str, str], "Aligner"] = {}
 
 
+def chunks_of(text: str) -> list[str]:
+    """A space and the text, cut before each run of white space that does not
+    begin with a return, and between a letter and the marks before it; a text with white space beyond ASCII's stays whole."""
+    return [" " + text] if _rare_space(text) else _chunk(" " + text)
+
+
+class Numbers(dict):
+    """Numbers of chunks; a new one gets the next."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = n = len(self)
+        return n
+
+
 def byte_letters() -> dict[str, int]:
     """The byte of each letter of the byte-level alphabet: printable bytes
     stand for themselves, the others follow from 256 on."""
@@ -79,8 +103,10 @@ class Aligner:
             a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(n_b)]
         single = {i for i in range(n_b) if self.b.is_byte(i)}
-        if any(SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if i not in single):
-            raise ValueError("a piece holds a space after another character: texts cannot be encoded by chunks")
+        if any(c in SPACE + " \t\n\v\f" for i, p in enumerate(pieces) if i not in single for c in p.lstrip(SPACE)[1:]):
+            raise ValueError("a piece holds white space after another character: texts cannot be encoded by chunks")
+        if any(re.search(_LETTER + _MARKS, p) for p in pieces):
+            raise ValueError("a piece joins a mark to a letter: texts cannot be encoded by chunks")
         b_bytes = [bytes([int(p[3:5], 16)]) if i in single else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.n_b = n_b
         self.bytes = tuple(np.array(x, object) for x in (a_bytes, b_bytes))
@@ -92,33 +118,41 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.groups: list[bytes | None] = []  # each with a semicolon behind; None: the bytes differ
         self.sizes: list[bytes] = []  # n_a, n_b, n_groups
         self.pairs: list[bytes] = []  # linked pairs of the chunk, repeats included
         self.chars = 0
 
     def numbers(self, parts: list[list[str]]) -> list[list[int]]:
-        """Numbers of the chunks of each text; new ones are aligned first,
-        many at once: joined by spaces they are a text of their own."""
+        """Numbers of the chunks of each text; new ones are aligned, many at
+        once: side by side they are a text of their own."""
         if len(self.number) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
             self.forget()
-        new = list({c for p in parts for c in p}.difference(self.number))
-        plain = [c for c in new if not (c[:1].isspace() or c[-1:].isspace())]
-        for i in range(0, len(plain), JOINED):
-            self.learn(plain[i:i + JOINED])
-        for c in new:
-            if c not in self.number:
-                self.learn([c])
         get = self.number.__getitem__
-        return [list(map(get, p)) for p in parts]
+        out = [list(map(get, p)) for p in parts]
+        new, self.number.new = self.number.new, []
+        start = 0
+        for i, c in enumerate(new):
+            # what does not begin with white space, or ends with it, or holds rare ones, has no neighbours
+            alone = not c[0].isspace() or c[-1].isspace() or _rare_space(c) is not None
+            if alone or i - start == JOINED:
+                if i > start:
+                    self.learn(new[start:i])
+                start = i
+            if alone:
+                self.learn([c])
+                start = i + 1
+        if start < len(new):
+            self.learn(new[start:])
+        return out
 
     def learn(self, chunks: list[str]) -> None:
-        text = " ".join(chunks)
-        encoded = self.a.encode(" " + text, add_special_tokens=False)
-        spans = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        text = FIRST + "".join(chunks)
+        encoded = self.a.encode(text, add_special_tokens=False)
+        spans = self.b.encode([text[1:]], return_type="offset_mapping", return_bytes=True, num_threads=1)[0]
         a, b = np.array(encoded.ids, np.int64), np.array(spans["ids"], np.int64)
-        raw = (" " + text).encode()
+        raw = text.encode()
         if any(b"".join(known[x].tolist()) != raw for known, x in zip(self.bytes, (a, b))):
             if len(chunks) > 1:
                 for half in (chunks[:len(chunks) // 2], chunks[len(chunks) // 2:]):
@@ -126,9 +160,9 @@ class Aligner:
             else:
                 self._keep(chunks, [None], [b""], [b""])
             return
-        ends_a = self.a_ends(" " + text, a, np.array(encoded.offsets, np.int64).reshape(-1, 2))
+        ends_a = self.a_ends(text, a, np.array(encoded.offsets, np.int64).reshape(-1, 2))
         ends_b = self.b_ends(b, np.array(spans["offsets"], np.int64).reshape(-1, 2))
-        cuts = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        cuts = np.cumsum([len(FIRST), *[len(c.encode()) for c in chunks]])
         # between two ends of any tokens lies the overlap of just one pair
         ends = np.union1d(ends_a, ends_b)
         keys = a[np.searchsorted(ends_a, ends)] * self.n_b + b[np.searchsorted(ends_b, ends)]
@@ -139,7 +173,7 @@ class Aligner:
             sides.append((group, texts[ids, (both[group] == own).astype(np.int64)]))
         order = np.argsort(np.concatenate([2 * sides[0][0], 2 * sides[1][0] + 1]), kind="stable")
         shown = np.concatenate([sides[0][1], sides[1][1]])[order].tolist()
-        at = [np.concatenate([[0], np.searchsorted(x, cuts, "right")]) for x in (ends_a, ends_b, both, ends)]
+        at = [np.searchsorted(x, cuts, "right") for x in (ends_a, ends_b, both, ends)]
         sizes = np.stack([np.diff(x) for x in at[:3]], axis=1).astype(np.uint32).tobytes()
         tokens, pairs, width = (at[0] + at[1]).tolist(), at[3].tolist(), np.dtype(self.key).itemsize
         raw_keys = keys.astype(self.key).tobytes()
@@ -148,7 +182,6 @@ class Aligner:
                    [raw_keys[s * width:e * width] for s, e in zip(pairs, pairs[1:])])
 
     def _keep(self, chunks: list[str], groups: list[bytes | None], sizes: list[bytes], pairs: list[bytes]) -> None:
-        self.number.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks))))
         self.groups += groups
         self.sizes += sizes
         self.pairs += pairs
@@ -187,7 +220,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 def align_texts(texts: list[str], al: Aligner):
     """Of each text: (n_a, n_b, n_groups, n_links), the digest, and the
     distinct pairs with their times, as bytes."""
-    numbers = al.numbers([_chunks(t) if t else [] for t in texts])
+    numbers = al.numbers([chunks_of(t) if t else [] for t in texts])
     out = []
     for own in numbers:
         groups = [al.groups[i] for i in own]

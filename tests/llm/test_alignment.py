@@ -92,6 +92,6 @@ def test_chunks_equal_whole_texts():
     for t, (sizes, digest, _, _) in zip(texts, alignment.align_texts(texts, al)):
         a, b = run(t)
         assert sizes[:2] == (len(a), len(b))
-        ids = [x for g in (al.groups[i] for i in al.numbers([alignment._chunks(t)])[0]) for x in g[:-1].split(b";")] if a else []
+        ids = [x for g in (al.groups[i] for i in al.numbers([alignment.chunks_of(t)])[0]) for x in g[:-1].split(b";")] if a else []
         assert [int(x) for g in ids for x in g.split(b"|")[0].split(b",")] == [i for i, _ in a]
         assert [int(x) for g in ids for x in g.split(b"|")[1].split(b",")] == [i for i, _ in b]
