@@ -95,20 +95,21 @@ def clip_to_profile(df: DataFrame, profile: DataFrame, features: Sequence[str],
     profile (long form ``feature, min_v, max_v``). The bounds are one row per
     feature, pivoted to a single row and broadcast. Drop incomplete rows
     first: ``least``/``greatest`` turn NULL into a bound."""
-    bounds = profile.where(F.col("feature").isin(list(features))).agg(
+    spread = profile.where(F.col("feature").isin(list(features))).agg(
         *[F.max(F.when(F.col("feature") == f, F.col("min_v"))).alias(f"_lo_{i}") for i, f in enumerate(features)],
         *[F.max(F.when(F.col("feature") == f, F.col("max_v"))).alias(f"_hi_{i}") for i, f in enumerate(features)],
     )
-    out = df.crossJoin(F.broadcast(bounds))
 
-    def bound(name: str, feature: str) -> Column:
+    def bound(name: str, feature: str, factor: float) -> Column:
         missing = F.raise_error(F.lit(f"the profile has no bounds for {feature}")).cast("double")
-        return F.coalesce(F.col(name), missing)
+        return (F.coalesce(F.col(name), missing) * factor).alias(name)
 
-    out = out.withColumns({
-        f: F.greatest(F.least(F.col(f), bound(f"_hi_{i}", f) * hi_factor), bound(f"_lo_{i}", f) * lo_factor)
-        for i, f in enumerate(features)
-    })
+    # checked and scaled in the one row, before it is sent
+    bounds = spread.select(*[bound(f"_lo_{i}", f, lo_factor) for i, f in enumerate(features)],
+                           *[bound(f"_hi_{i}", f, hi_factor) for i, f in enumerate(features)])
+    out = df.crossJoin(F.broadcast(bounds))
+    out = out.withColumns({f: F.greatest(F.least(F.col(f), F.col(f"_hi_{i}")), F.col(f"_lo_{i}"))
+                           for i, f in enumerate(features)})
     return out.drop(*[f"_lo_{i}" for i in range(len(features))], *[f"_hi_{i}" for i in range(len(features))])
 
 

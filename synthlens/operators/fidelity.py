@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import bin_edge, hist_bin, round_binary
+from synthlens.operators.joins import join_keys
 from synthlens.operators.profile import exact_quantiles, unpivot_long
 
 EPS = 1e-10
@@ -164,7 +165,8 @@ def box_stats(df: DataFrame, features: Sequence[str], group_col: str, whis: floa
     Whiskers are the most extreme values inside ``[Q1 - whis*IQR,
     Q3 + whis*IQR]``, never inside the box. Quartiles by the distributed
     exact selection; the whiskers are one conditional min/max aggregate
-    against the broadcast quartile table (groups x features rows).
+    against the quartile table (groups x features rows; broadcast if they are
+    few, see ``join_keys``).
     """
     long_df = unpivot_long(df, features, [group_col])
     keys = [group_col, "feature"]
@@ -174,8 +176,7 @@ def box_stats(df: DataFrame, features: Sequence[str], group_col: str, whis: floa
     qw = qw.withColumns({"_lo": F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1")),
                          "_hi": F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))})
     x = F.col("x")
-    qw = qw.toDF(*[f"_k_{c}" if c in keys else c for c in qw.columns])
-    wh = (long_df.join(qw, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    wh = (join_keys(long_df, qw, keys)
           .groupBy(*keys, "q1", "med", "q3")
           .agg(F.min(F.when(x >= F.col("_lo"), x)).alias("_wlo"), F.max(F.when(x <= F.col("_hi"), x)).alias("_whi"),
                F.count(F.lit(1)).alias("n")))
@@ -189,7 +190,7 @@ def hexbin_density(df: DataFrame, x_col: str, y_col: str, group_col: str, gridsi
 
     Two offset lattices; a point goes to the nearer centre (lattice 1 on a
     strict win). ``ny = int(nx / sqrt(3))``, the x extent padded by 1e-9 of
-    its width, a degenerate extent widened by 10%. Output ``(grp, lattice,
+    its width, a degenerate extent widened by 10%; a NULL group is a group. Output ``(grp, lattice,
     i, j, n)`` for cells with at least one point.
     """
     nx = gridsize
@@ -212,7 +213,7 @@ def hexbin_density(df: DataFrame, x_col: str, y_col: str, group_col: str, gridsi
     ext = ext.withColumns({"sx": (F.col("xmax") - F.col("xmin")) / F.lit(float(nx)),
                            "sy": (F.col("ymax") - F.col("ymin")) / F.lit(float(ny))})
     pts = df.select(group_col, x.alias("_x"), y.alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    pts = pts.join(F.broadcast(ext), group_col)
+    pts = join_keys(pts, ext, [group_col])
     ix = (F.col("_x") - F.col("xmin")) / F.col("sx")
     iy = (F.col("_y") - F.col("ymin")) / F.col("sy")
     pts = pts.select(group_col, ix.alias("ix"), iy.alias("iy"))

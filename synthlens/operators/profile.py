@@ -7,11 +7,16 @@ single hash aggregate keyed by ``(group, feature)``: at most
 
 Exact quantiles. Spark's ``percentile`` keeps a value->count map per key and
 merges it in one task per key: one task per feature over the whole table.
-``exact_quantiles`` instead narrows a bracket around each wanted rank with
-bucket counts (map-side combined aggregates, one pass per level) until the
-bracket holds at most ``max_rows`` values, then ranks only those. Each level
-shrinks the bracket by about ``buckets`` times; on 10^12 rows that is three
-or four passes over the pruned columns and no task ever holds a whole group.
+``exact_quantiles`` ranks the groups of at most ``max_rows`` values by a
+window per group, whatever their number. For larger groups it narrows a
+bracket around each wanted rank with bucket counts (map-side combined
+aggregates, one pass per level) until the bracket holds at most ``max_rows``
+values, then ranks only those. Each level shrinks the bracket by about
+``buckets`` times; on 10^12 rows that is three or four passes over the pruned
+columns and no task ever holds a whole group. Only the brackets of larger
+groups reach the driver: of one in ``max_rows`` values at most. They are sent
+to the tasks beside each row (``BRACKETS`` of them at once), so no pass
+shuffles the table by its few keys.
 """
 
 from __future__ import annotations
@@ -23,6 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from synthlens.operators.joins import join_keys, written
+
+BRACKETS = 10_000  # brackets that one pass looks at
+
 
 def unpivot_long(df: DataFrame, features: Sequence[str], id_cols: Sequence[str] = (),
                  value: str = "x", keep_null: bool = False) -> DataFrame:
@@ -48,7 +57,8 @@ def select_ranks(base: DataFrame, keys: Sequence[str], targets: dict, value: str
     ``{(key tuple, rank): value}``. Brackets narrow by bucket counts (one
     aggregate pass per level, collected: at most brackets x buckets rows)
     until a bracket holds at most ``max_rows`` values, which are ranked by a
-    window partitioned by bracket (bounded). ``stats``: optional
+    window partitioned by bracket (bounded). Passes look at ``BRACKETS``
+    brackets at a time. ``stats``: optional
     ``{key tuple: (n, lo, hi)}`` if already known.
     """
     spark = base.sparkSession
@@ -71,16 +81,18 @@ def select_ranks(base: DataFrame, keys: Sequence[str], targets: dict, value: str
     def in_bracket(br: DataFrame) -> DataFrame:
         br = br.toDF(*[f"_k_{c}" if c in keys else c for c in br.columns])
         same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]  # a NULL group is a group
-        joined = base.join(br, same) if keys else base.crossJoin(F.broadcast(br))
+        joined = base.join(F.broadcast(br), same) if keys else base.crossJoin(F.broadcast(br))  # at most BRACKETS rows
         return joined.where((F.col(value) >= F.col("_a")) & (F.col(value) <= F.col("_b")))
 
+    stuck: set = set()  # brackets that a pass could not split (a range beyond doubles): ranked as they are
     while True:
-        pending = sorted({(t[0], st[0], st[1]) for t, st in state.items() if st[3] > max_rows and st[0] < st[1]},
+        pending = sorted({(t[0], st[0], st[1]) for t, st in state.items() if st[3] > max_rows and st[0] < st[1]} - stuck,
                          key=repr)
         if not pending:
             break
         a, b = F.col("_a").cast("double"), F.col("_b").cast("double")
         scaled = F.floor((F.col(value).cast("double") - a) / (b - a) * F.lit(float(buckets)))
+        pending = pending[:BRACKETS]
         hist = (in_bracket(bracket_df(pending))
                 .withColumn("_bk", F.least(F.lit(buckets - 1), scaled.cast("int")))
                 .groupBy("_bid", "_bk").agg(F.count(F.lit(1)).alias("c"), F.min(value).alias("mn"),
@@ -101,14 +113,15 @@ def select_ranks(base: DataFrame, keys: Sequence[str], targets: dict, value: str
                     state[t] = [mn, mx, below, c]
                     break
                 below += c
-        if state == before_pass:  # no bracket could be split further: rank what is left exactly
-            break
+        stuck |= {(t[0], st[0], st[1]) for t, st in state.items() if (t[0], st[0], st[1]) in index and st == before_pass[t]}
 
     out = {t: st[0] for t, st in state.items() if st[0] >= st[1]}
-    final = sorted({(t[0], st[0], st[1]) for t, st in state.items() if st[0] < st[1]}, key=repr)
-    if final:
+    left = sorted({(t[0], st[0], st[1]) for t, st in state.items() if st[0] < st[1]}, key=repr)
+    for start in range(0, len(left), BRACKETS):
+        final = left[start:start + BRACKETS]
         index = {item: i for i, item in enumerate(final)}
-        want_rows = [(index[(t[0], st[0], st[1])], t[1] - st[2], t) for t, st in state.items() if st[0] < st[1]]
+        want_rows = [(index[(t[0], st[0], st[1])], t[1] - st[2], t) for t, st in state.items()
+                     if st[0] < st[1] and (t[0], st[0], st[1]) in index]
         want = spark.createDataFrame([(b, r) for b, r, _ in want_rows], "_bid int, _r long")
         w = Window.partitionBy("_bid").orderBy(value)
         ranked = (in_bracket(bracket_df(final)).select("_bid", value)
@@ -121,20 +134,35 @@ def select_ranks(base: DataFrame, keys: Sequence[str], targets: dict, value: str
 
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], probs: Sequence[float], value: str = "x",
-                    max_rows: int = 200_000, buckets: int = 2048, stats: dict | None = None) -> DataFrame:
+                    max_rows: int = 200_000, buckets: int = 2048, sizes: DataFrame | None = None) -> DataFrame:
     """Linearly interpolated quantiles (numpy/pandas 'linear') per key.
 
-    Returns ``(keys..., prob, q)``. Distributed selection: see module doc.
-    ``stats`` (``{key tuple: (n, min, max)}``) saves the first pass when the
-    caller already has them.
+    Returns ``(keys..., prob, q)``; a NULL key is a key. See module doc.
+    ``sizes`` (``keys..., n, lo, hi``, a written table) saves the first pass
+    when the caller already has it.
     """
-    spark = long_df.sparkSession
     keys = list(keys)
     base = long_df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    if stats is None:
-        rows = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                                       F.max("_x").alias("hi")).collect()
-        stats = {tuple(r[c] for c in keys): (r["n"], r["lo"], r["hi"]) for r in rows}
+    if sizes is None:
+        sizes = written(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
+                                                F.max("_x").alias("hi")), "quantile-sizes")
+    large = sizes.where(F.col("n") > max_rows)  # at most one in max_rows values has such a key
+    stats = {tuple(r[c] for c in keys): (r["n"], r["lo"], r["hi"]) for r in large.collect()}
+    small = join_keys(base, large.select(*keys), keys, "left_anti") if stats else base
+    w = Window.partitionBy(*keys)
+    ranked = small.select(*keys, "_x", (F.row_number().over(w.orderBy("_x")) - 1).alias("_r"),
+                          F.count(F.lit(1)).over(w).alias("_n"))
+    points = []
+    for p in probs:
+        pos = F.lit(float(p)) * (F.max("_n") - 1)
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        a, b = (F.max(F.when(F.col("_r") == f(at), F.col("_x"))) for f in (F.floor, F.ceil))
+        t = pos - F.floor(pos)
+        q = F.when(t >= 0.5, b - (b - a) * (1.0 - t)).otherwise(a + (b - a) * t)
+        points.append(F.struct(F.lit(float(p)).alias("prob"), q.alias("q")))
+    out = ranked.groupBy(*keys).agg(F.array(*points).alias("_p")).select(*keys, F.inline("_p"))
+    if not stats:
+        return out
     wanted, targets = [], {}
     for k, (n, _, _) in stats.items():
         for p in probs:
@@ -143,10 +171,8 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], probs: Sequence[flo
             wanted.append((k, p, r0, r1, pos - r0))
             targets[(k, r0)] = targets[(k, r1)] = None
     values = select_ranks(base, keys, targets, "_x", stats, max_rows, buckets)
-    out = [(*k, float(p), float(_lerp(values[(k, r0)], values[(k, r1)], t))) for k, p, r0, r1, t in wanted]
-    schema = T.StructType([*[base.schema[c] for c in keys], T.StructField("prob", T.DoubleType()),
-                           T.StructField("q", T.DoubleType())])
-    return spark.createDataFrame(out, schema)
+    rows = [(*k, float(p), float(_lerp(values[(k, r0)], values[(k, r1)], t))) for k, p, r0, r1, t in wanted]
+    return out.unionByName(long_df.sparkSession.createDataFrame(rows, out.schema))
 
 
 def describe_profile(df: DataFrame, features: Sequence[str], group_cols: Sequence[str] = (),
@@ -170,12 +196,10 @@ def describe_profile(df: DataFrame, features: Sequence[str], group_cols: Sequenc
     moments = long_df.groupBy(*keys).agg(*aggs)
     if not quantiles:
         return moments
-    # the moments are one row per key: collect once, reuse n/min/max as the
-    # starting brackets of the rank selection (no second counting pass)
-    mrows = moments.collect()
-    moments = long_df.sparkSession.createDataFrame(mrows, moments.schema)
-    stats = {tuple(r[c] for c in keys): (r["n"], r["min_v"], r["max_v"]) for r in mrows if r["n"] > 0}
-    qs = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75], stats=stats)
+    # written: n, min and max are also what the quantiles start from (no second counting pass)
+    moments = written(moments, "profile-moments")
+    sizes = moments.where(F.col("n") > 0).select(*keys, "n", F.col("min_v").alias("lo"), F.col("max_v").alias("hi"))
+    qs = exact_quantiles(long_df, keys, [0.25, 0.5, 0.75], sizes=sizes)
     wide_q = qs.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("q"))).alias(name)
                                      for p, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
     q = wide_q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "q1", "q2", "q3")
@@ -203,22 +227,6 @@ def metric_pivot(long_df: DataFrame, metric: str, group_col: str, groups: Sequen
     return pv.select("feature", *[F.col(f"`{g}`").alias(n) for g, n in zip(groups, names)])
 
 
-def joint_range(p_df: DataFrame, q_df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Per feature, min and max over the union of the two inputs (one
-    wide aggregate per input, combined; one row per feature)."""
-    def wide(d):
-        return d.agg(*[F.min(f).alias(f"lo_{i}") for i, f in enumerate(features)],
-                     *[F.max(f).alias(f"hi_{i}") for i, f in enumerate(features)])
-    a = wide(p_df)
-    b = wide(q_df).select(*[F.col(c).alias(f"b_{c}") for c in wide(q_df).columns])
-    both = a.crossJoin(b)
-    stacked = [F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"),
-                        F.least(F.col(f"lo_{i}"), F.col(f"b_lo_{i}")).alias("lo"),
-                        F.greatest(F.col(f"hi_{i}"), F.col(f"b_hi_{i}")).alias("hi"))
-               for i, f in enumerate(features)]
-    return both.select(F.explode(F.array(*stacked)).alias("s")).select("s.*")
-
-
 def profile_join(long_rows: DataFrame, profile: DataFrame) -> DataFrame:
     """Per-feature profile values applied to each long row (broadcast
     equi-join on ``feature``; the profile has one row per feature)."""

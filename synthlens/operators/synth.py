@@ -105,12 +105,14 @@ def batch_outcomes(accounting: DataFrame) -> DataFrame:
 
 
 def profile_block(profile: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
-    """One-row text of the profile, features in the given order."""
+    """One-row text of the profile, features in the given order (F05, F10). A
+    feature of the profile without a spec raises."""
     spark = profile.sparkSession
     lookup = spark.createDataFrame([(i, s.key, s.name, s.description) for i, s in enumerate(specs)],
                                    "pos int, feature string, name string, description string")
-    lines = profile.join(F.broadcast(lookup), "feature").select("pos", F.concat(
-        F.lit("feature "), F.col("feature"), F.lit(" ("), F.col("name"), F.lit("): "), F.col("description"), F.lit("\n"),
+    missing = F.raise_error(F.concat(F.lit("no spec for the feature "), F.col("feature"))).cast("string")
+    lines = profile.join(F.broadcast(lookup), "feature", "left").select("pos", F.concat(
+        F.lit("feature "), F.col("feature"), F.lit(" ("), F.when(F.col("pos").isNull(), missing).otherwise(F.col("name")), F.lit("): "), F.col("description"), F.lit("\n"),
         F.lit("  mean "), fmt4(F.col("mean") + F.lit(0.0)), F.lit(", std "), fmt4(F.col("std") + F.lit(0.0)),
         F.lit(", min "), fmt4(F.col("min_v") + F.lit(0.0)), F.lit(", max "), fmt4(F.col("max_v") + F.lit(0.0)),
         F.lit(", quartiles "), fmt4(F.col("q1") + F.lit(0.0)), F.lit(" "), fmt4(F.col("q2") + F.lit(0.0)), F.lit(" "), fmt4(F.col("q3") + F.lit(0.0)),

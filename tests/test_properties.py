@@ -159,3 +159,71 @@ def test_vote_from_counts_equals_vote_by_rows(spark):
     a = detect.score_from_counts(counts, ["mode"]).collect()[0]
     b = detect.confusion_counts(detect.majority_vote(df), "truth", "final", ["mode"]).collect()[0]
     assert all(a[c] == b[c] for c in ("tp", "fp", "fn", "tn"))
+
+
+def test_quantiles_of_many_groups_and_a_large_one(spark, monkeypatch):
+    """Small groups by a window, large ones by brackets, a few at a time; a NULL group among them."""
+    monkeypatch.setattr(profile, "BRACKETS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 0 else f"g{g}", float(x)) for g in range(30) for x in rng.integers(0, 9, g % 7 + 1)]
+    rows += [(None, float(x)) for x in rng.normal(size=400)] + [("g1", float(x)) for x in rng.normal(size=300)]
+    rows += [("one", 2.5)] * 250 + [("wide", x) for x in (-1.7e308, 1.7e308) * 100]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {(r["g"], r["prob"]): r["q"] for r in
+           profile.exact_quantiles(df, ["g"], [0.25, 0.5, 0.9], max_rows=50, buckets=8).collect()}
+    for g in {r[0] for r in rows} - {"wide"}:
+        xs = [x for k, x in rows if k == g]
+        assert [got[(g, p)] for p in (0.25, 0.5, 0.9)] == pytest.approx(np.percentile(xs, [25, 50, 90]).tolist())
+    assert got[("wide", 0.25)] == -1.7e308 and got[("wide", 0.9)] == 1.7e308
+
+
+def test_sample_of_a_frequent_name(spark, monkeypatch):
+    """One name in a third of the rows, cut into ranges: the rows and their
+    numbers are those of a plain running number."""
+    monkeypatch.setattr(sampling, "NAME_ROWS", 20)
+    monkeypatch.setattr(sampling, "COPY_CHUNK", 7)
+    rows = [(7 if i % 3 == 0 else i % 50 if i % 50 else None, i % 90) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = [tuple(r) for r in sampling.laid_out(sampling.row_counts(df, ["k"]), df.columns).collect()]
+    assert sorted((k or -1, v) for k, v, _ in got) == sorted((k or -1, v) for k, v in rows)
+    numbers = {}
+    for k, v, c in sorted(got, key=lambda r: (r[0] or -1, r[2])):
+        numbers.setdefault(k, []).append((c, v))
+    for pairs in numbers.values():
+        assert [c for c, _ in pairs] == list(range(1, len(pairs) + 1))
+        assert [v for _, v in pairs] == sorted(v for _, v in pairs)
+    assert sampling.exact_sample(df, 100, 5, key_cols=["k"]).count() == 100
+    assert sampling.exact_sample(df, 10_000, 5, key_cols=["k"]).count() == 900
+
+
+def test_sample_reads_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(3000).selectExpr("id % 40 AS v").write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.read.parquet(path).mapInArrow(seen, "v long")
+    assert sampling.exact_sample(df, 500, 1).count() == 500
+    assert read.value == 3000
+
+
+def test_hexbin_keeps_a_null_group(spark):
+    df = spark.createDataFrame([(None, 0.0, 0.0), (None, 1.0, 1.0), ("a", 2.0, 2.0)], "g string, x double, y double")
+    out = fidelity.hexbin_density(df, "x", "y", "g").groupBy("g").sum("n").collect()
+    assert {r["g"]: r["sum(n)"] for r in out} == {None: 2, "a": 1}
+
+
+def test_missing_spec_or_bound_raises(spark):
+    from synthlens.operators import clean, synth
+
+    prof = spark.createDataFrame([(f, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0) for f in ("a", "b")],
+                                 "feature string, mean double, std double, min_v double, q1 double, q2 double, q3 double, max_v double")
+    specs = [synth.FeatureSpec("a", "A", "first")]
+    with pytest.raises(Exception, match="no spec for the feature b"):
+        synth.profile_block(prof, specs).collect()
+    with pytest.raises(Exception, match="no bounds for c"):
+        clean.clip_to_profile(spark.createDataFrame([(1.0,)], "c double"), prof, ["c"]).collect()
