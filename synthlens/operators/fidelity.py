@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import bin_edge, hist_bin, round_binary
-from synthlens.operators.joins import join_keys
+from synthlens.operators.joins import join_keys, written
 from synthlens.operators.profile import exact_quantiles, unpivot_long
 
 EPS = 1e-10
@@ -98,12 +98,9 @@ def pair_align(pair: DataFrame, features: Sequence[str], bins: int = 30,
                     F.coalesce("n_q", F.lit(0)).cast("bigint").alias("n_q")))
 
 
-def pair_jsd(pair: DataFrame, features: Sequence[str], bins: int = 30, eps: float = EPS,
-             places: int = 5) -> DataFrame:
-    """A08 core on a labelled pair."""
-    ranges = pair_ranges(pair, features)
-    aligned = pair_align(pair, features, bins, ranges)
-    w = Window.partitionBy("feature")
+def _divergence(aligned: DataFrame, by: Sequence[str], eps: float) -> DataFrame:
+    """``(by..., v)`` of bin counts ``(by..., lo_edge, hi_edge, n_p, n_q)``."""
+    w = Window.partitionBy(*by)
     width = F.col("hi_edge") - F.col("lo_edge")
     d = aligned.withColumns({
         "dp": F.col("n_p") / width / F.sum("n_p").over(w) + F.lit(eps),
@@ -111,15 +108,76 @@ def pair_jsd(pair: DataFrame, features: Sequence[str], bins: int = 30, eps: floa
     })
     d = d.withColumns({"ph": F.col("dp") / F.sum("dp").over(w), "qh": F.col("dq") / F.sum("dq").over(w)})
     d = d.withColumn("m", F.lit(0.5) * (F.col("ph") + F.col("qh")))
-    per = d.groupBy("feature").agg(
+    return d.groupBy(*by).agg(
         (F.lit(0.5) * (F.sum(F.col("ph") * F.ln(F.col("ph") / F.col("m")))
                        + F.sum(F.col("qh") * F.ln(F.col("qh") / F.col("m"))))).alias("v"))
+
+
+def pair_jsd(pair: DataFrame, features: Sequence[str], bins: int = 30, eps: float = EPS,
+             places: int = 5) -> DataFrame:
+    """A08 core on a labelled pair."""
+    ranges = pair_ranges(pair, features)
+    per = _divergence(pair_align(pair, features, bins, ranges), ["feature"], eps)
     return (ranges.join(per, "feature", "left")
             .select("pos", "feature", F.when(F.col("hi") > F.col("lo"), round_binary(F.col("v"), places))
                     .otherwise(F.lit(0.0)).alias("jsd"))
             .orderBy("pos").drop("pos"))
 
 
+def pairs_histogram(rows: DataFrame, pairs: Sequence[tuple[str, Column, Column]], features: Sequence[str],
+                    bins: int = 30) -> DataFrame:
+    """A05/A07 of several pairs of groups of one table: ``(pair, pos,
+    feature, lo, hi, bin, n_p, n_q)``, one row per bin (empty ones too), or
+    one row without a bin for a constant range. ``pairs``: (name, condition
+    of side p, condition of side q). A row of two pairs feeds both, each with
+    its own range: one aggregate finds all ranges, one Expand over pairs and
+    features counts all bins, whatever the number of pairs."""
+    k = range(len(pairs))
+    sided = rows.select(*[F.when(p, F.lit("p")).when(q, F.lit("q")).alias(f"_s{i}") for i, (_, p, q) in enumerate(pairs)],
+                        *[F.col(f).cast("double").alias(f) for f in features])
+    values = {(i, j): F.when(F.col(f"_s{i}").isNotNull(), F.col(f)) for i in k for j, f in enumerate(features)}
+    row = sided.agg(*[F.min(v).alias(f"_lo_{i}_{j}") for (i, j), v in values.items()],
+                    *[F.max(v).alias(f"_hi_{i}_{j}") for (i, j), v in values.items()])
+    row = written(row, "pair-ranges")  # one row, read by the bins and by the scaffold
+    live = row.select(*[F.col(f"_lo_{i}_{j}") for i, j in values],
+                      *[F.when(F.col(f"_hi_{i}_{j}") > F.col(f"_lo_{i}_{j}"), F.col(f"_hi_{i}_{j}")).alias(f"_hi_{i}_{j}")
+                        for i, j in values])
+    binned = sided.crossJoin(F.broadcast(live)).select(
+        *[f"_s{i}" for i in k],
+        *[hist_bin(v, F.col(f"_lo_{i}_{j}"), F.col(f"_hi_{i}_{j}"), bins).alias(f"{i}|{j}") for (i, j), v in values.items()])
+    counts = (binned.unpivot([f"_s{i}" for i in k], [f"{i}|{j}" for i, j in values], "key", "bin")
+              .where(F.col("bin").isNotNull())
+              .withColumn("side", F.array(*[f"_s{i}" for i in k])[F.substring_index("key", "|", 1).cast("int")])
+              .groupBy("key", "bin").agg(F.count_if(F.col("side") == "p").alias("n_p"),
+                                         F.count_if(F.col("side") == "q").alias("n_q")))
+    stacked = [F.struct(F.lit(f"{i}|{j}").alias("key"), F.lit(pairs[i][0]).alias("pair"), F.lit(j).alias("pos"),
+                        F.lit(features[j]).alias("feature"), F.col(f"_lo_{i}_{j}").alias("lo"),
+                        F.col(f"_hi_{i}_{j}").alias("hi")) for i, j in values]
+    ranges = row.select(F.inline(F.array(*stacked)))
+    steps = F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(None).cast("int")))
+    scaffold = ranges.withColumn("bin", F.explode(steps))
+    return (scaffold.join(counts, ["key", "bin"], "left").drop("key")
+            .select("pair", "pos", "feature", "lo", "hi", "bin", F.coalesce("n_p", F.lit(0)).cast("bigint").alias("n_p"),
+                    F.coalesce("n_q", F.lit(0)).cast("bigint").alias("n_q")))
+
+
+def pairs_jsd(rows: DataFrame, pairs: Sequence[tuple[str, Column, Column]], features: Sequence[str], bins: int = 30,
+              eps: float = EPS, places: int = 5) -> DataFrame:
+    """A08 of several pairs of groups of one table: ``(feature, <pair>...)``,
+    one column per pair, features in the given order. The table is read
+    twice in all: for the ranges and for the bins."""
+    b = F.col("bin")
+    hist = pairs_histogram(rows, pairs, features, bins)
+    aligned = hist.where(b.isNotNull()).withColumns({"lo_edge": bin_edge(b, F.col("lo"), F.col("hi"), bins),
+                                                     "hi_edge": bin_edge(b + 1, F.col("lo"), F.col("hi"), bins)})
+    per = _divergence(aligned, ["pair", "pos", "feature"], eps).select(
+        "pair", "pos", "feature", round_binary(F.col("v"), places).alias("jsd"))
+    flat = hist.where(b.isNull()).select("pair", "pos", "feature", F.lit(0.0).alias("jsd"))
+    return (per.unionByName(flat).groupBy("pos", "feature")
+            .agg(*[F.max(F.when(F.col("pair") == name, F.col("jsd"))).alias(name) for name, _, _ in pairs])
+            .orderBy("pos").drop("pos"))
+
+
 def feature_histogram(p_df: DataFrame, q_df: DataFrame, features: Sequence[str], bins: int = 30) -> DataFrame:
     """Fixed-width counts over the joint range of the pair, last bin
     closed. Output ``(feature, grp, bin, n)`` for non-empty bins; ``grp`` is
@@ -150,7 +208,12 @@ def jsd_summary(jsd_a: DataFrame, jsd_b: DataFrame, name_a: str = "A", name_b: s
     """Per feature both divergences and the winner (strictly lower,
     else ``tie``); one more row with the mean of the rounded values, where a
     tie goes to the second input."""
-    both = jsd_a.withColumnRenamed("jsd", "jsd_a").join(jsd_b.withColumnRenamed("jsd", "jsd_b"), "feature")
+    return compare_jsd(jsd_a.withColumnRenamed("jsd", "jsd_a").join(jsd_b.withColumnRenamed("jsd", "jsd_b"), "feature"),
+                       name_a, name_b, average_label)
+
+
+def compare_jsd(both: DataFrame, name_a: str = "A", name_b: str = "B", average_label: str = "__mean__") -> DataFrame:
+    """A09 of ``(feature, jsd_a, jsd_b)``, as ``pairs_jsd`` gives it."""
     per = both.withColumn("winner", F.when(F.col("jsd_a") < F.col("jsd_b"), F.lit(name_a))
                           .when(F.col("jsd_b") < F.col("jsd_a"), F.lit(name_b)).otherwise(F.lit("tie")))
     avg = both.agg(F.avg("jsd_a").alias("jsd_a"), F.avg("jsd_b").alias("jsd_b")).select(

@@ -247,9 +247,46 @@ def hexbin_sql() -> str:
             "CAST(CASE WHEN d1 < d2 THEN iy1 ELSE iy2 END AS INTEGER) AS j FROM ("
             "SELECT *, (ix - ix1) * (ix - ix1) + 3.0 * ((iy - iy1) * (iy - iy1)) AS d1, "
             "(ix - ix2 - 0.5) * (ix - ix2 - 0.5) + 3.0 * ((iy - iy2 - 0.5) * (iy - iy2 - 0.5)) AS d2 FROM cell)")
-    return with_({"pts": "SELECT label AS grp, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y "
-                         "FROM embeddings", "ext": ext, "idx": idx, "cell": cell, "pick": pick},
-                 "SELECT grp, lattice, i, j, count(*) AS n FROM pick GROUP BY ALL")
+    pts = embedding_sql()
+    return (f"WITH pts AS ({pts}), ext AS ({ext}), idx AS ({idx}), cell AS ({cell}), pick AS ({pick})\n"
+            "SELECT grp, lattice, i, j, count(*) AS n FROM pick GROUP BY ALL")
+
+
+def embedding_sql() -> str:
+    """The two leading axes by squaring the covariance of the standardised
+    features (a power iteration of 2^50 steps, the sum of the diagonal kept at
+    1), the second after the first is taken out. The square's column with the
+    largest diagonal is the axis, its largest entry positive."""
+    k = len(FEATS)
+    cells = [(i, j) for i in range(k) for j in range(k)]
+    feats = ", ".join(FEATS)
+    z = ", ".join(f"CASE WHEN s{i} > 0 AND s{j} > 0 THEN c{min(i, j)}{max(i, j)} / (s{i} * s{j}) ELSE 0.0 END AS z{i}{j}"
+                  for i, j in cells)
+
+    def squared(name: str, src: str) -> dict[str, str]:
+        a = ", ".join(f"a{i}{j}" for i, j in cells)
+        trace = " + ".join(f"{{0}}{i}{i}" for i in range(k))
+        square = ", ".join(f"{' + '.join(f'a{i}{m} * a{m}{j}' for m in range(k))} AS b{i}{j}" for i, j in cells)
+        best = [f"a{i}{i} >= greatest({', '.join(f'a{j}{j}' for j in range(i + 1, k))})" for i in range(k - 1)]
+        axis = ", ".join("CASE " + " ".join(f"WHEN {c} THEN a{i}{m} / sqrt(a{m}{m})" for m, c in enumerate(best))
+                         + f" ELSE a{i}{k - 1} / sqrt(a{k - 1}{k - 1}) END AS v{i}" for i in range(k))
+        return {f"{name}(n, {a})": f"SELECT 0, {', '.join(f'z{i}{j} / ({trace.format(chr(122))})' for i, j in cells)} FROM {src} "
+                                   f"UNION ALL SELECT n + 1, {', '.join(f'b{i}{j} / ({trace.format(chr(98))})' for i, j in cells)} "
+                                   f"FROM (SELECT n, {square} FROM {name}) WHERE n < 50",
+                f"{name}_axis": f"SELECT {axis}, {a} FROM {name} WHERE n = 50"}
+
+    top = " + ".join(f"a{i}{j} * z{i}{j}" for i, j in cells)
+    left = ", ".join(f"z{i}{j} - l * a{i}{j} AS z{i}{j}" for i, j in cells)
+    u = (f"SELECT 'real' AS grp, {feats} FROM {REAL} UNION ALL SELECT 'other', {feats} FROM flows WHERE grp = 'O' AND label = 'ssh' "
+         f"UNION ALL SELECT 'baseline', {feats} FROM base")
+    st = ("SELECT " + ", ".join(f"avg({f}) AS m{i}, stddev_pop({f}) AS s{i}" for i, f in enumerate(FEATS)) + ", "
+          + ", ".join(f"covar_samp({FEATS[i]}, {FEATS[j]}) AS c{i}{j}" for i, j in cells if i <= j) + " FROM u")
+    point = [" + ".join(f"CASE WHEN s{i} > 0 THEN ({f} - m{i}) / s{i} ELSE 0.0 END * {t}.v{i}" for i, f in enumerate(FEATS))
+             for t in ("p_axis", "q_axis")]
+    ctes = {**FLOWS, "base": baseline_sql(q.SEED + 1, 1.03), "u": u, "st": st, "z": f"SELECT {z} FROM st", **squared("p", "z"),
+            "rest": f"SELECT {left} FROM (SELECT *, {top} AS l FROM z, p_axis)", **squared("q", "rest")}
+    cols = ", ".join(f"round(({e}) * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0 AS {c}" for e, c in zip(point, "xy"))
+    return with_(ctes, f"SELECT grp, {cols} FROM u, st, p_axis, q_axis", recursive=True)
 
 
 def box_sql() -> str:
@@ -433,6 +470,7 @@ def build() -> dict[str, str]:
                                       f"{sig('avg(f1)')} AS f1, count(*) AS runs FROM m GROUP BY mode")
     S["box_stats"] = box_sql()
     S["hexbin_density"] = hexbin_sql()
+    S["embedding_2d"] = embedding_sql()
     S["group_counts"] = with_(FLOWS, "SELECT grp, count(*) AS n FROM flows GROUP BY grp")
     S["batch_outcomes"] = with_(ACCOUNTING, "SELECT run, count(*) AS planned, CAST(count_if(requested > 0 AND parsed = 0) AS BIGINT) "
                                             "AS failed, CAST(sum(accepted) AS BIGINT) AS accepted FROM acc GROUP BY run")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from synthlens.functions.numeric import round_binary
 from synthlens.functions.text import reply_clean, reply_slice
 from synthlens.operators import clean, detect, features, fidelity, profile, report, sampling, synth
+from synthlens.operators.joins import written
 from synthlens.plans import fixtures as fx
 from synthlens.plans import workflows
 from synthlens.session import scratch_dir
@@ -178,12 +179,13 @@ def q_completion_source(spark, sf_dir):
 
 
 def _report_tables(spark, sf_dir):
+    points = written(q_embedding_2d(spark, sf_dir), "report-points")
     return {
         "jsd": fidelity.pair_jsd(flows_pair(spark, sf_dir), FEATS),
         "histogram": fidelity.pair_histogram(flows_pair(spark, sf_dir), FEATS),
         "box": fidelity.box_stats(fx.flows(spark, sf_dir), FEATS, "grp"),
-        "hexbin": q_hexbin_density(spark, sf_dir),
-        "scatter": q_embedding_2d(spark, sf_dir),
+        "hexbin": fidelity.hexbin_density(points, "x", "y", "grp"),
+        "scatter": points,
         "load_audit": q_load_audit(spark, sf_dir),
     }
 
@@ -403,11 +405,12 @@ def q_jsd(spark, sf_dir):
 
 @query("jsd_summary")
 def q_jsd_summary(spark, sf_dir):
-    p = flows_real(spark, sf_dir)
-    ssh = fx.flows(spark, sf_dir).where(F.col("label") == "ssh")
-    a = fidelity.pair_jsd(fidelity.pair_by_group(ssh, "grp", "F", "O", FEATS), FEATS)
-    b = fidelity.jsd(p, baseline(spark, sf_dir, SEED + 2, 1.08), FEATS)
-    return sig_cols(fidelity.jsd_summary(a, b), ["jsd_a", "jsd_b"])
+    """Real sessions against the other group, and against the stand-in, which is generated once."""
+    ssh = fx.flows(spark, sf_dir).where(F.col("label") == "ssh").select("grp", *FEATS)
+    made = written(baseline(spark, sf_dir, SEED + 2, 1.08).select(F.lit("made").alias("grp"), *FEATS), "stand-in")
+    grp = F.col("grp")
+    pairs = [("jsd_a", grp == "F", grp == "O"), ("jsd_b", grp == "F", grp == "made")]
+    return sig_cols(fidelity.compare_jsd(fidelity.pairs_jsd(ssh.unionByName(made), pairs, FEATS)), ["jsd_a", "jsd_b"])
 
 
 @query("majority_vote")
@@ -446,15 +449,10 @@ def q_box_stats(spark, sf_dir):
     return sig_cols(out, ["q1", "med", "q3", "whislo", "whishi"])
 
 
-def _embedding_points(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").alias("grp"), F.col("embedding")[0].cast("double").alias("x"),
-                    F.col("embedding")[1].cast("double").alias("y"))
-
-
 @query("hexbin_density")
 def q_hexbin_density(spark, sf_dir):
-    return fidelity.hexbin_density(_embedding_points(spark, sf_dir), "x", "y", "grp")
+    """Cells of the embedded points."""
+    return fidelity.hexbin_density(q_embedding_2d(spark, sf_dir), "x", "y", "grp")
 
 
 @query("group_counts")
@@ -649,7 +647,9 @@ def q_standardize(spark, sf_dir):
 def q_embedding_2d(spark, sf_dir):
     parts = [("real", flows_real(spark, sf_dir)), ("other", flows_q(spark, sf_dir).where(F.col("label") == "ssh")),
              ("baseline", baseline(spark, sf_dir, SEED + 1, 1.03))]
-    return fidelity.embedding_2d(fidelity.labelled_union(parts, FEATS), FEATS, keep=["grp"])
+    union = written(fidelity.labelled_union(parts, FEATS), "embedding-input")  # read for the axes and for the points
+    out = fidelity.embedding_2d(union, FEATS, keep=["grp"])
+    return out.withColumns({c: zero_norm(round_binary(F.col(c), 6)) for c in ("x", "y")})
 
 
 @query("rf_predict")

@@ -144,10 +144,11 @@ def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None
     audits += [report.load_audit(k, {"A": a, "B": b}[k], None, features, True) for k, v in sim.items() if v]
     union = fidelity.labelled_union([("original", original), ("A", a), ("B", b)], features).persist()
     emb = fidelity.embedding_2d(union, features, keep=["grp"])
-    jsd_a, jsd_b = fidelity.jsd(original, a, features), fidelity.jsd(original, b, features)
+    grp = F.col("grp")
+    pairs = [("jsd_a", grp == "original", grp == "A"), ("jsd_b", grp == "original", grp == "B")]
     moments = profile.group_moments(union, features, "grp")
     tables = {
-        "jsd": fidelity.jsd_summary(jsd_a, jsd_b),
+        "jsd": fidelity.compare_jsd(fidelity.pairs_jsd(union, pairs, features)),
         "means": profile.metric_pivot(moments, "mean", "grp", ["original", "A", "B"]),
         "stds": profile.metric_pivot(moments, "std", "grp", ["original", "A", "B"]),
         "box": fidelity.box_stats(union, list(box_features or features), "grp"),

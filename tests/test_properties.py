@@ -227,3 +227,17 @@ def test_missing_spec_or_bound_raises(spark):
         synth.profile_block(prof, specs).collect()
     with pytest.raises(Exception, match="no bounds for c"):
         clean.clip_to_profile(spark.createDataFrame([(1.0,)], "c double"), prof, ["c"]).collect()
+
+
+def test_several_pairs_equal_single_pairs(spark):
+    """Pairs that share a group, a constant feature, NULLs and a row of no pair."""
+    rng = np.random.default_rng(9)
+    rows = [(g, float(x), 2.0, None if i % 5 == 0 else float(i % 9)) for i, (g, x) in
+            enumerate(zip(rng.choice(list("abcd"), 400).tolist(), rng.normal(size=400).tolist()))]
+    df = spark.createDataFrame(rows, "g string, u double, v double, w double")
+    feats, g = ["u", "v", "w"], fidelity.F.col("g")
+    both = fidelity.pairs_jsd(df, [("x", g == "a", g == "b"), ("y", g == "a", g == "c")], feats).collect()
+    assert [r["feature"] for r in both] == feats
+    for name, q in (("x", "b"), ("y", "c")):
+        one = fidelity.pair_jsd(fidelity.pair_by_group(df, "g", "a", q, feats), feats).collect()
+        assert [(r["feature"], r[name]) for r in both] == [(r["feature"], r["jsd"]) for r in one]
