@@ -8,8 +8,8 @@ example whose demand vector has the largest weighted dot product with the
 sequence's remaining capacity among those that fit all limits. If none fits
 whole, the best example is cut so that the sequence is filled exactly.
 
-Documents are dealt to groups of about ``GROUP_DOCS`` by a hash of the id;
-each group is packed by one task, so padding is at most one open sequence a
+Documents are dealt to groups of about ``GROUP_DOCS`` by a hash of the id and
+the row's number, so equal rows spread like others; each group is packed by one task, so padding is at most one open sequence a
 group (or what the segment limit forces). Token ids travel as 16-bit
 numbers. Nothing is dropped: each token lies in exactly one piece.
 
@@ -63,7 +63,8 @@ class WordEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         known = self.ids
-        split = {w: m.groups() for w in chunks if (m := _WORD_AND_MARKS(w))}
+        # the small form of U+0130 ends in a combining dot, which the tokenizer joins to the marks
+        split = {w: m.groups() for w in chunks if "\u0130" not in w and (m := _WORD_AND_MARKS(w))}
         new = list({p for w in chunks for p in split.get(w, (w,))}.difference(known))
         for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
             known[w] = array("H", e.ids).tobytes()
@@ -169,7 +170,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(enc.encode(b.column(1).to_pylist()), pa.binary())], names=coded.names)
 
-    group = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32("ids")), F.lit(groups))
+    # the number of the row in its part spreads equal rows; a part is read from files, so a repeated task numbers it alike
+    group = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.monotonically_increasing_id()),
+                   F.lit(groups))
     rows = src.mapInArrow(encode, coded).withColumn("group", group)
     long = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id",
                                                      "offset")]

@@ -170,12 +170,17 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 
 
 def _rules_sql() -> str:
+    # a phrase between letters of no other word; marks and spaces are doubled, so that neighbouring phrases do not share one
+    edge = r"[^0-9a-z\x{80}-\x{10FFFF}]"
+    phrases = "|".join(p.decode().replace(" ", "  ") for p in quality_rules.BOILERPLATE)
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
  m AS (SELECT doc_id, i, line, {_WORDS.format("line")} AS w FROM l),
  o AS (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM m WHERE len(w) > 0),
  x AS (SELECT doc_id, n, again, again
-    OR regexp_matches({_LOWER.format("line")}, '{"|".join(p.decode() for p in quality_rules.BOILERPLATE)}')
+    OR 100 * coalesce(list_sum([len(regexp_extract_all(p, '[^ ]+')) for p in regexp_extract_all(
+        regexp_replace({_LOWER.format("line")}, '({edge})', '\1\1', 'g'), '(?:^|{edge})({phrases})(?:$|{edge})', 1)]), 0)
+       >= {quality_rules.BOILERPLATE_PERCENT} * n
     OR 100 * len([y for y in w if regexp_matches(y, '[#*$%&|<>]')]) > {quality_rules.MAX_SYMBOL_PERCENT} * n
     OR (n >= {quality_rules.MIN_CAPITAL_WORDS} AND 100 * len([y for y in w if regexp_matches(y, '[A-Z]')
         AND NOT regexp_matches(y, '[a-z]')]) > {quality_rules.MAX_CAPITAL_PERCENT} * n)

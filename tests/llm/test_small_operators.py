@@ -256,6 +256,34 @@ def test_encoder_equals_tokenizer_on_odd_text():
     tok = Tokenizer.from_file(tokenizer_path())
     tok.encode_special_tokens = True
     texts = ["ΣΑΣ σας", "İstanbul", "e\u0301 É", "it's we'll 'S don'T", "<|endoftext|> x", "3.14 $5!! \x1c \x85\ta\r\nc", "ß ẞ ﬁ",
-             "日本語 テスト。", "x_y __ a-b --", "A\u030a", "", "  "]
+             "日本語 テスト。", "x_y __ a-b --", "A\u030a", "", "  ", "İ.", "BEYLİ.", "ADANALİ, X", "İİ!? i̇."]
+    rng = np.random.default_rng(4)
+    letters = np.array(list("aIİißΣσéE\u0301\u0307ǅªⅧ²ñ日ﬁ.,!?;()'-_ 1"))
+    texts += ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(6000)]
     got = packing.encoder(tokenizer_path()).encode(texts)
     assert [list(np.frombuffer(g, np.uint16)) for g in got] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    df = spark.createDataFrame([(1, "one two three.")] * 600, "doc_id long, text string").repartition(3)
+    out = packing.pack_documents(df, tokenizer_path(), group_docs=50).collect()
+    assert len(out) == 600 and len({r["sequence_id"] >> 32 for r in out}) == 12
+
+
+def test_rules_twin_on_mentions_and_notices(spark, tmp_path):
+    """The SQL twin where a line mentions a phrase, is one, or holds several side by side."""
+    import duckdb
+
+    from synthlens.llm.queries import ORACLE_SQL
+
+    prose = " ".join(f"word{i}" for i in range(70))
+    lines = ["All rights reserved.", "privacy policy terms of use", "Privacy Policy | Terms of Service | x y", "see our privacy policy",
+             "read the privacy policy before you write to us again", "designed in to it", "xclick here now", "click hereé", "click here click here a b c d"]
+    rows = [(i, f"{prose}\n{x}\n{prose} {x} {prose}") for i, x in enumerate(lines)] + [(90, prose + " privacy policy " + prose)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    names = sorted(quality_rules.quality_counts(df).columns)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL['op5_quality_rules']})").fetchall()
+    got = [tuple(r) for r in quality_rules.quality_counts(df).select(*names).collect()]
+    assert sorted(got) == sorted(want) and len({r[names.index("n_lines_removed")] for r in got}) > 1
