@@ -40,11 +40,14 @@ MAX_SEGMENTS = 512
 MAX_LOSS = 2048
 END_ID = 1
 GROUP_DOCS = 2048
-CACHE_WORDS = 1_000_000  # words whose ids a worker remembers
+CACHE_WORDS = 1_000_000  # pieces whose ids a worker remembers
+JOINED = 1000  # new words that are encoded as one text
 
 # a run of letters, then ASCII marks (no apostrophe: the tokenizer has rules for it)
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,!?;:%$&*#|()\"]+)").fullmatch
 
+_LATIN = re.compile("[a-zß-öø-ɏ]+").fullmatch
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -60,16 +63,31 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.ids: dict[str, bytes] = {"": b""}
+        self.closes = np.zeros(1 << 16, bool)  # by id: the last token of a word
+        self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks; remembers their pieces. Words of small Latin
+        letters are one word each to the tokenizer, so many are encoded as one
+        text and told apart by the tokens that close a word."""
         known = self.ids
         # the small form of U+0130 ends in a combining dot, which the tokenizer joins to the marks
         split = {w: m.groups() for w in chunks if "\u0130" not in w and (m := _WORD_AND_MARKS(w))}
-        new = list({p for w in chunks for p in split.get(w, (w,))}.difference(known))
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = array("H", e.ids).tobytes()
-        for w, (word, marks) in split.items():
-            known[w] = known[word] + known[marks]
+        new = {p for w in chunks for p in split.get(w, (w,))}.difference(known)
+        plain = [p for p in new if _LATIN(p)]
+        others = [p for p in new if not _LATIN(p)]
+        parts = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint16)
+            ends = (2 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # another kind of tokenizer
+                others += part
+                continue
+            raw = ids.tobytes()
+            known.update((p, raw[a:b]) for p, a, b in zip(part, [0, *ends], ends))
+        for p, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False)):
+            known[p] = array("H", e.ids).tobytes()
+        return {w: known[word] + known[marks] for w, (word, marks) in split.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """16-bit ids of each text, the end token last."""
@@ -78,11 +96,10 @@ class WordEncoder:
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids = {"": b""}
             new = {w for c in chunks for w in c if w}
-        if new:
-            self._learn(new)
+        made = self._learn(new) if new else {}
         known = self.ids
         end = array("H", [END_ID]).tobytes()
-        return [b"".join([known[w] for w in c]) + end for c in chunks]
+        return [b"".join([known[w] if w in known else made[w] for w in c]) + end for c in chunks]
 
 
 def folded(text: str) -> str:
