@@ -113,6 +113,39 @@ def components(edges: DataFrame) -> DataFrame:
     to its smallest neighbour, then the smaller ones likewise; both halves
     keep the components and shorten paths. Every round is a written table,
     so lineage stays short; no task holds a component."""
+    def star(e: DataFrame, larger: bool) -> DataFrame:
+        both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        if larger:
+            both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_m", "a").alias("_m"))
+        joined = both.join(least, F.col("a") == F.col("_a"))
+        if larger:
+            out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        else:
+            out = joined.select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(
+                joined.select("a", F.col("_m").alias("b")))
+        return out.where(F.col("a") != F.col("b")).distinct()
+
+    current = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                      .where(F.col("a") != F.col("b")).distinct(), "edges")
+    while True:
+        following = written(star(star(current, True), False), "edges")
+        n, m = current.count(), following.count()
+        if n == m and not current.exceptAll(following).take(1):
+            break
+        current = following
+    pairs = following.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return pairs.unionByName(pairs.select(F.col("label").alias("node"), "label").distinct())
+
+
+def split_components(edges: DataFrame) -> DataFrame:
+    """(node, label): for every node of the undirected ``edges`` (a, b) the
+    smallest node it can reach. Each round links a node's larger neighbours
+    to its smallest neighbour, then the smaller ones likewise; both halves
+    keep the components and shorten paths. Every round is a written table,
+    so lineage stays short. The smallest neighbours are a written table of
+    their own: the join deals both sides anew, and Spark can split a centre
+    with very many neighbours over tasks."""
     def star(e: DataFrame, larger: bool) -> DataFrame:
         both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         if larger:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthlens.llm.common import components, slices, words_of, written
+from synthlens.llm.common import slices, split_components, words_of, written
 
 WORDS = 4
 RADIUS = 4
@@ -354,7 +354,7 @@ def similar(distinct: DataFrame, radius: int = RADIUS, m: int | None = None, hot
     usual = rows.join(common.select("key"), "key", "left_anti").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
     edges = written(usual.groupBy("g").applyInArrow(group_links(radius), schema).distinct(), "simhash-links")
     if not common.take(1):
-        return components(edges)
+        return split_components(edges)
     heavy = written(rows.join(common, "key"), "simhash-heavy")
     blocks = [F.ceil(F.col(c) / hot) for c in ("n0", "n1")]
     heavy = heavy.withColumns({"o0": blocks[0], "o1": blocks[1]})
@@ -376,7 +376,7 @@ def similar(distinct: DataFrame, radius: int = RADIUS, m: int | None = None, hot
 
     edges = written(edges.unionByName(met(first_meeting(0), first_meeting(1))).distinct(), "simhash-links")
     # rows outside the largest component of their key meet all of the other side
-    known = written(heavy.join(components(edges), F.col("fp") == F.col("node"), "left")
+    known = written(heavy.join(split_components(edges), F.col("fp") == F.col("node"), "left")
                     .withColumn("label", F.coalesce("label", "fp")).drop("node"), "simhash-known")
     by_label = known.groupBy("key", "label").count()
     largest = by_label.groupBy("key").agg(F.max(F.struct("count", "label")).alias("_l"), F.count("*").alias("labels"))
@@ -397,7 +397,7 @@ def similar(distinct: DataFrame, radius: int = RADIUS, m: int | None = None, hot
         return met(few.select(*cols), all_.select(*cols))
 
     more = second_meeting(0).unionByName(second_meeting(1))
-    return components(written(edges.unionByName(more).distinct(), "simhash-links"))
+    return split_components(written(edges.unionByName(more).distinct(), "simhash-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS,

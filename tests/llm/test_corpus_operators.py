@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from synthlens.llm import lm_mix, ngram_join, suffix_dedup
-from synthlens.llm.common import components, crc_mod
+from synthlens.llm.common import components, crc_mod, split_components
 
 
 # --- n-gram join
@@ -80,7 +80,9 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(root(a), root(b))] = min(root(a), root(b))
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["label"] for r in components(df).collect()}
+    assert got == {r["node"]: r["label"] for r in split_components(df).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
 
 
