@@ -135,7 +135,10 @@ def pairs_histogram(rows: DataFrame, pairs: Sequence[tuple[str, Column, Column]]
     k = range(len(pairs))
     sided = rows.select(*[F.when(p, F.lit("p")).when(q, F.lit("q")).alias(f"_s{i}") for i, (_, p, q) in enumerate(pairs)],
                         *[F.col(f).cast("double").alias(f) for f in features])
-    values = {(i, j): F.when(F.col(f"_s{i}").isNotNull(), F.col(f)) for i in k for j, f in enumerate(features)}
+    # columns of their own: a CASE inside the bin rule would be evaluated for each of its uses
+    values = {(i, j): F.col(f"_v_{i}_{j}") for i in k for j in range(len(features))}
+    sided = sided.select(*[f"_s{i}" for i in k], *[F.when(F.col(f"_s{i}").isNotNull(), F.col(features[j])).alias(f"_v_{i}_{j}")
+                                                   for i, j in values])
     row = sided.agg(*[F.min(v).alias(f"_lo_{i}_{j}") for (i, j), v in values.items()],
                     *[F.max(v).alias(f"_hi_{i}_{j}") for (i, j), v in values.items()])
     row = written(row, "pair-ranges")  # one row, read by the bins and by the scaffold
@@ -167,7 +170,7 @@ def pairs_jsd(rows: DataFrame, pairs: Sequence[tuple[str, Column, Column]], feat
     one column per pair, features in the given order. The table is read
     twice in all: for the ranges and for the bins."""
     b = F.col("bin")
-    hist = pairs_histogram(rows, pairs, features, bins)
+    hist = written(pairs_histogram(rows, pairs, features, bins), "pair-bins")  # a row per pair, feature and bin, read twice
     aligned = hist.where(b.isNotNull()).withColumns({"lo_edge": bin_edge(b, F.col("lo"), F.col("hi"), bins),
                                                      "hi_edge": bin_edge(b + 1, F.col("lo"), F.col("hi"), bins)})
     per = _divergence(aligned, ["pair", "pos", "feature"], eps).select(
