@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from synthlens.functions.numeric import minmax_100, ratio_or_zero
 from synthlens.operators.clean import NON_SSH, SSH, SYNTH_ENDPOINT
 from synthlens.operators.joins import join_checked
+from synthlens.session import shared_dir
 
+MAX_DEPTH = 30  # the deepest tree that Spark ML grows; the compared trees have no limit
 DUMMY_ENDPOINT = f"{SYNTH_ENDPOINT[0]}:{SYNTH_ENDPOINT[1]}"
 
 
@@ -146,17 +148,27 @@ def prepare_training(train: DataFrame, features: Sequence[str], label_col: str):
     return assembler.transform(indexer.transform(train)).select("_features", "_label"), list(indexer.labels)
 
 
-def fit_forest(assembled: DataFrame, num_trees: int = 100, max_depth: int = 10, seed: int = 0,
-               max_bins: int = 64, subsampling_rate: float = 1.0):
+def fit_forest(assembled: DataFrame, num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 0,
+               max_bins: int = 64, subsampling_rate: float = 1.0, level_mb: int = 1024):
     """M04 fit: Spark ML trains the trees as distributed tasks over binned
-    features (one pass per tree level for all trees together)."""
+    features (one pass per tree level for all trees together, as long as the
+    level's statistics fit in ``level_mb``). Each row keeps the node it has
+    reached in each tree, so a pass does not send the trees grown so far nor
+    walk them again; these node numbers are written to the checkpoint folder
+    every ten passes, which keeps their lineage short."""
     from pyspark.ml.classification import RandomForestClassifier
 
+    shared_dir(assembled.sparkSession)
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pidx",
                                     numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins,
                                     featureSubsetStrategy="sqrt", subsamplingRate=subsampling_rate,
-                                    bootstrap=True)
-    return forest.fit(assembled)
+                                    bootstrap=True, cacheNodeIds=True, checkpointInterval=10,
+                                    maxMemoryInMB=level_mb)
+    model = forest.fit(assembled)
+    # The training summary holds the session and goes with the model to every task; a session that has observed
+    # metrics cannot be sent.
+    model._java_obj.setSummary(assembled.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def predict_forest(model, labels: Sequence[str], test: DataFrame, features: Sequence[str],
@@ -171,7 +183,7 @@ def predict_forest(model, labels: Sequence[str], test: DataFrame, features: Sequ
 
 
 def rf_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label_col: str,
-               num_trees: int = 100, max_depth: int = 10, seed: int = 0, max_bins: int = 64,
+               num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 0, max_bins: int = 64,
                subsampling_rate: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
     """Random forest fit on the train features, predicted labels on the
     test rows (``prediction`` as the original label text)."""
@@ -202,7 +214,7 @@ def score_from_counts(counts: DataFrame, group_cols: Sequence[str], endpoint_col
 
 def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: DataFrame, features: Sequence[str],
                          label_col: str, pca_cols: Sequence[str] | None = None, n_repeat: int = 10,
-                         num_trees: int = 100, max_depth: int = 10, base_seed: int = 7,
+                         num_trees: int = 100, max_depth: int = MAX_DEPTH, base_seed: int = 7,
                          endpoint_col: str = "endpoint", parallel_fits: int = 4,
                          max_fit_rows: int | None = None) -> DataFrame:
     """For each training mode, optional first-component feature, then

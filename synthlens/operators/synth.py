@@ -4,8 +4,8 @@ The generator's sequential loop (one model call per batch, a running total
 that sets the next request size) has a closed form: with parsed counts
 ``p_k`` and batch size ``B`` the accepted total after batch ``k`` is
 ``min(n, sum_{j<=k} min(p_j, B))``. So every batch is a row, replies are a
-table, and the loop is a running sum. The running sum is two-level (block
-totals, then a window inside each block) so no task sees all batches.
+table, and the loop is a running sum. The running sum is taken in blocks, and
+over the block totals likewise, so no task sees all batches.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthlens.functions.numeric import finite_or_null, greatest_of, md5_normal, md5_unit
-from synthlens.functions.text import fmt4, parse_replies, reply_clean, reply_slice
+from synthlens.functions.text import fmt4, parse_replies
 from synthlens.operators.clean import clip_to_profile, drop_incomplete, require_features
 from synthlens.operators.joins import join_checked
 from synthlens.operators.sampling import cap_rows
+from synthlens.sources.files import path_exists
 
 RULE = "-" * 64
 
@@ -54,19 +55,24 @@ the stated range; the relations given must hold; do not repeat records; no addre
 
 def running_total(df: DataFrame, order_col: str, value_col: str, out: str, block: int = 65_536,
                   max_key: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value_col`` in ``order_col`` order (an
-    integer key). Two levels: block totals with an exclusive prefix over the
-    (few) blocks, then a window partitioned by block. With ``max_key`` known
-    the block table has at most ``max_key / block + 1`` rows, a proven bound:
-    it is broadcast without counting when that bound is small."""
-    d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block)))
-    blk = d.groupBy("_blk").agg(F.sum(value_col).alias("_bs"))
-    blk = blk.withColumn("_off", F.coalesce(
-        F.sum("_bs").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Inclusive running sum of ``value_col`` in ``order_col`` order (a
+    non-negative integer key). Keys fall into blocks of ``block``; inside a
+    block a window sums, and the totals of the blocks before are the running
+    sum of the block totals, found the same way one level up, until one block
+    holds all keys. So no window holds more than ``block`` keys (65,536:
+    three levels up to 2^48 keys). ``max_key``: the largest key, if known."""
+    if max_key is None:
+        max_key = df.agg(F.max(order_col)).first()[0] or 0
+    d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block)).cast("bigint"))
     w = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = blk.select("_blk", "_off")
+    inside = F.sum(value_col).over(w)
+    if max_key < block:
+        return d.withColumn(out, inside.cast("bigint")).drop("_blk")
+    totals = d.groupBy("_blk").agg(F.sum(value_col).alias("_bs"))
+    offsets = (running_total(totals.withColumnRenamed("_blk", "_key"), "_key", "_bs", "_upto", block, max_key // block)
+               .select(F.col("_key").alias("_blk"), (F.col("_upto") - F.col("_bs")).alias("_off")))
     return (join_checked(d, offsets, "_blk")
-            .withColumn(out, (F.col("_off") + F.sum(value_col).over(w)).cast("bigint")).drop("_blk", "_off"))
+            .withColumn(out, (F.col("_off") + inside).cast("bigint")).drop("_blk", "_off"))
 
 
 def batch_plan(spark: SparkSession, n: int, batch_size: int) -> DataFrame:
@@ -181,10 +187,42 @@ def completion_source(prompts: DataFrame, recorded: DataFrame | None = None, com
     return prompts.mapInPandas(call, schema)
 
 
-def cleaned_replies(replies: DataFrame) -> DataFrame:
-    """``(batch, cleaned, sliced)``."""
-    c = reply_clean(F.col("response"))
-    return replies.select("batch", c.alias("cleaned"), reply_slice(c).alias("sliced"))
+def resumed_replies(prompts: DataFrame, completer, path: str, per_write: int = 1000, concurrency: int | None = None,
+                    ask_failed: bool = False) -> DataFrame:
+    """S07 with a memory: ``(batch, response, error)`` of every prompt, kept
+    as Parquet under ``path``. Only batches that ``path`` does not hold are
+    asked, ``per_write`` batch numbers at a time, and each portion is written
+    before the next is asked: a run that ended is started again by the same
+    call and loses one portion at most. A failed call is an answer too (its
+    reason is kept) and is not asked again unless ``ask_failed``; then a
+    batch has one row per attempt there, and the result holds a reply if any
+    attempt gave one. Prompts without a batch number cannot be told apart
+    and are refused."""
+    spark = prompts.sparkSession
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("response", T.StringType()),
+                           T.StructField("error", T.StringType())])
+    asked = prompts.select(F.col("batch").cast("bigint").alias("batch"), "prompt")
+    bounds = asked.agg(F.min("batch"), F.max("batch"), F.count_if(F.col("batch").isNull())).first()
+    if bounds[2]:
+        raise ValueError("a prompt has no batch number")
+
+    def held() -> DataFrame:
+        return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+    first = bounds[0]
+    while first is not None and first <= bounds[1]:
+        here = F.col("batch").between(first, first + per_write - 1)
+        done = held().where(here)
+        done = done.where(F.col("response").isNotNull()) if ask_failed else done
+        due = asked.where(here).join(done.select("batch"), "batch", "left_anti")
+        # the next portion starts at the next batch that is there: numbers may have gaps
+        if not due.isEmpty():
+            replies = completion_source(due, completer=completer, concurrency=concurrency)
+            replies.select("batch", "response", "error").write.mode("append").parquet(path)
+        first = asked.where(F.col("batch") >= first + per_write).agg(F.min("batch")).first()[0]
+    best = held().groupBy("batch").agg(F.max("response").alias("response"), F.max("error").alias("_error"))
+    return (asked.select("batch").distinct().join(best, "batch", "left")
+            .select("batch", "response", F.when(F.col("response").isNull(), F.col("_error")).alias("error")))
 
 
 def parsed_items(replies: DataFrame) -> DataFrame:
@@ -278,7 +316,8 @@ def record_audit(records: DataFrame, profile: DataFrame, features: Sequence[str]
     complete = records.where(greatest_of(F.col(f).isNull().cast("int") for f in features) == 0)
     vb = complete.groupBy(*features, "batch").agg(F.count(F.lit(1)).alias("_c"))
     vt = vb.groupBy(*features).agg(F.sum("_c").alias("_t"))
-    dup = (vb.join(vt, list(features)).where(F.col("_t") > 1)
+    # repeated vectors are written: the other side is then dealt anew, and Spark can split a vector that every batch holds
+    dup = (join_checked(vb, vt.where(F.col("_t") > 1), list(features))
            .groupBy("batch").agg(F.sum("_c").cast("bigint").alias("n_duplicate")))
     return (per.join(dup, "batch", "left").fillna(0, ["n_duplicate"])
             .select("batch", "n_records", "n_missing", "n_nonpositive", "n_out_of_range", "n_duplicate"))

@@ -550,6 +550,7 @@ def build() -> dict[str, str]:
                                             "FROM flows GROUP BY grp")
     S["connection_stats"] = with_({"conns": fx.CONNS_SQL, "cs": CONN},
                                   f"SELECT dst, total, n_sources, {sig('avg_per_source')} AS avg_per_source FROM cs")
+    S["connection_sketches"] = with_({"conns": fx.CONNS_SQL, "cs": CONN}, "SELECT dst, total, n_sources, 1 AS within FROM cs")
     S["transfer_stats"] = with_({"packets": fx.PACKETS_SQL, "t": transfer_sql()},
                                 f"SELECT session, {sel_sig(['bytes_sent', 'bytes_recv', 'duration', 'ratio', 'speed'], {'bytes_sent', 'bytes_recv', 'duration', 'ratio', 'speed'})} FROM t")
     S["ipa_stats"] = with_({"packets": fx.PACKETS_SQL, "i": IPA},

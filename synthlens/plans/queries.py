@@ -30,6 +30,7 @@ SAMPLE_N = 1000
 BATCH = 20
 REQUEST = 15  # records asked of a reply, which holds up to 20
 TOL = 1e-6
+SKETCH_BOUND = 0.05  # six standard errors of the sketches
 
 # Our descriptions of the lineitem columns used as session features.
 FLOW_SPECS = [
@@ -200,9 +201,10 @@ def q_report_tables(spark, sf_dir):
 def q_load_audit(spark, sf_dir):
     """Two sources whose quantity is unknown in some rows, and a stand-in."""
     f = fx.flows(spark, sf_dir).withColumn("l_quantity", F.when(F.col("l_tax") >= 0.02, F.col("l_quantity")))
-    parts = [report.load_audit(g, f.where(F.col("grp") == g), F.col("label") == "ssh", FEATS, False, SAMPLE_N)
-             for g in ("F", "O")]
-    stand_in = report.load_audit("baseline", baseline(spark, sf_dir, SEED + 1, 1.03), None, FEATS, True)
+    parts = [report.load_audited(g, f.where(F.col("grp") == g), F.col("label") == "ssh", FEATS,
+                                 scratch_dir(spark, "load"), False, SAMPLE_N)[1] for g in ("F", "O")]
+    stand_in = report.load_audited("baseline", baseline(spark, sf_dir, SEED + 1, 1.03), None, FEATS,
+                                   scratch_dir(spark, "load"), True)[1]
     out = parts[0].unionByName(parts[1]).unionByName(stand_in)
     return out.withColumn("simulated", F.col("simulated").cast("int"))
 
@@ -656,7 +658,7 @@ def q_embedding_2d(spark, sf_dir):
 def q_rf_predict(spark, sf_dir):
     f = fx.flows(spark, sf_dir).withColumn("label", F.when(F.col("l_quantity") > 25, "ssh").otherwise("non-ssh"))
     tr, te = f.where(F.col("grp") == "F"), f.where(F.col("grp") == "O")
-    out = detect.rf_predict(tr, te, FEATS, "label", num_trees=100, max_depth=10, seed=SEED)
+    out = detect.rf_predict(tr, te, FEATS, "label", num_trees=100, seed=SEED)
     return out.select("label", "prediction")
 
 
@@ -689,7 +691,7 @@ def _experiment_sets(spark, sf_dir):
 def q_detection_experiment(spark, sf_dir):
     sets, test = _experiment_sets(spark, sf_dir)
     out = detect.detection_experiment(sets, test, FEATS, "label", pca_cols=["l_discount", "l_tax"],
-                                      n_repeat=10, num_trees=100, max_depth=10, max_fit_rows=20_000)
+                                      n_repeat=10, num_trees=100, max_fit_rows=20_000)
     return sig_cols(out, ["precision", "recall", "f1"])
 
 
@@ -711,6 +713,20 @@ def q_connection_stats(spark, sf_dir):
     return sig_cols(features.connection_stats(fx.conns(spark, sf_dir), "dst", "src"), ["avg_per_source"])
 
 
+@query("connection_sketches")
+def q_connection_sketches(spark, sf_dir):
+    """Sketches per destination and month, written, united per destination,
+    and held against the exact count within ``SKETCH_BOUND``."""
+    conns = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("dst"), F.col("l_partkey").alias("src"), F.col("l_shipdate"))
+    kept = written(features.connection_sketches(conns, "dst", "src", F.date_format("l_shipdate", "yyyy-MM")), "sketches")
+    guessed = features.stats_from_sketches(kept, "dst").select("dst", "total", F.col("n_sources").alias("_guess"))
+    exact = features.connection_stats(conns, "dst", "src").select("dst", "n_sources")
+    off = F.abs(F.col("_guess") - F.col("n_sources"))
+    return guessed.join(exact, "dst").select(
+        "dst", "total", "n_sources", (off <= F.col("n_sources") * SKETCH_BOUND).cast("int").alias("within"))
+
+
 def _transfer(spark, sf_dir):
     return features.transfer_stats(_pk(spark, sf_dir), "session", "ts", "bytes", F.col("sent"))
 

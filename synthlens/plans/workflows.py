@@ -68,21 +68,24 @@ def synthesize(spark: SparkSession, real: DataFrame, features: Sequence[str] = S
                specs: Sequence[synth.FeatureSpec] = tuple(SESSION_SPECS), n: int = 1000, batch_size: int = 20,
                recorded: DataFrame | None = None, completer: Callable[[str, str], str] | None = None,
                seed: int = 42, label_col: str | None = None, output_path: str | None = None,
-               concurrency: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+               concurrency: int | None = None,
+               replies_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Synthesis run. Returns ``(records, outcomes, prompts)``.
 
     Prompts are rendered for the static plan; replies come from a recorded
     table or from ``completer`` run in the executors. Acceptance follows the
     sequential rule (closed form), so the records equal a one-by-one run.
+    With ``replies_path`` the replies are kept there: a run that ended is
+    started again by the same call and asks only the batches without one.
     """
     prof = profile.describe_profile(real, features).persist()
     plan = synth.batch_plan(spark, n, batch_size)
     prompts = synth.prompt_text(prof, specs, plan)
-    replies = synth.completion_source(prompts, recorded=recorded, completer=completer, concurrency=concurrency)
-    if recorded is None:  # a second call would give other texts
-        path = scratch_dir(spark, "replies")
-        replies.write.parquet(path)
-        replies = spark.read.schema(replies.schema).parquet(path)
+    if recorded is not None:
+        replies = synth.completion_source(prompts, recorded=recorded)
+    else:  # written: a second call would give other texts
+        replies = synth.resumed_replies(prompts, completer, replies_path or scratch_dir(spark, "replies"),
+                                        concurrency=concurrency)
     items = synth.parsed_items(replies)
     acc = synth.batch_accounting(synth.counts_from_items(items), n, batch_size)
     recs = synth.take_first_per_batch(synth.records_from_items(items, features), acc)
@@ -96,7 +99,11 @@ def load_synthetic_a(spark: SparkSession, path: str, features: Sequence[str], n:
     """Source A: the first column (an index) goes, ``ssh`` rows by the first
     label column there is, the features there are, complete rows, fractions
     to percent, an exact sample of ``n``, and 0 for an absent feature."""
-    df = files.read_table(spark, path)
+    return clean_synthetic_a(files.read_table(spark, path), features, n, seed)
+
+
+def clean_synthetic_a(df: DataFrame, features: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """``load_synthetic_a`` of a table that is already read."""
     df = df.drop(df.columns[0])
     df = clean.filter_by_resolved_label(df, REPORT_A_LABELS)
     avail = [f for f in features if f in df.columns]
@@ -108,16 +115,25 @@ def load_synthetic_a(spark: SparkSession, path: str, features: Sequence[str], n:
 
 def load_synthetic_b(spark: SparkSession, path: str, features: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Source B: every feature must be there; complete rows, exact sample."""
-    df = files.scan_features(spark, path, features, missing="error")
+    return clean_synthetic_b(files.read_table(spark, path), features, n, seed)
+
+
+def clean_synthetic_b(df: DataFrame, features: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """``load_synthetic_b`` of a table that is already read."""
+    absent = [f for f in features if f not in df.columns]
+    if absent:
+        raise ValueError(f"features missing from source B: {absent}")
+    df = clean.cast_features(df.select(*features), features)
     return sampling.exact_sample(clean.drop_incomplete(df, features), n, seed)
 
 
-def _audited(spark: SparkSession, name: str, path: str, labels: Sequence[str], features: Sequence[str], n: int) -> DataFrame:
+def _audited(spark: SparkSession, name: str, path: str, labels: Sequence[str], features: Sequence[str],
+             n: int) -> tuple[DataFrame, DataFrame]:
     raw = files.read_table(spark, path)
     col = clean.resolve_label_column(raw, labels)
     have = [f for f in features if f in raw.columns]
     ok = None if col is None else F.col(col).cast("string") == clean.SSH
-    return report.load_audit(name, clean.cast_features(raw, have), ok, have, False, n)
+    return report.load_audited(name, clean.cast_features(raw, have), ok, have, scratch_dir(spark, "load"), False, n)
 
 
 def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None = None, b_path: str | None = None,
@@ -128,20 +144,32 @@ def fidelity_report(spark: SparkSession, original: DataFrame, a_path: str | None
     synthetic source A and B; an absent file is replaced by a Gaussian
     stand-in of ``n`` rows from the original's profile (noise 1.03 / 1.08,
     seeds +1 / +2).
-    Returns named report tables (and writes them under ``out_dir``)."""
+    Every source is written once as it is loaded, and audited by the tasks
+    that write it. Returns named report tables (and writes them under
+    ``out_dir``)."""
+    def load(name: str, df: DataFrame, stand_in: bool) -> tuple[DataFrame, DataFrame]:
+        return report.load_audited(name, df, None, features, scratch_dir(spark, "load"), stand_in)
+
+    original, audit = load("original", original, False)
     base_prof = profile.describe_profile(original, features, quantiles=False).persist()
-    sim, audits = {}, [report.load_audit("original", original, None, features)]
+    sim, audits, noisy = {}, [audit], []
     if a_path and files.path_exists(spark, a_path):
-        a, sim["A"] = load_synthetic_a(spark, a_path, features, n, seed), False
-        audits.append(_audited(spark, "A", a_path, REPORT_A_LABELS, features, n))
+        raw, audit = _audited(spark, "A", a_path, REPORT_A_LABELS, features, n)
+        a, sim["A"] = clean_synthetic_a(raw, features, n, seed), False
+        audits.append(audit)
     else:
-        a, sim["A"] = synth.gaussian_baseline(spark, base_prof, features, n, seed + 1, 1.03).drop("id"), True
+        a, audit = load("A", synth.gaussian_baseline(spark, base_prof, features, n, seed + 1, 1.03).drop("id"), True)
+        sim["A"] = True
+        noisy.append(audit)
     if b_path and files.path_exists(spark, b_path):
-        b, sim["B"] = load_synthetic_b(spark, b_path, features, n, seed), False
-        audits.append(_audited(spark, "B", b_path, (), features, n))
+        raw, audit = _audited(spark, "B", b_path, (), features, n)
+        b, sim["B"] = clean_synthetic_b(raw, features, n, seed), False
+        audits.append(audit)
     else:
-        b, sim["B"] = synth.gaussian_baseline(spark, base_prof, features, n, seed + 2, 1.08).drop("id"), True
-    audits += [report.load_audit(k, {"A": a, "B": b}[k], None, features, True) for k, v in sim.items() if v]
+        b, audit = load("B", synth.gaussian_baseline(spark, base_prof, features, n, seed + 2, 1.08).drop("id"), True)
+        sim["B"] = True
+        noisy.append(audit)
+    audits += noisy
     union = fidelity.labelled_union([("original", original), ("A", a), ("B", b)], features).persist()
     emb = fidelity.embedding_2d(union, features, keep=["grp"])
     grp = F.col("grp")
@@ -169,7 +197,7 @@ def _endpoint_ready(df: DataFrame, default: tuple[str, int]) -> DataFrame:
 
 def detector_comparison(spark: SparkSession, spec: DatasetSpec, root: str, test_split: str, n_repeat: int = 10,
                         n_fake_ssh: int = -1, modes: Sequence[str] = ("original", "wgan_gp", "llm"),
-                        num_trees: int = 100, max_depth: int = 20, seed: int = 42) -> DataFrame:
+                        num_trees: int = 100, max_depth: int = detect.MAX_DEPTH, seed: int = 42) -> DataFrame:
     """Detector experiment: one row per mode with mean precision, recall
     and F1 over ``n_repeat`` forests (seed = base + run)."""
     feats = list(spec.features)

@@ -52,8 +52,8 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh sub-folder of the session's shared checkpoint folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` must be set (a shared file system);
     only a local-mode session without it gets a private temporary folder.
@@ -66,4 +66,9 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
         base = tempfile.mkdtemp(prefix="synthlens-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
+    """A fresh sub-folder of the session's shared checkpoint folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
