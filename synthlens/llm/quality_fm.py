@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthlens.llm.common import hex_key, slices, words_of
+from synthlens.llm.common import hex_key, slices, words_of, written
 
 WORD_SLOTS = 1 << 15
 BINS = 16
@@ -159,15 +159,18 @@ def _featurised(df: DataFrame, carry: list[str], text_col: str, chars_col: str)
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
                 chars_col: str = "n_chars", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on at most ``sample_rows`` labelled rows that satisfy ``train`` (a
-    condition on the id)."""
+    condition on the id): those of the ids that come first by a hash. Rows
+    that repeat an id count too; beyond the bound they are left out in the
+    order of the hash, the id and the features."""
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & train)
              .groupBy(id_col).agg(F.max(label_col).alias("_label")))
     known = (known.withColumn("_key", hex_key(F.lit("fm"), F.col(id_col))).orderBy("_key", id_col)
-             .limit(sample_rows).drop("_key"))
+             .limit(sample_rows))
     own = docs.select(F.col(id_col).alias("_id"), text_col, chars_col)
     sample = own.join(F.broadcast(known), F.col("_id") == F.col(id_col))  # at most sample_rows rows
-    rows = _featurised(sample.withColumn("_label", F.col("_label").cast("double")), ["_id", "_label"], text_col,
-                       chars_col).collect()
+    found = _featurised(sample.withColumn("_label", F.col("_label").cast("double")), ["_key", "_id", "_label"], text_col,
+                        chars_col)
+    rows = written(found.orderBy("_key", "_id", "places", "values").limit(sample_rows), "fm-sample").collect()
     rows.sort(key=lambda r: (r["_id"], bytes(r["places"])))
     return fit([(np.frombuffer(r["places"], np.int32), np.frombuffer(r["values"], np.float32)) for r in rows],
                np.array([r["_label"] for r in rows], np.float64))

@@ -38,11 +38,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthlens.llm.common import written
+from synthlens.llm.common import slices, written
 
 SCALE = 1024
 CELLS = 256
 QUERY_BLOCK = 2048
+BOUNDS_AT_ONCE = 1 << 21  # bounds of queries and vectors that a task holds at a time (16 MB)
 FIRST_READ = 4  # times k
 
 _VECTORS = "vec_id long, ivec binary, dim int"
@@ -150,10 +151,12 @@ def _search(va: DataFrame, ids: np.ndarray, q: np.ndarray, lo: np.ndarray, step:
     radius = radius + _SLACK * (1 + radius)
     sent = spark.sparkContext.broadcast((ids, (qf * step).T.copy(), base, radius))
 
+    at_once = max(1, BOUNDS_AT_ONCE // len(ids))
+
     def best_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights, centre, r = sent.value
         kept = np.full((len(own), 0), -np.inf)
-        for b in batches:
+        for b in slices(batches, at_once):
             if not b.num_rows:
                 continue
             low = (_matrix(b.column(1), "u1").astype(float) @ weights).T + (centre - r)[:, None]
@@ -173,7 +176,7 @@ def _search(va: DataFrame, ids: np.ndarray, q: np.ndarray, lo: np.ndarray, step:
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights, centre, r = sent.value
-        for b in batches:
+        for b in slices(batches, at_once):
             if not b.num_rows:
                 continue
             at = b.column(0).to_numpy()

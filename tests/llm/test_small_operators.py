@@ -99,6 +99,25 @@ def test_classifier_on_odd_rows(spark, odd, no_docs):
     assert quality_fm.score_quality(no_docs, m).count() == 0
 
 
+def test_classifier_fits_on_no_more_than_its_bound(spark, monkeypatch):
+    docs = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"),
+                                    F.concat_ws(" ", F.lit("word"), F.col("id") % 50).alias("text"), F.lit(8).alias("n_chars"))
+    sizes, first = [], []
+    fit = quality_fm.fit
+
+    def seen(rows, y):
+        sizes.append(len(rows))
+        first.append([r[0].tobytes() for r in rows])
+        return fit(rows, y)
+
+    monkeypatch.setattr(quality_fm, "fit", seen)
+    for d in (docs.where("doc_id = 7"), docs, docs.repartition(7), docs.where("doc_id > 4990")):
+        labels = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+        quality_fm.fit_quality(d, labels, F.lit(True), sample_rows=10)
+    assert sizes == [10, 10, 10, 9]
+    assert first[1] == first[2]  # the same rows on any layout
+
+
 # --- URL filters
 def judge_naive(url, rules):
     host = path = ""
@@ -201,6 +220,16 @@ def test_topk_with_odd_vectors(spark):
     assert va_topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
+def test_topk_with_few_bounds_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = va_topk.top_k(df, F.col("vec_id") % 100 == 0, 10).collect()
+    monkeypatch.setattr(va_topk, "BOUNDS_AT_ONCE", 64)  # seven vectors for nine queries
+    got = va_topk.top_k(df, F.col("vec_id") % 100 == 0, 10).collect()
+    assert sorted(got) == sorted(want) and len(got) == 90
+
+
 # --- packing
 def check_pieces(rows, texts):
     from tokenizers import Tokenizer
