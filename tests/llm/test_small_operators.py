@@ -151,6 +151,17 @@ def test_url_rules_against_every_rule(spark):
     assert len(plain) == len(urls) and all(r["rule"] is None and r["verdict"] == "allow" for r in plain)
 
 
+def test_url_query_gives_the_contracts_verdicts(spark, tmp_path):
+    want = {"https://a.org/": ("org/", "allow"), "https://example.org/es/x": ("example.org/es/", "block"),
+            "https://www.example.org/en/12": ("example.org/en/1", "block"), "https://example.org/en/2": ("org/", "allow"),
+            "https://x.com/fr/": ("com/fr/", "allow"), "https://x.com/de/y": ("com/de/", "block"),
+            "https://x.com/it/": (None, "allow")}
+    rows = [(i, u, "h", "v") for i, u in enumerate(want)]
+    spark.createDataFrame(rows, "page_id long, url string, host string, verdict string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in QUERIES["op4_url_filters"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 # --- quality rules
 def test_rules_on_odd_rows(odd, no_docs):
     rows = quality_rules.quality_counts(odd).collect()
