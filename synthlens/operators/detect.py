@@ -222,8 +222,11 @@ def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: Data
     the mean per mode. A training set is assembled once, shared by its
     forests and released after their fits (up to ``parallel_fits`` at a
     time; fixed seeds keep the result independent of the order). Every forest
-    scores the test set once, into counts per (endpoint, truth, prediction);
-    votes and metrics come from the counts. ``max_fit_rows``: optional bound
+    scores the test set once; the scored rows of all forests meet in one
+    aggregate per (mode, run, endpoint), combined map-side and dealt by all
+    three, and votes and metrics come from its counts. (Counted forest by
+    forest, the small results of all would be read by the same few tasks.)
+    ``max_fit_rows``: optional bound
     on the labelled rows that a forest is fitted on (an exact sample).
     Output ``(mode, precision, recall, f1, runs)``."""
     from concurrent.futures import ThreadPoolExecutor
@@ -248,8 +251,8 @@ def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: Data
         assembled.unpersist()
         for run, model in enumerate(models):
             pred = predict_forest(model, labels, te, feats, keep=[endpoint_col, label_col])
-            part = (pred.groupBy(endpoint_col, F.col(label_col).alias("truth"), "prediction")
-                    .agg(F.count(F.lit(1)).alias("n")).withColumns({"mode": F.lit(mode), "run": F.lit(run)}))
+            part = pred.select(endpoint_col, F.col(label_col).alias("truth"), "prediction", F.lit(1).alias("n"),
+                               F.lit(mode).alias("mode"), F.lit(run).alias("run"))
             counts = part if counts is None else counts.unionByName(part)
     per_run = precision_recall_f1(score_from_counts(counts, ["mode", "run"], endpoint_col))
     result = per_run.groupBy("mode").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),

@@ -50,3 +50,21 @@ def test_null_labels_are_not_learned(spark):
     df = spark.createDataFrame(rows, "x double, label string")
     out = detect.rf_predict(df, df, ["x"], "label", num_trees=3, max_depth=3)
     assert {r["prediction"] for r in out.collect()} == {"ssh", "non-ssh"}
+
+
+def test_forests_are_not_counted_one_by_one(spark, sf_small, monkeypatch):
+    """The scored rows of all forests reach one aggregate without a shuffle per forest."""
+    from synthlens.plans.queries import _experiment_sets
+
+    plans = []
+    score = detect.score_from_counts
+
+    def seen(counts, *args):
+        plans.append(counts._jdf.queryExecution().executedPlan().toString())
+        return score(counts, *args)
+
+    monkeypatch.setattr(detect, "score_from_counts", seen)
+    sets, test = _experiment_sets(spark, sf_small)
+    test = test.limit(200).repartition(3).localCheckpoint()
+    detect.detection_experiment(sets[:1], test, fx.FLOW_FEATURES, "label", n_repeat=3, num_trees=2, max_depth=3)
+    assert plans and "Union" in plans[0] and "Exchange" not in plans[0]
