@@ -23,6 +23,7 @@ from synthlens.operators.joins import join_checked
 from synthlens.session import shared_dir
 
 MAX_DEPTH = 30  # the deepest tree that Spark ML grows; the compared trees have no limit
+FIT_ROWS = 200_000  # rows of one partition of a training set; every pass of 100 trees reads about 1.3 KB a row
 DUMMY_ENDPOINT = f"{SYNTH_ENDPOINT[0]}:{SYNTH_ENDPOINT[1]}"
 
 
@@ -137,12 +138,22 @@ def augment_union(real: DataFrame, synthetic: DataFrame | None) -> DataFrame:
     return real if synthetic is None else real.unionByName(synthetic, allowMissingColumns=True)
 
 
+def dealt_evenly(rows: DataFrame) -> DataFrame:
+    """``rows`` in partitions of about ``FIT_ROWS`` at most, however large
+    the splits of its files are. The order in each is fixed, so a seeded fit
+    draws the same rows on every run over the same input."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FIT_ROWS))
+    return rows.repartition(parts).sortWithinPartitions(*rows.columns)
+
+
 def prepare_training(train: DataFrame, features: Sequence[str], label_col: str):
     """Index the label and assemble the feature vector once (shared by all
-    forests of a training set). Returns ``(assembled train, labels)``."""
+    forests of a training set), in partitions of bounded size. Returns
+    ``(assembled train, labels)``."""
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     train = train.where(F.col(label_col).isNotNull())  # a row without a label teaches nothing
+    train = dealt_evenly(train.select(*features, label_col))
     indexer = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="error").fit(train)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     return assembler.transform(indexer.transform(train)).select("_features", "_label"), list(indexer.labels)

@@ -68,3 +68,13 @@ def test_forests_are_not_counted_one_by_one(spark, sf_small, monkeypatch):
     test = test.limit(200).repartition(3).localCheckpoint()
     detect.detection_experiment(sets[:1], test, fx.FLOW_FEATURES, "label", n_repeat=3, num_trees=2, max_depth=3)
     assert plans and "Union" in plans[0] and "Exchange" not in plans[0]
+
+
+def test_training_sets_are_dealt_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(detect, "FIT_ROWS", 100)
+    rows = [(float(i % 7), float(i), "ssh" if i % 2 else "non-ssh") for i in range(2000)]
+    df = spark.createDataFrame(rows, "x double, y double, label string").coalesce(1)
+    first, second = ([[(r["_features"].toArray().tolist(), r["_label"]) for r in p] for p in parts] for parts in
+                     (detect.prepare_training(df, ["x", "y"], "label")[0].rdd.glom().collect() for _ in range(2)))
+    assert first == second  # so a seed draws the same rows again
+    assert sum(map(len, first)) == 2000 and max(map(len, first)) <= 150
