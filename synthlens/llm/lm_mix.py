@@ -33,16 +33,18 @@ rule. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,76 +98,164 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 # --- codes -----------------------------------------------------------------------------------------------------
-def huffman(weights: np.ndarray) -> list[bytes]:
-    """The decisions of each symbol, as 32-bit numbers: the node where one
-    is taken, spread over the upper 31 bits, and the branch in the lowest."""
+@dataclass
+class Tree:
+    """A code as its tree: the node above each (leaves first; the root is its
+    own) and the branch from there. A symbol's decisions are 32-bit numbers:
+    the node where one is taken, spread over the upper 31 bits, and the
+    branch in the lowest. They are laid out when the symbol is met."""
+
+    above: np.ndarray
+    branch: np.ndarray
+
+    def __len__(self) -> int:
+        return (len(self.above) + 1) // 2
+
+    def __getitem__(self, i: int) -> bytes:
+        if i >= len(self):
+            raise IndexError(i)
+        return self.laid_out(np.array([i]))[1].astype("<u4").tobytes()
+
+    def laid_out(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of decisions of each symbol, and all decisions in a row."""
+        depth = np.zeros(len(symbols), np.int64)
+        levels = []
+        node = symbols
+        while (inner := node != len(self.above) - 1).any():
+            up = self.above[node]
+            place = (up - (len(self) - 1)).astype(np.uint32) * _U(0x9E3779B1) & _U(0xFFFFFFFE)
+            levels.append(place | self.branch[node])
+            depth += inner
+            node = up
+        if not levels:
+            return depth, np.zeros(0, np.uint32)
+        return depth, np.stack(levels[::-1], axis=1)[np.arange(len(levels)) >= len(levels) - depth[:, None]]
+
+
+def huffman(weights: np.ndarray) -> Tree:
+    """The lightest two are joined again and again, of equals the one with the
+    lower number: symbols by weight and joined nodes as they come are two
+    queues that are in order by themselves."""
     n = len(weights)
-    heap = [(int(w), i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    children: dict[int, tuple[int, int]] = {}
-    node = n
-    while len(heap) > 1:
-        wa, a = heapq.heappop(heap)
-        wb, b = heap[0]
-        children[node] = (a, b)
-        heapq.heapreplace(heap, (wa + wb, node))
-        node += 1
-    paths = [b""] * node
-    for parent in range(node - 1, n - 1, -1):
-        place = ((parent - n + 1) * 0x9E3779B1) & 0xFFFFFFFE
-        for branch, child in enumerate(children[parent]):
-            paths[child] = paths[parent] + (place | branch).to_bytes(4, "little")
-    return paths[:n]
+    weights = np.asarray(weights).astype(np.int64)
+    order = np.argsort(weights, kind="stable")
+    symbols, light = array("q", order.tobytes()), array("q", weights[order].tobytes())
+    joined = array("q")
+    pairs = (array("i"), array("i"))
+    i = j = 0
+    for _ in range(n - 1):
+        total = 0
+        for side in pairs:
+            if i < n and (j >= len(joined) or light[i] <= joined[j]):
+                total += light[i]
+                side.append(symbols[i])
+                i += 1
+            else:
+                total += joined[j]
+                side.append(n + j)
+                j += 1
+        joined.append(total)
+    tree = Tree(np.arange(2 * n - 1, dtype=np.int32), np.zeros(2 * n - 1, np.uint8))
+    for branch, side in enumerate(pairs):
+        tree.above[np.array(side, np.int64)] = np.arange(n, 2 * n - 1)
+        tree.branch[np.array(side, np.int64)] = branch
+    return tree
+
+
+class Words:
+    """Numbers of distinct words, kept as one Arrow array: looked up by sorted
+    hashes and compared in full."""
+
+    def __init__(self, words: pa.Array):
+        self.words = words
+        h = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in _each(words)), np.uint64, len(words))
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.order = h[order], order.astype(np.int32)
+        again = self.order[1:][self.hashes[1:] == self.hashes[:-1]]  # as good as never
+        self.twins = {self.words[int(i)].as_py(): int(i) for i in again}
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        """The number of each token; of one that is no word, how many words there are."""
+        place = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        kinds = list(place)
+        number = np.full(len(kinds), len(self), np.int64)
+        if kinds and len(self):
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+            found = self.order[at]
+            same = pc.equal(self.words.take(pa.array(found)), pa.array(kinds, self.words.type))
+            number = np.where(same.to_numpy(zero_copy_only=False), found, number)
+            for t in self.twins.keys() & place.keys():
+                number[place[t]] = self.twins[t]
+        return number[np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))]
+
+
+def _each(words: pa.Array) -> Iterator[bytes]:
+    """The words, few at a time as Python objects."""
+    for i in range(0, len(words), 1 << 16):
+        yield from words.slice(i, 1 << 16).to_pylist()
 
 
 @dataclass
 class Code:
     """Numbers of the vocabulary words (the end token among them), the
     decisions of each and of the escape (last), the hashes of each word and
-    of its ending, and the decisions of the bytes and the stop mark."""
+    of its ending, and the decisions of the bytes and the stop mark. All are
+    arrays: some 50 bytes a word in all."""
 
-    number: dict[bytes, int]
-    paths: list[bytes]
+    number: Words
+    paths: Tree
     whole: np.ndarray
     ending: np.ndarray
-    letters: list[bytes]
+    letters: Tree
 
     def __getstate__(self) -> bytes:
         """Packed, as each executor keeps what is sent to it on disk."""
-        return zlib.compress(pickle.dumps((list(self.number), self.paths, self.whole, self.ending, self.letters), 5), 1)
+        return zlib.compress(pickle.dumps((self.number.words, self.paths, self.whole, self.ending, self.letters), 5), 1)
 
     def __setstate__(self, state: bytes) -> None:
         words, self.paths, self.whole, self.ending, self.letters = pickle.loads(zlib.decompress(state))
-        self.number = {t: i for i, t in enumerate(words)}
+        self.number = Words(words)
 
 
-def make_code(top: list[tuple[bytes, int]], n_all: int) -> Code:
+def make_code(top: pa.Table | list[tuple[bytes, int]], n_all: int) -> Code:
     """From the most frequent tokens and the number of all training tokens."""
-    words = [t for t, _ in top]
-    counts = [c for _, c in top]
-    if END not in words:
-        words.append(END)
-        counts.append(1)
-    escape = max(1, n_all - sum(counts))
+    if not isinstance(top, pa.Table):
+        top = pa.table({"token": pa.array([t for t, _ in top], pa.binary()), "c": pa.array([c for _, c in top], pa.int64())})
+    words = pa.concat_arrays([*top["token"].cast(pa.large_binary()).chunks, pa.array([], pa.large_binary())])
+    counts = top["c"].to_numpy()
+    logs = np.fromiter(map(math.log1p, counts), float, len(counts))
     letters = np.ones(257)
-    for t, c in top:  # spelled words are rare words, but letters are shared
-        for x in t:
-            letters[x] += math.log1p(c)
-    letters[STOP] += sum(math.log1p(c) for _, c in top)
-    paths = huffman(np.array([*counts, escape], float) + 1)
-    return Code({t: i for i, t in enumerate(words)}, paths, *_word_hashes(words), huffman(np.ceil(letters)))
+    for i in range(0, len(words), 1 << 16):  # spelled words are rare words, but letters are shared
+        part = words.slice(i, 1 << 16).to_pylist()
+        np.add.at(letters, np.frombuffer(b"".join(part), np.uint8), np.repeat(logs[i:i + len(part)], [len(t) for t in part]))
+    letters[STOP] += sum(map(float, logs))
+    if not pc.any(pc.equal(pc.binary_length(words), 0)).as_py():
+        words = pa.concat_arrays([words, pa.array([END], words.type)])
+        counts = np.append(counts, 1)
+    escape = max(1, n_all - int(counts.sum()))
+    paths = huffman(np.append(counts, escape) + 1)
+    whole = np.fromiter(map(zlib.crc32, _each(words)), np.uint32, len(words))
+    ending = np.fromiter((zlib.crc32(t[-2:]) for t in _each(words)), np.uint32, len(words))
+    return Code(Words(words), paths, whole, ending, huffman(np.ceil(letters)))
 
 
 def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.array([zlib.crc32(t) for t in words], np.uint32), np.array([zlib.crc32(t[-2:]) for t in words], np.uint32))
 
 
-def _laid_out(codes: list[bytes]):
+def _laid_out(code: Tree, symbols: np.ndarray):
     """(entry, place, branch) of the decisions of a series of symbols; entry:
     which symbol of the series."""
-    n = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
-    x = np.frombuffer(b"".join(codes), "<u4")
-    return np.repeat(np.arange(len(codes), dtype=np.int32), n), x, (x & _U(1)).astype(np.uint8)
+    kinds, own = (np.arange(257), symbols) if len(code) == 257 else np.unique(symbols, return_inverse=True)
+    depth, decided = code.laid_out(kinds)
+    n = depth[own]
+    first = (np.cumsum(depth) - depth)[own] - (np.cumsum(n) - n)
+    x = decided[np.arange(int(n.sum())) + np.repeat(first, n)]
+    return np.repeat(np.arange(len(symbols), dtype=np.int32), n), x, (x & _U(1)).astype(np.uint8)
 
 
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:
@@ -196,9 +286,7 @@ def decisions(texts: list[str | None], code: Code):
         tokens.append(END)
         starts.append(len(tokens))
     escape = len(code.number)
-    get = code.number.get
-    numbers = [get(t, escape) for t in tokens]
-    number = np.array(numbers, np.int64)
+    number = code.number.of(tokens)
     at = np.flatnonzero(number == escape)
     first = np.array(starts)
     spelled = [tokens[i] for i in at.tolist()]
@@ -206,7 +294,7 @@ def decisions(texts: list[str | None], code: Code):
     previous[at], last[at] = _word_hashes(spelled)
     previous, last = np.concatenate([_NONE, previous[:-1]]), np.concatenate([_NONE, last[:-1]])
     previous[first[:-1]] = last[first[:-1]] = 1
-    entry, node, bit = _laid_out([code.paths[i] for i in numbers])
+    entry, node, bit = _laid_out(code.paths, number)
     cuts = np.searchsorted(entry, first)
     words = ([node >> _U(32 - SLOT_BITS), _slots(_hash(previous, 1), entry, node), _slots(_hash(last, 2), entry, node)],
              bit, cuts)
@@ -222,7 +310,7 @@ def decisions(texts: list[str | None], code: Code):
     powers = np.cumprod(np.concatenate([[_U(1)], np.full(int(size.max(initial=1)), _U(0x01000193))]), dtype=np.uint32)
     sums = np.concatenate([_NONE - _NONE, np.cumsum(_hash(raw.astype(np.uint32), 5) * powers[place], dtype=np.uint32)])
     so_far = sums[:-1] - np.repeat(sums[start] if len(start) else sums[:0], size)
-    entry, node, bit = _laid_out([code.letters[x] for x in raw.tolist()])
+    entry, node, bit = _laid_out(code.letters, raw)
     letter_starts = np.concatenate([start, [len(raw)]])[np.searchsorted(at, first)]
     letters = ([_slots(_hash(x, k), entry, node) for k, x in ((6, two), (7, four), (8, so_far))], bit,
                np.searchsorted(entry, letter_starts))
@@ -512,16 +600,15 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     n, v = int(all_["n"]), int(all_["v"])
     # words met once are spelled, which teaches the escape and the letters what new words cost
     first = counts.where((F.col("c") > 1) | (F.length("token") == 0)).orderBy(F.length("token") > 0, F.desc("c"), "token")
-    first = (first if vocabulary is None else first.limit(vocabulary)).toArrow()
-    top = list(zip(first["token"].to_pylist(), first["c"].to_pylist()))
+    top = (first if vocabulary is None else first.limit(vocabulary)).toArrow()
     spark = docs.sparkSession
     code = make_code(top, n)
     sent_code = spark.sparkContext.broadcast(code)
     model = gather(learn, code, sent_code)
     floor = n + 0.5 * (v + 1)
     # by number; the end token comes first, and is unknown only if nothing was learned
-    unknown = int(not top)
-    count = np.array([c for _, c in top] + [0] * (len(code.number) - len(top)), float)
+    unknown = int(not len(top))
+    count = np.append(top["c"].to_numpy(), np.zeros(len(code.number) - len(top)))
     known = spark.sparkContext.broadcast(np.append(np.log10((count + 0.5) / floor), 0.0))
     sent = spark.sparkContext.broadcast((model.cells, model.starts))
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(k, rows.schema[k].dataType) for k in carry],

@@ -176,6 +176,57 @@ def test_every_word_met_twice_gets_a_code(spark, monkeypatch):
     assert seen.value.args == (150_001,)
 
 
+def test_codes_of_a_large_vocabulary_stay_small():
+    """Some 50 bytes a word are kept, and making them takes few times as many."""
+    import pickle
+    import tracemalloc
+
+    top = [(b"", 900)] + [(f"word{i}".encode(), 2 + 900_000 // (i + 1)) for i in range(100_000)]
+    tracemalloc.start()
+    code = lm_mix.make_code(top, 10_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    sent = pickle.loads(pickle.dumps(code))
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert peak < 200 * len(top) and kept < 60 * len(top)
+    words = [b"word99999", b"", b"no such word", b"word7", b"word99999"]
+    assert sent.number.of(words).tolist() == [100_000, 0, len(top), 8, 100_000]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_mix.xxhash, "xxh3_64_intdigest", lambda t: len(t))
+    words = lm_mix.Words(pa.array([b"aa", b"b", b"cc", b"dd", b""], pa.large_binary()))
+    assert words.of([b"dd", b"aa", b"cc", b"b", b"", b"zz", b"z", b"dd"]).tolist() == [3, 0, 2, 1, 4, 5, 5, 3]
+
+
+def test_codes_equal_those_of_a_heap():
+    import heapq
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 257, 1000):
+        weights = rng.integers(1, 20, n)
+        heap = [(int(w), i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        above = {}
+        for node in range(n, 2 * n - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            above[x], above[y] = (node, 0), (node, 1)
+            heapq.heappush(heap, (a + b, node))
+
+        def path(i):
+            out = []
+            while i in above:
+                i, branch = above[i]
+                out.append(((i - n + 1) * 0x9E3779B1) & 0xFFFFFFFE | branch)
+            return out[::-1]
+
+        assert [np.frombuffer(x, "<u4").tolist() for x in lm_mix.huffman(weights)] == [path(i) for i in range(n)]
+
+
 def test_large_counts_keep_their_ratio():
     import zlib
 
