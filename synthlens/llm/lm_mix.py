@@ -11,7 +11,8 @@ series of binary decisions:
 Every decision is predicted by three counters, found by hashing a context
 with the decision's place in its code: for words the place alone, the
 previous word, and the previous word's ending; for bytes the two bytes
-before, the four bytes before, and the word so far. Counters are gathered
+before, the four bytes before, and the word so far. All texts are coded
+once, as the numbers of their tokens; counters are gathered
 from all training texts (``SLOTS`` pairs of counts per context, summed over
 tasks). A logistic mixer adds the counters' stretched probabilities with
 weights from a set chosen (gated) by how often the counters were seen; a
@@ -40,6 +41,8 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,7 @@ CONTEXTS = 3
 PART = 1 << 15  # slots per shuffled row
 FLUSH = 200_000  # distinct tokens that a task holds before it passes them on
 TEXTS = 400  # texts whose decisions are laid out at once
+COMMON = 1 << 16  # words (the first, so the most frequent) that are found in a dict
 FIRST_BLOCK = 32
 RATE = 0.02
 TALLY = 1 << 21  # distinct keys that a task holds before it passes them on
@@ -163,8 +167,8 @@ def huffman(weights: np.ndarray) -> Tree:
 
 
 class Words:
-    """Numbers of distinct words, kept as one Arrow array: looked up by sorted
-    hashes and compared in full."""
+    """Numbers of distinct words, kept as one Arrow array: the first by a dict,
+    the others looked up by sorted hashes and compared in full."""
 
     def __init__(self, words: pa.Array):
         self.words = words
@@ -177,8 +181,19 @@ class Words:
     def __len__(self) -> int:
         return len(self.words)
 
+    @cached_property
+    def common(self) -> dict[bytes, int]:
+        """Some 7 MB, whatever the data; only where words are looked up."""
+        return {t: i for i, t in enumerate(self.words.slice(0, COMMON).to_pylist())}
+
     def of(self, tokens: list[bytes]) -> np.ndarray:
         """The number of each token; of one that is no word, how many words there are."""
+        number = np.fromiter(map(self.common.get, tokens, repeat(-1)), np.int64, len(tokens))
+        others = np.flatnonzero(number < 0)
+        number[others] = self._looked_up([tokens[i] for i in others.tolist()])
+        return number
+
+    def _looked_up(self, tokens: list[bytes]) -> np.ndarray:
         place = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
         kinds = list(place)
         number = np.full(len(kinds), len(self), np.int64)
@@ -248,14 +263,16 @@ def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _laid_out(code: Tree, symbols: np.ndarray):
-    """(entry, place, branch) of the decisions of a series of symbols; entry:
-    which symbol of the series."""
+    """The number of decisions of each symbol of a series, then the place and
+    the branch of each decision."""
     kinds, own = (np.arange(257), symbols) if len(code) == 257 else np.unique(symbols, return_inverse=True)
     depth, decided = code.laid_out(kinds)
     n = depth[own]
     first = (np.cumsum(depth) - depth)[own] - (np.cumsum(n) - n)
-    x = decided[np.arange(int(n.sum())) + np.repeat(first, n)]
-    return np.repeat(np.arange(len(symbols), dtype=np.int32), n), x, (x & _U(1)).astype(np.uint8)
+    at = np.repeat(first, n)
+    at += np.arange(len(at))
+    x = decided.take(at)
+    return n, x >> _U(1), (x & _U(1)).astype(np.uint8)
 
 
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:
@@ -264,57 +281,103 @@ def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> _U(16))
 
 
-def _slots(context: np.ndarray, entry: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slot of a decision under a context: the high bits of a product."""
-    x = node >> _U(1)
-    x += context[entry]
+def _slots(context: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Slots of the ``n`` decisions under each context: the high bits of a product."""
+    x = np.repeat(context, n)
+    x += place
     x *= _U(0x85EBCA6B)
     x >>= _U(32 - SLOT_BITS)
     return x
 
 
-def decisions(texts: list[str | None], code: Code):
-    """For the texts of a batch, the decisions over words, then those over
-    the letters of spelled words: two tuples (slots: one array per context,
-    bits, start of each text). Every decision of a text is in one of them.
-    Also the tokens, their numbers, the places of the spelled ones, and the
-    first token of each text."""
+def _cuts(n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """First decision of each text from the decisions of its symbols."""
+    return np.concatenate([[0], np.cumsum(n)])[first]
+
+
+def numbered(texts: list[str | None], code: Code) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of the texts of a batch, their numbers, the places of the
+    spelled ones, and the first token of each text."""
     tokens: list[bytes] = []
     starts = [0]
     for t in texts:
         tokens += tokens_of(t)
         tokens.append(END)
         starts.append(len(tokens))
-    escape = len(code.number)
     number = code.number.of(tokens)
-    at = np.flatnonzero(number == escape)
-    first = np.array(starts)
-    spelled = [tokens[i] for i in at.tolist()]
+    return tokens, number, np.flatnonzero(number == len(code.number)), np.array(starts)
+
+
+def decisions(texts: list[str | None], code: Code):
+    """For the texts of a batch, the decisions as ``decided`` has them, and
+    what ``numbered`` has."""
+    tokens, number, at, first = numbered(texts, code)
+    return decided(number, [tokens[i] for i in at.tolist()], first, code), tokens, number, at, first
+
+
+def decided(number: np.ndarray, spelled: list[bytes], first: np.ndarray, code: Code):
+    """From the numbers of all tokens of a batch, its spelled words and the
+    first token of each text, the decisions over words, then those over the
+    letters of spelled words: two tuples (slots: one array per context, bits,
+    start of each text). Every decision of a text is in one of them."""
+    at = np.flatnonzero(number == len(code.number))
     previous, last = (np.concatenate([h, _NONE]).take(number) for h in (code.whole, code.ending))
     previous[at], last[at] = _word_hashes(spelled)
-    previous, last = np.concatenate([_NONE, previous[:-1]]), np.concatenate([_NONE, last[:-1]])
+    previous, last = (np.concatenate([_NONE, h])[:len(number)] for h in (previous, last))
     previous[first[:-1]] = last[first[:-1]] = 1
-    entry, node, bit = _laid_out(code.paths, number)
-    cuts = np.searchsorted(entry, first)
-    words = ([node >> _U(32 - SLOT_BITS), _slots(_hash(previous, 1), entry, node), _slots(_hash(last, 2), entry, node)],
-             bit, cuts)
+    n, place, bit = _laid_out(code.paths, number)
+    words = ([place >> _U(31 - SLOT_BITS), _slots(_hash(previous, 1), n, place), _slots(_hash(last, 2), n, place)],
+             bit, _cuts(n, first))
     size = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
     raw = np.full(int(size.sum()), STOP, np.int64)
     start = np.cumsum(size) - size
-    place = np.arange(len(raw)) - np.repeat(start, size)
-    raw[place < np.repeat(size, size) - 1] = np.frombuffer(b"".join(spelled), np.uint8)
+    nth = np.arange(len(raw)) - np.repeat(start, size)
+    raw[nth < np.repeat(size, size) - 1] = np.frombuffer(b"".join(spelled), np.uint8)
     shifted = np.concatenate([np.full(4, 257), raw]).astype(np.uint32)
-    before = [np.where(place >= k, shifted[4 - k:4 - k + len(raw)], _U(257)) for k in (1, 2, 3, 4)]
+    before = [np.where(nth >= k, shifted[4 - k:4 - k + len(raw)], _U(257)) for k in (1, 2, 3, 4)]
     two = before[0] * _U(258) + before[1]
     four = two * _U(258 * 258) + before[2] * _U(258) + before[3]
     powers = np.cumprod(np.concatenate([[_U(1)], np.full(int(size.max(initial=1)), _U(0x01000193))]), dtype=np.uint32)
-    sums = np.concatenate([_NONE - _NONE, np.cumsum(_hash(raw.astype(np.uint32), 5) * powers[place], dtype=np.uint32)])
+    sums = np.concatenate([_NONE - _NONE, np.cumsum(_hash(raw.astype(np.uint32), 5) * powers[nth], dtype=np.uint32)])
     so_far = sums[:-1] - np.repeat(sums[start] if len(start) else sums[:0], size)
-    entry, node, bit = _laid_out(code.letters, raw)
+    n, place, bit = _laid_out(code.letters, raw)
     letter_starts = np.concatenate([start, [len(raw)]])[np.searchsorted(at, first)]
-    letters = ([_slots(_hash(x, k), entry, node) for k, x in ((6, two), (7, four), (8, so_far))], bit,
-               np.searchsorted(entry, letter_starts))
-    return (words, letters), tokens, number, at, first
+    letters = ([_slots(_hash(x, k), n, place) for k, x in ((6, two), (7, four), (8, so_far))], bit, _cuts(n, letter_starts))
+    return words, letters
+
+
+# --- coded texts -----------------------------------------------------------------------------------------------
+def coded(docs: DataFrame, sent: Broadcast[Code]) -> DataFrame:
+    """The rows of (text, other columns) with each text as the numbers of its
+    tokens (32 bits each), its spelled words and its bytes, a separator after
+    each word: written once, as every later pass needs them."""
+    rest = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("numbers", T.BinaryType()),
+                           T.StructField("spelled", T.ArrayType(T.BinaryType())), T.StructField("n_bytes", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = sent.value
+        for b in slices(batches, TEXTS):
+            if not b.num_rows:
+                continue
+            tokens, number, at, first = numbered(b.column(len(rest)).to_pylist(), code)
+            flat = number.astype("<i4").tobytes()
+            n_bytes = np.add.reduceat(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, first[:-1])
+            spelled = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first), pa.int32()),
+                                               pa.array([tokens[i] for i in at.tolist()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:len(rest)], pa.array([flat[4 * x:4 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()),
+                 spelled, pa.array(n_bytes)], names=schema.names)
+
+    return written(docs.select(*rest, "text").mapInArrow(run, schema), "lm-coded")
+
+
+def read_back(numbers: pa.Array, spelled: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The numbers of all tokens of some rows of ``coded``, their spelled
+    words, and the first token of each text."""
+    flat = numbers.to_pylist()
+    number = np.frombuffer(b"".join(flat), "<i4").astype(np.int64)
+    return number, spelled.flatten().to_pylist(), np.cumsum([0, *(len(x) // 4 for x in flat)])
 
 
 # --- counters --------------------------------------------------------------------------------------------------
@@ -327,19 +390,15 @@ def summed(parts: list[bytes]) -> bytes:
 
 
 def counter_rows(docs: DataFrame, sent: Broadcast[Code]) -> DataFrame:
-    """(part, counts): the counters of all training texts, summed over tasks
+    """(part, counts): the counters of all (coded) training texts, summed over tasks
     part by part (a part: PART slots of one context)."""
-    shape = (CONTEXTS, SLOTS, 2)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
-        held = np.zeros(shape, np.int32)
-        for b in batches:
-            for i in range(0, b.num_rows, TEXTS):
-                for slots, bits, _ in decisions(b.column(0).slice(i, TEXTS).to_pylist(), c)[0]:
-                    for k in range(CONTEXTS):
-                        cells = (slots[k].astype(np.int64) << 1) | bits
-                        held[k] += np.bincount(cells, minlength=2 * SLOTS).reshape(SLOTS, 2).astype(np.int32)
+        held = np.zeros((CONTEXTS, 2 * SLOTS), np.int32)
+        for b in slices(batches, TEXTS):
+            for slots, bits, _ in decided(*read_back(b.column(0), b.column(1)), c):
+                for k in range(CONTEXTS):
+                    np.add.at(held[k], (slots[k] << _U(1) | bits).astype(np.intp), np.int32(1))
         parts = held.reshape(-1, PART * 2)
         for p in range(len(parts)):
             if parts[p].any():
@@ -351,7 +410,7 @@ def counter_rows(docs: DataFrame, sent: Broadcast[Code]) -> DataFrame:
         return pa.table({"part": t.column("part").slice(0, 1), "counts": pa.array([summed(t.column("counts").to_pylist())], pa.binary())})
 
     schema = "part int, counts binary"
-    return docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
+    return docs.select("numbers", "spelled").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
 
 
 @dataclass
@@ -389,8 +448,9 @@ def gather(docs: DataFrame, code: Code, sent: Broadcast[Code] | None = None) ->
     """The model of (text, fold): counters of all texts, and the start fitted
     on each fold's texts under the counters of the other fold alone, as the
     counters of a text's own decisions would foretell them. ``sent``: the
-    code, if it was sent to the tasks before."""
+    code, if it was sent to the tasks before (the texts may be coded, too)."""
     sent = sent or docs.sparkSession.sparkContext.broadcast(code)
+    docs = coded(docs, sent) if "text" in docs.columns else docs
     folds = [gathered(docs.where(F.col("fold") == f), sent) for f in (0, 1)]
     starts = fitted(docs, sent, [cells_of(folds[1]), cells_of(folds[0])])
     return Model(code, cells_of(folds[0] + folds[1]), starts)
@@ -408,7 +468,7 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def joint_counts(docs: DataFrame, sent: Broadcast[Code], others: list[np.ndarray]) -> DataFrame:
     """(part, keys, counts): how often each triple of cells met each branch,
-    by kind, over all texts of (text, fold); exact, so that the rounds of the
+    by kind, over all coded texts and their folds; exact, so that the rounds of the
     fit need not read the texts again. ``others``: by fold, the cells to use."""
     sent_cells = docs.sparkSession.sparkContext.broadcast(others)
 
@@ -428,10 +488,10 @@ def joint_counts(docs: DataFrame, sent: Broadcast[Code], others: list[np.ndarray
                  pa.array([zlib.compress(n[a:b].tobytes(), 1) for a, b in spans], pa.binary())], names=["part", "keys", "counts"])
 
         for b in slices(batches, TEXTS):
-            fold = b.column(1).to_numpy(zero_copy_only=False)
+            fold = b.column(2).to_numpy(zero_copy_only=False)
             for f in (0, 1):
-                texts = b.column(0).filter(pa.array(fold == f)).to_pylist()
-                for kind, (slots, bits, _) in enumerate(decisions(texts, c)[0]):
+                own = b.filter(pa.array(fold == f))
+                for kind, (slots, bits, _) in enumerate(decided(*read_back(own.column(0), own.column(1)), c)):
                     key = np.full(len(bits), kind, np.uint32)
                     for k in range(CONTEXTS):
                         key = key << _U(8) | cells[f][k].take(slots[k])
@@ -456,7 +516,7 @@ def joint_counts(docs: DataFrame, sent: Broadcast[Code], others: list[np.ndarray
                          "counts": pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())})
 
     schema = "part int, keys binary, counts binary"
-    return docs.select("text", "fold").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
+    return docs.select("numbers", "spelled", "fold").mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
 
 
 def fitted(docs: DataFrame, sent: Broadcast[Code], others: list[np.ndarray]) -> tuple[Start, Start]:
@@ -524,6 +584,9 @@ MAP_CELLS = 16 * MAP_SCALE + 1
 _MIXED = 1 / (1 + np.exp(-(np.arange(MAP_CELLS) / MAP_SCALE - 8)))
 _GROUP = np.arange(MAP_CELLS) // (MAP_SCALE // 2)  # the refining map learns one shift per half unit
 MAP_GROUPS = int(_GROUP[-1]) + 1
+_FIRST = np.searchsorted(_GROUP, np.arange(MAP_GROUPS))
+_ERR = (np.array([0, 1]) - _MIXED[:, None]).ravel()  # of a cell and a branch
+TABLED = 2 * MAP_CELLS  # decisions a text from which a block's cells are counted
 MAP_MASS = 40.0  # decisions that a starting shift counts for
 
 
@@ -545,11 +608,15 @@ class Mixer:
         sizes = np.diff(cuts)
         totals = np.zeros(len(sizes))
         start, block = 0, FIRST_BLOCK
+        series = np.stack([*cells, bits]).astype(np.uint8, copy=False)
+        room = np.empty((CONTEXTS, len(bits)), np.intp)
         while len(texts := np.flatnonzero(sizes > start)):
             n = np.minimum(sizes[texts] - start, block)
-            at = np.arange(int(n.sum())) + np.repeat(cuts[texts] + start - (np.cumsum(n) - n), n)
-            who = np.repeat(np.arange(len(texts)), n)
-            own, bit = [(who << 8) + c.take(at) for c in cells], bits.take(at)
+            at = cuts[texts] + start
+            part = np.concatenate([series[:, x:y] for x, y in zip(at.tolist(), (at + n).tolist())], axis=1)
+            ids, bit = np.arange(len(texts)), part[CONTEXTS]
+            row = np.repeat(ids << 8, n)
+            own = [np.add(row, c, out=x[:len(row)]) for c, x in zip(part, room)]
             scaled = (self.weights[texts][:, :, GATE] * (STRETCH * MAP_SCALE)).astype(np.float32)
             mixed = scaled[:, 0].ravel().take(own[0])
             for k in range(1, CONTEXTS):
@@ -558,20 +625,34 @@ class Mixer:
             np.maximum(mixed, 0, out=mixed)
             np.minimum(mixed, MAP_CELLS - 1, out=mixed)
             cell = mixed.astype(np.intp)
-            foretold = _MIXED.take(cell)
-            group = who * MAP_GROUPS
-            group += _GROUP.take(cell)
-            refined = foretold + (self.miss[texts] / self.mass[texts]).ravel().take(group)
-            np.maximum(refined, 1e-4, out=refined)
-            np.minimum(refined, 1 - 1e-4, out=refined)
-            totals[texts] += np.bincount(who, np.log(np.abs((1 - bit) - refined).astype(np.float32)), len(texts))
-            err = bit - foretold
+            shift = self.miss[texts] / self.mass[texts]
+            if len(row) < TABLED * len(texts):
+                foretold = _MIXED.take(cell)
+                group = np.repeat(ids * MAP_GROUPS, n)
+                group += _GROUP.take(cell)
+                refined = foretold + shift.ravel().take(group)
+                np.maximum(refined, 1e-4, out=refined)
+                np.minimum(refined, 1 - 1e-4, out=refined)
+                totals[texts] += np.bincount(np.repeat(ids, n), np.log(np.abs((1 - bit) - refined).astype(np.float32)), len(texts))
+                err = bit - foretold
+                miss = np.bincount(group, err, MAP_GROUPS * len(texts)).reshape(-1, MAP_GROUPS)
+                mass = np.bincount(group, minlength=MAP_GROUPS * len(texts)).reshape(-1, MAP_GROUPS)
+            else:  # the same by how often each cell met each branch
+                cell <<= 1
+                cell |= bit
+                err = _ERR.take(cell)
+                cell += np.repeat(ids * (2 * MAP_CELLS), n)
+                met = np.bincount(cell, minlength=2 * MAP_CELLS * len(texts)).reshape(-1, MAP_CELLS, 2)
+                refined = np.clip(_MIXED + shift[:, _GROUP], 1e-4, 1 - 1e-4)
+                totals[texts] += (met * np.log(np.stack([1 - refined, refined], axis=2).astype(np.float32))).sum(axis=(1, 2))
+                miss = np.add.reduceat((met * _ERR.reshape(-1, 2)).sum(axis=2), _FIRST, axis=1)
+                mass = np.add.reduceat(met.sum(axis=2), _FIRST, axis=1)
             rate = (RATE / np.sqrt(n))[:, None]
             for k in range(CONTEXTS):
                 slope = np.bincount(own[k], err, 256 * len(texts)).reshape(-1, 256) * STRETCH
                 self.weights[texts, k] += rate * slope.reshape(-1, 64, 4).sum(axis=1)  # the gate is a cell's lowest bits
-            self.miss[texts] += np.bincount(group, err, MAP_GROUPS * len(texts)).reshape(-1, MAP_GROUPS)
-            self.mass[texts] += np.bincount(group, minlength=MAP_GROUPS * len(texts)).reshape(-1, MAP_GROUPS)
+            self.miss[texts] += miss
+            self.mass[texts] += mass
             start, block = start + block, block * 2
         return totals / math.log(10)
 
@@ -594,8 +675,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     carry = carry or {}
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("_train"),
                        *[c.alias(k) for k, c in carry.items()])
-    learn = rows.where("_train").select("text", F.xxhash64("doc_id", "text").bitwiseAND(1).cast("int").alias("fold"))
-    counts = written(token_counts(learn), "token-counts")
+    counts = written(token_counts(rows.where("_train")), "token-counts")
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(all_["n"]), int(all_["v"])
     # words met once are spelled, which teaches the escape and the letters what new words cost
@@ -604,7 +684,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     code = make_code(top, n)
     sent_code = spark.sparkContext.broadcast(code)
-    model = gather(learn, code, sent_code)
+    texts = coded(rows.withColumn("fold", F.xxhash64("doc_id", "text").bitwiseAND(1).cast("int")), sent_code)
+    model = gather(texts.where("_train"), code, sent_code)
     floor = n + 0.5 * (v + 1)
     # by number; the end token comes first, and is unknown only if nothing was learned
     unknown = int(not len(top))
@@ -621,20 +702,20 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         m = Model(sent_code.value, *sent.value)
         base = known.value
         for b in slices(batches, TEXTS):
-            series, tokens, number, at, first = decisions(b.column(k).to_pylist(), m.code)
-            scores = log10_probabilities(series, b.num_rows, m)
-            frequent = np.add.reduceat(base.take(number), first[:-1]) if b.num_rows else ()
-            n_bytes = np.add.reduceat(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1, first[:-1]) if b.num_rows else ()
-            cuts = np.searchsorted(at, first).tolist()
-            spelled = [tokens[i] for i in at.tolist()]
-            out = [(e - s, e - s - (y - x) - unknown, f, p, n, spelled[x:y]) for s, e, x, y, f, p, n in
-                   zip(first[:-1].tolist(), first[1:].tolist(), cuts[:-1], cuts[1:], frequent, scores, n_bytes)]
-            cols = list(zip(*out)) or [()] * 6
-            kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], *[pa.array(x, t) for x, t in zip(cols, kinds_)]],
-                                             names=schema.names)
-
-    scored = rows.select("doc_id", *carry, "text").mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id())
+            if not b.num_rows:
+                continue
+            n_bytes, spelled = b.column(k), b.column(k + 1)
+            number, rare, first = read_back(b.column(k + 2), spelled)
+            scores = log10_probabilities(decided(number, rare, first, m.code), b.num_rows, m)
+            n_tokens = np.diff(first)
+            n_rare = pc.list_value_length(spelled).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:k], pa.array(n_tokens), pa.array(n_tokens - n_rare - unknown),
+                 pa.array(np.add.reduceat(base.take(number), first[:-1])), pa.array(scores, pa.float64()), n_bytes, spelled],
+                names=schema.names)
+
+    scored = (texts.select("doc_id", *carry, "n_bytes", "spelled", "numbers").mapInArrow(run, schema)
+              .withColumn("rid", F.monotonically_increasing_id()))
     scored = written(scored, "lm-scores")  # written once, so the row numbers hold
     rare = scored.select("rid", F.explode("rare").alias("token"))
     found = (rare.join(counts, "token", "left").groupBy("rid")

@@ -203,6 +203,55 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     assert words.of([b"dd", b"aa", b"cc", b"b", b"", b"zz", b"z", b"dd"]).tolist() == [3, 0, 2, 1, 4, 5, 5, 3]
 
 
+def test_frequent_words_are_found_as_all_others(monkeypatch):
+    import pyarrow as pa
+
+    kinds = [b"", *(f"w{i}".encode() for i in range(50))]
+    tokens = [*kinds[::-1], b"no", b"w3", b"none", b"w49"]
+    for common in (0, 7, 1000):
+        monkeypatch.setattr(lm_mix, "COMMON", common)
+        words = lm_mix.Words(pa.array(kinds, pa.large_binary()))
+        assert len(words.common) == min(common, len(kinds))
+        assert words.of(tokens).tolist() == [*range(50, -1, -1), 51, 4, 51, 50]
+
+
+def test_no_texts_have_no_decisions():
+    series = lm_mix.decisions([], small_model(Counter({b"": 5, b"the": 9})).code)[0]
+    assert [len(slots) for kind in series for slots in (*kind[0], kind[1])] == [0] * 2 * (lm_mix.CONTEXTS + 1)
+
+
+def test_counted_cells_score_as_single_decisions(monkeypatch):
+    rng = np.random.default_rng(5)
+    cuts = np.array([0, 0, 5, 3000, 3033, 20_000])
+    cells = [rng.integers(0, 256, cuts[-1]).astype(np.uint8) for _ in range(lm_mix.CONTEXTS)]
+    bits = (rng.random(cuts[-1]) < 0.7).astype(np.uint8)
+    got = []
+    for least in (0, 10**9):
+        monkeypatch.setattr(lm_mix, "TABLED", least)
+        m = lm_mix.Mixer(lm_mix.WORD_WEIGHTS, np.linspace(-0.1, 0.1, lm_mix.MAP_GROUPS), len(cuts) - 1)
+        got.append((m.run_all(cells, bits, cuts), m.weights, m.miss, m.mass))
+    for a, b in zip(*got):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+
+
+def test_passes_after_the_first_need_no_text(odd):
+    docs = odd.select("doc_id", "text", (F.col("row") % 2).alias("fold"))
+    counts = [(bytes(r["token"]), r["c"]) for r in lm_mix.token_counts(docs).collect()]
+    code = lm_mix.make_code(sorted((x for x in counts if x[1] > 1), key=lambda x: (x[0] != b"", -x[1], x[0])), sum(c for _, c in counts))
+    sent = docs.sparkSession.sparkContext.broadcast(code)
+    coded = lm_mix.coded(docs, sent)
+    assert "text" not in coded.columns
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in coded.where("doc_id is not null").collect():
+        tokens, number, at, _ = lm_mix.numbered([texts[r["doc_id"]]], code)
+        assert np.frombuffer(r["numbers"], "<i4").tolist() == number.tolist()
+        assert list(map(bytes, r["spelled"])) == [tokens[i] for i in at]
+        assert r["n_bytes"] == sum(map(len, tokens)) + len(tokens)
+    a, b = lm_mix.gather(coded, code, sent), lm_mix.gather(docs.select("text", "fold"), code)
+    assert (a.cells == b.cells).all()
+    assert np.allclose(a.starts[0].weights, b.starts[0].weights)
+
+
 def test_codes_equal_those_of_a_heap():
     import heapq
 
