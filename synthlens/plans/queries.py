@@ -691,7 +691,7 @@ def _experiment_sets(spark, sf_dir):
 def q_detection_experiment(spark, sf_dir):
     sets, test = _experiment_sets(spark, sf_dir)
     out = detect.detection_experiment(sets, test, FEATS, "label", pca_cols=["l_discount", "l_tax"],
-                                      n_repeat=10, num_trees=100, max_fit_rows=20_000)
+                                      n_repeat=10, num_trees=100)
     return sig_cols(out, ["precision", "recall", "f1"])
 
 

@@ -78,3 +78,29 @@ def test_training_sets_are_dealt_in_bounded_partitions(spark, monkeypatch):
                      (detect.prepare_training(df, ["x", "y"], "label")[0].rdd.glom().collect() for _ in range(2)))
     assert first == second  # so a seed draws the same rows again
     assert sum(map(len, first)) == 2000 and max(map(len, first)) <= 150
+
+
+def test_experiment_is_fitted_on_all_rows(spark, tmp_path, monkeypatch):
+    """The query bounds no training set: over 20,000 rows, each reaches the fits."""
+    from synthlens.plans.queries import QUERIES
+
+    n = 21_000
+    li = spark.range(2 * n).select(
+        F.when(F.col("id") < n, "F").otherwise("O").alias("l_linestatus"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity"),
+        (F.col("id") * 7 % 1009 + 900).cast("double").alias("l_extendedprice"), (F.col("id") % 11 / 100).alias("l_discount"),
+        (F.col("id") % 9 / 100).alias("l_tax"), (F.col("id") % 10).alias("l_suppkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"))
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    run, seen = detect.detection_experiment, {}
+
+    def small(sets, test, features, label, **kw):
+        seen.update({name: train.count() for name, train in sets})
+        return run(sets[:1], test, features, label, **{**kw, "n_repeat": 1, "num_trees": 2, "max_depth": 3})
+
+    def read(train, *args, f=detect.prepare_training):
+        seen["fitted"] = train.count()
+        return f(train, *args)
+
+    monkeypatch.setattr(detect, "detection_experiment", small)
+    monkeypatch.setattr(detect, "prepare_training", read)
+    assert QUERIES["detection_experiment"](spark, str(tmp_path)).count() == 1
+    assert seen["fitted"] == seen["original"] == n
