@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthlens.functions.numeric import minmax_100, ratio_or_zero
+from synthlens.operators import forest
 from synthlens.operators.clean import NON_SSH, SSH, SYNTH_ENDPOINT
-from synthlens.operators.joins import join_checked
+from synthlens.operators.joins import join_checked, written
 from synthlens.session import shared_dir
 
 MAX_DEPTH = 30  # the deepest tree that Spark ML grows; the compared trees have no limit
+MAX_BINS = 64  # bins of a feature
 FIT_ROWS = 200_000  # rows of one partition of a training set; every pass of 100 trees reads about 1.3 KB a row
 DUMMY_ENDPOINT = f"{SYNTH_ENDPOINT[0]}:{SYNTH_ENDPOINT[1]}"
 
@@ -63,6 +65,7 @@ def pc_feature(train: DataFrame, test: DataFrame, cols: Sequence[str], out: str
     tr = train.withColumn("_pc", proj)
     te = test.withColumn("_pc", proj)
     rng = tr.agg(F.min("_pc").alias("_pmin"), F.max("_pc").alias("_pmax"))
+    rng = rng.sparkSession.createDataFrame(rng.collect(), rng.schema)  # one row, found once for all uses of the feature
     return train_scalar_apply(tr, te, rng, out)
 
 
@@ -160,7 +163,7 @@ def prepare_training(train: DataFrame, features: Sequence[str], label_col: str):
 
 
 def fit_forest(assembled: DataFrame, num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 0,
-               max_bins: int = 64, subsampling_rate: float = 1.0, level_mb: int = 1024):
+               max_bins: int = MAX_BINS, subsampling_rate: float = 1.0, level_mb: int = 1024):
     """M04 fit: Spark ML trains the trees as distributed tasks over binned
     features (one pass per tree level for all trees together, as long as the
     level's statistics fit in ``level_mb``). Each row keeps the node it has
@@ -194,7 +197,7 @@ def predict_forest(model, labels: Sequence[str], test: DataFrame, features: Sequ
 
 
 def rf_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label_col: str,
-               num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 0, max_bins: int = 64,
+               num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 0, max_bins: int = MAX_BINS,
                subsampling_rate: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
     """Random forest fit on the train features, predicted labels on the
     test rows (``prediction`` as the original label text)."""
@@ -229,39 +232,57 @@ def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: Data
                          endpoint_col: str = "endpoint", parallel_fits: int = 4) -> DataFrame:
     """For each training mode, optional first-component feature, then
     ``n_repeat`` forests (seed = base + run), per-endpoint vote, metrics, and
-    the mean per mode. A training set is assembled once, shared by its
-    forests and released after their fits (up to ``parallel_fits`` at a
-    time; fixed seeds keep the result independent of the order). Every forest
-    scores the test set once; the scored rows of all forests meet in one
-    aggregate per (mode, run, endpoint), combined map-side and dealt by all
-    three, and votes and metrics come from its counts. (Counted forest by
-    forest, the small results of all would be read by the same few tasks.)
-    Output ``(mode, precision, recall, f1, runs)``."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    test = test.persist()
-    counts = None
+    the mean per mode. The forests of a mode grow on the counted cells of its
+    training set and vote on the cells of the test set; the test rows are then
+    counted once per mode, by endpoint, label and what all its forests say. The
+    counts of all forests meet in one aggregate per (mode, run, endpoint),
+    combined map-side and dealt by all three, and votes and metrics come from
+    it. (Counted forest by forest, the small results of all would be read by
+    the same few tasks.) A mode with too many cells for a task is fitted row by
+    row, up to ``parallel_fits`` forests at a time, and each of its forests
+    scores the test rows. Output ``(mode, precision, recall, f1, runs)``."""
+    counts, cached = None, False
+    seeds = [base_seed + run for run in range(n_repeat)]
     for mode, train in train_sets:
         tr, te, feats = train, test, list(features)
         if pca_cols:
             tr, te = pc_feature(train, test, pca_cols)
             feats = ["PC", *[f for f in features if f not in pca_cols]]
         tr = tr.select(*feats, label_col)
-        assembled, labels = prepare_training(tr, feats, label_col)
-        assembled = assembled.persist()
-        with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
-            models = list(pool.map(lambda run: fit_forest(assembled, num_trees, max_depth, base_seed + run),  # noqa: B023
-                                   range(n_repeat)))
-        assembled.unpersist()
-        for run, model in enumerate(models):
-            pred = predict_forest(model, labels, te, feats, keep=[endpoint_col, label_col])
-            part = pred.select(endpoint_col, F.col(label_col).alias("truth"), "prediction", F.lit(1).alias("n"),
-                               F.lit(mode).alias("mode"), F.lit(run).alias("run"))
+        model = forest.training_cells(tr, feats, label_col, MAX_BINS)
+        rows = te.select(*feats, F.col(endpoint_col).alias(endpoint_col), F.col(label_col).alias("truth"))
+        said = model and forest.vote_on(model, rows, seeds, num_trees, max_depth)
+        if said is None:
+            test, cached = test.persist(), True
+            parts = _scored_by_rows(tr, te, feats, label_col, seeds, num_trees, max_depth, endpoint_col, parallel_fits)
+        else:
+            scored = written(said.groupBy(endpoint_col, "truth", "_said").agg(F.count(F.lit(1)).alias("n")), "scored")
+            parts = [scored.select(endpoint_col, "truth", forest.said_label(model.labels, run).alias("prediction"), "n")
+                     for run in range(n_repeat)]
+        for run, part in enumerate(parts):
+            part = part.withColumns({"mode": F.lit(mode), "run": F.lit(run)})
             counts = part if counts is None else counts.unionByName(part)
     per_run = precision_recall_f1(score_from_counts(counts, ["mode", "run"], endpoint_col))
     result = per_run.groupBy("mode").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
                                          F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("runs"))
     # one row per mode: collect it, then release the cached test set
     rows, schema = result.collect(), result.schema
-    test.unpersist()
+    if cached:
+        test.unpersist()
     return test.sparkSession.createDataFrame(rows, schema)
+
+
+def _scored_by_rows(train: DataFrame, test: DataFrame, features: Sequence[str], label_col: str, seeds: Sequence[int],
+                    num_trees: int, max_depth: int, endpoint_col: str, parallel_fits: int) -> list[DataFrame]:
+    """Per seed the test rows as scored by its forest, fitted row by row. The
+    training set is assembled once, shared by the fits and then released
+    (fixed seeds keep the result independent of their order)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    assembled, labels = prepare_training(train, features, label_col)
+    assembled = assembled.persist()
+    with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
+        models = list(pool.map(lambda seed: fit_forest(assembled, num_trees, max_depth, seed), seeds))
+    assembled.unpersist()
+    preds = [predict_forest(model, labels, test, features, keep=[endpoint_col, label_col]) for model in models]
+    return [p.select(endpoint_col, F.col(label_col).alias("truth"), "prediction", F.lit(1).cast("bigint").alias("n")) for p in preds]

@@ -96,11 +96,12 @@ def test_experiment_is_fitted_on_all_rows(spark, tmp_path, monkeypatch):
         seen.update({name: train.count() for name, train in sets})
         return run(sets[:1], test, features, label, **{**kw, "n_repeat": 1, "num_trees": 2, "max_depth": 3})
 
-    def read(train, *args, f=detect.prepare_training):
-        seen["fitted"] = train.count()
-        return f(train, *args)
+    def read(*args, f=detect.forest.training_cells):
+        model = f(*args)
+        seen["fitted"] = model.counts.sum()
+        return model
 
     monkeypatch.setattr(detect, "detection_experiment", small)
-    monkeypatch.setattr(detect, "prepare_training", read)
+    monkeypatch.setattr(detect.forest, "training_cells", read)
     assert QUERIES["detection_experiment"](spark, str(tmp_path)).count() == 1
     assert seen["fitted"] == seen["original"] == n
