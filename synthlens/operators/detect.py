@@ -26,6 +26,8 @@ from synthlens.session import shared_dir
 MAX_DEPTH = 30  # the deepest tree that Spark ML grows; the compared trees have no limit
 MAX_BINS = 64  # bins of a feature
 FIT_ROWS = 200_000  # rows of one partition of a training set; every pass of 100 trees reads about 1.3 KB a row
+FIT_BYTES = 2 << 30  # what the rows of a fit keep at once of draws and nodes
+TREE_ROW_BYTES = 13  # of them, per row and tree
 DUMMY_ENDPOINT = f"{SYNTH_ENDPOINT[0]}:{SYNTH_ENDPOINT[1]}"
 
 
@@ -169,20 +171,42 @@ def fit_forest(assembled: DataFrame, num_trees: int = 100, max_depth: int = MAX_
     level's statistics fit in ``level_mb``). Each row keeps the node it has
     reached in each tree, so a pass does not send the trees grown so far nor
     walk them again; these node numbers are written to the checkpoint folder
-    every ten passes, which keeps their lineage short."""
+    every ten passes, which keeps their lineage short. Draws and nodes take
+    ``TREE_ROW_BYTES`` per row and tree: where those of all trees exceed
+    ``FIT_BYTES``, the trees are fitted in groups, one after the other."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    shared_dir(assembled.sparkSession)
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pidx",
-                                    numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins,
-                                    featureSubsetStrategy="sqrt", subsamplingRate=subsampling_rate,
-                                    bootstrap=True, cacheNodeIds=True, checkpointInterval=10,
-                                    maxMemoryInMB=level_mb)
-    model = forest.fit(assembled)
-    # The training summary holds the session and goes with the model to every task; a session that has observed
-    # metrics cannot be sent.
-    model._java_obj.setSummary(assembled.sparkSession._jvm.scala.Option.empty())
-    return model
+    spark = assembled.sparkSession
+    shared_dir(spark)
+    most = max(1, FIT_BYTES // (TREE_ROW_BYTES * max(1, assembled.count())))
+    models = []
+    for first in range(0, num_trees, most):
+        trees = RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pidx",
+                                       numTrees=min(most, num_trees - first), maxDepth=max_depth,
+                                       seed=seed + 1_000_003 * first, maxBins=max_bins,
+                                       featureSubsetStrategy="sqrt", subsamplingRate=subsampling_rate,
+                                       bootstrap=True, cacheNodeIds=True, checkpointInterval=10,
+                                       maxMemoryInMB=level_mb)
+        models.append(trees.fit(assembled))
+        # The training summary holds the session and goes with the model to every task; a session that has observed
+        # metrics cannot be sent.
+        models[-1]._java_obj.setSummary(spark._jvm.scala.Option.empty())
+    return models[0] if len(models) == 1 else _united(spark, models)
+
+
+def _united(spark, models):
+    """One forest of the trees of all ``models``."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    java = [m._java_obj for m in models]
+    trees = [t for m in java for t in m.trees()]
+    ml = spark._jvm.org.apache.spark.ml.classification
+    array = spark.sparkContext._gateway.new_array(ml.DecisionTreeClassificationModel, len(trees))
+    for i, t in enumerate(trees):
+        array[i] = t
+    out = RandomForestClassificationModel(ml.RandomForestClassificationModel(java[0].uid(), array, java[0].numFeatures(),
+                                                                             java[0].numClasses()))
+    return out.setFeaturesCol("_features").setPredictionCol("_pidx")
 
 
 def predict_forest(model, labels: Sequence[str], test: DataFrame, features: Sequence[str],
@@ -200,10 +224,19 @@ def rf_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label
                num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 0, max_bins: int = MAX_BINS,
                subsampling_rate: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
     """Random forest fit on the train features, predicted labels on the
-    test rows (``prediction`` as the original label text)."""
-    assembled, labels = prepare_training(train, features, label_col)
-    model = fit_forest(assembled, num_trees, max_depth, seed, max_bins, subsampling_rate)
-    return predict_forest(model, labels, test, features, keep)
+    test rows (``prediction`` as the original label text). The trees grow on
+    the counted cells of the bins (``operators.forest``); where those are too
+    many for a task, on the rows."""
+    model = forest.training_cells(train, features, label_col, max_bins)
+    said = model and forest.vote_on(model, test, [seed], num_trees, max_depth, subsampling_rate)
+    if said is None:
+        assembled, labels = prepare_training(train, features, label_col)
+        assembled = assembled.persist()
+        fitted = fit_forest(assembled, num_trees, max_depth, seed, max_bins, subsampling_rate)
+        assembled.unpersist()
+        return predict_forest(fitted, labels, test, features, keep)
+    pred = said.withColumn("prediction", forest.said_label(model.labels, 0))
+    return pred.select(*keep, *[c for c in test.columns if c not in keep], "prediction")
 
 
 def score_from_counts(counts: DataFrame, group_cols: Sequence[str], endpoint_col: str = "endpoint",

@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthlens.operators.joins import join_checked, written
+from synthlens.operators.joins import written
 
 MAX_CELLS = 2_000_000  # cells of one set in a task: about 20 bytes each, and some 100 while a tree grows
 TREES_PER_TASK = 10
+SENT_CELLS = 500_000  # cells whose predictions (about 100 bytes each) are sent to the test rows; beyond, size decides
 CHUNK = 16_384  # test cells whose votes travel in one row
 FIRST_RANGES, MORE_RANGES = 1024, 32  # ranges of a feature in the first pass, and of a range that is cut again
 HIST_CELLS = 4_000_000  # counters of the nodes that are searched for a cut at once
@@ -328,7 +329,7 @@ def vote_on(model: CellModel, test: DataFrame, seeds: Sequence[int], num_trees:
     bins = [f"_b{i}" for i in range(k)]
     binned = with_bins(test, model.features, model.cuts)
     cells = written(binned.select(*bins).distinct(), "forest-test-cells")
-    if cells.count() > MAX_CELLS:
+    if (n := cells.count()) > MAX_CELLS:
         return None
     sc = spark.sparkContext
     sent, test_x = sc.broadcast(model), sc.broadcast(_collected(cells, k)[0])
@@ -337,4 +338,5 @@ def vote_on(model: CellModel, test: DataFrame, seeds: Sequence[int], num_trees:
                                                        "_chunk int, _run int, _votes binary")
     schema = ", ".join([*[f"{b} int" for b in bins], "_said string"])
     said = votes.groupBy("_chunk").applyInArrow(_deciding(test_x, len(seeds), len(model.labels), k), schema)
-    return join_checked(binned, said, bins, "left").drop(*bins)
+    said = written(said, "forest-said")
+    return binned.join(F.broadcast(said) if n <= SENT_CELLS else said, bins, "left").drop(*bins)

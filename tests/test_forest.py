@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from synthlens.operators import forest
+from synthlens.operators import detect, forest
 
 
 def _board(spark, n=6000):
@@ -37,6 +37,12 @@ def test_extreme_values_are_binned(spark):
     assert len(cuts[0]) == 8 and sorted({b for _, b in got}) == list(range(9))  # both zeros are one value
 
 
+def test_rows_without_a_number_stop_the_fit(spark):
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (2.0, "b")], "x double, l string")
+    with pytest.raises(Exception, match="null or NaN"):
+        detect.rf_predict(df, df, ["x"], "l", num_trees=2)
+
+
 def test_best_cut_is_the_best_of_all():
     rng = np.random.default_rng(5)
     x, y = rng.integers(0, 6, (300, 2)).astype(np.uint16), rng.integers(0, 3, 300)
@@ -68,9 +74,53 @@ def test_forests_grow_on_counted_cells(spark):
     assert model.labels == ["non-ssh", "ssh"] and len(model.counts) == 12 and model.counts.sum() == 50_000
 
 
+def test_predictions_do_not_depend_on_the_layout(spark):
+    df = _board(spark)
+    runs = []
+    for layout in (df.coalesce(1), df.repartition(5, "y")):
+        pred = detect.rf_predict(layout.where("id % 2 = 0"), layout.where("id % 2 = 1"), ["x", "y", "z"], "label", num_trees=25, seed=4)
+        assert pred.columns == [*df.columns, "prediction"]
+        runs.append({r["id"]: (r["label"], r["prediction"]) for r in pred.collect()})
+    assert runs[0] == runs[1] and len(runs[0]) == 3000
+    assert np.mean([a == b for a, b in runs[0].values()]) > 0.8
+
+
 def test_repeats_are_forests_of_their_own(spark):
     df = _board(spark, 2000)
     model = forest.training_cells(df, ["x", "y"], "label", 64)
     said = forest.vote_on(model, df, [1, 2, 1], 3, 30).collect()
     assert len(said) == 2000 and all(len(r["_said"]) == 3 and r["_said"][0] == r["_said"][2] for r in said)
     assert any(r["_said"][0] != r["_said"][1] for r in said)
+
+
+@pytest.mark.parametrize("cells", ["MAX_CELLS of the rows", "MAX_CELLS of the test rows"])
+def test_sets_of_too_many_cells_are_fitted_by_rows_in_groups(spark, monkeypatch, cells):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df, sizes = _board(spark, 4000), []
+    if cells == "MAX_CELLS of the rows":
+        monkeypatch.setattr(forest, "MAX_CELLS", 100)
+    else:
+        monkeypatch.setattr(forest, "vote_on", lambda *args: None)
+    monkeypatch.setattr(detect, "FIT_BYTES", detect.TREE_ROW_BYTES * 2000 * 4)  # four trees over 2,000 rows
+    fit = RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: sizes.append(self.getNumTrees()) or fit(self, rows))
+    pred = detect.rf_predict(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["x", "y", "z"], "label", num_trees=10, max_depth=6)
+    rows = pred.collect()
+    assert sizes == [4, 4, 2] and len(rows) == 2000 and pred.columns == [*df.columns, "prediction"]
+    assert np.mean([r["label"] == r["prediction"] for r in rows]) > 0.8
+
+
+def test_experiment_fitted_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MAX_CELLS", 100)
+    df = _board(spark, 2000).withColumn("endpoint", (F.col("id") % 200).cast("string"))
+    out = detect.detection_experiment([("m", df)], df, ["x", "y"], "label", n_repeat=2, num_trees=3, max_depth=5).collect()
+    assert [(r["mode"], r["runs"]) for r in out] == [("m", 2)] and out[0]["f1"] > 0
+
+
+def test_no_rows_are_kept_per_tree(spark, monkeypatch):
+    """100 trees on 3,000 rows in 42 cells: no fit by rows, which keeps 1.3 KB of draws and nodes beside each."""
+    monkeypatch.setattr(detect, "fit_forest", None)
+    df = _board(spark, 3000).withColumn("x", F.floor(F.col("x") * 3))
+    pred = detect.rf_predict(df, df, ["x", "y"], "label", num_trees=100)
+    assert pred.count() == 3000 and forest.training_cells(df, ["x", "y"], "label", 64).counts.size == 42
