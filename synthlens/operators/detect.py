@@ -289,7 +289,8 @@ def detection_experiment(train_sets: Sequence[tuple[str, DataFrame]], test: Data
             test, cached = test.persist(), True
             parts = _scored_by_rows(tr, te, feats, label_col, seeds, num_trees, max_depth, endpoint_col, parallel_fits)
         else:
-            scored = written(said.groupBy(endpoint_col, "truth", "_said").agg(F.count(F.lit(1)).alias("n")), "scored")
+            scored = said.groupBy(endpoint_col, "truth", "_said").agg(F.count(F.lit(1)).alias("n"))
+            scored = written(scored.repartition(endpoint_col), "scored")  # the counts of an endpoint meet in one task
             parts = [scored.select(endpoint_col, "truth", forest.said_label(model.labels, run).alias("prediction"), "n")
                      for run in range(n_repeat)]
         for run, part in enumerate(parts):

@@ -36,7 +36,7 @@ MAX_CELLS = 2_000_000  # cells of one set in a task: about 20 bytes each, and so
 TREES_PER_TASK = 10
 SENT_CELLS = 500_000  # cells whose predictions (about 100 bytes each) are sent to the test rows; beyond, size decides
 CHUNK = 16_384  # test cells whose votes travel in one row
-FIRST_RANGES, MORE_RANGES = 1024, 32  # ranges of a feature in the first pass, and of a range that is cut again
+FIRST_RANGES, MORE_RANGES = 1024, 32  # ranges of a feature in the first pass, and at least of a range that is cut again
 HIST_CELLS = 4_000_000  # counters of the nodes that are searched for a cut at once
 LARGEST = float(np.finfo(np.float64).max)
 ONE = 1 << 40  # a tree's whole vote: shares of it add up alike in any order
@@ -129,7 +129,6 @@ def bin_cuts(train: DataFrame, features: Sequence[str], max_bins: int) -> list[n
                                                     for a, g in (("lo", F.min), ("hi", F.max))]).first()
     n = row["n"]
     ranges = [[(n, row[f"lo{i}"], row[f"hi{i}"])] for i in range(len(features))] if n else [[] for _ in features]
-    more = FIRST_RANGES
     while True:
         again = {}
         for i, found in enumerate(ranges):
@@ -137,12 +136,12 @@ def bin_cuts(train: DataFrame, features: Sequence[str], max_bins: int) -> list[n
             if len(found) + len(mixed) > max_bins:
                 mixed = [r for r in mixed if r[0] * 4 * max_bins > n]
             if mixed:
+                more = min(FIRST_RANGES, max(MORE_RANGES, 8 * FIRST_RANGES // len(mixed)))
                 again[i] = np.unique(np.concatenate([[r[2] for r in found[:-1]], *[_points(r[1], r[2], more) for r in mixed]]))
         if not again:
             return [_chosen_cuts(found, max_bins) for found in ranges]
         for i, found in zip(again, _counted(train, [features[i] for i in again], list(again.values()))):
             ranges[i] = found
-        more = MORE_RANGES
 
 
 # ---------------------------------------------------------------- trees
